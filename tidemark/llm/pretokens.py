@@ -1,27 +1,23 @@
-"""Distinct pre-tokens of a batch of texts, for tokenizers whose merges never cross a pre-token.
+"""Distinct stretches of a batch of texts, for tokenizers whose merges never cross a pre-token.
 
-Both public BPE vocabularies split a text into pre-tokens by a pattern and then merge inside each of them. A pre-token
-alone is encoded as it is inside a text, so each distinct one needs the library only once. The patterns below are for
-texts of common Latin characters, where the standard ``re`` module agrees with the library's pattern engine; other texts,
-and texts that may hold a special token, go to the library whole.
+Both public BPE vocabularies split a text into pre-tokens by a pattern and then merge inside each of them. A stretch
+between white space is a whole number of pre-tokens and is encoded alone as it is inside a text, so each distinct one
+needs the library only once. This is done for texts of common Latin characters; other texts, and texts that may hold a
+special token, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
-#: Texts made of these only: ASCII without the separators 1C-1F, and Latin letters and signs without superscript and
-#: fractional digits, which \d and \p{N} treat differently. (Fixed values.)
+#: Texts made of these only: ASCII without the separators 1C-1F, and Latin letters and signs. (Fixed values.)
 COMMON = re.compile(r"[\t\n\x0b\x0c\r -~ -±´-¸º»¿-įĲ-ž‐-‧€]*")
-#: byte-level pre-tokens, a leading space included
-BYTE_LEVEL = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-#: lower-case words, single digits and runs of signs; white space is dropped
-WORD_LEVEL = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 #: Pre-tokens that a worker keeps.
-KEPT = 700_000
+KEPT = 1_500_000
 
 _tokenizers: dict[str, object] = {}
 
@@ -43,66 +39,85 @@ def is_common(text: str) -> bool:
     return "<|" not in text and COMMON.fullmatch(text) is not None
 
 
+def chunks(text: str) -> list[str] | None:
+    """The text cut before each single space and line feed, or None where white space is more than that.
+
+    A chunk stands for itself with a space before it; one that begins with a line feed, and the first one, marked by a
+    NUL, stand for themselves. Where no two white-space characters meet and none ends the text, byte-level pre-tokens never
+    reach over these cuts, and a chunk alone falls into the same pre-tokens.
+    """
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or "\xa0" in text or text[-1:] in ("", " ", "\n") or "\u2028" in text:
+        return None
+    return ("\0" + text.replace("\n", " \n")).split(" ")
+
+
 class Counts(dict):
-    """Pieces of each pre-token met so far."""
+    """Pieces of each white-space-free stretch of lower-case text met so far, summed over its pre-tokens."""
 
     def __init__(self, path: str):
         super().__init__()
         self.library = tokenizer(path)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The number of pieces of each of the words, which are distinct."""
+    def of(self, parts: list[str]) -> np.ndarray:
+        """The number of pieces of each of the stretches, which are distinct."""
         if len(self) > KEPT:
             self.clear()
-        if new := [w for w in words if w not in self]:
+        if new := [p for p in parts if p not in self]:
             self.update(zip(new, (len(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
 
 
 class Ids(dict):
-    """Number of each pre-token met so far, with the ids of all of them in one array."""
+    """Number of each chunk or pre-token met so far, with the ids of all of them in one array."""
 
     def __init__(self, path: str):
         super().__init__()
         self.library = tokenizer(path)
+        self.lengths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _add(self, words: list[str]) -> None:
-        first = len(self)
-        got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        while self.used + sizes.sum() > len(self.flat):
+        self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def _add(self, keys: list[str]) -> None:
+        """Encode new chunks, all joined to one text: no pre-token reaches over the space or line feed that begins each."""
+        texts = [k if k[0:1] == "\n" else "\n" + k[1:] if k[0:1] == "\0" else " " + k for k in keys]
+        joined = "".join(texts)
+        first, ids = len(self), np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        # byte-level tokens stand for their bytes, so lengths tell where each begins
+        begins = np.cumsum(self.lengths[ids]) - self.lengths[ids]
+        sizes = map(len, texts) if joined.isascii() else (len(t.encode()) for t in texts)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(texts)))
+        bounds = np.append(0, np.searchsorted(begins, ends))  # a token belongs to the chunk in which it begins
+        bounds[-1] = len(ids)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(words) > len(self.start):
+        while first + len(keys) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + sizes.sum()] = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        self.start[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(words)] = sizes
-        self.used += int(sizes.sum())
-        self.update(zip(words, range(first, first + len(words)), strict=True))
+        self.flat[self.used : self.used + len(ids)] = ids
+        bare = np.fromiter((k[0:1] == "\0" for k in keys), np.int64, len(keys))  # their line feed is not theirs: it is one id
+        self.start[first : first + len(keys)] = self.used + bounds[:-1] + bare
+        self.size[first : first + len(keys)] = np.diff(bounds) - bare
+        self.used += len(ids)
+        self.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text as the library gives them without special tokens added."""
-        if not is_common(text):
+        if not text:
+            return np.zeros(0, np.uint32)
+        if not is_common(text) or (parts := chunks(text)) is None:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > KEPT:
             self._empty()
-        words = BYTE_LEVEL.findall(text)
-        codes = list(map(self.get, words))
-        if None in codes:
-            self._add(list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c is None)))
-            codes = list(map(self.__getitem__, words))
-        codes = np.array(codes, np.int64)
+        codes = np.fromiter(map(self.get, parts, repeat(-1)), np.int32, len(parts))
+        if (new := np.flatnonzero(codes < 0)).size:
+            self._add(list(dict.fromkeys([parts[i] for i in new])))
+            codes[new] = [self[parts[i]] for i in new]
         sizes = self.size[codes]
         ends = np.cumsum(sizes)
-        if not len(ends):
-            return np.zeros(0, np.uint32)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[codes] - ends + sizes, sizes)]
+        return self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.start[codes] - ends + sizes, sizes)]
 
 
 _ids: dict[str, Ids] = {}

@@ -49,6 +49,7 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in self.piece_id):
             raise ValueError("pieces that reach over a space are not supported")
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if "\n" not in joined else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.plain = "\n" not in joined  # then a line feed begins a word
         hashes = np.array([self._hash(p) for p in self.piece_id], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(list(self.piece_id.values()), np.int64)[order]
@@ -172,6 +173,8 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """The words of a text: pieces never reach from one into the next."""
+        if self.plain and "  " not in text and text[:1] not in ("", " ") and SPACE not in text:
+            return [w if w[:1] == "\n" else SPACE + w for w in text.replace("\n", " \n").split(" ")]
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, words: list[str]) -> None:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretokens import WORD_LEVEL, counts_of, is_common
+from tidemark.llm.pretokens import counts_of, is_common
 from tidemark.llm.shared import ship
 
 #: Characters whose texts are joined to one batch of pre-tokens.
@@ -18,7 +18,10 @@ BLOCK = 2_000_000
 
 
 def _count_block(texts: list[str], path: str) -> np.ndarray:
-    """Tokens of each text: a table of (document, pre-token, frequency), joined to the pieces of the distinct pre-tokens."""
+    """Tokens of each text: a table of (document, stretch, frequency), joined to the pieces of the distinct stretches.
+
+    A stretch is what stands between white space: one pre-token, or a few, such as a word and its comma.
+    """
     counts = counts_of(path)
     code: dict[str, int] = {}
     docs, words, times = [], [], []
@@ -27,7 +30,7 @@ def _count_block(texts: list[str], path: str) -> np.ndarray:
         if not is_common(text):
             out[d] = len(counts.library.encode(text, add_special_tokens=False).ids)
             continue
-        own = Counter(WORD_LEVEL.findall(text.lower()))
+        own = Counter(text.lower().split())
         docs.append(np.full(len(own), d))
         words += [code.setdefault(w, len(code)) for w in own]
         times += own.values()
