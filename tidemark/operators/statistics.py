@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import ship
+from tidemark.functions.session import materialise, ship
 
 
 @F.pandas_udf("double")
@@ -278,11 +278,12 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str, partitions: int |
     """Rows numbered from 0 in a total order without a single-task window: range partitions, counted, then offset."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange(n, "_o").withColumn("_part", F.spark_partition_id())
-    within = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy("_o")))
-    counts = within.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
-    return within.join(F.broadcast(before.select("_part", "_b")), "_part").withColumn(name, F.col("_b") + F.col("_i") - 1).drop("_o", "_part", "_i", "_b")
+    dealt = df.withColumn("_rk_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange(n, "_rk_o").withColumn("_rk_part", F.spark_partition_id())
+    dealt = materialise(dealt, "ranked")  # range bounds are sampled: rows and counts must see the same ones
+    within = dealt.withColumn("_rk_i", F.row_number().over(Window.partitionBy("_rk_part").orderBy("_rk_o")))
+    counts = within.groupBy("_rk_part").agg(F.count("*").alias("_rk_n"))
+    before = counts.withColumn("_rk_b", F.coalesce(F.sum("_rk_n").over(Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
+    return within.join(F.broadcast(before.select("_rk_part", "_rk_b")), "_rk_part").withColumn(name, F.col("_rk_b") + F.col("_rk_i") - 1).drop("_rk_o", "_rk_part", "_rk_i", "_rk_b")
 
 
 def null_percentile(pool: DataFrame, observed: DataFrame, sims: int, seed: int, key: str = "key", x: str = "label") -> DataFrame:

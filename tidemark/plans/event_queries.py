@@ -117,8 +117,8 @@ add(
 )
 add("c13_volatility_at_entry", lambda s, d: L.volatility_at_entry(purchases(s, d), vol(s, d).where("vol is not null"), "vol").select("event_key", "matched_time", r(F.col("vol")).alias("vol")), f"WITH {VOL}, v2 AS (SELECT * FROM v WHERE vol IS NOT NULL), j AS ({ASOF.format(value='round(x.vol, 6) AS vol', source='v2')}) SELECT event_key, matched_time, vol FROM j")
 add(
-    "c14_gate_state", lambda s, d: asof(purchases(s, d), labelled(s, d).where("state is not null"), ["symbol"], "event_time", "available_time", "state").select("event_key", "state", (F.col("state") == "up").alias("gate_open")),
-    f"WITH {VOL}, {TREND}, s2 AS (SELECT * FROM s WHERE state IS NOT NULL), j AS ({ASOF.format(value='x.state', source='s2')}) SELECT event_key, state, state = 'up' AS gate_open FROM j",
+    "c14_gate_state", lambda s, d: asof(purchases(s, d), labelled(s, d).where("state is not null"), ["symbol"], "event_time", "available_time", "state").select("event_key", "state", F.coalesce(F.col("state") == "up", F.lit(False)).alias("gate_open")),
+    f"WITH {VOL}, {TREND}, s2 AS (SELECT * FROM s WHERE state IS NOT NULL), j AS ({ASOF.format(value='x.state', source='s2')}) SELECT event_key, state, coalesce(state = 'up', false) AS gate_open FROM j",
 )
 add(
     "b10_known_labels", lambda s, d: L.known_as_of(L.forward_return(purchases(s, d), bars(s, d), 60, 4), "2024-01-15").select("event_key", "known_at", r(F.col("label")).alias("label")),
