@@ -57,7 +57,8 @@ def islands(spans: DataFrame, by: Sequence[str], start: str, end: str, touching:
     w = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     before = F.max(end).over(w)
     apart = before.isNull() | (F.col(start) > before if touching else F.col(start) >= before)
-    numbered = spans.withColumn("_apart", apart.cast("int")).withColumn("_island", F.sum("_apart").over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
+    # the running sum takes ties together: which of two equal spans opened the island must not matter
+    numbered = spans.withColumn("_apart", apart.cast("int")).withColumn("_island", F.sum("_apart").over(Window.partitionBy(*by).orderBy(start, end)))
     return numbered.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_spans")).drop("_island")
 
 

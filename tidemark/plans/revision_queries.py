@@ -257,6 +257,6 @@ def page_spans(s, d):
     return table(s, d, "lineitem").select(F.col("l_suppkey").alias("request"), F.col("l_shipdate").cast("timestamp").alias("start"), (F.col("l_shipdate").cast("timestamp") + F.expr("interval 3 days")).alias("end"))
 
 
-AN = "p AS (SELECT l_suppkey AS request, CAST(l_shipdate AS TIMESTAMP) AS s, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 3 DAY AS e FROM lineitem), f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY request ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM p), g AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM f), me AS (SELECT request, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY request, i)"
+AN = "p AS (SELECT l_suppkey AS request, CAST(l_shipdate AS TIMESTAMP) AS s, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 3 DAY AS e FROM lineitem), f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY request ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM p), g AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY s, e) AS i FROM f), me AS (SELECT request, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY request, i)"
 add("d45_answered_spans", lambda s, d: U.answered(page_spans(s, d))[0], f"WITH {AN} SELECT * FROM me")
 add("d45_answer_gaps", lambda s, d: U.answered(page_spans(s, d))[1], f"WITH {AN}, n AS (SELECT *, lead(start) OVER (PARTITION BY request ORDER BY start) AS nx FROM me) SELECT request, \"end\" AS start, nx AS \"end\" FROM n WHERE nx IS NOT NULL")
