@@ -21,7 +21,8 @@ def _first_reason(rules: Sequence[tuple[Column, str]]) -> Column:
 
 
 def _file_day() -> Column:
-    return F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1))
+    """The last date in the file's path: the day that it is filed under."""
+    return F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})(?!.*\d{4}-\d{2}-\d{2})", 1))
 
 
 def _verdicts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +38,7 @@ def trade_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     ids rise, times do not fall, id ranges do not overlap; they follow the ids, so file order is not needed.
     """
     raw = spark.read.schema(TRADE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), _file_day().alias("day"))
+    rows = raw.drop("filed").select("*", F.col("_metadata.file_path").alias("file"), _file_day().alias("day"))
     rows = rows.withColumn("event_time", ticks_to_time(F.col("ticks"), F.col("day")))
     w = Window.partitionBy("file").orderBy("agg_trade_id", "ticks")
     rows = rows.withColumns({"_id0": F.lag("agg_trade_id").over(w), "_t0": F.lag("ticks").over(w), "_last0": F.lag("last_trade_id").over(w)})
@@ -53,7 +54,7 @@ def trade_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def bar_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Headerless minute-bar files named by day: good rows and rejected files."""
     raw = spark.read.schema(BAR_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), _file_day().alias("day"))
+    rows = raw.drop("filed").select("*", F.col("_metadata.file_path").alias("file"), _file_day().alias("day"))
     rows = rows.withColumns({"interval_start": ticks_to_time(F.col("open_ticks"), F.col("day")), "close_time": ticks_to_time(F.col("close_ticks"), F.col("day"))})
     tick = F.when(F.col("day") < F.lit("2025-01-01").cast("date"), 1_000).otherwise(1)
     w = Window.partitionBy("file").orderBy("open_ticks")
