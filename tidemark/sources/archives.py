@@ -43,7 +43,7 @@ def trade_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     w = Window.partitionBy("file").orderBy("agg_trade_id", "ticks")
     rows = rows.withColumns({"_id0": F.lag("agg_trade_id").over(w), "_t0": F.lag("ticks").over(w), "_last0": F.lag("last_trade_id").over(w)})
     reason = _first_reason([
-        (F.col("_bad").isNotNull(), "unparsable"), (F.col("agg_trade_id").isNull() | F.col("ticks").isNull() | F.col("price").isNull() | F.col("quantity").isNull(), "missing field"),
+        (F.col("_bad").isNotNull(), "unparsable"), (F.col("agg_trade_id").isNull() | F.col("ticks").isNull() | F.col("price").isNull() | F.col("quantity").isNull() | F.col("is_buyer_maker").isNull() | F.col("is_best_match").isNull(), "missing field"),
         (F.col("price") <= 0, "price not positive"), (F.col("quantity") <= 0, "quantity not positive"), (F.col("first_trade_id") > F.col("last_trade_id"), "ids reversed"),
         (F.to_date("event_time") != F.col("day"), "outside the day"), (F.col("agg_trade_id") == F.col("_id0"), "repeated id"), (F.col("ticks") < F.col("_t0"), "time falls"), (F.col("first_trade_id") <= F.col("_last0"), "id ranges overlap"),
     ])
