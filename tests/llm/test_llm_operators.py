@@ -124,7 +124,7 @@ def test_sentencepiece_equals_the_library(spark, odd, local):
     own = sentencepiece_codec.Codec(path)
     texts = local.text.head(100).tolist()
     got = own.encode(texts)
-    assert [g.tolist() for g in got] == library.encode(texts) and [own.decode(g) for g in got] == texts
+    assert [g.tolist() for g in got] == library.encode(texts) and [own.decode(g.tolist()) for g in got] == texts
 
 
 def test_viterbi_finds_the_best_sum():

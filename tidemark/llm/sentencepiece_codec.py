@@ -23,7 +23,7 @@ SPACE = "▁"
 #: Words longer than this are merged one by one, with a heap.
 BATCHED = 40
 #: Words that a worker keeps.
-KEPT = 500_000
+KEPT = 300_000
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -53,7 +53,7 @@ class Codec:
         hashes = np.array([self._hash(p) for p in self.piece_id], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(list(self.piece_id.values()), np.int64)[order]
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}  # little-endian 32-bit ids
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -183,11 +183,12 @@ class Codec:
             if len(w) <= BATCHED:
                 by_size.setdefault(len(w), []).append(w)
             else:
-                self.seen[w] = self.segment_long(w)
+                self.seen[w] = np.array(self.segment_long(w), "<i4").tobytes()
         for size, same in by_size.items():
             block = max(16, 400_000 // (size * min(size, self.longest)))
             for i in range(0, len(same), block):
-                self.seen.update(zip(same[i : i + block], self.segment(same[i : i + block]), strict=True))
+                part = same[i : i + block]
+                self.seen.update(zip(part, (np.array(ids, "<i4").tobytes() for ids in self.segment(part)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
@@ -195,9 +196,9 @@ class Codec:
             self.seen.clear()
         seen = self.seen
         self.learn(list({w for words in split for w in words if w not in seen}))
-        return [np.array([i for w in words for i in seen[w]], np.int32) for words in split]
+        return [np.frombuffer(b"".join([seen[w] for w in words]), "<i4") for words in split]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
@@ -213,17 +214,18 @@ def codec(path: str) -> Codec:
 
 
 def encode_column(text: Column, model_path: str, spark) -> Column:
-    """``array<int>``: the ids that the library gives for each whole text, without begin and end."""
+    """``struct<piece_ids array<int>, decoded string>``: the ids that the library gives for each whole text, without begin
+    and end, and the text that they decode to. One worker does both, so a task holds the pieces once."""
     ship(spark)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("piece_ids array<int>, decoded string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
         for texts in batches:
             out: list[np.ndarray] = []
             for i in range(0, len(texts), 64):
                 out += own.encode([t or "" for t in texts.iloc[i : i + 64]])
-            yield pd.Series(out, dtype=object)
+            yield pd.DataFrame({"piece_ids": pd.Series(out, dtype=object), "decoded": pd.Series([own.decode(ids.tolist()) for ids in out], dtype=object)})
 
     return encode(text)
 
@@ -235,7 +237,7 @@ def decode_column(ids: Column, model_path: str, spark) -> Column:
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model_path)
         for rows in batches:
-            yield pd.Series([None if r is None else own.decode(r) for r in rows], dtype=object)
+            yield pd.Series([None if r is None else own.decode(r.tolist()) for r in rows], dtype=object)
 
     return decode(ids)
 
@@ -249,6 +251,5 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", text.alias("text"), encode_column(F.col("text"), model_path, spark).alias("piece_ids"))
-    back = coded.withColumn("decoded", decode_column(F.col("piece_ids"), model_path, spark))
-    return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "decoded", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    coded = docs.select("doc_id", text.alias("text"), encode_column(F.col("text"), model_path, spark).alias("coded"))
+    return coded.select("doc_id", "coded.piece_ids", F.size("coded.piece_ids").cast("long").alias("n_pieces"), "coded.decoded", (F.col("coded.decoded") == F.col("text")).alias("round_trip"))

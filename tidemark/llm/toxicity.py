@@ -31,6 +31,7 @@ THREATS = frozenset("kill hurt destroy shoot stab beat murder töten umbringen s
 
 #: Input symbols of the clause machine.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+PASSED = (OTHER, 0.0)
 #: How far, in words, a negation and a target reach.
 NEGATION_REACH, TARGET_REACH = 3, 5
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -112,14 +113,14 @@ class Grammar:
             return TARGET, 0.0
         if word in THREATS:
             return THREAT, 1.0
-        return OTHER, 0.0
+        return PASSED
 
     def features(self, text: str | None) -> np.ndarray:
         """Per kind of match log1p of the summed weights; then the largest weight, distinct forms and weight per 100 words."""
         out = np.zeros(len(KINDS) + 3)
         tokens = TOKEN.findall(text.lower()) if text else []
         seen = self.seen
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
         for t in set(tokens):
             if t not in seen:
