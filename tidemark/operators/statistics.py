@@ -9,16 +9,17 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.session import materialise, ship
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_sf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_quantile(p: pd.Series) -> pd.Series:
     from statistics import NormalDist
 

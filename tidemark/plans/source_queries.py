@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
 
 from tidemark.functions.session import shared_folder
 from tidemark.operators import features as X
@@ -262,7 +263,7 @@ add("j02_state_provider", lambda s, d: REG.run("state", "trend", bars(s, d), n=5
 add("j03_event_provider", lambda s, d: REG.run("event", "upcross", bars(s, d)), f"WITH {runs_sql()} SELECT symbol AS key, available_time AS event_time FROM (SELECT *, lag(log_return) OVER (PARTITION BY symbol ORDER BY interval_start) AS p FROM b) WHERE p <= 0 AND log_return > 0")
 
 
-@udtf(returnType="month_no int, month_start timestamp")
+@udtf(returnType=StructType([StructField("month_no", IntegerType()), StructField("month_start", TimestampType())]))
 class Months:
     """Row-generating form: the month starts that a span covers."""
 
