@@ -27,6 +27,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, trees: int, depth: int, longest: float, seed: int = 11):
         self.longest, self.depth, self.trees = longest, depth, trees
         rng = np.random.default_rng(seed)
+        self.sample = sample
         points = self.lifted(sample)
         inner = 2**depth - 1
         self.normals, self.offsets = np.zeros((trees, inner, points.shape[1])), np.zeros((trees, inner))
@@ -67,6 +68,13 @@ class Forest:
             out[:, t] = at - (2**self.depth - 1)
         return out
 
+    def floors(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """For each query the k-th best score within the sample: nothing below it can be among the k best of all vectors."""
+        if len(self.sample) < k:
+            return np.full(len(queries), -np.inf)
+        out = [np.partition(queries[i : i + 64] @ self.sample.T, -k, axis=1)[:, -k] for i in range(0, len(queries), 64)]
+        return np.concatenate(out)
+
     def visit(self, query: np.ndarray, visits: int) -> list[tuple[int, int]]:
         """``(tree, leaf)`` in the order in which one queue over all trees yields them: by the smallest margin on the way."""
         margins = self.normals[:, :, :-1] @ query - self.offsets
@@ -106,6 +114,9 @@ def nearest(
     apart. A query visits ``visit_share`` of all leaves of the forest, in the order of one shared queue, and all vectors
     found there are ranked by the exact inner product in double precision, ties by the smaller id.
 
+    A leaf passes on, of its best for a query, only those that reach the query's (k + 1)-th best score within the sample;
+    the others cannot be in the result.
+
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id
     or vectors of another length than the commonest. Rows that repeat an id and vector count once. Equal vectors are
     searched once, each with its ``k + 1`` smallest ids; more could not be in a result. Fewer candidates than ``k`` give
@@ -124,7 +135,7 @@ def nearest(
     distinct = materialise(few.groupBy("h1", "h2").agg(F.min("id").alias("key"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "forest-vectors")
     size = distinct.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     chosen = np.array([r.v for r in distinct.select("v", F.xxhash64("h1").alias("h"), "h2").orderBy("h", "h2").limit(sample).select("v").collect()], float)
-    depth = max(0, min(round(math.log2(max(size.n / (leaf_scale * math.sqrt(size.n)), 1))), int(math.log2(max(len(chosen) / 16, 1)))))
+    depth = max(0, min(int(math.log2(max(size.n / (leaf_scale * math.sqrt(size.n)), 1))), int(math.log2(max(len(chosen) / 16, 1)))))
     forest = spark.sparkContext.broadcast(Forest(chosen, trees, depth, size.longest))
     visits = max(1, math.ceil(visit_share * trees * 2**depth))
 
@@ -141,8 +152,10 @@ def nearest(
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(t, leaf, key, v) for key, v in zip(b["key"], b["v"], strict=True) for t, leaf in forest.value.visit(np.asarray(v), visits)]
-            yield pd.DataFrame(found, columns=["tree", "leaf", "key", "v"])
+            if len(b):
+                floors = forest.value.floors(np.stack(b["v"].to_numpy()), k + 1)
+                found = [(t, leaf, key, v, f) for key, v, f in zip(b["key"], b["v"], floors.tolist(), strict=True) for t, leaf in forest.value.visit(np.asarray(v), visits)]
+                yield pd.DataFrame(found, columns=["tree", "leaf", "key", "v", "floor"])
 
     def rank(probes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -154,14 +167,14 @@ def nearest(
                 q = np.stack(block["v"].to_numpy())
                 s = q @ v.T
                 top = min(k + 1, len(keys))
-                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                at = np.repeat(np.arange(len(q)), top)
-                out.append(pd.DataFrame({"q": block["key"].to_numpy()[at], "key": keys[best.ravel()], "score": _exact(q[at], v[best.ravel()])}))
+                least = np.maximum(block["floor"].to_numpy(), np.partition(s, -top, axis=1)[:, -top]) - 1e-9
+                at, best = np.nonzero(s >= least[:, None])
+                out.append(pd.DataFrame({"q": block["key"].to_numpy()[at], "key": keys[best], "score": _exact(q[at], v[best])}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     shape = "tree int, leaf long, key long, v array<double>"
     index = distinct.select("key", "v").mapInPandas(place, shape).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    probes = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").mapInPandas(probe, shape).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(copies)).cast("int"))
+    probes = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").mapInPandas(probe, f"{shape}, floor double").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(copies)).cast("int"))
     group = ["tree", "leaf", "part"]
     found = probes.groupBy(*group).cogroup(index.groupBy(*group)).applyInPandas(rank, "q long, key long, score double")
     # of each distinct vector the k + 1 best others: the query's own row is one of them at most
