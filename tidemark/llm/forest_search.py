@@ -114,8 +114,8 @@ def nearest(
     apart. A query visits ``visit_share`` of all leaves of the forest, in the order of one shared queue, and all vectors
     found there are ranked by the exact inner product in double precision, ties by the smaller id.
 
-    A leaf passes on, of its best for a query, only those that reach the query's (k + 1)-th best score within the sample;
-    the others cannot be in the result.
+    The first leaf of each tree passes on its ``k + 1`` best for a query; the others only what reaches the query's
+    (k + 1)-th best score within the sample, since nothing below it is among the best of all vectors.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id
     or vectors of another length than the commonest. Rows that repeat an id and vector count once. Equal vectors are
@@ -154,7 +154,12 @@ def nearest(
         for b in batches:
             if len(b):
                 floors = forest.value.floors(np.stack(b["v"].to_numpy()), k + 1)
-                found = [(t, leaf, key, v, f) for key, v, f in zip(b["key"], b["v"], floors.tolist(), strict=True) for t, leaf in forest.value.visit(np.asarray(v), visits)]
+                found = []
+                for key, v, floor in zip(b["key"], b["v"], floors.tolist(), strict=True):
+                    whole = set()
+                    for t, leaf in forest.value.visit(np.asarray(v), visits):
+                        found.append((t, leaf, key, v, floor if t in whole else -math.inf))
+                        whole.add(t)
                 yield pd.DataFrame(found, columns=["tree", "leaf", "key", "v", "floor"])
 
     def rank(probes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
