@@ -201,6 +201,24 @@ def test_large_family_of_near_copies(spark):
     assert sum(got[k] == want[k] for k in want) >= 0.995 * len(want)
 
 
+def test_form_letters_equal_brute_force(spark):
+    """Pairs within one template: every text is near the threshold to every other, but linked to its partner alone."""
+    rng = np.random.default_rng(3)
+    template = [f"t{i}" for i in range(760)]
+    rows = []
+    for pair in range(150):
+        shared = [f"s{pair}x{i}" for i in range(45)]
+        for side in range(2):
+            own = [f"o{pair}x{side}x{i}" for i in range(80)]
+            rows.append((2 * pair + side, " ".join(template + shared + own), "en", "s", 0))
+    rng.shuffle(rows)
+    rows = [(int(r[0]), *r[1:4], 0) for r in rows]
+    want = brute_classes([(r[0], r[1]) for r in rows])
+    assert len(set(want.values())) == 150
+    got = {r.doc_id: r.class_id for r in order_minhash.duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd_inputs(spark, odd):
     out = order_minhash.duplicate_classes(odd).collect()
     assert len(out) == odd.count()

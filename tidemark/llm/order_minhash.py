@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,10 @@ from tidemark.llm.shared import materialise, ship, text_key
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 SKETCHES, TAKEN = 16, 3
+#: For the order of shingles alone, which bears on speed and not on results: texts counted, and shingles told apart as frequent.
+ORDER_TEXTS, ORDER_SHINGLES = 200_000, 1 << 17
+#: Rows of one key that a task of the pair join meets at most on its salted side.
+SALT_ROWS = 512
 _P = np.uint64(0x100000001B3)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -158,6 +163,90 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def needed(a: int, b: int, least: float) -> int:
+    """Shingles that texts of ``a`` and ``b`` shingles share at least, if they are linked."""
+    return max(ceil(least / (1 + least) * (a + b) - 1e-6), 1)
+
+
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample share, sorted, and the number of those texts; a bounded number of them.
+
+    Any order of the shingles gives the same pairs: one that misses a frequent shingle only makes more candidates.
+    """
+
+    @F.pandas_udf("array<long>")
+    def marks(batch: pd.Series) -> pd.Series:
+        return pd.Series([labelled(shingles(t)).view(np.int64) for t in batch], dtype=object)
+
+    every = max(texts.count() // ORDER_TEXTS, 1)
+    sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "rep"), F.lit(every)) == 0)
+    counts = sample.select(F.explode(marks("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(counts, "omh-counts")
+    lowest, total = 2, 0
+    # numbers of texts from the largest down, while their shingles fit; there are about as many as square roots of the texts
+    for row in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator():
+        total += row.m
+        if total > ORDER_SHINGLES:
+            lowest = row.n + 1
+            break
+    known = counts.where(F.col("n") >= lowest).toArrow().sort_by("token")
+    return known["token"].to_numpy(), known["n"].to_numpy()
+
+
+def rarest(texts: DataFrame, least: float) -> DataFrame:
+    """``token, rep, class, n, pos, leads``: of each text of ``n`` shingles the rarest, by which it meets any text it is linked to.
+
+    In one order of all shingles, the first that two linked texts share stands in both within the first
+    ``n - needed + 1``: for the shorter text (``leads``) with a partner at least as long, for the longer with one of ``least`` its length.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(frequent(texts))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, counts = known.value
+        for batch in batches:
+            parts: list[tuple] = []
+            held = 0
+            for rep, cls, text in zip(batch["rep"], batch["class"], batch["text"], strict=True):
+                h = labelled(shingles(text))
+                n = len(h)
+                if not n:
+                    continue
+                own = h.view(np.int64)
+                often = np.zeros(n, np.int64)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    often = np.where(tokens[at] == own, counts[at], 0)
+                own = own[np.lexsort((_mix(h), often))][: n - max(ceil(least * n - 1e-6), 1) + 1]
+                parts.append((own, np.full(len(own), rep), np.full(len(own), cls), np.full(len(own), n), np.arange(len(own)), np.arange(len(own)) <= n - needed(n, n, least)))
+                held += len(own)
+                if held > 100_000:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                    parts, held = [], 0
+            if parts:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    names = ["token", "rep", "class", "n", "pos", "leads"]
+    return texts.select("rep", "class", "text").mapInPandas(keys, "token long, rep long, class long, n long, pos long, leads boolean")
+
+
+def met_by_rarest(texts: DataFrame, least: float) -> DataFrame:
+    """``a, b``: every pair of texts of different classes that share a shingle of their rarest and can still be linked.
+
+    ``texts``: rep, class, text. No key is capped: the rows of a key that many texts have are dealt to several tasks.
+    """
+    keyed = materialise(rarest(texts, least), "omh-rarest")
+    # a key that one class has, or no shorter text, makes no pair
+    useful = keyed.groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("m"), F.max("leads").alias("any")).where("c0 <> c1 and any").select("token", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
+    rows = materialise(keyed.join(useful, "token"), "omh-keys")
+    short = rows.where("leads").select("token", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_s") for c in ("rep", "class", "n", "pos")])
+    long = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    share = F.ceil(F.lit(least / (1 + least)) * (F.col("n_s") + F.col("n")) - 1e-6)
+    later = (F.col("n_s") < F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("rep_s") < F.col("rep")))
+    fits = (F.col("class_s") != F.col("class")) & later & (F.least(F.col("n_s") - F.col("pos_s"), F.col("n") - F.col("pos")) >= share)
+    met = short.hint("merge").join(long, ["token", "salt"]).where(fits)
+    return met.select(F.least("rep_s", "rep").alias("a"), F.greatest("rep_s", "rep").alias("b")).distinct()
+
+
 def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, rounds: int = 4) -> DataFrame:
     """Class of every row: ``doc_id, rep, class_id, n_copies``.
 
@@ -171,6 +260,9 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, round
     leader's class meet the next leaders, one a round, while a round still finds links. A bucket of n texts thus costs
     n comparisons a round, not n * n, and no bucket is capped.
 
+    The texts of buckets that then still hold more than one class are finished exactly: those that share one of their
+    rarest shingles, as any two linked texts do, and can still reach ``least`` are compared.
+
     Texts without words, null ones included, are linked to their exact copies alone. Repeated rows and repeated ids are
     kept, each with its class; a null ``doc_id`` has a null ``rep`` unless a copy has an id. No row is added or lost.
     """
@@ -184,14 +276,16 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, round
     # a bucket is its two numbers; rep's weight tells how central it is
     buckets = materialise(shared.select("no", "value", "rep").join(weight.select("rep", "weight"), "rep"), "omh-buckets")
     texts = edges = label = tried = None
+
+    def still_open() -> DataFrame:
+        """The buckets that hold more than one class, each row with its class."""
+        rows = buckets.join(label.select(F.col("node").alias("rep"), "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")) if label is not None else buckets.withColumn("class", F.col("rep"))
+        many = rows.groupBy("no", "value").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("no", "value")
+        return rows.join(many, ["no", "value"])
+
     for k in range(rounds):
-        if label is None:
-            todo = buckets.withColumn("class", F.col("rep"))
-        else:
-            todo = buckets.join(label.select(F.col("node").alias("rep"), "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-            # only buckets with more than one class are left; within one, each class is asked again but the first leader's
-            many = todo.groupBy("no", "value").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("no", "value")
-            todo = todo.join(many, ["no", "value"])
+        # only buckets with more than one class are left; within one, each class is asked again but the first leader's
+        todo = buckets.withColumn("class", F.col("rep")) if label is None else still_open()
         if k:  # another order each round: by weight disturbed by a hash of the round, so that other texts lead
             todo = todo.withColumn("weight", F.col("weight") * (F.pmod(F.xxhash64(F.lit(k), "rep"), F.lit(1000)) + 1))
         first = todo.groupBy("no", "value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "class")).alias("top"))
@@ -209,6 +303,13 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, round
         if not found.limit(1).count():
             break
         label = components(edges, "omh-classes")
+    left = still_open().select("rep", "class").distinct()
+    left = materialise(left.hint("merge").join(texts, "rep"), "omh-open")
+    pairs = met_by_rarest(left, least)
+    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
+    found = materialise(_verified(pairs, texts, least, band), "omh-links")
+    if found.limit(1).count():
+        label = components(edges.union(found), "omh-classes")
     named = base.select("h1", "h2", "rep", "n_copies")
     if label is not None:
         named = named.join(label.select(F.col("node").alias("rep"), "class"), "rep", "left").select("h1", "h2", "rep", "n_copies", F.coalesce("class", "rep").alias("class_id"))
