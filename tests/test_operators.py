@@ -114,3 +114,25 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_null_percentile_ranks_draws_in_range_partitions(spark):
+    pool = spark.createDataFrame([(f"k{i}", float((i * 37) % 23) - 11) for i in range(60)] + [("none", None)], "key string, label double")
+    observed = pool.where("key like 'k1%'").withColumn("side", F.when(F.xxhash64("key") % 2 == 0, 1.0).otherwise(-1.0))
+    out = T.null_percentile(pool, observed, 20, 7)
+    assert "windowspecdefinition(sim" not in out._jdf.queryExecution().optimizedPlan().toString()
+    seen = observed.select("side", "label", F.xxhash64(F.lit(7), "side").alias("h")).collect()
+    sides = [r.side for r in sorted(seen, key=lambda r: (r.h, r.side))]
+    own = sum(r.side * r.label for r in seen)
+    hashed = pool.where("label is not null").crossJoin(spark.range(20)).select("id", "label", "key", F.xxhash64(F.lit(7), "key", "id").alias("h")).collect()
+    draws = [[r.label for r in sorted((r for r in hashed if r.id == sim), key=lambda r: (r.h, r.key))][: len(sides)] for sim in range(20)]
+    sums = [sum(a * b for a, b in zip(sides, labels, strict=True)) for labels in draws]
+    row = out.collect()[0]
+    assert row.sims == 20 and row.percentile == pytest.approx(5 * (sum(m < own for m in sums) + 0.5 * sum(m == own for m in sums)))
+
+
+def test_fittable_study_holds_no_fold_in_one_group(spark, sf):
+    from tidemark.plans import catalogue
+
+    plan = catalogue.QUERIES["j06_fittable_study"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan

@@ -290,17 +290,19 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str, partitions: int |
 def null_percentile(pool: DataFrame, observed: DataFrame, sims: int, seed: int, key: str = "key", x: str = "label") -> DataFrame:
     """Mid-rank percentile of the observed mean of ``side * label`` among seeded draws of as many labels from the pool.
 
-    Each draw takes the labels with the smallest hashes and pairs them with the observed sides by rank. Null, with its row,
+    Each draw takes the labels with the smallest hashes and pairs them with the observed sides by rank; ranks come from range
+    partitions over all draws, so no draw and no study is one task. Null, with its row,
     when the pool is smaller. ``observed``: key, label, side.
     """
     spark = pool.sparkSession
     n = observed.count()
     draws = spark.range(sims).select(F.col("id").alias("sim"))
-    w = Window.partitionBy("sim").orderBy("_h", key)
-    cand = pool.where(F.col(x).isNotNull()).select(key, x).crossJoin(F.broadcast(draws)).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), F.col("sim")))
-    taken = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    sides = observed.select("side").withColumn("rn", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col("side")), "side")))  # the observed trades of one study
-    means = taken.join(F.broadcast(sides), "rn").groupBy("sim").agg(F.avg(F.col("side") * F.col(x)).alias("m"), F.count("*").alias("n"))
+    labels = pool.where(F.col(x).isNotNull()).select(key, x)
+    cand = labels.crossJoin(F.broadcast(draws)).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), F.col("sim")))
+    # every draw orders the whole pool, so a draw's ranks start at its number times the pool's size
+    taken = ranked(cand, [F.col("sim"), F.col("_h"), F.col(key)], "rn").withColumn("rn", F.col("rn") - F.col("sim") * F.lit(labels.count())).where(F.col("rn") < n)
+    sides = ranked(observed.select("side", key), [F.xxhash64(F.lit(seed), F.col("side")), F.col("side"), F.col(key)], "rn").select("side", "rn")
+    means = taken.join(sides, "rn").groupBy("sim").agg(F.avg(F.col("side") * F.col(x)).alias("m"), F.count("*").alias("n"))
     own = observed.agg(F.avg(F.col("side") * F.col(x)).alias("own"))
     out = means.where(F.col("n") == n).crossJoin(F.broadcast(own)).agg(F.count("*").alias("sims"), F.count(F.when(F.col("m") < F.col("own"), 1)).alias("below"), F.count(F.when(F.col("m") == F.col("own"), 1)).alias("equal"))
     return out.select("sims", F.when(F.col("sims") > 0, 100 * (F.col("below") + 0.5 * F.col("equal")) / F.col("sims")).alias("percentile"))

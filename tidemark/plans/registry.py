@@ -9,12 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import ship
-
 KINDS = ("feature", "state", "event", "outcome", "strategy", "risk")
 OUTPUT = {"feature": {"symbol", "time", "value"}, "state": {"symbol", "time", "value"}, "event": {"key", "event_time"}, "outcome": {"event_key", "label"}, "strategy": {"time", "instrument", "target"}, "risk": {"time", "instrument", "target"}}
 
@@ -54,16 +51,12 @@ def causality(provider: Callable[[DataFrame], DataFrame], bars: DataFrame, at: s
     return full.exceptAll(cut).withColumn("only_in", F.lit("full")).unionByName(cut.exceptAll(full).withColumn("only_in", F.lit("cut")))
 
 
-def fit_predict(rows: DataFrame, fold: str, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.Series], key: str = "key", role: str = "role") -> DataFrame:
-    """A fitted rule per fold: ``fit`` sees the fold's training rows, ``predict`` its test rows: ``fold, key, side``.
+def fit_predict(rows: DataFrame, fold: str, fit: dict[str, Column], predict: Column, key: str = "key", role: str = "role") -> DataFrame:
+    """A fitted rule per fold: ``fit`` are aggregates over the fold's training rows, ``predict`` a column over its test rows
+    and those aggregates: ``fold, key, side``. A fold without training rows has null aggregates.
 
-    A fold is one group; folds of more rows than a task holds need a ``fit`` that works on aggregates instead.
+    No fold is held in one task: the model is one row per fold and is broadcast to the test rows.
     """
-    ship(rows.sparkSession)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        model = fit(part[part[role] == "train"])
-        test = part[part[role] == "test"]
-        return pd.DataFrame({"fold": test[fold].astype("int64"), "key": test[key].astype(str), "side": predict(model, test).astype(float)})
-
-    return rows.groupBy(fold).applyInPandas(one, "fold long, key string, side double")
+    model = rows.where(F.col(role) == "train").groupBy(fold).agg(*[c.alias(n) for n, c in fit.items()])
+    test = rows.where(F.col(role) == "test").join(F.broadcast(model), fold, "left")
+    return test.select(F.col(fold).cast("long").alias("fold"), F.col(key).cast("string").alias("key"), predict.cast("double").alias("side"))

@@ -297,7 +297,7 @@ add("j07_feature_of_feature", lambda s, d: REG.run("feature", "volatility_change
 def fitted(s, d):
     """Sign of the training mean of a fold, for each test row."""
     folds = P.purged_k_fold(line_spans(s, d), 5, 864_000).join(line_spans(s, d).select("key", F.length("key").cast("double").alias("x")).dropDuplicates(["key"]), "key")
-    return fit_predict(folds, "fold", lambda train: train["x"].mean(), lambda mean, test: (test["x"] > mean) * 2.0 - 1.0).groupBy("fold", "side").agg(F.count("*").alias("n"))
+    return fit_predict(folds, "fold", {"mean": F.avg("x")}, F.when(F.col("x") > F.col("mean"), 1.0).when(F.col("mean").isNotNull(), -1.0)).groupBy("fold", "side").agg(F.count("*").alias("n"))
 
 
 add("j06_fittable_study", fitted, f"WITH {FOLDS}, m AS (SELECT fold, avg(length(key)) AS mean FROM j WHERE role = 'train' GROUP BY fold) SELECT CAST(j.fold AS BIGINT) AS fold, CASE WHEN length(key) > mean THEN 1.0 ELSE -1.0 END AS side, count(*) AS n FROM j JOIN m ON m.fold = j.fold WHERE role = 'test' GROUP BY 1, 2")
