@@ -14,14 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import ship
 
 SPACE = "▁"
-#: Words longer than this are merged one by one, with a heap.
+#: A word's table of pieces grows with its length: words longer than this many characters are merged one by one, with a
+#: heap instead of the table. Both ways merge alike; the tests hold them against each other on the same words.
 BATCHED = 40
+#: Texts that are encoded, checked and passed on together.
+STEP = 64
 #: Words that a worker keeps.
 KEPT = 300_000
 _BASE = np.uint64(0x100000001B3)
@@ -53,6 +57,10 @@ class Codec:
         hashes = np.array([self._hash(p) for p in self.piece_id], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(list(self.piece_id.values()), np.int64)[order]
+        self.key_chars = np.zeros((len(order), self.longest), np.uint32)  # the pieces behind the hashes, to compare
+        named = list(self.piece_id)
+        for row, i in enumerate(order.tolist()):
+            self.key_chars[row, : len(named[i])] = [ord(c) for c in named[i]]
         self.seen: dict[str, bytes] = {}  # little-endian 32-bit ids
 
     @staticmethod
@@ -70,7 +78,10 @@ class Codec:
         for k in range(1, found.shape[2]):
             h = h[:, : size - k + 1] * _BASE + chars[:, k - 1 :].astype(np.uint64) + np.uint64(1)
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            found[:, : size - k + 1, k] = np.where(self.keys[at] == h, self.key_ids[at], -1)
+            word, start = np.nonzero(self.keys[at] == h)
+            at = at[word, start]
+            same = (chars[word[:, None], start[:, None] + np.arange(k)] == self.key_chars[at, :k]).all(axis=1)
+            found[word[same], start[same], k] = self.key_ids[at[same]]
         return found
 
     def merge(self, found: np.ndarray) -> np.ndarray:
@@ -191,12 +202,16 @@ class Codec:
                 self.seen.update(zip(part, (np.array(ids, "<i4").tobytes() for ids in self.segment(part)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids, "<i4") for ids in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, little-endian, 32 bits each."""
         split = [self.split(t) for t in texts]
         if len(self.seen) > KEPT:
             self.seen.clear()
         seen = self.seen
         self.learn(list({w for words in split for w in words if w not in seen}))
-        return [np.frombuffer(b"".join([seen[w] for w in words]), "<i4") for words in split]
+        return [b"".join(map(seen.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
@@ -213,23 +228,6 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_column(text: Column, model_path: str, spark) -> Column:
-    """``struct<piece_ids array<int>, decoded string>``: the ids that the library gives for each whole text, without begin
-    and end, and the text that they decode to. One worker does both, so a task holds the pieces once."""
-    ship(spark)
-
-    @F.pandas_udf("piece_ids array<int>, decoded string")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(model_path)
-        for texts in batches:
-            out: list[np.ndarray] = []
-            for i in range(0, len(texts), 64):
-                out += own.encode([t or "" for t in texts.iloc[i : i + 64]])
-            yield pd.DataFrame({"piece_ids": pd.Series(out, dtype=object), "decoded": pd.Series([own.decode(ids.tolist()) for ids in out], dtype=object)})
-
-    return encode(text)
-
-
 def decode_column(ids: Column, model_path: str, spark) -> Column:
     ship(spark)
 
@@ -242,14 +240,31 @@ def decode_column(ids: Column, model_path: str, spark) -> Column:
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, piece_ids array<int>, n_pieces long, decoded string, round_trip boolean`` for every whole text.
+def encode_documents(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
+    """``doc_id, piece_ids array<int>, n_pieces long, round_trip boolean`` for every whole text; with ``decoded`` also that string.
+
+    ``piece_ids`` are the ids that the library gives, without begin and end. ``round_trip`` tells that the text which they
+    decode to equals the text; it is false only where a text holds the space sign U+2581 itself, which decodes to a
+    space, as in the library. A null text is an empty one: no pieces. Repeated rows give equal rows; no row is added or
+    lost; ``doc_id`` may be null or of any type; other columns are not used. Very long words are merged with a heap.
 
-    ``decoded`` is read back from the ids. ``round_trip`` tells that it equals the text; it is false only where a text
-    holds the space sign U+2581 itself, which decodes to a space, as in the library. A null text is an empty one: no
-    pieces. Repeated rows give equal rows; no row is added or lost; very long words are merged with a heap.
+    A worker encodes and decodes ``STEP`` texts at a time and passes their ids on as flat arrays, so what it holds does
+    not grow with the rows of a batch.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", text.alias("text"), encode_column(F.col("text"), model_path, spark).alias("coded"))
-    return coded.select("doc_id", "coded.piece_ids", F.size("coded.piece_ids").cast("long").alias("n_pieces"), "coded.decoded", (F.col("coded.decoded") == F.col("text")).alias("round_trip"))
+    ship(docs.sparkSession)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, STEP):
+                keys, texts = batch.column(0).slice(begin, STEP), [t or "" for t in batch.column(1).slice(begin, STEP).to_pylist()]
+                coded = own.encode_bytes(texts)
+                ends = np.append(0, np.cumsum([len(ids) // 4 for ids in coded]))
+                flat = np.frombuffer(b"".join(coded), "<i4")
+                back = [own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+                columns = [keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends)), pa.array([a == b for a, b in zip(back, texts, strict=True)])]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(back)] * decoded, names)
+
+    names = ["doc_id", "piece_ids", "n_pieces", "round_trip"] + ["decoded"] * decoded
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), "array<int>", "long", "boolean", "string"]
+    return docs.select("doc_id", "text").mapInArrow(encode, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=False)))
