@@ -93,10 +93,37 @@ def test_id_store_round_trip(spark, odd):
     ids = [r.doc_id for r in rows]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     assert id_store.verify_manifest(store).count() == 0
+    lost = id_store.Store(spark, store.path)
+    lost.chunks = lambda: store.chunks().where(F.col("n_ids") > 2)
+    assert {r.verified for r in id_store.check_documents(lost).collect()} == {True, False}
     assert store.chunks().count() == store.chunks().select("digest").distinct().count()
     assert id_store.check_documents(id_store.write_store(empty(spark), path)).count() == 0
 
 
+def test_id_store_equals_the_library_on_documents(spark, docs, local):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, at = pretokens.tokenizer(path), 0
+    rows = id_store.check_documents(id_store.write_store(docs.repartition(5), path)).orderBy("doc_id").collect()
+    texts = dict(zip(local.doc_id, local.text, strict=True))
+    assert [r.doc_id for r in rows] == sorted(texts)
+    for r in rows:
+        ids = np.array([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32, r.verified) == (at, len(ids), zlib.crc32(ids.tobytes()), True)
+        at += len(ids)
+
+
+def test_id_store_takes_text_ids(spark):
+    rows = spark.createDataFrame([("b", "two"), ("a", "one"), ("b", "again")], "doc_id string, text string")
+    out = id_store.check_documents(id_store.write_store(rows, public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
+    assert [r.doc_id for r in out] == ["a", "b", "b"] and all(r.verified for r in out)
+
+
+def test_chunk_marks_depend_on_order():
+    ids = np.random.default_rng(2).integers(0, 50_000, 8_000).astype(np.uint32)
+    swapped = ids.reshape(-1, 2)[:, ::-1].ravel()
+    assert len(id_store.marks(ids)) and id_store.marks(ids).tolist() != id_store.marks(swapped).tolist()
+
+
 def test_chunks_of_a_shared_passage_are_equal():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 50_000, 20_000).astype(np.uint32)
@@ -114,17 +141,25 @@ def test_crc_join():
     assert id_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-def test_sentencepiece_equals_the_library(spark, odd, local):
+def test_sentencepiece_equals_the_library(spark, odd, docs, local):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    for r in sentencepiece_codec.encode_documents(odd, path).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+    for r in sentencepiece_codec.encode_documents(odd, path, decoded=True).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
         assert r.piece_ids == library.encode(r.text or "") and r.round_trip and r.decoded == (r.text or "")
-    own = sentencepiece_codec.Codec(path)
-    texts = local.text.head(100).tolist()
-    got = own.encode(texts)
-    assert [g.tolist() for g in got] == library.encode(texts) and [own.decode(g.tolist()) for g in got] == texts
+    got = {r.doc_id: r for r in sentencepiece_codec.encode_documents(docs, path).collect()}
+    for d, t in zip(local.doc_id, local.text, strict=True):
+        assert got[d].piece_ids == library.encode(t) and got[d].round_trip and got[d].n_pieces == len(got[d].piece_ids)
+    assert sentencepiece_codec.encode_documents(empty(spark), path).count() == 0
+
+
+def test_long_words_merge_as_short_ones_do(local):
+    own = sentencepiece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    words = sorted({w for t in local.text.head(40) for w in own.split(t)} | {"▁" + "=" * 39, "▁" + "ab" * 19, "▁日本語🎉"})
+    for size in {len(w) for w in words if len(w) <= sentencepiece_codec.BATCHED}:
+        same = [w for w in words if len(w) == size]
+        assert own.segment(same) == [own.segment_long(w) for w in same]
 
 
 def test_viterbi_finds_the_best_sum():

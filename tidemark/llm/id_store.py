@@ -5,8 +5,8 @@ are stored once under their digest; a recipe lists a document's chunks in order;
 Merkle root of its documents. Files are Parquet in the shared folder:
 
 ``chunks``   digest binary, n_ids int, ids binary (little-endian, 16 bits an id where all ids fit, else 32)
-``recipes``  doc_id, start, n_tokens, root binary, digests array<binary>; files and rows in ascending doc_id order
-``manifest`` part, n_docs, n_ids, root binary
+``recipes``  part, block, doc_id, within, n_tokens, root binary, digests array<binary>; files and rows in ascending doc_id order
+``manifest`` part, before, n_docs, n_ids, root; a document's ids start at ``before + within``
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,38 +27,43 @@ from tidemark.llm.shared import shared_path, ship
 
 #: Ids that the rolling hash sees, and bounds of a chunk's length; a cut falls after one id in ``MEAN`` on average.
 SPAN, LEAST, MEAN, MOST = 16, 128, 512, 4096
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+#: Characters that are encoded together, about; documents of one leaf of a range's Merkle tree.
+BLOCK, LEAF = 1_000_000, 1024
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ``SPAN`` ids is 0 modulo ``MEAN``, ``LEAST`` to ``MOST`` ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    total = np.cumsum(mixed * _MIX, dtype=np.uint64)  # a sum that rolls: wrap-around subtraction drops the oldest id
-    rolled = total.copy()
-    rolled[SPAN:] -= total[:-SPAN]
-    rolled ^= rolled >> np.uint64(32)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which a chunk may end: where a polynomial hash of the last ``SPAN`` ids is 0 modulo ``MEAN``."""
+    h, power, k = (ids.astype(np.uint64) + np.uint64(1)) * _MIX, _BASE, 1
+    while k < SPAN:  # the hash of 2 k ids from those of k
+        longer = h.copy()
+        longer[k:] += h[:-k] * power
+        h, power, k = longer, np.uint64(int(power) ** 2 % 2**64), 2 * k
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+
+
+def ends_of(marked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of ``n`` ids, at marks that are ``LEAST`` to ``MOST`` ids apart."""
     ends, last = [], 0
-    for e in (np.flatnonzero(rolled % np.uint64(MEAN) == 0) + 1).tolist():
+    for e in [*marked, n]:
         while e - last > MOST:
             last += MOST
             ends.append(last)
-        if e - last >= LEAST:
+        if e - last >= LEAST or (e == n and last < n):
             ends.append(e)
             last = e
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document. A mark before ``LEAST`` ids is never an end, so none depends on what precedes a document."""
+    return ends_of(marks(ids).tolist(), len(ids))
+
+
 def digest(ids: np.ndarray) -> bytes:
-    return hashlib.sha256(ids.astype("<u4").tobytes()).digest()[:16]
+    return hashlib.sha256(np.ascontiguousarray(ids, "<u4")).digest()[:16]
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -130,84 +136,110 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/chunks")
 
     def recipes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/recipes")
+        """Recipes with ``start``: the ids of all documents before. The manifest has a row per range of documents."""
+        own = self.spark.read.parquet(f"{self.path}/recipes")
+        return own.join(F.broadcast(self.manifest().select("part", "before")), "part").withColumn("start", F.col("before") + F.col("within")).drop("before")
 
     def manifest(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/manifest")
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of a batch (null: empty) in blocks of about ``BLOCK`` characters."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > BLOCK or i == len(texts) - 1:
+            yield batch.column(0).slice(begin, i + 1 - begin), texts[begin : i + 1]
+            begin, size = i + 1, 0
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, partitions: int | None = None) -> Store:
     """Encode every whole text, append ``end_id``, and store the ids; see the module for the files.
 
     A null text is an empty one: its stream is the end id alone. Repeated rows have recipes of their own, and share
-    chunks. Rows are stored in ascending order of ``doc_id`` (nulls first); ties keep any order. An empty table gives
-    empty files. Columns other than ``doc_id`` and ``text`` are not used.
+    chunks. Rows are stored in ascending order of ``doc_id``, of any type that sorts (nulls first); ties keep any order.
+    An empty table gives empty files. Columns other than ``doc_id`` and ``text`` are not used.
 
     Texts are tokenised once, into a table of recipes with the chunks' bytes; its chunks are shuffled by digest,
-    which keeps one of each (first in each task, then over all), and only digests are sorted by document.
+    which keeps one of each (first in each task, then over all), and only digests are sorted by document, once: a recipe
+    holds its offset within its range of documents, the manifest that of the range.
     """
     spark = docs.sparkSession
     ship(spark)
     path = shared_path(spark, "id-store")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, written = ids_of(tokenizer_path), set()
         names = ["doc_id", "n_tokens", "root", "digests", "digest", "n_ids", "ids"]
+        kinds = [None, pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary()]
+        for batch in batches:
+            for keys, texts in _blocks(batch):
+                flat, sizes = encoder.encode_block(texts)
+                flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4")
+                bounds = np.append(0, np.cumsum(sizes + 1))
+                marked = marks(flat)
+                own = np.searchsorted(marked, bounds, "right")
+                recipes, roots, new = [], [], []
+                for i, begin in enumerate(bounds[:-1].tolist()):
+                    digests, at = [], begin
+                    for end in ends_of((marked[own[i] : own[i + 1]] - begin).tolist(), int(sizes[i]) + 1):
+                        part = flat[at : begin + end]
+                        key = digest(part)
+                        digests.append(key)
+                        if key not in written:
+                            if len(written) > 200_000:
+                                written.clear()
+                            written.add(key)
+                            new.append((key, len(part), packed(part)))
+                        at = begin + end
+                    recipes.append(digests)
+                    roots.append(merkle_root(digests))
+                kinds[0] = keys.type
+                filled = [keys, pa.array(sizes + 1), pa.array(roots, pa.binary()), pa.array(recipes, kinds[3])]
+                yield pa.RecordBatch.from_arrays(filled + [pa.nulls(len(keys), t) for t in kinds[4:]], names)
+                filled = [pa.array(column, t) for column, t in zip(zip(*new, strict=True), kinds[4:], strict=True)] if new else [pa.nulls(0, t) for t in kinds[4:]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(new), t) for t in kinds[:4]] + filled, names)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = total = 0
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encoder.encode(text or ""), np.uint32(end_id))
-                begin, digests = 0, []
-                for end in cuts(ids):
-                    part = ids[begin:end]
-                    key = digest(part)
-                    digests.append(key)
-                    if key not in written:
-                        if len(written) > 200_000:
-                            written.clear()
-                        written.add(key)
-                        rows.append((None, None, None, None, key, len(part), packed(part)))
-                    begin = end
-                rows.append((doc_id, len(ids), merkle_root(digests), digests, None, None, None))
-                if len(rows) > 4_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"n_tokens": "Int64", "n_ids": "Int32"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"n_tokens": "Int64", "n_ids": "Int32"})
-
-    raw = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "doc_id string, n_tokens long, root binary, digests array<binary>, digest binary, n_ids int, ids binary")
+            sizes = batch.column("n_tokens").to_numpy()
+            within = total + np.cumsum(sizes) - sizes
+            yield pa.RecordBatch.from_arrays([pa.array(within), pa.array((rows + np.arange(len(sizes))) // LEAF), *batch.columns], ["within", "block", *batch.schema.names])
+            rows, total = rows + len(sizes), total + int(sizes.sum())
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    raw = docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, root binary, digests array<binary>, digest binary, n_ids int, ids binary")
     raw.write.option("compression", "zstd").parquet(f"{path}/staged")
-    staged = spark.read.parquet(f"{path}/staged")
+    staged = spark.read.schema(raw.schema).parquet(f"{path}/staged")
     chunks = staged.where("digest is not null").select("digest", "n_ids", "ids")
     chunks.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    recipes = staged.where("digests is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "root", "digests")
+    recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "root", "digests")
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/sorted")
-    part = spark.read.parquet(f"{path}/sorted")
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = recipes.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    placed = ordered.mapInArrow(place, f"within long, block long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ordered.schema)}")
+    placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
+
+    manifest = _manifest(spark.read.schema(placed.schema).parquet(f"{path}/recipes"))
     # one row per range: at most n rows meet in the window without a key
-    sizes = part.groupBy("part").agg(F.sum("n_tokens").alias("n_ids"), F.count("*").alias("n_docs"))
-    before = sizes.select("part", F.coalesce(F.sum("n_ids").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = part.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(before), "part")  # n rows
-    final = placed.select("part", "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "root", "digests")
-    final.repartitionByRange(n, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-
-    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest.withColumn("before", before).write.parquet(f"{path}/manifest")
     return Store(spark, path)
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """Per range of documents: their number, their ids, and the Merkle root over the roots of 1024 documents each."""
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("start")) - 1
-    leaves = recipes.select("part", "start", "n_tokens", "root", F.floor(rank / 1024).alias("block"))
-    blocks = leaves.groupBy("part", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("leaf"))
+    """Per range of documents: their number, their ids, and the Merkle root over the roots of ``LEAF`` documents each."""
+    blocks = recipes.groupBy("part", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("within", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("leaf"))
     return blocks.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "leaf"))), lambda x: x["leaf"]), ""), 256).alias("root"))
 
 
 def verify_manifest(store: Store) -> DataFrame:
     """Ranges whose recipes no longer give the manifest's root: empty for a sound store."""
-    return store.manifest().exceptAll(_manifest(store.recipes()))
+    return store.manifest().drop("before").exceptAll(_manifest(store.recipes()))
 
 
 def read_documents(store: Store) -> DataFrame:
@@ -242,16 +274,22 @@ def check_documents(store: Store) -> DataFrame:
     def combine(parts: pd.Series, root: pd.Series) -> pd.DataFrame:
         rows = []
         for own, top in zip(parts, root, strict=True):
-            own = sorted([] if own is None else own, key=lambda p: p["seq"])
+            own = sorted(own, key=lambda p: p["seq"])
+            if any(p["crc"] is None for p in own):  # a chunk is lost
+                rows.append((None, None, False))
+                continue
             crc = n = 0
             for p in own:
                 crc = crc_join(crc, p["crc"], 4 * p["n_ids"]) if n else p["crc"]
                 n += p["n_ids"]
             rows.append((crc, n, all(p["sound"] for p in own) and merkle_root([bytes(p["digest"]) for p in own]) == top))
-        return pd.DataFrame(rows, columns=["crc", "n", "sound"])
+        return pd.DataFrame(rows, columns=["crc", "n", "sound"]).astype({"crc": "Int64", "n": "Int64"})
 
     facts = store.chunks().select("digest", "n_ids", examine("digest", "n_ids", "ids").alias("x")).select("digest", "n_ids", "x.crc", "x.sound")
-    parts = store.recipes().select("start", F.posexplode("digests").alias("seq", "digest")).join(facts, "digest")
-    whole = parts.groupBy("start").agg(F.collect_list(F.struct("seq", "digest", "n_ids", "crc", "sound")).alias("parts"))
-    joined = store.recipes().select("doc_id", "start", "n_tokens", "root").join(whole, "start", "left").withColumn("x", combine("parts", "root"))
-    return joined.select("doc_id", "start", "n_tokens", F.col("x.crc").alias("ids_crc32"), (F.col("x.sound") & (F.col("x.n") == F.col("n_tokens"))).alias("verified"))
+    parts = store.recipes().select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("seq", "digest"))
+    # a digest that very many documents hold sits on the exploded side alone, whose shuffle feeds the join directly: it can be split
+    met = parts.join(facts.hint("merge"), "digest", "left")
+    own = [F.first(c).alias(c) for c in ("doc_id", "n_tokens", "root")]
+    whole = met.groupBy("start").agg(*own, F.collect_list(F.struct("seq", "digest", "n_ids", "crc", "sound")).alias("parts"))
+    joined = whole.withColumn("x", combine("parts", "root"))
+    return joined.select("doc_id", "start", "n_tokens", F.col("x.crc").alias("ids_crc32"), (F.col("x.sound") & F.coalesce(F.col("x.n") == F.col("n_tokens"), F.lit(False))).alias("verified"))

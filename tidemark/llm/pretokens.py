@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -68,7 +68,7 @@ class Counts(dict):
 
 
 class Ids(dict):
-    """Number of each chunk or pre-token met so far, with the ids of all of them in one array."""
+    """Number of each chunk met so far, with the ids of all of them in one array."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -83,13 +83,14 @@ class Ids(dict):
 
     def _add(self, keys: list[str]) -> None:
         """Encode new chunks, all joined to one text: no pre-token reaches over the space or line feed that begins each."""
-        texts = [k if k[0:1] == "\n" else "\n" + k[1:] if k[0:1] == "\0" else " " + k for k in keys]
-        joined = "".join(texts)
+        joined = " " + " ".join(keys)
+        bare = np.fromiter(map(str.startswith, keys, repeat(("\0", "\n"))), bool, len(keys))
+        if bare.any():  # these have no space of their own; a NUL becomes a line feed, which is one id and not theirs
+            joined = joined.replace(" \n", "\n").replace(" \0", "\n")
         first, ids = len(self), np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         # byte-level tokens stand for their bytes, so lengths tell where each begins
         begins = np.cumsum(self.lengths[ids]) - self.lengths[ids]
-        sizes = map(len, texts) if joined.isascii() else (len(t.encode()) for t in texts)
-        ends = np.cumsum(np.fromiter(sizes, np.int64, len(texts)))
+        ends = np.cumsum(np.fromiter(map(len, keys) if joined.isascii() else (len(k.encode()) for k in keys), np.int64, len(keys)) + ~bare)
         bounds = np.append(0, np.searchsorted(begins, ends))  # a token belongs to the chunk in which it begins
         bounds[-1] = len(ids)
         while self.used + len(ids) > len(self.flat):
@@ -97,27 +98,40 @@ class Ids(dict):
         while first + len(keys) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        bare = np.fromiter((k[0:1] == "\0" for k in keys), np.int64, len(keys))  # their line feed is not theirs: it is one id
-        self.start[first : first + len(keys)] = self.used + bounds[:-1] + bare
-        self.size[first : first + len(keys)] = np.diff(bounds) - bare
+        lead = np.fromiter(map(str.startswith, keys, repeat("\0")), bool, len(keys)) if bare.any() else bare
+        self.start[first : first + len(keys)] = self.used + bounds[:-1] + lead
+        self.size[first : first + len(keys)] = np.diff(bounds) - lead
         self.used += len(ids)
         self.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text as the library gives them without special tokens added."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not is_common(text) or (parts := chunks(text)) is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.encode_block([text])[0]
+
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many whole texts, one after the other, and the number of ids of each.
+
+        Chunks that none of the texts before had are encoded together; other texts go to the library whole.
+        """
+        cut = [chunks(t) if t and is_common(t) else None for t in texts]
         if len(self) > KEPT:
             self._empty()
+        parts = list(chain.from_iterable(c for c in cut if c is not None))
         codes = np.fromiter(map(self.get, parts, repeat(-1)), np.int32, len(parts))
         if (new := np.flatnonzero(codes < 0)).size:
-            self._add(list(dict.fromkeys([parts[i] for i in new])))
-            codes[new] = [self[parts[i]] for i in new]
-        sizes = self.size[codes]
-        ends = np.cumsum(sizes)
-        return self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.start[codes] - ends + sizes, sizes)]
+            named = [parts[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(named)))
+            codes[new] = np.fromiter(map(self.__getitem__, named), np.int32, len(named))
+        sizes = self.size[codes].astype(np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.start[codes] - ends[:-1], sizes)]
+        lengths = ends[np.append(0, np.cumsum([0 if c is None else len(c) for c in cut]))]
+        counts = np.diff(lengths)
+        if whole := [i for i, (c, t) in enumerate(zip(cut, texts, strict=True)) if c is None and t]:
+            rest = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
+            own = [np.array(rest[i].ids, np.uint32) if i in rest else flat[lengths[i] : lengths[i + 1]] for i in range(len(texts))]
+            return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+        return flat, counts
 
 
 _ids: dict[str, Ids] = {}
