@@ -49,7 +49,7 @@ def test_sql(spark, sf, name):
 
 
 def test_line_dedup_on_odd_inputs(spark, odd):
-    out = line_dedup.drop_common_lines(odd.withColumn("n_lines", F.lit("clash")), min_docs=3).collect()
+    out = line_dedup.drop_common_lines(odd.withColumn("N_Lines", F.lit("clash")).withColumn("h1", F.lit("x")), min_docs=3).collect()
     assert len(out) == odd.count()
     by = {r.doc_id: r for r in out if r.doc_id != 3}
     assert by[0].n_lines == 1 and by[0].kept_text == "" and by[1].n_dropped == 0
@@ -347,7 +347,7 @@ def test_poisson_inverse_and_targets(spark):
     import math
 
     rows = spark.range(20_000).select(source_mixing.hash_uniform(F.lit(1), F.col("id")).alias("u"))
-    got = rows.select("u", source_mixing.poisson_inverse(F.col("u"), F.lit(3.5)).alias("n")).collect()
+    got = rows.select("u", source_mixing.poisson_inverse(F.col("u"), source_mixing.poisson_table(F.lit(3.5))).alias("n")).collect()
     for r in got[:500]:
         cdf, k, p = math.exp(-3.5), 0, math.exp(-3.5)
         while r.u >= cdf:

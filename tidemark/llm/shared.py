@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+    """A new path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
 
-    Only a session that names no such folder, as in tests, gets one under /tmp.
+    Only a local session, where driver and executors are one process, gets a temporary folder instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"/tmp/checkpoints/tidemark-{os.getpid()}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,7 +41,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: this cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(written)] = (weakref.ref(written), path)
+    return written
+
+
+_paths: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        known, path = _paths.pop(id(df), (None, None))
+        if known is not None and known() is df:
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +73,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_columns(packed: DataFrame, row: str, added: dict[str, Column]) -> DataFrame:
-    """Unpack the struct ``row`` beside the columns ``added``; an added column replaces one of the same name."""
-    old = [f for f in packed.schema[row].dataType.names if f not in added]
+    """Unpack the struct ``row`` beside the columns ``added``; an added column replaces those of the same name, whatever their case."""
+    taken = {n.lower() for n in added}
+    old = [f for f in packed.schema[row].dataType.names if f.lower() not in taken]
     return packed.select(*[F.col(row)[f].alias(f) for f in old], *[c.alias(n) for n, c in added.items()])
