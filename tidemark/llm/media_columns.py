@@ -178,12 +178,13 @@ def describe_media(media: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, facts: DataFrame, key: str = "page_id") -> DataFrame:
     """Sequences whose media references are resolved: ``key, items`` with a struct ``media`` in each item (null if unknown).
 
-    References and facts meet by digest. ``facts`` has one row per digest, so a digest that a third of the rows refer to is
-    split among tasks. Items return to their sequence by its row number, and to their order by their position. A sequence
+    References and facts meet by digest. ``facts`` has one row per digest and is written before the join, whose shuffles then
+    read plain tables: adaptive execution splits a digest that a third of the rows refer to. Items return to their sequence by its row number, and to their order by their position. A sequence
     without items stays, with none.
     """
     numbered = sequences.withColumn("seq_row", F.monotonically_increasing_id())
     numbered = materialise(numbered.select("seq_row", key, "items"), "media-sequences")  # the numbers must not be drawn twice
+    facts = materialise(facts, "media-facts")
     found = facts.select(F.col("digest").alias("ref"), F.struct(*[c for c in facts.columns if c != "digest"]).alias("media"))
     items = numbered.select("seq_row", F.explode("items").alias("item"))
     joined = items.join(found, F.col("item.digest") == F.col("ref"), "left")
