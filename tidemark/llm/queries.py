@@ -90,7 +90,7 @@ ORACLE = {
             FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
         ), draws AS (
             SELECT doc_id, source, rate, rate / n_pieces AS mean, ('0x' || substr(md5('17:' || doc_id || ':' || p.k), 1, 13))::BIGINT / 4503599627370496.0 AS u
-            FROM pieces, (SELECT range AS k FROM range(1, 200)) p WHERE p.k <= n_pieces
+            FROM (SELECT *, unnest(range(1, n_pieces + 1)) AS k FROM pieces) p
         ), terms AS (
             SELECT r.mean, t.k, sum(exp(-r.mean) * power(r.mean, t.k) / gamma(t.k + 1)) OVER (PARTITION BY r.mean ORDER BY t.k) AS cdf
             FROM (SELECT DISTINCT mean FROM draws) r, (SELECT range AS k FROM range(0, 96)) t
@@ -98,6 +98,6 @@ ORACLE = {
             SELECT d.doc_id, d.source, d.rate, d.u, count(*) FILTER (WHERE d.u >= t.cdf) AS n
             FROM draws d JOIN terms t ON d.mean = t.mean GROUP BY d.doc_id, d.source, d.rate, d.u
         ), totals AS (SELECT doc_id, source, rate, sum(n) AS n FROM drawn GROUP BY doc_id, source, rate)
-        SELECT doc_id, source, CAST(c.k AS BIGINT) AS copy_no, round(rate, 9) AS rate FROM totals, (SELECT range AS k FROM range(0, 1000)) c WHERE c.k < n
+        SELECT doc_id, source, CAST(unnest(range(0, CAST(n AS BIGINT))) AS BIGINT) AS copy_no, round(rate, 9) AS rate FROM totals
     """,
 }

@@ -21,15 +21,20 @@ def hash_uniform(*parts: Column) -> Column:
     return bits.cast("double") / F.lit(float(2**52))
 
 
-def poisson_inverse(u: Column, mean: Column) -> Column:
-    """The smallest count whose Poisson(``mean``) distribution function exceeds ``u`` (mean at most 16)."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"))
+def poisson_table(mean: Column) -> Column:
+    """The Poisson(``mean``) distribution function at 0, 1, ... (mean at most 16)."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * mean / k
-        return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["n"] + F.when(u >= acc["cdf"], 1).otherwise(0)).alias("n"))
+        return F.struct(p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["n"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step, lambda acc: acc["cdf"])
+
+
+def poisson_inverse(u: Column, cdf: Column) -> Column:
+    """The smallest count whose distribution function, as in ``poisson_table``, exceeds ``u``."""
+    return F.size(F.filter(cdf, lambda x: u >= x))
 
 
 def source_rates(docs: DataFrame, source: str = "source", temperature: float = 0.5, target_ratio: float = 1.0, weights: dict[str, float] | None = None) -> DataFrame:
@@ -63,22 +68,23 @@ def mix_sources(
     same names), one row per copy. A document's count is drawn by inverting Poisson(rate) at a number hashed from
     the seed and its key: it depends neither on other documents nor on how the rows are dealt. Repeated rows share
     key and draw. A null key or source is hashed as an empty one. Documents drawn 0 times leave: this is sampling by
-    design. With ``shuffle`` the copies are sorted by a hash of seed, key and copy number, over the whole table.
+    design. With ``shuffle`` the copies of the whole table are dealt out and ordered by a hash of seed, key and copy number.
 
-    The rates are one row per source; they are broadcast up to 10,000 sources and joined by a shuffle beyond.
+    The rates are one row per source, with the distribution function that belongs to the rate, so no row computes it;
+    they are broadcast up to 10,000 sources and joined by a shuffle beyond. The shuffle deals copies to tasks by a hash
+    and sorts them within: unlike a sort by ranges it needs no first pass over the input for bounds.
     """
-    rates = source_rates(docs, source, temperature, target_ratio, weights).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
+    rates = source_rates(docs, source, temperature, target_ratio, weights)
+    pieces = F.greatest(F.ceil(F.col("rate") / PIECE).cast("int"), F.lit(1))
+    rates = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), pieces.alias("mix_pieces"), poisson_table(F.col("rate") / pieces).alias("mix_cdf"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     packed = docs.select(F.struct("*").alias("row"))
     joined = packed.join(rates, F.col("row")[source].eqNullSafe(F.col("mix_source")))
     name = F.coalesce(F.col("row")[key].cast("string"), F.lit(""))
-    pieces = F.greatest(F.ceil(F.col("mix_rate") / PIECE).cast("int"), F.lit(1))
-    count = F.aggregate(
-        F.sequence(F.lit(1), pieces), F.lit(0),
-        lambda acc, k: acc + poisson_inverse(hash_uniform(F.lit(seed), name, k), F.col("mix_rate") / pieces),
-    )
-    copies = joined.withColumn("mix_n", count).where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_n").cast("long") - 1)))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("mix_pieces")), F.lit(0), lambda acc, k: acc + poisson_inverse(hash_uniform(F.lit(seed), name, k), F.col("mix_cdf")))
+    copies = joined.withColumn("mix_n", count).drop("mix_cdf").where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_n").cast("long") - 1)))
     if shuffle:
-        copies = copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("mix_copy").cast("string")).cast("binary"))).sort("mix_order")
+        order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("mix_copy").cast("string")).cast("binary"))
+        copies = copies.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
     return with_columns(copies, "row", {"copy_no": F.col("mix_copy"), "rate": F.col("mix_rate")})
