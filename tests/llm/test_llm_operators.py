@@ -69,6 +69,50 @@ def test_language_held_out_accuracy(spark, docs, local):
     assert out.held_out.tolist() == [zlib.crc32(str(i).encode()) % 3 == 1 for i in out.doc_id]
 
 
+def test_language_equals_a_plain_scorer(spark, docs, local):
+    """Every word scored by itself, from the model's tables, one text at a time."""
+    model = language_id.fit(docs)
+
+    def plain(text):
+        words, word = [], ""
+        for c in text.lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        total = np.zeros(len(model.langs))
+        for w in words:
+            if w in model.words:
+                total += model.words[w]
+                continue
+            for k in (4, 3, 2, 1):
+                grams = [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+                if known := [model.grams[g] for g in grams if g in model.grams]:
+                    total += np.mean(known, axis=0)
+                    break
+        if not words:
+            return "und", 0.0
+        p = np.exp(total / len(words) * min(len(words), 30))
+        return model.langs[int(p.argmax())], p.max() / p.sum()
+
+    got = {r.doc_id: r for r in language_id.identify_languages(docs).collect()}
+    for d, t in zip(local.doc_id, local.text, strict=True):
+        lang, score = plain(t)
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-4
+    assert "^" not in model.grams and "$" not in model.grams
+
+
+def test_language_letters_and_small_languages(spark):
+    rows = [(i, "the quick brown fox " * 3, "en", "s", 0) for i in range(200)] + [(900 + i, "der schnelle fuchs", "de", "s", 0) for i in range(4)]
+    rows += [(2000 + i, t, None, "s", 0) for i, t in enumerate(["½", "②", "Ⅳ ² 12", "日本", None])] + [(1, "the quick brown fox", "en", "s", 0)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r for r in language_id.identify_languages(docs, vocabulary=8).collect()}
+    assert [out[2000 + i].lang_pred for i in (0, 1, 2, 4)] == ["und"] * 4
+    assert out[900].lang_pred == "de" and out[5].lang_pred == "en" and out[2003].score == 0.5
+    assert language_id.labelled_sample(docs, 5).count() == 5
+
+
 def test_language_odd_inputs(spark, odd):
     out = {r.doc_id: r for r in language_id.identify_languages(odd).collect()}
     assert (out[0].lang_pred, out[0].score) == ("und", 0.0) and out[1].lang_pred == out[2].lang_pred == "und" and out[3].lang_pred == "en"

@@ -3,39 +3,46 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import held_out, ship
+from tidemark.llm.shared import discard, held_out, materialise, ship, text_key
 
-WORD = re.compile(r"[^\W\d_]+")
+#: What counts as a word character without being a letter or a decimal digit: Roman numerals, fractions, powers.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A run of letters.
+WORD = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
 ORDERS = (4, 3, 2, 1)
 #: Added to each count.
 SMOOTH = 0.1
-#: Words beyond this length are scored by their first letters' n-grams only as far as this.
+#: Words whose vectors a worker keeps.
 KEPT_WORDS = 400_000
 
 
 def labelled_sample(docs: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` training rows, ``lang, text``: those with the smallest hash of the id.
+    """At most ``size`` different training rows, ``lang, text``: those with the smallest hash of the id.
 
-    Training rows are those with a language and a text that are not held out. The ids chosen are broadcast: at most
-    ``size`` long values.
+    Training rows are those with an id, a language and a text that are not held out; repeated ones count once. The keys
+    chosen are broadcast: at most ``size`` rows of two numbers, an id and a language.
     """
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    chosen = train.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(size).select("doc_id").distinct()
-    return train.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    train = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    h1, h2 = text_key(F.col("text"))
+    train = train.select("doc_id", "lang", "text", h1.alias("h1"), h2.alias("h2"))
+    key = ["doc_id", "lang", "h1", "h2"]
+    chosen = train.select(*key).distinct().orderBy(F.xxhash64("doc_id"), *key).limit(size)
+    return train.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("lang", "text")
 
 
 class Model:
-    """Log frequencies by language of the commonest words and n-grams; picklable, bounded by ``vocabulary``."""
+    """Log frequencies by language of each language's commonest words and n-grams; picklable."""
 
-    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in words})
+    def __init__(self, langs: list[str], words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
+        self.langs = sorted(langs)
         at = {lang: i for i, lang in enumerate(self.langs)}
         self.words = self._logs(words, at)
         self.grams = {}
@@ -54,7 +61,10 @@ class Model:
         return dict(zip(terms, logs - logs.mean(axis=1, keepdims=True), strict=True))
 
     def score(self, word: str) -> np.ndarray:
-        """Centred log frequencies of the word, or the mean over its n-grams of the longest order that has a known one."""
+        """Centred log frequencies of the word, or the mean over its n-grams of the longest order that has a known one.
+
+        A word none of whose letters is known says nothing: zeros. The marks at its ends alone are no n-gram.
+        """
         known = self.words.get(word)
         if known is not None:
             return known
@@ -66,20 +76,31 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
 
+def _commonest(counts: DataFrame, term: str, each: int) -> list[tuple[str, str, int]]:
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), term)
+    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    return [tuple(r) for r in top.select("lang", term, "n").collect()]
+
+
 def fit(docs: DataFrame, sample: int = 8_000, vocabulary: int = 60_000) -> Model:
     """Count words and n-grams by language over ``labelled_sample(docs, sample)``.
 
-    The model keeps the ``vocabulary`` commonest (language, word) pairs and as many (language, n-gram) pairs; so what
-    reaches the driver is bounded by these two parameters, whatever the corpus.
+    The model knows every language of the sample, and of each its commonest words and as many n-grams: ``vocabulary``
+    divided by the number of languages, one at least. So what reaches the driver is bounded by the two parameters,
+    whatever the corpus, and a small language keeps as many terms as a large one.
     """
+    rows = materialise(labelled_sample(docs, sample), "language-sample")
+    langs = [r.lang for r in rows.select("lang").distinct().collect()]
+    each = max(1, vocabulary // max(len(langs), 1))
     pieces = F.split(F.lower("text"), r"[^\p{L}]+")
-    words = labelled_sample(docs, sample).select("lang", F.explode(pieces).alias("term")).where("term <> ''").groupBy("lang", "term").agg(F.count("*").alias("n"))
-    top = words.orderBy(F.desc("n"), "lang", "term").limit(vocabulary).select("lang", "term", "n").collect()
+    words = rows.select("lang", F.explode(pieces).alias("term")).where("term <> ''").groupBy("lang", "term").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit("^"), F.col("term"), F.lit("$"))
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substr(padded, i, F.lit(k))) for k in ORDERS]
-    grams = words.where("char_length(term) <= 100").select("lang", "n", F.explode(F.concat(*cut)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top_grams = grams.where("char_length(gram) <= 4").orderBy(F.desc("n"), "lang", "gram").limit(vocabulary).select("lang", "gram", "n").collect()
-    return Model([tuple(r) for r in top], [tuple(r) for r in top_grams])
+    starts = [F.greatest(F.char_length(padded) - (k - 1), F.lit(0)) for k in ORDERS]
+    cut = [F.transform(F.slice(F.sequence(F.lit(1), n + 1), F.lit(1), n), lambda i, k=k: F.substr(padded, i, F.lit(k))) for k, n in zip(ORDERS, starts, strict=True)]
+    grams = words.select("lang", "n", F.explode(F.concat(*cut)).alias("gram")).where(~F.col("gram").isin("^", "$")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model = Model(langs, _commonest(words, "term", each), _commonest(grams, "gram", each))
+    discard(rows)
+    return model
 
 
 class _Scorer:
@@ -137,10 +158,11 @@ def identify_languages(docs: DataFrame, sample: int = 8_000, vocabulary: int = 6
     frequency of its character n-grams, of four letters if one of those is known, else three, two or one. The words'
     values add up; the score is the winner's share of the resulting odds, taken over at most 30 words' worth.
 
-    Null text, and text without a letter, gives ``und`` and 0; so does every text if there is nothing to learn from.
+    Null text, and text without a letter (fractions, powers and Roman numerals are none), gives ``und`` and 0; so does
+    every text if there is nothing to learn from.
     Ties go to the language first in alphabetical order. Repeated rows are scored alike; no row is added or lost; a
     null id counts as not held out, and as no training row. Only ``text`` enters a prediction.
     """
-    model = fit(docs.where(F.col("doc_id").isNotNull()), sample, vocabulary)
+    model = fit(docs, sample, vocabulary)
     out = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), predict_column(model, F.col("text"), docs.sparkSession).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
