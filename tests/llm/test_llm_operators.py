@@ -307,6 +307,18 @@ def test_near_duplicates_odd_inputs(spark, odd):
     assert order_minhash.duplicate_classes(empty(spark)).count() == 0
 
 
+def test_near_duplicates_under_repeated_ids(spark):
+    """Two texts under one id are two texts: each is linked to its own near copy, and classes of one name are told apart."""
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    rows = [(3, a, "en", "s", 0), (3, b, "en", "s", 0), (7, a + " end", "en", "s", 0), (8, b + " end", "en", "s", 0), (3, a, "fr", "s", 0), (None, a, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("class_id", F.lit("clash")).withColumn("Node", F.lit(1))
+    rows = order_minhash.duplicate_classes(docs).collect()
+    by_id = {k: {(r.class_id, r.class_no) for r in rows if r.doc_id == k} for k in (3, 7, 8)}
+    assert len(rows) == 6 and by_id[7] | by_id[8] == by_id[3] and len(by_id[3]) == 2 and by_id[7] != by_id[8] and {c for c, _ in by_id[3]} == {3}
+    kept = order_minhash.keep_one_per_class(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "a"), (3, "a"), (3, "b")]
+
+
 def test_alignment_needs_order():
     a = order_minhash.labelled(order_minhash.shingles(" ".join(f"a{i}" for i in range(200))))
     b = order_minhash.labelled(order_minhash.shingles(" ".join([f"a{i}" for i in range(100, 200)] + [f"a{i}" for i in range(100)])))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialise, ship, text_key
+from tidemark.llm.shared import discard, materialise, ship, text_key, with_columns
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -63,11 +63,11 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(text: str | None) -> list[int]:
-    """The Order MinHash sketches of a text as signed 64-bit numbers; none for a text without words."""
+def sketch(text: str | None) -> tuple[int, list[int]]:
+    """The number of shingles of a text and its Order MinHash sketches as signed 64-bit numbers; none without words."""
     h = shingles(text)
     if not len(h):
-        return []
+        return 0, []
     h = labelled(h)
     take, out = min(TAKEN, len(h)), []
     for group in range(0, SKETCHES, 4):  # four orders at once; the matrix stays small for long texts
@@ -78,7 +78,7 @@ def sketch(text: str | None) -> list[int]:
         for i in range(take):
             value = _mix(value * _P + h[low[:, i]])
         out += value.view(np.int64).tolist()
-    return out
+    return len(h), out
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, band: int, least: float) -> float:
@@ -111,24 +111,31 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, band: int, least: float) ->
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """``h1, h2, rep, n_copies, sketches``: one row per distinct text, named by its smallest ``doc_id``.
+    """``node, h1, h2, rep, n_copies, size, sketches``: one row per distinct text, written once.
 
-    Copies meet in an aggregation with partial results, so a text that makes up a third of the rows costs a row per task.
+    A text is known by 128 bits (``h1``, ``h2``); ``node`` numbers it, ``rep`` is the smallest id that it stands under,
+    ``size`` the number of its shingles. Copies meet in an aggregation with partial results, so a text that makes up a
+    third of the rows costs a row per task.
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("array<long>")
-    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("size int, sketches array<long>")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([sketch(t) for t in texts], dtype=object)
+            yield pd.DataFrame([sketch(t) for t in texts], columns=["size", "sketches"])
 
     h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), sketches("text").alias("sketches"))
-    return rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketches").alias("sketches"))
+    rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), sketches("text").alias("own"))
+    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("own").alias("own"))
+    # numbers drawn in the one write that keeps them
+    return materialise(texts.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "rep", "n_copies", "own.size", "own.sketches"), "omh-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, band: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts align: joined to the texts of both sides, judged in batches."""
+    """The pairs ``a, b`` whose texts align: joined to the texts of both sides, judged in batches.
+
+    Both joins read tables that are written, so adaptive execution splits the pairs of a leader that very many texts have.
+    """
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -139,8 +146,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, band: int) -> Da
             out.append(aligned_similarity(own, labelled(shingles(y)), max(band, len(own) // 4), least) > 0)
         return pd.Series(out, dtype=bool)
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     # texts are the larger side at any size that matters: the same join at every size
     return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").where(similar("text_a", "text_b")).select("a", "b")
 
@@ -157,10 +164,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         heard = both.join(labels.select(F.col("node").alias("v"), F.col("class").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
         spread = labels.join(heard, F.col("node") == F.col("u")).select("node", F.col("class").alias("old"), F.least("class", "c").alias("class"))
         up = labels.select(F.col("node").alias("at"), F.col("class").alias("above"))
-        jumped = materialise(spread.join(up, F.col("class") == F.col("at")).select("node", "old", F.least("class", "above").alias("class")), name)
-        labels = jumped.select("node", "class")
+        before, jumped = labels, materialise(spread.join(up, F.col("class") == F.col("at")).select("node", "old", F.least("class", "above").alias("class")), name)
         if not jumped.where("old <> class").limit(1).count():
-            return labels
+            discard(both, jumped)
+            return before  # the round changed nothing
+        discard(before)
+        labels = jumped
 
 
 def needed(a: int, b: int, least: float) -> int:
@@ -179,7 +188,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pd.Series([labelled(shingles(t)).view(np.int64) for t in batch], dtype=object)
 
     every = max(texts.count() // ORDER_TEXTS, 1)
-    sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "rep"), F.lit(every)) == 0)
+    sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "node"), F.lit(every)) == 0)
     counts = sample.select(F.explode(marks("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialise(counts, "omh-counts")
     lowest, total = 2, 0
@@ -194,7 +203,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarest(texts: DataFrame, least: float) -> DataFrame:
-    """``token, rep, class, n, pos, leads``: of each text of ``n`` shingles the rarest, by which it meets any text it is linked to.
+    """``token, node, class, n, pos, leads``: of each text of ``n`` shingles the rarest, by which it meets any text it is linked to.
 
     In one order of all shingles, the first that two linked texts share stands in both within the first
     ``n - needed + 1``: for the shorter text (``leads``) with a partner at least as long, for the longer with one of ``least`` its length.
@@ -206,7 +215,7 @@ def rarest(texts: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             parts: list[tuple] = []
             held = 0
-            for rep, cls, text in zip(batch["rep"], batch["class"], batch["text"], strict=True):
+            for node, cls, text in zip(batch["node"], batch["class"], batch["text"], strict=True):
                 h = labelled(shingles(text))
                 n = len(h)
                 if not n:
@@ -217,7 +226,7 @@ def rarest(texts: DataFrame, least: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                     often = np.where(tokens[at] == own, counts[at], 0)
                 own = own[np.lexsort((_mix(h), often))][: n - max(ceil(least * n - 1e-6), 1) + 1]
-                parts.append((own, np.full(len(own), rep), np.full(len(own), cls), np.full(len(own), n), np.arange(len(own)), np.arange(len(own)) <= n - needed(n, n, least)))
+                parts.append((own, np.full(len(own), node), np.full(len(own), cls), np.full(len(own), n), np.arange(len(own)), np.arange(len(own)) <= n - needed(n, n, least)))
                 held += len(own)
                 if held > 100_000:
                     yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
@@ -225,109 +234,144 @@ def rarest(texts: DataFrame, least: float) -> DataFrame:
             if parts:
                 yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
-    names = ["token", "rep", "class", "n", "pos", "leads"]
-    return texts.select("rep", "class", "text").mapInPandas(keys, "token long, rep long, class long, n long, pos long, leads boolean")
+    names = ["token", "node", "class", "n", "pos", "leads"]
+    return texts.select("node", "class", "text").mapInPandas(keys, "token long, node long, class long, n long, pos long, leads boolean")
 
 
 def met_by_rarest(texts: DataFrame, least: float) -> DataFrame:
     """``a, b``: every pair of texts of different classes that share a shingle of their rarest and can still be linked.
 
-    ``texts``: rep, class, text. No key is capped: the rows of a key that many texts have are dealt to several tasks.
+    ``texts``: node, class, text. No key is capped: the rows of a key that many texts have are dealt to several tasks.
     """
     keyed = materialise(rarest(texts, least), "omh-rarest")
     # a key that one class has, or no shorter text, makes no pair
     useful = keyed.groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("m"), F.max("leads").alias("any")).where("c0 <> c1 and any").select("token", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
     rows = materialise(keyed.join(useful, "token"), "omh-keys")
-    short = rows.where("leads").select("token", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_s") for c in ("rep", "class", "n", "pos")])
+    short = rows.where("leads").select("token", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_s") for c in ("node", "class", "n", "pos")])
     long = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     share = F.ceil(F.lit(least / (1 + least)) * (F.col("n_s") + F.col("n")) - 1e-6)
-    later = (F.col("n_s") < F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("rep_s") < F.col("rep")))
+    later = (F.col("n_s") < F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("node_s") < F.col("node")))
     fits = (F.col("class_s") != F.col("class")) & later & (F.least(F.col("n_s") - F.col("pos_s"), F.col("n") - F.col("pos")) >= share)
     met = short.hint("merge").join(long, ["token", "salt"]).where(fits)
-    return met.select(F.least("rep_s", "rep").alias("a"), F.greatest("rep_s", "rep").alias("b")).distinct()
+    return met.select(F.least("node_s", "node").alias("a"), F.greatest("node_s", "node").alias("b")).distinct()
 
 
 def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, rounds: int = 4) -> DataFrame:
-    """Class of every row: ``doc_id, rep, class_id, n_copies``.
+    """Class of every row: ``doc_id, rep, class_id, n_copies, class_no``.
 
-    ``rep`` is the smallest id of the same text, ``class_id`` the smallest id linked to it over any number of links. A
-    link is a similarity of at least ``least``: the five-word shingles (words: lower-cased runs of letters, digits and
-    underscores) that a banded alignment matches in order, as a share of those of both texts. Shingles further than
-    ``band`` positions (or a quarter of the text) from the middle diagonal do not match.
+    ``rep`` is the smallest id of the same text, ``class_id`` the smallest id linked to it over any number of links, and
+    ``class_no`` a number of the class, which also tells two classes apart that go by the same id, because rows with
+    different texts repeat it. A link is a similarity of at least ``least``: the five-word shingles (words: lower-cased
+    runs of letters, digits and underscores) that a banded alignment matches in order, as a share of those of both
+    texts. Shingles further than ``band`` positions (or a quarter of the text) from the middle diagonal do not match.
 
-    Exact copies meet first. Each distinct text is then compared, in each of its 16 buckets, with the bucket's leader:
-    the text whose own buckets are fullest, so the one least changed within a family of copies. Texts not yet in their
-    leader's class meet the next leaders, one a round, while a round still finds links. A bucket of n texts thus costs
-    n comparisons a round, not n * n, and no bucket is capped.
+    Exact copies meet first: from there on distinct texts are compared, whatever their ids. Each is compared, in each of
+    its 16 buckets, with the bucket's leader: the text whose own buckets are fullest, so the one least changed within a
+    family of copies. Texts not yet in their leader's class meet the next leaders, one a round, while a round still finds
+    links and at most ``rounds`` times. A bucket of n texts thus costs n comparisons a round, not n * n, and no bucket
+    is capped.
 
     The texts of buckets that then still hold more than one class are finished exactly: those that share one of their
     rarest shingles, as any two linked texts do, and can still reach ``least`` are compared.
 
     Texts without words, null ones included, are linked to their exact copies alone. Repeated rows and repeated ids are
-    kept, each with its class; a null ``doc_id`` has a null ``rep`` unless a copy has an id. No row is added or lost.
+    kept, each with its class; a null ``doc_id`` has a null ``rep`` and class unless a copy has an id. Columns of ``docs`` other than
+    ``doc_id`` and ``text`` are not used. No row is added or lost. Tables of the rounds are deleted before the result is
+    returned; two remain, which it reads.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    base = materialise(distinct_texts(docs.where("doc_id is not null")), "omh-texts")
-    member = base.select("rep", F.posexplode("sketches").alias("no", "value"))
-    sizes = member.groupBy("no", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = member.join(sizes, ["no", "value"])
-    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    # a bucket is its two numbers; rep's weight tells how central it is
-    buckets = materialise(shared.select("no", "value", "rep").join(weight.select("rep", "weight"), "rep"), "omh-buckets")
-    texts = edges = label = tried = None
-
-    def still_open() -> DataFrame:
-        """The buckets that hold more than one class, each row with its class."""
-        rows = buckets.join(label.select(F.col("node").alias("rep"), "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")) if label is not None else buckets.withColumn("class", F.col("rep"))
-        many = rows.groupBy("no", "value").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("no", "value")
-        return rows.join(many, ["no", "value"])
+    named = _named_texts(docs, least, band, rounds)
+    h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"))
+    return rows.join(named, ["h1", "h2"], "left").select("doc_id", "rep", "class_id", "n_copies", "class_no")
+
+
+def _named_texts(docs: DataFrame, least: float, band: int, rounds: int) -> DataFrame:
+    """``h1, h2, rep, n_copies, class_no, class_id`` of every distinct text of a row with an id, written once."""
+    base = distinct_texts(docs.where("doc_id is not null"))
+    edges, made = _links(docs, base, least, band, rounds)
+    named = base.select("node", "h1", "h2", "rep", "n_copies")
+    if edges is None:
+        out = materialise(named.select("h1", "h2", "rep", "n_copies", F.col("node").alias("class_no"), F.col("rep").alias("class_id")), "omh-named")
+        discard(base, *made)
+        return out
+    label = components(edges, "omh-classes")
+    linked = materialise(named.join(label, "node"), "omh-linked")
+    # a class of a third of all texts costs the aggregation a row per task, and its name returns to a plain table
+    first = materialise(linked.groupBy("class").agg(F.min("rep").alias("class_id")), "omh-names")
+    alone = named.join(label.select("node"), "node", "left_anti").select("h1", "h2", "rep", "n_copies", F.col("node").alias("class_no"), F.col("rep").alias("class_id"))
+    out = materialise(linked.join(first, "class").select("h1", "h2", "rep", "n_copies", F.col("class").alias("class_no"), "class_id").union(alone), "omh-named")
+    discard(base, label, linked, first, *made)
+    return out
+
+
+def _links(docs: DataFrame, base: DataFrame, least: float, band: int, rounds: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Links ``a, b`` between texts that make the classes (None: there are none), and the tables written on the way."""
+    made: list[DataFrame] = []
 
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    member = base.select("node", "size", F.posexplode("sketches").alias("no", "value"))
+    sizes = keep(member.groupBy("no", "value").agg(F.count("*").alias("n")).where("n > 1"), "omh-sizes")
+    shared = keep(member.join(sizes, ["no", "value"]), "omh-members")
+    weight = keep(shared.groupBy("node").agg(F.sum("n").alias("weight")), "omh-weights")
+    # a bucket is its two numbers; a text's weight tells how central it is
+    buckets = keep(shared.select("no", "value", "node", "size").join(weight, "node"), "omh-buckets")
+    wanted = base.select("node", F.col("rep").alias("doc_id"), "h1", "h2").join(weight.select("node"), "node", "left_semi")
+    h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
+    bodies = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
+    texts = keep(bodies.hint("merge").join(keep(wanted, "omh-wanted"), ["doc_id", "h1", "h2"]).select("node", "text").dropDuplicates(["node"]), "omh-bodies")
+    edges = tried = None
+    rows = buckets.withColumn("class", F.col("node"))
     for k in range(rounds):
-        # only buckets with more than one class are left; within one, each class is asked again but the first leader's
-        todo = buckets.withColumn("class", F.col("rep")) if label is None else still_open()
+        # within a bucket, each class is asked but the leader's own
+        todo = rows
         if k:  # another order each round: by weight disturbed by a hash of the round, so that other texts lead
-            todo = todo.withColumn("weight", F.col("weight") * (F.pmod(F.xxhash64(F.lit(k), "rep"), F.lit(1000)) + 1))
-        first = todo.groupBy("no", "value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "class")).alias("top"))
-        first = first.select("no", "value", (-F.col("top.minus")).alias("lead"), F.col("top.class").alias("lead_class"))
-        pairs = todo.join(first, ["no", "value"]).where("class <> lead_class").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+            todo = todo.withColumn("weight", F.col("weight") * (F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1000)) + 1))
+        first = todo.groupBy("no", "value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "class", "size")).alias("top"))
+        first = keep(first.select("no", "value", (-F.col("top.minus")).alias("lead"), F.col("top.class").alias("lead_class"), F.col("top.size").alias("lead_size")), "omh-leads")
+        near = F.least("size", "lead_size") >= F.lit(least) * F.greatest("size", "lead_size")
+        pairs = todo.join(first, ["no", "value"]).where((F.col("class") != F.col("lead_class")) & near).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         if k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "omh-pairs")
-        if texts is None:
-            wanted = buckets.select("rep").distinct()
-            texts = materialise(docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").join(wanted.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]), "omh-wanted")
-        found = materialise(_verified(pairs, texts, least, band), "omh-links")
+        pairs = keep(pairs, "omh-pairs")
+        found = keep(_verified(pairs, texts, least, band), "omh-links")
         tried = pairs if k == 0 else tried.union(pairs)
-        edges = found if edges is None else edges.union(found)
         if not found.limit(1).count():
             break
+        edges = found if edges is None else edges.union(found)
         label = components(edges, "omh-classes")
-    left = still_open().select("rep", "class").distinct()
-    left = materialise(left.hint("merge").join(texts, "rep"), "omh-open")
-    pairs = met_by_rarest(left, least)
-    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
-    found = materialise(_verified(pairs, texts, least, band), "omh-links")
+        made.append(label)
+        # the buckets that hold more than one class, each row with its class
+        rows = keep(buckets.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-classed")
+        many = rows.groupBy("no", "value").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("no", "value")
+        rows = keep(rows.join(keep(many, "omh-many"), ["no", "value"]), "omh-rows")
+    left = keep(rows.select("node", "class").distinct(), "omh-left")
+    left = keep(left.hint("merge").join(texts, "node"), "omh-open")
+    pairs = keep(met_by_rarest(left, least).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
+    found = keep(_verified(pairs, texts, least, band), "omh-links")
     if found.limit(1).count():
-        label = components(edges.union(found), "omh-classes")
-    named = base.select("h1", "h2", "rep", "n_copies")
-    if label is not None:
-        named = named.join(label.select(F.col("node").alias("rep"), "class"), "rep", "left").select("h1", "h2", "rep", "n_copies", F.coalesce("class", "rep").alias("class_id"))
-    else:
-        named = named.withColumn("class_id", F.col("rep"))
-    h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"))
-    return rows.join(named, ["h1", "h2"], "left").select("doc_id", "rep", "class_id", "n_copies")
+        edges = found if edges is None else edges.union(found)
+    return edges, made
 
 
 def keep_one_per_class(docs: DataFrame, least: float = 0.8, band: int = 64) -> DataFrame:
-    """The rows of ``docs``, whole and unchanged, whose id names its class; of rows that repeat an id one stays.
+    """The rows of ``docs``, whole and unchanged, that stand for their class: one of each.
 
-    Rows with a null id have no class and stay.
+    It is the row with the class's smallest id; where rows with different texts of the class repeat that id, the one with
+    the smallest hash of its text; and of repeated rows of both, the one with the smallest hash of all columns. Rows with
+    a null id have no class and stay.
     """
-    classes = duplicate_classes(docs, least, band).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = _named_texts(docs, least, band, rounds=4)
+    best = named.where("rep = class_id").groupBy("class_no").agg(F.min(F.struct(F.col("rep").alias("keep_id"), F.col("h1").alias("keep_h1"), F.col("h2").alias("keep_h2"))).alias("best"))
+    best = materialise(best.select("best.*"), "omh-best")
+    h1, h2 = text_key(F.coalesce(F.col("row")["text"], F.lit("")))
+    packed = docs.select(F.struct("*").alias("row"))
+    rows = packed.withColumns({"keep_id": F.col("row")["doc_id"], "keep_h1": h1, "keep_h2": h2})
+    key = ["keep_id", "keep_h1", "keep_h2"]
+    kept = rows.where("keep_id is not null").join(best, key, "left_semi")
+    if kept.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        kept = kept.groupBy(*key).agg(F.min_by("row", F.struct(F.xxhash64("row"), F.xxhash64(F.lit("second"), "row"))).alias("row"))
+    discard(named)
+    return with_columns(kept.select("row").union(rows.where("keep_id is null").select("row")), "row", {})
