@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one under /tmp where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/tidemark-{os.getpid()}").rstrip("/")
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    Only a local session, where driver and executors are one process, gets a temporary folder instead.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
+    return base.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

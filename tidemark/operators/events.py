@@ -5,6 +5,8 @@ Events are ``key, event_id, event_time`` rows; times of events refer to one key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,10 +78,21 @@ def not_followed(a: DataFrame, b: DataFrame, window_s: int) -> DataFrame:
 
 
 def at_least(events: DataFrame, n: int, window_s: int) -> DataFrame:
-    """Events with at least ``n`` events in the window up to them: ``key, event_id, event_time, n_events, cited``."""
+    """Events with at least ``n`` events in the window up to them: ``key, event_id, event_time, n_events, first_id, first_time``.
+
+    What a row cites are its key's ``n_events`` events from the first one named to itself; as a list in each row they would
+    take the square of a dense key's events.
+    """
     w = Window.partitionBy("key").orderBy("us").rangeBetween(-window_s * US, 0)
-    b = _tagged(e=events).withColumns({"n_events": F.count("*").over(w), "cited": F.sort_array(F.collect_list("event_id").over(w))})
-    return b.where(F.col("n_events") >= n).select("key", "event_id", "event_time", "n_events", "cited")
+    b = _tagged(e=events).withColumns({"n_events": F.count("*").over(w), "_first": F.min(F.struct("event_time", "event_id")).over(w)})
+    return b.where(F.col("n_events") >= n).select("key", "event_id", "event_time", "n_events", F.col("_first.event_id").alias("first_id"), F.col("_first.event_time").alias("first_time"))
+
+
+def latest(candidates: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of the candidates of each key the latest, by time and then by id, whole."""
+    rest = [c for c in candidates.columns if c not in by]
+    top = candidates.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("event_time", "event_id")).alias("_top"))
+    return top.select(*by, *[F.col("_top")[c].alias(c) for c in rest])
 
 
 def lead_lag(a: DataFrame, b: DataFrame, max_lag_s: int, bin_s: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.session import ship
 from tidemark.functions.windows import full, nonzero, run_window, with_runs
 
+
 def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
@@ -178,41 +180,43 @@ def _per_run(bars: DataFrame, columns: list[str], names: list[str], compute: Cal
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("interval_start")
-        return rows[keep].assign(**compute(rows))
+        return rows[keep].assign(**{n: pd.Series(v, rows.index, object).where(~np.isnan(v), None) for n, v in compute(rows).items()})
 
     return slim.groupBy("symbol", "run_id").applyInPandas(run, f"symbol string, run_id long, interval_start timestamp, {', '.join(f'{n} double' for n in names)}")
 
 
-def smoothed(values: list[float], period: int, alpha: float, first: int = 0) -> list[float | None]:
-    """``y = y + alpha * (x - y)`` seeded by the mean of the ``period`` values from ``first`` on; null before that."""
-    out: list[float | None] = [None] * len(values)
-    if len(values) - first >= period:
-        y = sum(values[first : first + period]) / period
-        out[first + period - 1] = y
-        for i in range(first + period, len(values)):
-            y += alpha * (values[i] - y)
-            out[i] = y
+def smoothed(x: np.ndarray, period: int, alpha: float) -> np.ndarray:
+    """``y = y + alpha * (x - y)`` seeded by the mean of the first ``period`` values; null before that."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= period:
+        fed = np.concatenate([[x[:period].mean()], x[period:]])
+        out[period - 1 :] = pd.Series(fed).ewm(alpha=alpha, adjust=False).mean().to_numpy()
     return out
 
 
-def _ranges(rows: pd.DataFrame) -> list[float]:
-    h, l, c = rows["high"].tolist(), rows["low"].tolist(), rows["close"].tolist()
-    return [max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])) for i in range(1, len(c))]
+def _late(x: np.ndarray) -> np.ndarray:
+    """Values that begin with the second bar of a run."""
+    return np.concatenate([[np.nan], x])
+
+
+def _ranges(rows: pd.DataFrame) -> np.ndarray:
+    h, l, c = (rows[n].to_numpy() for n in ("high", "low", "close"))
+    return np.maximum(h[1:] - l[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1])))
 
 
 def atr(bars: DataFrame, period: int) -> DataFrame:
     """Wilder's average true range: ``symbol, run_id, interval_start, atr``; needs ``period + 1`` bars of the run."""
-    return _per_run(bars, ["high", "low", "close"], ["atr"], lambda rows: {"atr": [None, *smoothed(_ranges(rows), period, 1 / period)]})
+    return _per_run(bars, ["high", "low", "close"], ["atr"], lambda rows: {"atr": _late(smoothed(_ranges(rows), period, 1 / period))})
 
 
 def rsi(bars: DataFrame, period: int) -> DataFrame:
     """Wilder's relative strength index, 100 where there was no loss."""
 
     def compute(rows: pd.DataFrame) -> dict:
-        c = rows["close"].tolist()
-        step = [b - a for a, b in zip(c, c[1:])]
-        gain, loss = smoothed([max(s, 0.0) for s in step], period, 1 / period), smoothed([max(-s, 0.0) for s in step], period, 1 / period)
-        return {"rsi": [None] + [None if g is None else 100.0 if d == 0 else 100 - 100 / (1 + g / d) for g, d in zip(gain, loss, strict=True)]}
+        step = np.diff(rows["close"].to_numpy())
+        gain, loss = (smoothed(np.maximum(s, 0.0), period, 1 / period) for s in (step, -step))
+        ratio = np.divide(gain, loss, out=np.full(len(step), np.inf), where=loss != 0)
+        return {"rsi": _late(np.where(np.isnan(gain), np.nan, 100 - 100 / (1 + ratio)))}
 
     return _per_run(bars, ["close"], ["rsi"], compute)
 
@@ -221,48 +225,26 @@ def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     """``macd_line`` and ``macd_signal``; both averages start from the mean of the first ``slow`` closes of the run."""
 
     def compute(rows: pd.DataFrame) -> dict:
-        c = rows["close"].tolist()
-
-        def ema(period: int) -> list[float | None]:
-            out: list[float | None] = [None] * len(c)
-            if len(c) >= slow:
-                y = sum(c[:slow]) / slow
-                out[slow - 1] = y
-                for i in range(slow, len(c)):
-                    y += 2 / (period + 1) * (c[i] - y)
-                    out[i] = y
-            return out
-
-        line = [None if a is None else a - b for a, b in zip(ema(fast), ema(slow), strict=True)]
-        start = min(slow - 1, len(line))
-        tail = smoothed([x for x in line[start:] if x is not None], signal, 2 / (signal + 1))
-        return {"macd_line": line, "macd_signal": [None] * start + tail}
+        c = rows["close"].to_numpy()
+        line = smoothed(c, slow, 2 / (fast + 1)) - smoothed(c, slow, 2 / (slow + 1))
+        start = min(slow - 1, len(c))
+        return {"macd_line": line, "macd_signal": np.concatenate([np.full(start, np.nan), smoothed(line[start:], signal, 2 / (signal + 1))])}
 
     return _per_run(bars, ["close"], ["macd_line", "macd_signal"], compute)
 
 
 def adx(bars: DataFrame, period: int) -> DataFrame:
-    """Wilder's average directional index; null where a smoothed range or both directions are zero."""
+    """Wilder's average directional index; null from where a smoothed range or both directions are zero."""
 
     def compute(rows: pd.DataFrame) -> dict:
-        h, l, n = rows["high"].tolist(), rows["low"].tolist(), len(rows)
-        up, down = [h[i] - h[i - 1] for i in range(1, n)], [l[i - 1] - l[i] for i in range(1, n)]
-        plus = [u if u > d and u > 0 else 0.0 for u, d in zip(up, down, strict=True)]
-        minus = [d if d > u and d > 0 else 0.0 for u, d in zip(up, down, strict=True)]
+        up, down = np.diff(rows["high"].to_numpy()), -np.diff(rows["low"].to_numpy())
+        plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
         tr, p, m = (smoothed(x, period, 1 / period) for x in (_ranges(rows), plus, minus))  # means: their ratios are those of the sums
-        dx = []
-        for t, a, b in zip(tr, p, m, strict=True):
-            dx.append(None if t is None or t == 0 or a + b == 0 else 100 * abs(a - b) / (a + b))
-        tail = dx[period - 1 :]
-        value: list[float | None] = [None] * n
-        if len(tail) >= period and None not in tail[:period]:
-            y = sum(tail[:period]) / period
-            value[2 * period - 1] = y
-            for i in range(period, len(tail)):
-                if tail[i] is None:
-                    break
-                y += (tail[i] - y) / period
-                value[period + i] = y
+        known = (tr != 0) & (p + m != 0)
+        dx = np.divide(100 * np.abs(p - m), p + m, out=np.full(len(tr), np.nan), where=known)[period - 1 :]
+        dx = dx[: np.argmax(np.isnan(dx))] if np.isnan(dx).any() else dx
+        value = np.full(len(rows), np.nan)
+        value[period : period + len(dx)] = smoothed(dx, period, 1 / period)
         return {"adx": value}
 
     return _per_run(bars, ["high", "low", "close"], ["adx"], compute)

@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import materialise
 from tidemark.functions.windows import asof, with_runs
 
 
+def numbered_bars(bars: DataFrame) -> DataFrame:
+    """Bars with ``run_id`` and ``no``, their position in the run, written once for all that read them."""
+    no = F.row_number().over(Window.partitionBy("symbol", "run_id").orderBy("interval_start"))
+    return materialise(with_runs(bars).withColumn("no", no), "bars")
+
+
 def entry_bars(events: DataFrame, bars: DataFrame, bar_minutes: int) -> DataFrame:
     """Each event with its instrument's first bar that starts at or after it; none that starts a whole bar late.
 
-    ``symbol, event_key, event_time`` with ``entry_start, entry_open, entry_run, entry_no`` (position of the bar in its run).
-    One sort over the union of events and bars, read backwards.
+    The columns of ``events`` (among them ``symbol, event_key, event_time``) with ``entry_start, entry_open, entry_run,
+    entry_no`` (position of the bar in its run). One sort over the union of events and bars, read backwards.
     """
-    numbered = with_runs(bars)
-    numbered = numbered.withColumn("no", F.row_number().over(Window.partitionBy("symbol", "run_id").orderBy("interval_start")))
+    return _entries(events, numbered_bars(bars), bar_minutes)
+
+
+def _entries(events: DataFrame, numbered: DataFrame, bar_minutes: int) -> DataFrame:
     bar = F.struct("interval_start", F.col("open").cast("double").alias("open"), "run_id", "no")
     kind = numbered.select(bar.alias("b")).schema["b"].dataType
-    e = events.select("symbol", "event_key", "event_time", F.col("event_time").alias("t"), F.lit(None).cast(kind).alias("bar"), F.lit(0).alias("side"))
-    b = numbered.select("symbol", F.lit(None).cast(e.schema["event_key"].dataType).alias("event_key"), F.lit(None).cast("timestamp").alias("event_time"), F.col("interval_start").alias("t"), bar.alias("bar"), F.lit(1).alias("side"))
+    e = events.select("symbol", F.col("event_time").alias("t"), F.struct("*").alias("event"), F.lit(None).cast(kind).alias("bar"), F.lit(0).alias("side"))
+    b = numbered.select("symbol", F.col("interval_start").alias("t"), F.lit(None).cast(e.schema["event"].dataType).alias("event"), bar.alias("bar"), F.lit(1).alias("side"))
     ahead = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
     found = e.unionByName(b).withColumn("found", F.first("bar", ignorenulls=True).over(ahead)).where("side = 0")
-    late = F.unix_micros("found.interval_start") - F.unix_micros("event_time") >= bar_minutes * 60_000_000
+    late = F.unix_micros("found.interval_start") - F.unix_micros("event.event_time") >= bar_minutes * 60_000_000
     f = F.when(~late, F.col("found"))
-    return found.select("symbol", "event_key", "event_time", f["interval_start"].alias("entry_start"), f["open"].alias("entry_open"), f["run_id"].alias("entry_run"), f["no"].alias("entry_no"))
+    return found.select("event.*", f["interval_start"].alias("entry_start"), f["open"].alias("entry_open"), f["run_id"].alias("entry_run"), f["no"].alias("entry_no"))
 
 
 def label_windows(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon_bars: int) -> DataFrame:
@@ -33,11 +42,14 @@ def label_windows(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon_
     A window is gap-free if its last bar is the right number of positions further in the same run, so one equi-join
     finds it. ``known_at`` is when all its bars are available.
     """
-    entries = entry_bars(events, bars, bar_minutes)
-    w = Window.partitionBy("symbol", "run_id").orderBy("interval_start")
-    ends = with_runs(bars).withColumns({"no": F.row_number().over(w), "known": F.max("available_time").over(w.rowsBetween(-(horizon_bars - 1), 0))})
+    return _windows(events, numbered_bars(bars), bar_minutes, horizon_bars)
+
+
+def _windows(events: DataFrame, numbered: DataFrame, bar_minutes: int, horizon_bars: int) -> DataFrame:
+    w = Window.partitionBy("symbol", "run_id").orderBy("interval_start").rowsBetween(-(horizon_bars - 1), 0)
+    ends = numbered.withColumn("known", F.max("available_time").over(w))
     ends = ends.select("symbol", F.col("run_id").alias("entry_run"), (F.col("no") - (horizon_bars - 1)).alias("entry_no"), F.col("close").cast("double").alias("exit_close"), F.col("interval_end").alias("exit_end"), F.col("known").alias("known_at"))
-    return entries.join(ends, ["symbol", "entry_run", "entry_no"], "left")
+    return _entries(events, numbered, bar_minutes).join(ends, ["symbol", "entry_run", "entry_no"], "left")
 
 
 def forward_return(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon_bars: int) -> DataFrame:
@@ -51,35 +63,35 @@ def triple_barrier(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon
 
     Barriers are ``entry_open * (1 + upper)`` and ``* (1 - lower)``, times the event's ``volatility`` column if one is
     named. A window with a gap has no label, whatever it touched. A bar that touches both counts as lower. A bar that opens
-    beyond a barrier is left at its open. Without a touch the label is the return to the last close. Events join the bars of
-    their window by run and position, so the work is events times horizon. A null volatility gives a null label; one that is
-    not positive is an error row: ``side`` and ``label`` null, ``problem`` set.
+    beyond a barrier is left at its open. Without a touch the label is the return to the last close. A null volatility
+    gives a null label; one that is not positive is an error row: ``side`` and ``label`` null, ``problem`` set.
+
+    Every row of ``events`` is labelled by itself, also where symbols share a key or a row is repeated. Bars are numbered
+    and written once; an event meets the bars of its window by run and position, and one sort of those rows gives the
+    first touch together with when all bars up to it were available. So the work is events times horizon, once.
     """
-    entries = label_windows(events, bars, bar_minutes, horizon_bars)
-    scale = F.lit(1.0)
-    if volatility:
-        entries = entries.join(events.select("event_key", F.col(volatility).cast("double").alias("vol")), "event_key")
-        scale = F.col("vol")
-    entries = entries.withColumns({"hi": F.col("entry_open") * (1 + upper * scale), "lo": F.col("entry_open") * (1 - lower * scale)})
-    usable = entries.where("exit_close is not null" + (" and vol > 0" if volatility else ""))
-    numbered = with_runs(bars).withColumn("no", F.row_number().over(Window.partitionBy("symbol", "run_id").orderBy("interval_start")))
+    numbered = numbered_bars(bars)
+    entries = _windows(events, numbered, bar_minutes, horizon_bars)
+    scale = F.col(volatility).cast("double") if volatility else F.lit(1.0)
+    entries = entries.select("symbol", "event_key", "event_time", "entry_open", "entry_run", "entry_no", "exit_close", "known_at", scale.alias("vol"), F.monotonically_increasing_id().alias("row"))
+    entries = materialise(entries, "label-entries")  # row numbers drawn once
+    steps = entries.where("exit_close is not null and vol > 0").select(
+        "row", "symbol", "entry_run", F.explode(F.sequence(F.col("entry_no"), F.col("entry_no") + horizon_bars - 1)).alias("bar_no"),
+        (F.col("entry_open") * (1 + upper * F.col("vol"))).alias("hi"), (F.col("entry_open") * (1 - lower * F.col("vol"))).alias("lo"),
+    )
     path = numbered.select("symbol", F.col("run_id").alias("entry_run"), F.col("no").alias("bar_no"), "available_time", *[F.col(c).cast("double").alias(f"b_{c}") for c in ("open", "high", "low")])
-    steps = usable.withColumn("bar_no", F.explode(F.sequence(F.col("entry_no"), F.col("entry_no") + horizon_bars - 1))).join(path, ["symbol", "entry_run", "bar_no"])
-    down = F.col("b_low") <= F.col("lo")
-    up = F.col("b_high") >= F.col("hi")
-    price = F.when(down, F.least("b_open", "lo")).when(up, F.greatest("b_open", "hi"))
-    touched = steps.where(down | up).groupBy("event_key").agg(F.min_by(F.struct(price.alias("price"), F.when(down, -1).otherwise(1).alias("side")), "bar_no").alias("touch"), F.min("bar_no").alias("touch_no"))
-    known = steps.join(touched.select("event_key", "touch_no"), "event_key").where("bar_no <= touch_no").groupBy("event_key").agg(F.max("available_time").alias("touch_known"))
-    out = entries.join(touched, "event_key", "left").join(known, "event_key", "left")
-    good = F.col("exit_close").isNotNull()
-    problem = F.lit(None).cast("string")
-    if volatility:
-        good = good & (F.col("vol") > 0)
-        problem = F.when(F.col("vol") <= 0, "volatility is not positive")
+    steps = steps.join(path, ["symbol", "entry_run", "bar_no"])
+    so_far = F.max("available_time").over(Window.partitionBy("row").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0))
+    down, up = F.col("b_low") <= F.col("lo"), F.col("b_high") >= F.col("hi")
+    price = F.when(down, F.least("b_open", "lo")).otherwise(F.greatest("b_open", "hi"))
+    touch = F.struct(price.alias("price"), F.when(down, -1).otherwise(1).alias("side"), F.col("so_far").alias("known"))
+    touched = steps.withColumn("so_far", so_far).where(down | up).groupBy("row").agg(F.min_by(touch, "bar_no").alias("touch"))
+    out = entries.join(touched, "row", "left")
+    good = F.col("exit_close").isNotNull() & (F.col("vol") > 0)
     label = F.coalesce(F.col("touch.price"), F.col("exit_close")) / F.col("entry_open") - 1
     return out.select(
         "symbol", "event_key", "event_time", F.when(good, label).alias("label"), F.when(good, F.coalesce("touch.side", F.lit(0))).alias("side"),
-        F.when(good, F.coalesce("touch_known", "known_at")).alias("known_at"), problem.alias("problem"),
+        F.when(good, F.coalesce("touch.known", "known_at")).alias("known_at"), F.when(F.col("vol") <= 0, "volatility is not positive").alias("problem"),
     )
 
 

@@ -62,41 +62,72 @@ def map_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     return j.select(F.col("new_id").alias("revision_id"), F.col("old_id").alias("superseded_revision_id"), F.greatest("knowledge_time", "new_known", "old_known").alias("knowledge_time"), F.count("*").over(w).alias("n_matches"))
 
 
-def closure(edges: DataFrame, name: str = "closure") -> DataFrame:
-    """Every pair ``ancestor supersedes descendant`` over any number of edges: ``src, dst``.
-
-    Paths double in length each round; a round that adds nothing ends it. Each round is written to the shared folder.
-    """
-    paths = materialise(edges.select(F.col("revision_id").alias("src"), F.col("superseded_revision_id").alias("dst")).distinct(), name)
-    n = paths.count()
-    while True:
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = materialise(paths.union(longer).distinct(), name)
-        m = paths.count()
-        if m == n:
-            return paths
-        n = m
-
-
 def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """One step from a set of ids along the edges: ``revision_id``."""
     return frontier.join(edges, "revision_id").select(F.col("superseded_revision_id").alias("revision_id")).distinct()
 
 
 def maximal_heads(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates that no other candidate supersedes, directly or through any known revision."""
-    beaten = closure(edges).join(candidates.select(F.col("revision_id").alias("src")), "src", "left_semi").where("src <> dst").select(F.col("dst").alias("revision_id")).distinct()
-    return candidates.join(beaten, "revision_id", "left_anti")
+    """Candidates that no candidate supersedes, directly or through any known revision; one on a cycle supersedes itself.
+
+    All candidates are sources at once, so one step settles whatever supersedes directly. Only revisions that are no
+    candidates are walked through: each enters the walk once, and there are as many rounds as the longest stretch of them.
+    """
+    ids = candidates.select("revision_id").distinct()
+    step = materialise(edges.select("revision_id", "superseded_revision_id").distinct(), "edges")
+    beaten = reached = materialise(expand(ids, step), "beaten")
+    while True:
+        through = reached.join(ids, "revision_id", "left_anti")
+        reached = materialise(expand(through, step).join(beaten, "revision_id", "left_anti"), "beaten")
+        if not reached.limit(1).count():
+            return candidates.join(beaten, "revision_id", "left_anti")
+        beaten = beaten.union(reached)
+
+
+def superseded_from(revisions: DataFrame, edges: DataFrame) -> DataFrame:
+    """``revision_id, beaten_at``: the earliest time at which a revision that supersedes it, directly or through others, is available.
+
+    A revision is a head from its own time until then, so one pass answers for all times. Superseding revisions are
+    nearly always the later ones, and then the first round, over the edges alone, is final; a later round only carries
+    times on that are earlier than what it finds.
+    """
+    step = materialise(edges.select("revision_id", "superseded_revision_id").distinct(), "edges")
+    own = revisions.select("revision_id", "available_time")
+    best = news = materialise(step.join(own, "revision_id").groupBy(F.col("superseded_revision_id").alias("revision_id")).agg(F.min("available_time").alias("beaten_at")), "beaten")
+    while True:
+        told = step.join(news, "revision_id").groupBy(F.col("superseded_revision_id").alias("revision_id")).agg(F.min("beaten_at").alias("told"))
+        news = told.join(best, "revision_id", "left").where("beaten_at is null or told < beaten_at").select("revision_id", F.col("told").alias("beaten_at"))
+        news = materialise(news, "beaten")
+        if not news.limit(1).count():
+            return best
+        best = materialise(best.union(news).groupBy("revision_id").agg(F.min("beaten_at").alias("beaten_at")), "beaten")
 
 
 def graph_problems(revisions: DataFrame, edges: DataFrame) -> DataFrame:
-    """``problem, revision_id``: dangling ends, edges between keys, and revisions on a cycle."""
-    ids = revisions.select("revision_id", F.col("observation_key").alias("k"))
-    a = edges.join(ids, "revision_id", "left").withColumnRenamed("k", "ka")
-    b = a.join(ids.select(F.col("revision_id").alias("superseded_revision_id"), F.col("k").alias("kb")), "superseded_revision_id", "left")
+    """``problem, revision_id``: dangling ends, edges between keys, and revisions on a cycle within a key.
+
+    A cycle has an edge whose newer end is not the later one, by available time and id. Only between the ends of such
+    edges, within their key, are paths followed: edges that all lead back in time cost two joins, however long the chain.
+    """
+    at = F.struct("available_time", "revision_id")
+    ids = revisions.select("revision_id", F.col("observation_key").alias("k"), at.alias("at"))
+    a = edges.join(ids, "revision_id", "left").withColumnsRenamed({"k": "ka", "at": "at_a"})
+    b = a.join(ids.select(F.col("revision_id").alias("superseded_revision_id"), F.col("k").alias("kb"), F.col("at").alias("at_b")), "superseded_revision_id", "left")
+    b = materialise(b, "graph")
     dangling = b.where("ka is null or kb is null").select(F.lit("dangling").alias("problem"), "revision_id")
     crossing = b.where("ka <> kb").select(F.lit("crosses keys").alias("problem"), "revision_id")
-    cycle = closure(edges).where("src = dst").select(F.lit("cycle").alias("problem"), F.col("src").alias("revision_id"))
+    inside = b.where("ka = kb")
+    ranges = inside.where("at_a <= at_b").groupBy("ka").agg(F.min("at_a").alias("low"), F.max("at_b").alias("high"))
+    suspect = inside.join(ranges, "ka").where("at_a between low and high and at_b between low and high")
+    paths = materialise(suspect.select(F.col("revision_id").alias("src"), F.col("superseded_revision_id").alias("dst")).distinct(), "paths")
+    n = paths.count()
+    while n:  # paths double in length each round; a round that adds nothing ends it
+        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        paths = materialise(paths.union(longer).distinct(), "paths")
+        before, n = n, paths.count()
+        if n == before:
+            break
+    cycle = paths.where("src = dst").select(F.lit("cycle").alias("problem"), F.col("src").alias("revision_id"))
     return dangling.union(crossing).union(cycle)
 
 
@@ -104,37 +135,48 @@ def select_at(revisions: DataFrame, edges: DataFrame, at: str, cutoff: str) -> D
     """Per key at one time: ``observation_key, status, revision_id, n_heads``.
 
     Known are revisions and edges with knowledge up to the cutoff; candidates are known revisions available at the time.
-    SELECTED with one head, CONFLICT with several (``revision_id`` null), ABSENT with no candidate.
+    SELECTED with one head, CONFLICT with several (``revision_id`` null), ABSENT with none.
     """
     c, t = F.lit(cutoff).cast("timestamp"), F.lit(at).cast("timestamp")
     known = revisions.where(F.col("knowledge_time") <= c)
-    heads = maximal_heads(known.where(F.col("available_time") <= t), edges.where(F.col("knowledge_time") <= c))
+    beaten = superseded_from(known, edges.where(F.col("knowledge_time") <= c)).where(F.col("beaten_at") <= t)
+    heads = known.where(F.col("available_time") <= t).join(beaten, "revision_id", "left_anti")
     per = heads.groupBy("observation_key").agg(F.count("*").alias("n_heads"), F.min("revision_id").alias("one"))
     keys = revisions.select("observation_key").distinct()
     n = F.coalesce("n_heads", F.lit(0))
-    status = F.when(n == 0, "ABSENT").when(n == 1, "SELECTED").otherwise("CONFLICT")
-    return keys.join(per, "observation_key", "left").select("observation_key", status.alias("status"), F.when(n == 1, F.col("one")).alias("revision_id"), n.cast("long").alias("n_heads"))
+    return keys.join(per, "observation_key", "left").select("observation_key", _status(n).alias("status"), F.when(n == 1, F.col("one")).alias("revision_id"), n.cast("long").alias("n_heads"))
+
+
+def _status(n: Column) -> Column:
+    return F.when(n == 0, "ABSENT").when(n == 1, "SELECTED").otherwise("CONFLICT")
 
 
 def select_over(revisions: DataFrame, edges: DataFrame, start: str, end: str, cutoff: str) -> DataFrame:
     """Selection of each key over a period, as spans: ``observation_key, valid_from, valid_until, status, revision_id``.
 
-    A key's answer changes only when one of its own revisions becomes available, so each key is asked at the start and at
-    its own available times inside; equal neighbours are merged.
+    Each revision is a head for one span of time: from when it is available until a revision that supersedes it is. A key's
+    answer follows from how many such spans are open, so each revision adds two rows to one sweep along its key's time,
+    however many others the key has. Equal neighbours are merged.
     """
     c, s, e = (F.lit(x).cast("timestamp") for x in (cutoff, start, end))
     known = revisions.where(F.col("knowledge_time") <= c)
-    points = known.select("observation_key", s.alias("t")).union(known.where((F.col("available_time") > s) & (F.col("available_time") < e)).select("observation_key", F.col("available_time").alias("t"))).distinct()
-    cand = points.join(known.select("observation_key", "revision_id", "available_time"), "observation_key").where("available_time <= t").select("observation_key", "t", "revision_id")
-    beats = closure(edges.where(F.col("knowledge_time") <= c)).where("src <> dst")
-    beaten = cand.join(beats, F.col("revision_id") == F.col("src")).select("observation_key", "t", F.col("dst").alias("revision_id")).distinct()
-    heads = cand.join(beaten, ["observation_key", "t", "revision_id"], "left_anti").groupBy("observation_key", "t").agg(F.count("*").alias("n"), F.min("revision_id").alias("one"))
-    n = F.coalesce("n", F.lit(0))
-    asked = points.join(heads, ["observation_key", "t"], "left").select("observation_key", "t", F.when(n == 0, "ABSENT").when(n == 1, "SELECTED").otherwise("CONFLICT").alias("status"), F.when(n == 1, F.col("one")).alias("revision_id"))
+    number = F.row_number().over(Window.partitionBy("observation_key").orderBy("revision_id"))
+    spans = known.withColumn("no", number.cast("long")).join(superseded_from(known, edges.where(F.col("knowledge_time") <= c)), "revision_id", "left")
+    spans = materialise(spans.select("observation_key", "revision_id", "no", "available_time", "beaten_at"), "head-spans")
+    live = spans.where((F.col("available_time") < e) & F.coalesce((F.col("beaten_at") > F.col("available_time")) & (F.col("beaten_at") > s), F.lit(True)))
+    steps = [
+        live.select("observation_key", F.greatest("available_time", s).alias("t"), F.lit(1).alias("dn"), F.col("no").alias("dno")),
+        live.where(F.col("beaten_at") < e).select("observation_key", F.col("beaten_at").alias("t"), F.lit(-1), -F.col("no")),
+        spans.select("observation_key", s, F.lit(0), F.lit(0)).distinct(),
+    ]
     w = Window.partitionBy("observation_key").orderBy("t")
-    same = F.col("status").eqNullSafe(F.lag("status").over(w)) & F.col("revision_id").eqNullSafe(F.lag("revision_id").over(w))
-    kept = asked.withColumn("_same", same).where("not _same")
-    return kept.select("observation_key", F.col("t").alias("valid_from"), F.coalesce(F.lead("t").over(w), e).alias("valid_until"), "status", "revision_id")
+    turns = steps[0].union(steps[1]).union(steps[2]).groupBy("observation_key", "t").agg(F.sum("dn").alias("dn"), F.sum("dno").alias("dno"))
+    asked = turns.select("observation_key", "t", F.sum("dn").over(w).alias("n"), F.sum("dno").over(w).alias("no"))
+    # while one span is open, the open numbers add up to its own
+    asked = asked.select("observation_key", "t", _status(F.col("n")).alias("status"), F.when(F.col("n") == 1, F.col("no")).alias("no"))
+    same = F.col("status").eqNullSafe(F.lag("status").over(w)) & F.col("no").eqNullSafe(F.lag("no").over(w))
+    kept = asked.withColumn("_same", same).where("not _same").select("observation_key", F.col("t").alias("valid_from"), F.coalesce(F.lead("t").over(w), e).alias("valid_until"), "status", "no")
+    return kept.join(spans.select("observation_key", "no", "revision_id"), ["observation_key", "no"], "left").select("observation_key", "valid_from", "valid_until", "status", "revision_id")
 
 
 def asof_revisions(revisions: DataFrame) -> DataFrame:
@@ -187,8 +229,19 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def row_hash(*columns: str, salt: str = "") -> Column:
+    """60 bits of a row's md5: of its values in the given order as text, each marked as there or null."""
+    marked = [F.coalesce(F.concat(F.lit("="), F.replace(F.replace(F.col(c).cast("string"), F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C"))), F.lit("!")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), *marked).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Order-free content digest of a batch: row count and sums of two 64-bit row hashes, as exact decimals."""
-    cols = [F.col(c) for c in sorted(df.columns) if c not in by]
-    h1, h2 = F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)
-    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum(h1.cast("decimal(38,0)")).alias("sum1"), F.sum(h2.cast("decimal(38,0)")).alias("sum2"))
+    """Order-free content digest of a batch: row count and sums of two row hashes, as exact decimals.
+
+    Nulls are marked, so moving one to another column changes the digest; columns of arrays, maps or structs enter as JSON.
+    """
+    nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+    cols = [c for c in sorted(df.columns) if c not in by]
+    h1, h2 = row_hash(*cols), row_hash(*cols, salt="second")
+    return flat.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum(h1.cast("decimal(38,0)")).alias("sum1"), F.sum(h2.cast("decimal(38,0)")).alias("sum2"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.statistics import ranked
+from tidemark.operators.statistics import ranked, within
 
 
-def walk_forward_windows(spark: SparkSession, start: str, end: str, train_days: int, test_days: int, step_days: int) -> DataFrame:
-    """``window_no, train_start, test_start, test_end``: windows that fit before ``end``."""
-    days = f"interval {step_days} days"
-    s, e = f"timestamp '{start}'", f"timestamp '{end}'"
-    out = spark.range(1).select(F.posexplode(F.expr(f"sequence({s}, {e}, {days})")).alias("window_no", "train_start"))
+def walk_forward_windows(rows: DataFrame, train_days: int, test_days: int, step_days: int, start: str = "start", end: str = "end") -> DataFrame:
+    """``window_no, train_start, test_start, test_end``: windows over the time that the rows cover, as far as they fit.
+
+    The first begins with the day of the earliest start; none ends after the day of the latest end.
+    """
+    covered = rows.agg(F.date_trunc("day", F.min(start)).alias("a"), F.date_trunc("day", F.max(end)).alias("z")).where("a is not null")
+    out = covered.select("z", F.posexplode(F.sequence("a", "z", F.expr(f"interval {step_days} days"))).alias("window_no", "train_start"))
     out = out.withColumn("test_start", F.col("train_start") + F.expr(f"interval {train_days} days")).withColumn("test_end", F.col("test_start") + F.expr(f"interval {test_days} days"))
-    return out.where(F.col("test_end") <= F.expr(e))
+    return out.where("test_end <= z").drop("z")
 
 
 def purge_label(start: Column, end: Column, test_start: Column, test_end: Column, embargo_s: int) -> Column:
@@ -27,11 +29,9 @@ def purge_label(start: Column, end: Column, test_start: Column, test_end: Column
 def walk_forward(spans: DataFrame, windows: DataFrame, embargo_s: int = 0) -> DataFrame:
     """Every window's rows, ``window_no, key, start, end, role``: training from train_start on, purged and embargoed around the test.
 
-    The windows are a handful of rows and are broadcast; each span meets the windows that its time falls into.
+    Spans meet the windows that their start falls into by day buckets.
     """
-    w = F.broadcast(windows)
-    near = (F.col("start") >= F.col("train_start")) & (F.col("start") < F.col("test_end"))
-    joined = spans.join(w, near)
+    joined = within(spans, "start", windows, "train_start", "test_end")
     return joined.select("window_no", "key", "start", "end", purge_label(F.col("start"), F.col("end"), F.col("test_start"), F.col("test_end"), embargo_s).alias("role"))
 
 
@@ -52,7 +52,7 @@ def purged_k_fold(spans: DataFrame, k: int, embargo_s: int = 0) -> DataFrame:
     """
     placed = fold_of(spans, k)
     tests = placed.groupBy(F.col("fold").alias("test_fold")).agg(F.min("start").alias("test_start"), F.max("end").alias("test_end"))
-    joined = placed.join(F.broadcast(tests))
+    joined = placed.crossJoin(F.broadcast(tests))  # k rows
     label = F.when(F.col("fold") == F.col("test_fold"), "test").when((F.col("start") < F.col("test_end")) & (F.col("end") > F.col("test_start")), "purged")
     label = label.when((F.col("start") >= F.col("test_end")) & (F.col("start") < F.col("test_end") + F.make_interval(secs=F.lit(embargo_s))), "embargoed").otherwise("train")
     return joined.select(F.col("test_fold").alias("fold"), "key", label.alias("role"))

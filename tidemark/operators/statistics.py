@@ -4,31 +4,51 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tidemark.functions.session import materialise, ship
+from tidemark.functions.session import materialise
 
 
-@F.pandas_udf(DoubleType())
-def _normal_sf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
-
-
-@F.pandas_udf(DoubleType())
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    return p.map(lambda x: None if x is None or x != x or not 0 < x < 1 else NormalDist().inv_cdf(x))
+#: From here on the tail comes from its continued fraction, below from the power series; terms of each.
+TAIL_FROM, SERIES, FRACTION = 3.0, 40, 60
+#: Coefficients of Acklam's rational approximation of the normal quantile, centre and tails.
+CENTRE_OVER = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+CENTRE_UNDER = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+TAIL_OVER = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+TAIL_UNDER = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
 
 
 def normal_sf(z: Column) -> Column:
-    """Upper tail of the standard normal distribution."""
-    return _normal_sf(z)
+    """Upper tail of the standard normal distribution, in column functions alone; null for null and NaN."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    series, square = F.lit(1.0), x * x
+    for k in range(SERIES, 0, -1):  # x + x^3 / 3 + x^5 / (3 * 5) + ...
+        series = 1 + square / (2 * k + 1) * series
+    far = F.greatest(x, F.lit(TAIL_FROM))
+    fraction = far
+    for k in range(FRACTION, 0, -1):  # x + 1 / (x + 2 / (x + 3 / ...))
+        fraction = far + k / fraction
+    tail = F.when(x < TAIL_FROM, 0.5 - density * x * series).otherwise(density / fraction)
+    return F.when(~F.isnan(z), F.when(z >= 0, tail).otherwise(1 - tail))
+
+
+def _horner(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Where the standard normal distribution function is ``p``; null outside (0, 1). Relative error about 1e-9."""
+    q = p - 0.5
+    middle = q * _horner(CENTRE_OVER, q * q) / _horner(CENTRE_UNDER, q * q)
+    far = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _horner(TAIL_OVER, far) / _horner(TAIL_UNDER, far)
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.47575, middle).when(q < 0, tail).otherwise(-tail))
 
 
 def effective_sample(spans: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
@@ -127,7 +147,7 @@ def overfitting_probability(returns: DataFrame, segments: int, x: str = "net", e
     from itertools import combinations
 
     spark = returns.sparkSession
-    n = returns.agg(F.max("time_no") + 1).first()[0]
+    n = (returns.agg(F.max("time_no") + 1).first()[0]) or 1
     seg = F.least(F.floor(F.col("time_no") * segments / F.lit(n)), F.lit(segments - 1)).cast("int")
     cut = returns.withColumn("seg", seg)
     first = F.min("time_no").over(Window.partitionBy("seg"))
@@ -151,7 +171,7 @@ def overfitting_probability(returns: DataFrame, segments: int, x: str = "net", e
 def expected_max_sharpe(variance: Column, trials: Column) -> Column:
     """Expected largest Sharpe ratio of ``trials`` unskilled trials with this variance of ratios."""
     gamma = 0.5772156649015329
-    return F.sqrt(variance) * ((1 - gamma) * _normal_quantile(1 - 1 / trials) + gamma * _normal_quantile(1 - 1 / (trials * math.e)))
+    return F.sqrt(variance) * ((1 - gamma) * normal_quantile(1 - 1 / trials) + gamma * normal_quantile(1 - 1 / (trials * math.e)))
 
 
 def deflated_sharpe(returns: DataFrame, x: str = "net") -> DataFrame:
@@ -164,22 +184,22 @@ def deflated_sharpe(returns: DataFrame, x: str = "net") -> DataFrame:
     return both.select("trial", "n", "sharpe", "expected", (1 - normal_sf(z)).alias("deflated"))
 
 
-def neighbourhood(trials: DataFrame, chosen: str, grids: dict[str, Sequence[float]]) -> DataFrame:
-    """Neighbours of the chosen trial: one declared step in one parameter. One row: neighbours due and found, share positive, ratio.
+def neighbourhood(trials: DataFrame, parameters: Sequence[str]) -> DataFrame:
+    """Every trial's neighbours, one step away in one parameter: ``trial, n_due, n_found, share_positive, ratio``.
 
-    ``trials``: ``trial, sharpe`` and one column per parameter. ``share_positive`` is null while a neighbour is missing;
-    ``ratio`` also where the chosen ratio is not positive.
+    ``trials``: ``trial, sharpe`` and, for each parameter, the place of its value among the declared ones, from 0; the
+    largest place is that of the table. ``share_positive`` is null while a neighbour is missing; ``ratio`` (the
+    neighbours' mean over the trial's own) also where the own ratio is not positive. Each trial asks for its neighbours'
+    places and meets them by an equi-join.
     """
-    steps = trials
-    for name, values in grids.items():
-        steps = steps.withColumn(f"_{name}", F.array_position(F.array(*[F.lit(float(v)) for v in values]), F.col(name).cast("double")))
-    centre = steps.where(F.col("trial") == chosen).select(F.col("sharpe").alias("own"), *[F.col(f"_{n}").alias(f"c_{n}") for n in grids])
-    far = [F.abs(F.col(f"_{n}") - F.col(f"c_{n}")) for n in grids]
-    due = sum([F.when(F.col(f"c_{n}") > 1, 1).otherwise(0) + F.when(F.col(f"c_{n}") < len(v), 1).otherwise(0) for n, v in grids.items()], F.lit(0))
-    near = steps.crossJoin(F.broadcast(centre)).withColumn("due", due).where(sum(far, F.lit(0)) == 1)
-    out = near.agg(F.max("due").alias("n_due"), F.count("*").alias("n_found"), F.avg((F.col("sharpe") > 0).cast("double")).alias("share"), F.avg("sharpe").alias("mean"), F.max("own").alias("own"))
+    ends = trials.agg(*[F.max(p).alias(f"last_{p}") for p in parameters])  # one row
+    asked = trials.crossJoin(F.broadcast(ends))
+    steps = [F.struct(*[(F.col(p) + (d if p == moved else 0)).alias(p) for p in parameters], (F.col(moved) + d).between(0, F.col(f"last_{moved}")).alias("due")) for moved in parameters for d in (-1, 1)]
+    asked = asked.select("trial", F.col("sharpe").alias("own"), F.explode(F.array(*steps)).alias("at")).where("at.due").select("trial", "own", *[F.col("at")[p].alias(p) for p in parameters])
+    met = asked.join(trials.select(*parameters, F.col("sharpe").alias("near")), list(parameters), "left")
+    out = met.groupBy("trial").agg(F.count("*").alias("n_due"), F.count("near").alias("n_found"), F.avg((F.col("near") > 0).cast("double")).alias("share"), F.avg("near").alias("mean"), F.max("own").alias("own"))
     full = F.col("n_found") == F.col("n_due")
-    return out.select("n_due", "n_found", F.when(full, F.col("share")).alias("share_positive"), F.when(full & (F.col("own") > 0), F.col("mean") / F.col("own")).alias("ratio"))
+    return out.select("trial", "n_due", "n_found", F.when(full, F.col("share")).alias("share_positive"), F.when(full & (F.col("own") > 0), F.col("mean") / F.col("own")).alias("ratio"))
 
 
 def stress(returns: DataFrame, multipliers: Sequence[float]) -> DataFrame:
@@ -204,15 +224,17 @@ def shifted_ratio(returns: DataFrame, offsets: Sequence[int], x: str = "net") ->
     return stacked.join(base, "trial").select("trial", "x.offset", (F.col("x.s") / F.when(F.col("base") != 0, F.col("base"))).alias("ratio"))
 
 
-def walk_forward_result(returns: DataFrame, windows: DataFrame) -> DataFrame:
-    """Results per window and their summary, one row: windows, empty ones, positive share, largest window's share of profit."""
-    joined = windows.join(returns, (F.col("time") >= F.col("test_start")) & (F.col("time") < F.col("test_end")), "left") if "bucket" not in windows.columns else windows.join(returns, "bucket", "left")
-    per = joined.groupBy("window_no").agg(F.count("net").alias("n"), F.coalesce(F.sum("net"), F.lit(0.0)).alias("net"))
+def walk_forward_result(returns: DataFrame, windows: DataFrame, by: str = "trial") -> DataFrame:
+    """Per trial its results by window, summed up: windows, empty ones, positive share, largest window's share of profit.
+
+    Returns meet the windows by day buckets (``within``); windows in which a trial has no return are counted as empty.
+    """
+    per = within(returns, "time", windows, "test_start", "test_end").groupBy(by, "window_no").agg(F.count("net").alias("n"), F.sum("net").alias("net"))
+    n_windows = windows.agg(F.count("*").alias("n_windows"))  # one row
     total = F.sum("net")
-    return per.agg(
-        F.count("*").alias("n_windows"), F.count(F.when(F.col("n") == 0, 1)).alias("n_empty"), F.avg(F.when(F.col("n") > 0, (F.col("net") > 0).cast("double"))).alias("positive_share"),
-        F.when(total > 0, F.max("net") / total).alias("largest_share"),
-    )
+    out = per.where("n > 0").groupBy(by).agg(F.count("*").alias("n_full"), F.avg((F.col("net") > 0).cast("double")).alias("positive_share"), F.when(total > 0, F.max("net") / total).alias("largest_share"))
+    all_ = returns.select(by).distinct().join(out, by, "left").crossJoin(F.broadcast(n_windows))
+    return all_.select(by, "n_windows", (F.col("n_windows") - F.coalesce("n_full", F.lit(0))).alias("n_empty"), "positive_share", "largest_share")
 
 
 def capacity(fills: DataFrame, max_participation: float, impact: float) -> DataFrame:
@@ -225,13 +247,12 @@ def capacity(fills: DataFrame, max_participation: float, impact: float) -> DataF
 
 
 def cross_asset(returns: DataFrame, sub_universe_size: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Result and sign per instrument, and results of disjoint groups of the sorted instruments (an odd one joins the last)."""
-    per = returns.groupBy("instrument").agg(F.avg("net").alias("mean_net"), (F.avg("net") > 0).alias("positive"))
-    w = Window.orderBy("instrument")  # one row per instrument
-    numbered = per.withColumn("rn", F.row_number().over(w)).withColumn("k", F.count("*").over(Window.partitionBy()))
-    groups = F.greatest(F.floor(F.col("k") / sub_universe_size), F.lit(1))
-    numbered = numbered.withColumn("group_no", F.least(F.floor((F.col("rn") - 1) / sub_universe_size), groups - 1).cast("int"))
-    return per, numbered.groupBy("group_no").agg(F.count("*").alias("n"), F.avg("mean_net").alias("mean_net"))
+    """Result and sign per instrument, and results of disjoint groups of the sorted instruments (those left over join the last)."""
+    per = materialise(returns.groupBy("instrument").agg(F.avg("net").alias("mean_net"), (F.avg("net") > 0).alias("positive")), "instruments")
+    last = max(per.count() // sub_universe_size, 1) - 1
+    numbered = ranked(per, [F.col("instrument")], "rn")
+    group = F.least(F.floor(F.col("rn") / sub_universe_size), F.lit(last)).cast("int")
+    return per, numbered.groupBy(group.alias("group_no")).agg(F.count("*").alias("n"), F.avg("mean_net").alias("mean_net"))
 
 
 def gate(value: Column, limit: Column, direction: Column, band: Column) -> Column:
@@ -257,13 +278,18 @@ def long_metrics(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> Da
     return wide.select(*by, F.explode(pairs).alias("m")).select(*by, "m.metric", "m.value")
 
 
+def dealt(seed: int, *columns: str) -> Column:
+    """A seeded order of rows: the md5 of seed and columns as text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
 def shuffled(study: DataFrame, seed: int, key: str = "event_key", x: str = "label") -> DataFrame:
     """The study with its labels dealt anew: both columns are ranked, keys by name and labels by a hash with the seed, and joined by rank.
 
     Ranks over the whole table come from sums over range partitions, not from one task.
     """
     keys = ranked(study.select(key), [F.col(key)], "_k")
-    values = ranked(study.select(key, x), [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "_k").select("_k", x)
+    values = ranked(study.select(key, x), [dealt(seed, key), F.col(key)], "_k").select("_k", x)
     return keys.join(values, "_k").drop("_k")
 
 
@@ -275,16 +301,43 @@ def shifted(study: DataFrame, offset: int, key: str = "event_key", x: str = "lab
     return numbered.select(key, "_k").join(moved, "_k").drop("_k")
 
 
+def _in_ranges(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
+    """Rows in range partitions ``_rk_part`` by ``_rk_o``, written once: bounds are sampled, and all readers must see the same."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = df.withColumn("_rk_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange(n, "_rk_o")
+    return materialise(split.withColumn("_rk_part", F.spark_partition_id()), "ranges")
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:
     """Rows numbered from 0 in a total order without a single-task window: range partitions, counted, then offset."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_rk_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange(n, "_rk_o").withColumn("_rk_part", F.spark_partition_id())
-    dealt = materialise(dealt, "ranked")  # range bounds are sampled: rows and counts must see the same ones
-    within = dealt.withColumn("_rk_i", F.row_number().over(Window.partitionBy("_rk_part").orderBy("_rk_o")))
-    counts = within.groupBy("_rk_part").agg(F.count("*").alias("_rk_n"))
+    split = _in_ranges(df, order, partitions)
+    inner = split.withColumn("_rk_i", F.row_number().over(Window.partitionBy("_rk_part").orderBy("_rk_o")))
+    counts = inner.groupBy("_rk_part").agg(F.count("*").alias("_rk_n"))
     before = counts.withColumn("_rk_b", F.coalesce(F.sum("_rk_n").over(Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
-    return within.join(F.broadcast(before.select("_rk_part", "_rk_b")), "_rk_part").withColumn(name, F.col("_rk_b") + F.col("_rk_i") - 1).drop("_rk_o", "_rk_part", "_rk_i", "_rk_b")
+    return inner.join(F.broadcast(before.select("_rk_part", "_rk_b")), "_rk_part").withColumn(name, F.col("_rk_b") + F.col("_rk_i") - 1).drop("_rk_o", "_rk_part", "_rk_i", "_rk_b")
+
+
+def running_max(df: DataFrame, order: Sequence[Column], value: Column, name: str, partitions: int | None = None) -> DataFrame:
+    """The largest ``value`` of all rows up to each one in a total order, nulls passed over, without a single-task window.
+
+    As in ``ranked``: a running maximum inside range partitions, joined with the largest of the partitions before.
+    """
+    split = _in_ranges(df.withColumn("_rk_v", value), order, partitions)
+    inner = split.withColumn("_rk_m", F.max("_rk_v").over(Window.partitionBy("_rk_part").orderBy("_rk_o").rowsBetween(Window.unboundedPreceding, 0)))
+    tops = split.groupBy("_rk_part").agg(F.max("_rk_v").alias("_rk_t"))
+    before = tops.withColumn("_rk_b", F.max("_rk_t").over(Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row per partition
+    return inner.join(F.broadcast(before.select("_rk_part", "_rk_b")), "_rk_part").withColumn(name, F.greatest("_rk_m", "_rk_b")).drop("_rk_o", "_rk_part", "_rk_v", "_rk_m", "_rk_b")
+
+
+def within(rows: DataFrame, time: str, spans: DataFrame, start: str, end: str, bucket_days: int = 16) -> DataFrame:
+    """Rows with each span that their time falls into, ``start <= time < end``: an equi-join on day buckets, not a nested loop.
+
+    Spans are repeated for the buckets they meet; of the two sides Spark broadcasts one only if it is small.
+    """
+    day = lambda c: F.floor(F.unix_date(F.to_date(c)) / bucket_days)
+    repeated = spans.withColumn("_bucket", F.explode(F.sequence(day(F.col(start)), day(F.col(end)))))
+    met = rows.withColumn("_bucket", day(F.col(time))).join(repeated, "_bucket")
+    return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_bucket")
 
 
 def null_percentile(pool: DataFrame, observed: DataFrame, sims: int, seed: int, key: str = "key", x: str = "label") -> DataFrame:
@@ -298,10 +351,10 @@ def null_percentile(pool: DataFrame, observed: DataFrame, sims: int, seed: int,
     n = observed.count()
     draws = spark.range(sims).select(F.col("id").alias("sim"))
     labels = pool.where(F.col(x).isNotNull()).select(key, x)
-    cand = labels.crossJoin(F.broadcast(draws)).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), F.col("sim")))
+    cand = labels.crossJoin(F.broadcast(draws)).withColumn("_h", dealt(seed, key, "sim"))
     # every draw orders the whole pool, so a draw's ranks start at its number times the pool's size
     taken = ranked(cand, [F.col("sim"), F.col("_h"), F.col(key)], "rn").withColumn("rn", F.col("rn") - F.col("sim") * F.lit(labels.count())).where(F.col("rn") < n)
-    sides = ranked(observed.select("side", key), [F.xxhash64(F.lit(seed), F.col("side")), F.col("side"), F.col(key)], "rn").select("side", "rn")
+    sides = ranked(observed.select("side", key), [dealt(seed, key), F.col(key)], "rn").select("side", "rn")
     means = taken.join(sides, "rn").groupBy("sim").agg(F.avg(F.col("side") * F.col(x)).alias("m"), F.count("*").alias("n"))
     own = observed.agg(F.avg(F.col("side") * F.col(x)).alias("own"))
     out = means.where(F.col("n") == n).crossJoin(F.broadcast(own)).agg(F.count("*").alias("sims"), F.count(F.when(F.col("m") < F.col("own"), 1)).alias("below"), F.count(F.when(F.col("m") == F.col("own"), 1)).alias("equal"))
@@ -338,9 +391,14 @@ def degradation(baseline: DataFrame, recent: DataFrame, rules: DataFrame) -> Dat
     return joined.select("metric", "base", "now", decline.alias("decline"), verdict.alias("verdict"))
 
 
-def deviation(run: DataFrame, reference: DataFrame) -> DataFrame:
-    """Two equity curves on equal marks: mean and largest difference, tracking error, first widest mark, unmatched marks. One row."""
-    joined = run.select("time", F.col("equity").alias("a")).join(reference.select("time", F.col("equity").alias("b")), "time", "full")
-    d = joined.withColumn("d", F.col("a") - F.col("b"))
-    widest = F.max_by("time", F.struct(F.abs("d"), -F.unix_micros("time")))
-    return d.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("max_diff"), F.stddev_samp("d").alias("tracking_error"), widest.alias("widest_at"), F.count(F.when(F.col("d").isNull(), 1)).alias("n_unmatched"))
+def deviation(run: DataFrame, reference: DataFrame, by: str = "trial") -> DataFrame:
+    """Each run's equity against a reference on equal marks: ``by``, mean and largest difference, tracking error, first widest mark, unmatched marks.
+
+    ``run``: by, time, equity. ``reference``: time, equity. A mark that only one side has is unmatched.
+    """
+    n_marks = reference.agg(F.count("*").alias("n_marks"))  # one row
+    d = run.select(by, "time", F.col("equity").alias("a")).join(reference.select("time", F.col("equity").alias("b")), "time", "left").withColumn("d", F.col("a") - F.col("b"))
+    widest = F.max_by("time", F.when(F.col("d").isNotNull(), F.struct(F.abs("d"), -F.unix_micros("time"))))
+    both = F.count("b")
+    out = d.groupBy(by).agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("max_diff"), F.stddev_samp("d").alias("tracking_error"), widest.alias("widest_at"), (F.count("*") - both).alias("own"), both.alias("met"))
+    return out.crossJoin(F.broadcast(n_marks)).select(by, "n", "mean_diff", "max_diff", "tracking_error", "widest_at", (F.col("own") + F.col("n_marks") - F.col("met")).alias("n_unmatched"))

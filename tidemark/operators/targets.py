@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import asof, nonzero
+from tidemark.operators.statistics import running_max
 
 
 def _down(x: Column, digits: int = 18) -> Column:
@@ -115,11 +116,18 @@ def volatility_target(targets: DataFrame, volatility: DataFrame, goal: float, le
 
 
 def drawdown_control(targets: DataFrame, equity: DataFrame, limit: float, fraction: float) -> DataFrame:
-    """Targets times ``fraction`` while the latest equity stands more than ``limit`` below its peak; ``equity``: time, equity of one book."""
-    w = Window.partitionBy("book").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    e = equity.select(F.lit(1).alias("book"), F.col("time").alias("at"), "equity").withColumn("deep", 1 - F.col("equity") / F.max("equity").over(w) > limit)
-    j = asof(targets.withColumn("book", F.lit(1)), e, ["book"], "time", "at", "deep")
-    return j.select("time", "instrument", (F.col("target") * F.when(F.coalesce("deep", F.lit(False)), fraction).otherwise(1.0)).alias("target"))
+    """Targets times ``fraction`` while the latest equity stands more than ``limit`` below its peak; ``equity``: time, equity of one book.
+
+    One book has no key to deal rows by: peaks, and then the latest mark before each target, are running maxima over range
+    partitions of time.
+    """
+    e = running_max(equity.select(F.col("time").alias("at"), "equity"), [F.col("at"), F.col("equity")], F.col("equity"), "peak")
+    mark = F.struct("at", "equity", (1 - F.col("equity") / F.col("peak") > limit).alias("deep"))
+    marks = e.select("at", F.lit(0).alias("side"), mark.alias("mark"))
+    asked = targets.select(F.col("time").alias("at"), F.lit(1).alias("side"), F.struct("time", "instrument", "target").alias("ask"))
+    both = marks.unionByName(asked, allowMissingColumns=True)
+    found = running_max(both, [F.col("at"), F.col("side")], F.col("mark"), "latest").where("side = 1")
+    return found.select("ask.time", "ask.instrument", (F.col("ask.target") * F.when(F.coalesce(F.col("latest.deep"), F.lit(False)), fraction).otherwise(1.0)).alias("target"))
 
 
 def route(states: DataFrame, table: dict[str, dict[str, float]], fallback: dict[str, float]) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.operators import events as E
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
 from tidemark.operators import states as S
-from tidemark.plans.inputs import bars, bars_sql, full_sql, points, r, runs_sql, table, trades
+from tidemark.plans.inputs import bars, bars_sql, events, full_sql, points, r, runs_sql, table, trades
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -55,9 +55,9 @@ add(
     f"WITH {SIDES} SELECT a.key, a.event_id, a.event_time + INTERVAL {W} SECOND AS event_time FROM a WHERE NOT EXISTS (SELECT 1 FROM p WHERE a.key = p.key AND p.event_time >= a.event_time AND p.event_time <= a.event_time + INTERVAL {W} SECOND)",
 )
 add(
-    "c23_event_count", lambda s, d: E.at_least(a(s, d), 2, W).select("key", "event_id", "event_time", "n_events", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited")),
-    f"""WITH {SIDES}, m AS (SELECT key, event_id, event_time, count(*) OVER w AS n_events, list(event_id) OVER w AS cited FROM a WINDOW w AS (PARTITION BY key ORDER BY event_time RANGE BETWEEN INTERVAL {W} SECOND PRECEDING AND CURRENT ROW))
-    SELECT key, event_id, event_time, n_events, array_to_string(list_sort(cited), ',') AS cited FROM m WHERE n_events >= 2""",
+    "c23_event_count", lambda s, d: E.at_least(a(s, d), 2, W),
+    f"""WITH {SIDES}, m AS (SELECT key, event_id, event_time, count(*) OVER w AS n_events, first_value(event_id) OVER w AS first_id, first_value(event_time) OVER w AS first_time FROM a WINDOW w AS (PARTITION BY key ORDER BY event_time RANGE BETWEEN INTERVAL {W} SECOND PRECEDING AND CURRENT ROW))
+    SELECT key, event_id, event_time, n_events, first_id, first_time FROM m WHERE n_events >= 2""",
 )
 add(
     "c28_lead_lag", lambda s, d: E.lead_lag(a(s, d), p(s, d), W, 7200),
@@ -169,5 +169,7 @@ QUERIES["b06_visible_latest"] = lambda s, d: visible(s, d).groupBy("symbol").agg
 ORACLE["b06_visible_latest"] = "SELECT event_type AS symbol, arg_max(event_id, ts) AS venue_trade_id, arg_max(value, ts) AS price FROM events WHERE ts + INTERVAL 61 SECOND <= TIMESTAMP '2024-01-15' GROUP BY 1"
 QUERIES["f03_latest_per_key"] = lambda s, d: points(s, d, "click").groupBy("key").agg(F.max_by("event_id", F.struct("event_time", "event_id")).alias("event_id"), F.max("event_time").alias("event_time"))
 ORACLE["f03_latest_per_key"] = "SELECT user_id AS key, arg_max(event_id, ts) AS event_id, max(ts) AS event_time FROM events WHERE event_type = 'click' GROUP BY 1"
+QUERIES["f04_latest_event"] = lambda s, d: E.latest(events(s, d).select(F.col("user_id").alias("key"), F.date_trunc("day", "ts").alias("day"), "event_id", F.col("ts").alias("event_time"), "event_type"), ["key", "day"])
+ORACLE["f04_latest_event"] = "SELECT user_id AS key, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS event_time, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1, 2"
 QUERIES["b08_visible_events"] = lambda s, d: points(s, d, "view").withColumn("available_time", F.col("event_time") + F.expr("interval 90 seconds")).where("available_time <= timestamp '2024-01-15 00:00:00'").select("key", "event_id", "available_time")
 ORACLE["b08_visible_events"] = "SELECT user_id AS key, event_id, ts + INTERVAL 90 SECOND AS available_time FROM events WHERE event_type = 'view' AND ts + INTERVAL 90 SECOND <= TIMESTAMP '2024-01-15'"

@@ -121,7 +121,10 @@ add("g01_tagged_union", lambda s, d: ids(s, d, "A").withColumn("channel", F.lit(
 add("g02_distinct_ids", lambda s, d: ids(s, d, "A").distinct(), f"WITH {IDS} SELECT DISTINCT id FROM a")
 add("g03_union_ids", lambda s, d: ids(s, d, "A").union(ids(s, d, "R")).distinct(), f"WITH {IDS} SELECT id FROM a UNION SELECT id FROM b")
 add("g04_difference_ids", lambda s, d: ids(s, d, "A").distinct().join(ids(s, d, "R"), "id", "left_anti"), f"WITH {IDS} SELECT id FROM a EXCEPT SELECT id FROM b")
-add("g05_expand_frontier", lambda s, d: R.expand(revs(s, d).where("observation_key % 10 = 1").select("revision_id"), edges(s, d)), f"WITH {REVS} SELECT DISTINCT superseded_revision_id AS revision_id FROM edges WHERE revision_id IN (SELECT revision_id FROM revs WHERE observation_key % 10 = 1)")
+add(
+    "g05_expand_frontier", lambda s, d: R.expand(revs(s, d).select("revision_id").join(edges(s, d).select(F.col("superseded_revision_id").alias("revision_id")), "revision_id", "left_anti"), edges(s, d)),
+    f"WITH {REVS} SELECT DISTINCT superseded_revision_id AS revision_id FROM edges WHERE revision_id NOT IN (SELECT superseded_revision_id FROM edges)",
+)
 add("g06_repeated_keys", lambda s, d: R.repeated(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 
 
@@ -143,7 +146,13 @@ def batches(s, d):
 
 add("g08_expected_committed", batches, "WITH w AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS batch, count(*) AS n_expected, nullif(count(*) FILTER (WHERE o_orderpriority <> '5-LOW' AND month(o_orderdate) <> 7), 0) AS n_committed FROM orders GROUP BY 1) SELECT batch, n_expected, n_committed, CASE WHEN n_committed IS NULL THEN 'missing' WHEN n_committed < n_expected THEN 'partial' ELSE 'complete' END AS state FROM w")
 add("g09_symmetric_difference", lambda s, d: ids(s, d, "A").distinct().withColumn("side", F.lit("a")).join(ids(s, d, "R").distinct(), "id", "left_anti").unionByName(ids(s, d, "R").distinct().withColumn("side", F.lit("r")).join(ids(s, d, "A"), "id", "left_anti")), f"WITH {IDS} SELECT id, 'a' AS side FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'r' FROM (SELECT id FROM b EXCEPT SELECT id FROM a)")
-add("d26_batch_fingerprint", lambda s, d: R.fingerprint(table(s, d, "lineitem"), ["l_returnflag"]).select("l_returnflag", "n_rows", F.col("sum1").cast("string").alias("sum1"), F.col("sum2").cast("string").alias("sum2")))
+HASHED = [f"'=' || replace(replace(CAST({c} AS VARCHAR), '%', '%25'), '|', '%7C')" for c in sorted("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_linestatus l_shipdate".split())]
+ROW_TEXT = ", ".join(f"coalesce({c}, '!')" for c in HASHED)
+add(
+    "d26_batch_fingerprint", lambda s, d: R.fingerprint(table(s, d, "lineitem"), ["l_returnflag"]).select("l_returnflag", "n_rows", F.col("sum1").cast("string").alias("sum1"), F.col("sum2").cast("string").alias("sum2")),
+    f"""WITH h AS (SELECT l_returnflag, ('0x' || substr(md5(concat_ws('|', '', {ROW_TEXT})), 1, 15))::BIGINT AS h1, ('0x' || substr(md5(concat_ws('|', 'second', {ROW_TEXT})), 1, 15))::BIGINT AS h2 FROM lineitem)
+    SELECT l_returnflag, count(*) AS n_rows, CAST(sum(h1) AS VARCHAR) AS sum1, CAST(sum(h2) AS VARCHAR) AS sum2 FROM h GROUP BY l_returnflag""",
+)
 
 # ---- availability
 AV = "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS observable, CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 5 - 1) * INTERVAL 1 DAY AS ingest, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR END AS source_time FROM orders"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
@@ -14,7 +16,9 @@ from tidemark.operators import labels as L
 from tidemark.operators import splits as P
 from tidemark.operators import states as S
 from tidemark.operators import targets as G
-from tidemark.operators.bars import time_bars
+from tidemark.operators.bars import resample, time_bars
+from tidemark.operators.statistics import ranked
+from tidemark.plans import event_queries, target_queries
 from tidemark.plans.inputs import bars, bars_sql, events, full_sql, r, runs_sql, table, trades
 from tidemark.plans.registry import Registry, causality, fit_predict
 from tidemark.plans.statistics_queries import FOLDS, RET, SHARPE, returns
@@ -110,8 +114,8 @@ add("a06_replay_safe_ingest", ingest, "SELECT count(*) FILTER (WHERE o_orderkey
 def snapshot(s, d):
     root, o = folder(s, "snapshots"), table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     for flag in ("F", "O", "P"):
-        K.commit_snapshot(o.where(F.col("o_orderstatus") == flag), root)
-    return K.read_snapshot(s, root, 1).where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus")
+        K.append_batch(o.where(F.col("o_orderstatus") == flag), root, flag)
+    return K.read_batches(s, root, ["F", "O"]).where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus")
 
 
 add("a07_pinned_snapshot", snapshot, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000")
@@ -124,7 +128,7 @@ def batch(s, d):
         K.append_batch(o.where("o_orderstatus = 'O'"), root, "b1")
     except K.Conflict:
         said.append("conflict")
-    return s.read.parquet(f"{root}/rows").groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("said", F.lit(",".join(said)))
+    return K.read_batches(s, root).groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("said", F.lit(",".join(said)))
 
 
 add("a09_idempotent_batch", batch, "SELECT 'b1' AS batch_id, count(*) AS n, 'written,replayed,conflict' AS said FROM orders WHERE o_orderstatus = 'F'")
@@ -151,7 +155,8 @@ TREND = f"WITH {runs_sql()}, st AS (SELECT symbol, interval_start, CASE WHEN k <
 def stored(s, df, name, index=None):
     root = folder(s, name)
     key = K.put_run(df, root, index)
-    assert key == K.put_run(df, root, index)
+    if key != K.put_run(df.repartition(3), root, index):
+        raise K.Conflict(f"{name}: one content has two hashes")
     return K.get_run(s, root, key)
 
 
@@ -159,24 +164,27 @@ add("a11_state_run", lambda s, d: stored(s, state_rows(s, d), "states"), TREND +
 
 
 def event_run(s, d):
-    from pyspark.sql import Window
-
     e = events(s, d).where("event_type = 'purchase'").select("event_id", F.col("ts").alias("event_time"))
-    return stored(s, e.withColumn("event_index", F.row_number().over(Window.orderBy("event_time", "event_id")) - 1), "events", "event_index")
+    return stored(s, ranked(e, [F.col("event_time"), F.col("event_id")], "event_index"), "events", "event_index")
 
 
-add("a12_event_run", event_run, "SELECT event_id, ts AS event_time, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS INTEGER) AS event_index FROM events WHERE event_type = 'purchase'")
+add("a12_event_run", event_run, "SELECT event_id, ts AS event_time, row_number() OVER (ORDER BY ts, event_id) - 1 AS event_index FROM events WHERE event_type = 'purchase'")
 
 
 def manifest(s, d):
-    root = folder(s, "manifests")
-    n = table(s, d, "orders").count()
-    keys = {K.put_manifest(s, root, m) for m in ({"table": "orders", "rows": n}, {"rows": n, "table": "orders"}, {"table": "none", "rows": 0})}
-    bad = K.bad_manifests(s, root).count()
-    return s.read.parquet(root).select("content_hash", "body", F.lit(len(keys)).alias("n_keys"), F.lit(bad).alias("n_bad"))
+    """A manifest per status and month of orders, stored twice and then once more with all the others."""
+    root, o = folder(s, "manifests"), table(s, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    facts = o.groupBy("o_orderstatus", "month").agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")).withColumnRenamed("o_orderstatus", "part")
+    for some in (facts.where("part = 'F'"), facts.where("part = 'F'")):
+        K.store_manifests(some, root)
+    return K.store_manifests(facts, root).join(K.bad_manifests(s.read.parquet(root)), "content_hash", "left_anti")
 
 
-add("a13_manifests", manifest, "SELECT sha256(body) AS content_hash, body, 2 AS n_keys, 0 AS n_bad FROM (SELECT '{\"rows\":' || (SELECT count(*) FROM orders) || ',\"table\":\"orders\"}' AS body UNION ALL SELECT '{\"rows\":0,\"table\":\"none\"}')")
+add(
+    "a13_manifests", manifest,
+    """SELECT sha256(body) AS content_hash, body FROM (SELECT '{"first_key":' || min(o_orderkey) || ',"last_key":' || max(o_orderkey) || ',"month":"' || strftime(o_orderdate, '%Y-%m') || '","n_rows":' || count(*) || ',"part":"' || o_orderstatus || '"}' AS body
+    FROM orders GROUP BY o_orderstatus, strftime(o_orderdate, '%Y-%m'))""",
+)
 
 
 def keyed_bars(s, d):
@@ -187,8 +195,6 @@ add("a14_verified_bars", lambda s, d: K.verified_bars(keyed_bars(s, d), keyed_ba
 
 
 def complete(s, d):
-    from tidemark.operators.bars import resample
-
     return K.observations(resample(bars(s, d), 240, 60)).select("symbol", "interval_start", r(F.col("close")).alias("close"))
 
 
@@ -197,22 +203,28 @@ add("a15_feature_observations", complete, f"WITH {bars_sql()} SELECT symbol, tim
 
 def outcome_run(s, d):
     ev = events(s, d).where("event_type = 'purchase'").select(F.lit("view").alias("symbol"), F.col("event_id").alias("event_key"), F.col("ts").alias("event_time"))
-    return stored(s, L.forward_return(ev, bars(s, d), 60, 4), "outcomes").groupBy().agg(F.count("*").alias("n"), F.count("label").alias("n_known"))
+    return stored(s, L.forward_return(ev, bars(s, d), 60, 4), "outcomes").select("event_key", "event_time", "known_at", r(F.col("label")).alias("label"))
 
 
-add("a17_outcome_table", outcome_run, "SELECT count(*) AS n, count(label) AS n_known FROM (" + __import__("tidemark.plans.event_queries", fromlist=["ORACLE"]).ORACLE["e35_forward_return"] + ")")
+add("a17_outcome_table", outcome_run, event_queries.ORACLE["e35_forward_return"])
 add("a19_lineage_inputs", lambda s, d: K.lineage_inputs(table(s, d, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("evaluation_time"), F.col("o_custkey").alias("value")), "orders").select("source", "symbol", "available_time", "value", F.length("lineage_hash").alias("hash_length")), "SELECT 'orders' AS source, o_orderstatus AS symbol, CAST(o_orderdate AS TIMESTAMP) AS available_time, o_custkey AS value, 64 AS hash_length FROM orders")
 
 
 def failure_log(s, d):
-    root = folder(s, "failures")
-    n = table(s, d, "supplier").where("s_acctbal < 0").count()
-    for i, family in enumerate(("momentum", "reversion", "momentum")):
-        K.log_failure(s, root, subject=f"s{i}", family=family, reason=f"{n} suppliers in debt", terminal_state="rejected", gate_id="g1")
-    return K.failures(s, root, family="momentum", gate_id="g1").select("subject", "family", "reason", "terminal_state")
+    """Suppliers that fail a gate on their balance or on what they deliver, logged gate by gate and asked for by gate and state."""
+    root, li = folder(s, "failures"), table(s, d, "lineitem")
+    debt = table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("subject"), F.col("s_nationkey").alias("family"), F.lit("balance below zero").alias("reason"))
+    late = li.groupBy("l_suppkey").agg(F.avg("l_discount").alias("given")).where("given > 0.05").select(F.col("l_suppkey").alias("subject"), F.lit(None).alias("family"), F.lit("discount above five percent").alias("reason"))
+    for gate, failed in (("balance", debt), ("discount", late)):
+        K.log_failures(failed.withColumns({"terminal_state": F.when(F.col("subject") % 2 == 0, "rejected").otherwise("parked"), "gate_id": F.lit(gate)}), root)
+    return K.failures(s, root, terminal_state="rejected").select("subject", "family", "reason", "gate_id")
 
 
-add("a20_failure_log", failure_log, "SELECT s AS subject, 'momentum' AS family, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) || ' suppliers in debt' AS reason, 'rejected' AS terminal_state FROM (VALUES ('s0'), ('s2')) v(s)")
+add(
+    "a20_failure_log", failure_log,
+    """SELECT * FROM (SELECT CAST(s_suppkey AS VARCHAR) AS subject, CAST(s_nationkey AS VARCHAR) AS family, 'balance below zero' AS reason, 'balance' AS gate_id FROM supplier WHERE s_acctbal < 0
+    UNION ALL SELECT CAST(l_suppkey AS VARCHAR), NULL, 'discount above five percent', 'discount' FROM lineitem GROUP BY l_suppkey HAVING avg(l_discount) > 0.05) WHERE CAST(subject AS BIGINT) % 2 = 0""",
+)
 
 # ---- providers
 REG = Registry()
@@ -251,8 +263,6 @@ def _halve(t):
 @REG.register("feature", "volatility_change")
 def _volatility_change(b, n):
     """A feature of a feature."""
-    from pyspark.sql import Window
-
     v = REG.run("feature", "volatility", b, n=n)
     return v.withColumn("value", F.col("value") - F.lag("value").over(Window.partitionBy("symbol").orderBy("time")))
 
@@ -268,8 +278,6 @@ class Months:
     """Row-generating form: the month starts that a span covers."""
 
     def eval(self, start, end):
-        import datetime
-
         y, m, k = start.year, start.month, 0
         while datetime.datetime(y, m, 1) <= end:
             yield k, datetime.datetime(y, m, 1)
@@ -278,19 +286,29 @@ class Months:
 
 def months(s, d):
     s.udtf.register("span_months", Months)
-    table(s, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("a"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 70 days")).alias("b")).createOrReplaceTempView("tidemark_spans")
+    table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("a"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 70 days")).alias("b")).createOrReplaceTempView("tidemark_spans")
     return s.sql("SELECT o_orderkey, month_no, month_start FROM tidemark_spans, LATERAL span_months(a, b)")
 
 
-add("j03_event_udtf", months, "SELECT o_orderkey, CAST(k AS INTEGER) AS month_no, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH AS month_start FROM orders, (VALUES (0), (1), (2), (3)) v(k) WHERE o_orderkey % 20 = 0 AND CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH <= o_orderdate + INTERVAL 70 DAY")
+add("j03_event_udtf", months, "SELECT o_orderkey, CAST(k AS INTEGER) AS month_no, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH AS month_start FROM orders, (VALUES (0), (1), (2), (3)) v(k) WHERE CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH <= o_orderdate + INTERVAL 70 DAY")
+
+
+def months_native(s, d):
+    """The same rows from a sequence of months: no Python worker."""
+    a = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
+    starts = F.sequence(a, F.col("o_orderdate").cast("timestamp") + F.expr("interval 70 days"), F.expr("interval 1 month"))
+    return table(s, d, "orders").select("o_orderkey", F.posexplode(starts).alias("month_no", "month_start"))
+
+
+add("j03_event_sequence", months_native, ORACLE["j03_event_udtf"])
 
 
 def outcome_events(s, d):
     return events(s, d).where("event_type = 'purchase'").select(F.lit("view").alias("symbol"), F.col("event_id").alias("event_key"), F.col("ts").alias("event_time"))
 
 
-add("j04_outcome_provider", lambda s, d: REG.run("outcome", "forward", outcome_events(s, d), bars(s, d)).select("event_key", r(F.col("label")).alias("label")), "SELECT event_key, label FROM (" + __import__("tidemark.plans.event_queries", fromlist=["ORACLE"]).ORACLE["e35_forward_return"] + ")")
-add("j05_strategy_and_risk", lambda s, d: REG.run("risk", "halve", REG.run("strategy", "momentum", bars(s, d, 240))).select("time", "instrument", r(F.col("target")).alias("target")), "SELECT time, instrument, round(target / 2, 6) AS target FROM (" + __import__("tidemark.plans.target_queries", fromlist=["ORACLE"]).ORACLE["e39_time_series_momentum"] + ")")
+add("j04_outcome_provider", lambda s, d: REG.run("outcome", "forward", outcome_events(s, d), bars(s, d)).select("event_key", r(F.col("label")).alias("label")), "SELECT event_key, label FROM (" + event_queries.ORACLE["e35_forward_return"] + ")")
+add("j05_strategy_and_risk", lambda s, d: REG.run("risk", "halve", REG.run("strategy", "momentum", bars(s, d, 240))).select("time", "instrument", r(F.col("target")).alias("target")), "SELECT time, instrument, round(target / 2, 6) AS target FROM (" + target_queries.ORACLE["e39_time_series_momentum"] + ")")
 add("j07_feature_of_feature", lambda s, d: REG.run("feature", "volatility_change", bars(s, d), n=5).select("symbol", "time", r(F.col("value")).alias("value")), VOL + " SELECT symbol, time, round(value - lag(value) OVER (PARTITION BY symbol ORDER BY time), 6) AS value FROM v")
 
 

@@ -29,17 +29,48 @@ SPANS = """spans AS (SELECT DISTINCT l_suppkey AS supplier, concat_ws('|', l_sup
 
 
 def returns(s, d):
-    """``trial, time, time_no, gross, cost, net``: a trial is a tenth of the suppliers, a period a month."""
+    """``trial, time, time_no, gross, cost, net``: a trial is a supplier, a period a month, counted from the first of the table."""
     li = table(s, d, "lineitem")
-    out = li.groupBy((F.col("l_suppkey") % 10).alias("trial"), F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("time")).agg(
+    month = lambda c: (F.year(c) * 12 + F.month(c)).cast("long")
+    first = li.agg(month(F.min("l_shipdate")).alias("first"))  # one row
+    out = li.groupBy(F.col("l_suppkey").alias("trial"), F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("time")).agg(
         F.round(F.avg(F.col("l_extendedprice") * F.col("l_discount")) / 10000 - 0.25, 9).alias("gross"), F.round(F.avg("l_tax") / 10, 9).alias("cost"), F.count("*").alias("n_lines"), F.sum("l_quantity").alias("traded"), F.sum("l_extendedprice").alias("market_volume")
     )
-    return out.withColumn("net", F.col("gross") - F.col("cost")).withColumn("time_no", (F.year("time") * 12 + F.month("time")).cast("long") - F.lit(1998 * 12 + 1)).where(F.col("time_no").between(0, 35))
+    return out.crossJoin(F.broadcast(first)).withColumn("net", F.col("gross") - F.col("cost")).withColumn("time_no", month(F.col("time")) - F.col("first")).drop("first")
+
+
+RET = """rets AS (SELECT *, gross - cost AS net, (year(time) * 12 + month(time)) - (SELECT year(min(l_shipdate)) * 12 + month(min(l_shipdate)) FROM lineitem) AS time_no FROM (
+  SELECT l_suppkey AS trial, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, round(avg(l_extendedprice * l_discount) / 10000 - 0.25, 9) AS gross, round(avg(l_tax) / 10, 9) AS cost, count(*) AS n_lines, sum(l_quantity) AS traded, sum(l_extendedprice) AS market_volume
+  FROM lineitem GROUP BY 1, 2))"""
+
+
+def _horner_sql(coefficients, x):
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def tail_sql(z: str) -> str:
+    """The upper normal tail of a column, as ``normal_sf`` forms it."""
+    x, far = f"abs({z})", f"greatest(abs({z}), {T.TAIL_FROM})"
+    series, fraction = "1.0", far
+    for k in range(T.SERIES, 0, -1):
+        series = f"(1.0 + {x} * {x} / {2 * k + 1}.0 * {series})"
+    for k in range(T.FRACTION, 0, -1):
+        fraction = f"({far} + {k}.0 / {fraction})"
+    density = f"(exp(-{x} * {x} / 2.0) / sqrt(2.0 * pi()))"
+    tail = f"CASE WHEN {x} < {T.TAIL_FROM} THEN 0.5 - {density} * {x} * {series} ELSE {density} / {fraction} END"
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1.0 - ({tail}) END"
+
+
+def quantile_sql(p: str) -> str:
+    q, far = f"({p} - 0.5)", f"sqrt(-2.0 * ln(least({p}, 1.0 - {p})))"
+    middle = f"{q} * {_horner_sql(T.CENTRE_OVER, f'({q} * {q})')} / {_horner_sql(T.CENTRE_UNDER, f'({q} * {q})')}"
+    tail = f"{_horner_sql(T.TAIL_OVER, far)} / {_horner_sql(T.TAIL_UNDER, far)}"
+    return f"CASE WHEN abs({q}) <= 0.47575 THEN {middle} WHEN {q} < 0 THEN {tail} ELSE -({tail}) END"
 
 
-RET = """rets AS (SELECT *, gross - cost AS net, (year(time) * 12 + month(time)) - (1998 * 12 + 1) AS time_no FROM (
-  SELECT l_suppkey % 10 AS trial, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, round(avg(l_extendedprice * l_discount) / 10000 - 0.25, 9) AS gross, round(avg(l_tax) / 10, 9) AS cost, count(*) AS n_lines, sum(l_quantity) AS traded, sum(l_extendedprice) AS market_volume
-  FROM lineitem GROUP BY 1, 2) WHERE (year(time) * 12 + month(time)) - (1998 * 12 + 1) BETWEEN 0 AND 35)"""
 SHARPE = "CASE WHEN count({0}) > 1 AND stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) ELSE 0 END"
 
 add("d09_effective_sample", lambda s, d: T.effective_sample(spans(s, d), ["supplier"], "start", "end"), f"""WITH {SPANS}, b AS (SELECT *, max("end") OVER (PARTITION BY supplier ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans)
@@ -54,22 +85,26 @@ add(
     f"""WITH {RET}, c AS (SELECT *, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), p AS (SELECT *, {HAC} FROM c), q AS (SELECT trial, count(*) AS n, avg(net) AS mean, {LONG} AS lv FROM p GROUP BY trial), e AS (SELECT *, CASE WHEN n > 1 AND lv > 0 THEN sqrt(lv) / n END AS se FROM q)
     SELECT trial, n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 6) AS t FROM e""",
 )
-add("d11_hac_p_values", lambda s, d: T.hac_test(returns(s, d), ["trial"], ["time"], "net", L).select("trial", r(F.col("p_greater")).alias("p_greater"), r(F.col("p_two_sided")).alias("p_two_sided")))
-add("h18_normal_tail", lambda s, d: returns(s, d).select("trial", "time", r(T.normal_sf(F.col("net") * 10)).alias("tail")))
+HAC_SQL = f"""WITH {RET}, c AS (SELECT *, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), p AS (SELECT *, {HAC} FROM c), q AS (SELECT trial, count(*) AS n, avg(net) AS mean, {LONG} AS lv FROM p GROUP BY trial), e AS (SELECT *, CASE WHEN n > 1 AND lv > 0 THEN sqrt(lv) / n END AS se FROM q)"""
+add(
+    "d11_hac_p_values", lambda s, d: T.hac_test(returns(s, d), ["trial"], ["time"], "net", L).select("trial", r(F.col("p_greater")).alias("p_greater"), r(F.col("p_two_sided")).alias("p_two_sided")),
+    f"{HAC_SQL}, t AS (SELECT trial, mean / se AS t, abs(mean / se) AS a FROM e) SELECT trial, round({tail_sql('t')}, 6) AS p_greater, round(2 * ({tail_sql('a')}), 6) AS p_two_sided FROM t",
+)
+add("h18_normal_tail", lambda s, d: returns(s, d).select("trial", "time", r(T.normal_sf(F.col("net") * 10)).alias("tail")), f"WITH {RET}, z AS (SELECT trial, time, net * 10 AS z FROM rets) SELECT trial, time, round({tail_sql('z')}, 6) AS tail FROM z")
 add(
     "d12_adjust_p", lambda s, d: returns(s, d).where("gross between 0 and 1").select("trial", "time", r(T.adjust_p(F.col("gross") / 10, F.lit(10), "bonferroni")).alias("bonferroni"), r(T.adjust_p(F.col("gross") / 10, F.lit(10), "sidak")).alias("sidak")),
     f"WITH {RET} SELECT trial, time, round(least(1.0, gross / 10 * 10), 6) AS bonferroni, round(1 - power(1 - gross / 10, 10), 6) AS sidak FROM rets WHERE gross BETWEEN 0 AND 1",
 )
-WINDOWS = "w AS (SELECT i AS window_no, t AS train_start, t + INTERVAL 360 DAY AS test_start, t + INTERVAL 450 DAY AS test_end FROM (SELECT range AS i, TIMESTAMP '1998-01-01' + range * INTERVAL 90 DAY AS t FROM range(0, 100)) WHERE t + INTERVAL 450 DAY <= TIMESTAMP '2001-01-01')"
+WINDOWS = """w0 AS (SELECT CAST(date_trunc('day', min(start)) AS TIMESTAMP) AS a, CAST(date_trunc('day', max("end")) AS TIMESTAMP) AS z FROM spans), w AS (SELECT CAST(range AS INTEGER) AS window_no, a + range * INTERVAL 90 DAY AS train_start, a + range * INTERVAL 90 DAY + INTERVAL 360 DAY AS test_start, a + range * INTERVAL 90 DAY + INTERVAL 450 DAY AS test_end FROM w0, range(0, 10000) WHERE a + range * INTERVAL 90 DAY + INTERVAL 450 DAY <= z)"""
 
 
-def windows(s):
-    return P.walk_forward_windows(s, "1998-01-01", "2001-01-01", 360, 90, 90)
+def windows(s, d):
+    return P.walk_forward_windows(spans(s, d), 360, 90, 90)
 
 
-add("d13_walk_forward_windows", lambda s, d: windows(s).crossJoin(F.broadcast(spans(s, d).agg(F.count("*").alias("n_all")))).select("window_no", "train_start", "test_start", "test_end", "n_all"), f"WITH {SPANS}, {WINDOWS} SELECT CAST(window_no AS INTEGER) AS window_no, train_start, test_start, test_end, (SELECT count(*) FROM spans) AS n_all FROM w")
+add("d13_walk_forward_windows", windows, f"WITH {SPANS}, {WINDOWS} SELECT window_no, train_start, test_start, test_end FROM w")
 ROLE = """CASE WHEN start >= test_start AND start < test_end THEN 'test' WHEN start < test_end AND "end" > test_start THEN 'purged' WHEN start >= test_end AND start < test_end + INTERVAL 864000 SECOND THEN 'embargoed' ELSE 'train' END"""
-add("d13_walk_forward_folds", lambda s, d: P.walk_forward(spans(s, d), windows(s), 864_000).groupBy("window_no", "role").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end")), f"""WITH {SPANS}, {WINDOWS}, j AS (SELECT CAST(window_no AS INTEGER) AS window_no, start, "end", {ROLE} AS role FROM spans JOIN w ON start >= train_start AND start < test_end)
+add("d13_walk_forward_folds", lambda s, d: P.walk_forward(spans(s, d), windows(s, d), 864_000).groupBy("window_no", "role").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end")), f"""WITH {SPANS}, {WINDOWS}, j AS (SELECT window_no, start, "end", {ROLE} AS role FROM spans JOIN w ON start >= train_start AND start < test_end)
 SELECT window_no, role, count(*) AS n, min(start) AS first_start, max("end") AS last_end FROM j GROUP BY window_no, role""")
 FOLDS = f"""{SPANS}, f AS (SELECT *, ntile(5) OVER (ORDER BY start, key) - 1 AS fold FROM spans), t AS (SELECT fold AS test_fold, min(start) AS test_start, max("end") AS test_end FROM f GROUP BY fold),
 j AS (SELECT CAST(test_fold AS INTEGER) AS fold, key, start, CASE WHEN fold = test_fold THEN 'test' WHEN start < test_end AND "end" > test_start THEN 'purged' WHEN start >= test_end AND start < test_end + INTERVAL 864000 SECOND THEN 'embargoed' ELSE 'train' END AS role FROM f, t)"""
@@ -108,8 +143,8 @@ add(
 COMP = "CASE WHEN min(net) <= -1 THEN -1.0 ELSE exp(sum(ln(1 + CASE WHEN net > -1 THEN net END))) - 1 END"
 add("d17_compounded_return", lambda s, d: returns(s, d).groupBy("trial").agg(r(T.compounded("net")).alias("compounded")), f"WITH {RET} SELECT trial, round({COMP}, 6) AS compounded FROM rets GROUP BY trial")
 add(
-    "d18_benchmark", lambda s, d: T.excess(returns(s, d), returns(s, d).where("trial = 0")).select("trial", "n", *[r(F.col(c)).alias(c) for c in ("mean_excess", "positive_share", "inverse_mean", "compounded")]),
-    f"WITH {RET} SELECT r.trial, count(*) AS n, round(avg(r.net - b.net), 6) AS mean_excess, round(avg(CASE WHEN r.net - b.net > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share, round(avg(-r.gross - r.cost), 6) AS inverse_mean, round({COMP.replace('net', 'r.net')}, 6) AS compounded FROM rets r JOIN rets b ON b.trial = 0 AND b.time = r.time GROUP BY r.trial",
+    "d18_benchmark", lambda s, d: T.excess(returns(s, d), returns(s, d).groupBy("time").agg(F.avg("net").alias("net"))).select("trial", "n", *[r(F.col(c)).alias(c) for c in ("mean_excess", "positive_share", "inverse_mean", "compounded")]),
+    f"WITH {RET} SELECT r.trial, count(*) AS n, round(avg(r.net - b.net), 6) AS mean_excess, round(avg(CASE WHEN r.net - b.net > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share, round(avg(-r.gross - r.cost), 6) AS inverse_mean, round({COMP.replace('net', 'r.net')}, 6) AS compounded FROM rets r JOIN (SELECT time, avg(net) AS net FROM rets GROUP BY time) b ON b.time = r.time GROUP BY r.trial",
 )
 add("d19_sharpe", lambda s, d: returns(s, d).groupBy("trial").agg(r(T.sharpe("net")).alias("sharpe")), f"WITH {RET} SELECT trial, round({SHARPE.format('net')}, 6) AS sharpe FROM rets GROUP BY trial")
 add(
@@ -117,11 +152,18 @@ add(
     f"""WITH {RET}, g AS (SELECT *, CAST(floor(time_no * 6 / ((SELECT max(time_no) FROM rets) + 1)) AS INTEGER) AS seg FROM rets), sums AS (SELECT trial, seg, count(*) AS n, sum(net) AS s, sum(net * net) AS q FROM g GROUP BY trial, seg),
     masks AS (SELECT range AS m FROM range(0, 64) WHERE bit_count(CAST(range AS INTEGER)) = 3), per0 AS (SELECT m AS split, trial, (m >> seg) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM masks, sums GROUP BY m, trial, (m >> seg) & 1),
     per AS (SELECT *, round(CASE WHEN n > 1 AND (q - s * s / n) / (n - 1) > 1e-18 THEN s / n / sqrt((q - s * s / n) / (n - 1)) ELSE 0 END, 9) AS sharpe FROM per0),
-    best AS (SELECT split, arg_max(trial, sharpe) AS trial FROM per WHERE inside = 1 GROUP BY split), o AS (SELECT * FROM per WHERE inside = 0),
+    best AS (SELECT split, arg_max(trial, (sharpe, trial)) AS trial FROM per WHERE inside = 1 GROUP BY split), o AS (SELECT * FROM per WHERE inside = 0),
     rk AS (SELECT b.split, (count(*) FILTER (WHERE y.sharpe < x.sharpe) + (count(*) FILTER (WHERE y.sharpe = x.sharpe) + 1) / 2.0) / (count(*) + 1.0) AS rank FROM best b JOIN o x ON x.split = b.split AND x.trial = b.trial JOIN o y ON y.split = b.split GROUP BY b.split)
     SELECT count(*) AS n_splits, round(avg(CASE WHEN ln(rank / (1 - rank)) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, round(avg(ln(rank / (1 - rank))), 6) AS mean_logit FROM rk""",
 )
-add("d21_deflated_sharpe", lambda s, d: T.deflated_sharpe(returns(s, d)).select("trial", "n", *[r(F.col(c)).alias(c) for c in ("sharpe", "expected", "deflated")]))
+GAMMA = 0.5772156649015329
+add(
+    "d21_deflated_sharpe", lambda s, d: T.deflated_sharpe(returns(s, d)).select("trial", "n", *[r(F.col(c)).alias(c) for c in ("sharpe", "expected", "deflated")]),
+    f"""WITH {RET}, c AS (SELECT trial, net, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), per AS (SELECT trial, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(c * c) AS m2, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4 FROM c GROUP BY trial),
+    fam AS (SELECT var_samp(sharpe) AS v, 1 - 1.0 / count(*) AS p1, 1 - 1.0 / (count(*) * exp(1.0)) AS p2, count(*) AS k FROM per), ex AS (SELECT CASE WHEN k > 1 THEN sqrt(v) * ((1 - {GAMMA}) * ({quantile_sql('p1')}) + {GAMMA} * ({quantile_sql('p2')})) ELSE 0 END AS expected FROM fam),
+    x AS (SELECT trial, n, sharpe, expected, 1 - m3 / power(nullif(m2, 0), 1.5) * sharpe + (m4 / nullif(m2 * m2, 0) - 1) / 4 * sharpe * sharpe AS spread FROM per, ex), z AS (SELECT *, (sharpe - expected) * sqrt(n - 1) / CASE WHEN spread > 0 THEN sqrt(spread) END AS z FROM x)
+    SELECT trial, n, round(sharpe, 6) AS sharpe, round(expected, 6) AS expected, round(1 - ({tail_sql('z')}), 6) AS deflated FROM z""",
+)
 
 
 def thresholds(s):
@@ -155,18 +197,17 @@ add("d31_gate_comparison", gates, gate_sql("trial"))
 add("d30_in_sample_gates", lambda s, d: gates(s, d, ()), gate_sql(""))
 add("d22_family_gates", lambda s, d: gates(s, d).groupBy("metric", "outcome").agg(F.count("*").alias("n")), f"SELECT metric, outcome, count(*) AS n FROM ({gate_sql('trial')}) GROUP BY metric, outcome")
 add("d33_pooled_and_each", lambda s, d: gates(s, d, ()).withColumn("scope", F.lit("pooled")).unionByName(gates(s, d).select(F.concat(F.lit("trial "), F.col("trial").cast("string")).alias("scope"), "metric", "value", "limit", "outcome")), f"SELECT 'pooled' AS scope, * FROM ({gate_sql('')}) UNION ALL SELECT 'trial ' || trial AS scope, metric, value, \"limit\", outcome FROM ({gate_sql('trial')})")
-add("d32_sealed_gates", lambda s, d: T.gate_table(T.long_metrics(returns(s, d).where("time_no >= 24 and trial % 2 = 0").groupBy("trial").agg(F.avg("net").alias("mean_net")), ["trial"], ["mean_net"]), thresholds(s).where("metric = 'mean_net'"), ["trial"]).select("trial", r(F.col("value")).alias("value"), "outcome"), f"WITH {RET} SELECT trial, round(avg(net), 6) AS value, CASE WHEN abs(avg(net) - 0.001) <= 0.0005 THEN 'INCONCLUSIVE' WHEN avg(net) >= 0.001 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM rets WHERE time_no >= 24 AND trial % 2 = 0 GROUP BY trial")
-GRID = {"pa": [0, 1, 2, 3, 4], "pb": [0, 1]}
-
-
+add("d32_sealed_gates", lambda s, d: T.gate_table(T.long_metrics(returns(s, d).where("time_no >= 60").groupBy("trial").agg(F.avg("net").alias("mean_net")), ["trial"], ["mean_net"]), thresholds(s).where("metric = 'mean_net'"), ["trial"]).select("trial", r(F.col("value")).alias("value"), "outcome"), f"WITH {RET} SELECT trial, round(avg(net), 6) AS value, CASE WHEN abs(avg(net) - 0.001) <= 0.0005 THEN 'INCONCLUSIVE' WHEN avg(net) >= 0.001 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM rets WHERE time_no >= 60 GROUP BY trial")
 def grid(s, d):
-    return returns(s, d).groupBy("trial").agg(T.sharpe("net").alias("sharpe")).withColumns({"pa": F.floor(F.col("trial") / 2).cast("double"), "pb": (F.col("trial") % 2).cast("double")})
+    """Trials on a grid of two parameters, ten values of the second for each of the first."""
+    return returns(s, d).groupBy("trial").agg(T.sharpe("net").alias("sharpe")).withColumns({"pa": F.floor(F.col("trial") / 10), "pb": F.col("trial") % 10})
 
 
 add(
-    "d23_neighbourhood", lambda s, d: T.neighbourhood(grid(s, d), 4, GRID).select("n_due", "n_found", r(F.col("share_positive")).alias("share_positive"), r(F.col("ratio")).alias("ratio")),
-    f"""WITH {RET}, g AS (SELECT trial, {SHARPE.format('net')} AS sharpe, floor(trial / 2) AS pa, trial % 2 AS pb FROM rets GROUP BY trial), c AS (SELECT * FROM g WHERE trial = 4), n AS (SELECT g.* FROM g, c WHERE abs(g.pa - c.pa) + abs(g.pb - c.pb) = 1)
-    SELECT 3 AS n_due, count(*) AS n_found, CASE WHEN count(*) = 3 THEN round(avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END), 6) END AS share_positive, CASE WHEN count(*) = 3 AND (SELECT sharpe FROM c) > 0 THEN round(avg(sharpe) / (SELECT sharpe FROM c), 6) END AS ratio FROM n""",
+    "d23_neighbourhood", lambda s, d: T.neighbourhood(grid(s, d), ["pa", "pb"]).select("trial", "n_due", "n_found", r(F.col("share_positive")).alias("share_positive"), r(F.col("ratio")).alias("ratio")),
+    f"""WITH {RET}, g AS (SELECT trial, {SHARPE.format('net')} AS sharpe, trial // 10 AS pa, trial % 10 AS pb FROM rets GROUP BY trial), due AS (SELECT g.trial, g.sharpe AS own, pa + da AS na, pb + db AS nb FROM g, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(da, db) WHERE pa + da BETWEEN 0 AND (SELECT max(pa) FROM g) AND pb + db BETWEEN 0 AND (SELECT max(pb) FROM g)),
+    m AS (SELECT due.trial, own, n.sharpe AS near FROM due LEFT JOIN g n ON n.pa = na AND n.pb = nb)
+    SELECT trial, count(*) AS n_due, count(near) AS n_found, CASE WHEN count(*) = count(near) THEN round(avg(CASE WHEN near > 0 THEN 1.0 ELSE 0.0 END), 6) END AS share_positive, CASE WHEN count(*) = count(near) AND max(own) > 0 THEN round(avg(near) / max(own), 6) END AS ratio FROM m GROUP BY trial""",
 )
 add("d24_cost_stress", lambda s, d: T.stress(returns(s, d), [1, 2, 3]).select("trial", "multiplier", r(F.col("net")).alias("net")), f"WITH {RET} SELECT trial, m AS multiplier, round(sum(gross) - m * sum(cost), 6) AS net FROM rets, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) v(m) GROUP BY trial, m")
 
@@ -190,9 +231,10 @@ def delayed(s, d):
 
 add("d24_delay_stress", lambda s, d: delayed(s, d).groupBy("trial").agg(r(T.breakeven_multiple()).alias("breakeven")), f"WITH {POS}, z AS (SELECT trial, r1 AS gross, abs(lag(position) OVER (PARTITION BY trial ORDER BY time_no)) * cost AS cost FROM lagged) SELECT trial, round(avg(gross) / CASE WHEN avg(cost) > 0 THEN avg(cost) END, 6) AS breakeven FROM z GROUP BY trial")
 add(
-    "d25_walk_forward_result", lambda s, d: T.walk_forward_result(returns(s, d).where("trial = 3"), windows(s)).select("n_windows", "n_empty", r(F.col("positive_share")).alias("positive_share"), r(F.col("largest_share")).alias("largest_share")),
-    f"""WITH {RET}, {WINDOWS}, p AS (SELECT window_no, count(net) AS n, coalesce(sum(net), 0) AS net FROM w LEFT JOIN rets ON trial = 3 AND time >= test_start AND time < test_end GROUP BY window_no)
-    SELECT count(*) AS n_windows, count(*) FILTER (WHERE n = 0) AS n_empty, round(avg(CASE WHEN n > 0 THEN CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END END), 6) AS positive_share, CASE WHEN sum(net) > 0 THEN round(max(net) / sum(net), 6) END AS largest_share FROM p""",
+    "d25_walk_forward_result", lambda s, d: T.walk_forward_result(returns(s, d), windows(s, d)).select("trial", "n_windows", "n_empty", r(F.col("positive_share")).alias("positive_share"), r(F.col("largest_share")).alias("largest_share")),
+    f"""WITH {RET}, {SPANS}, {WINDOWS}, p AS (SELECT trial, window_no, sum(net) AS net FROM rets JOIN w ON time >= test_start AND time < test_end GROUP BY trial, window_no),
+    o AS (SELECT trial, count(*) AS n_full, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS positive_share, CASE WHEN sum(net) > 0 THEN max(net) / sum(net) END AS largest_share FROM p GROUP BY trial)
+    SELECT t.trial, (SELECT count(*) FROM w) AS n_windows, (SELECT count(*) FROM w) - coalesce(n_full, 0) AS n_empty, round(positive_share, 6) AS positive_share, round(largest_share, 6) AS largest_share FROM (SELECT DISTINCT trial FROM rets) t LEFT JOIN o USING (trial)""",
 )
 
 
@@ -235,11 +277,11 @@ add(
 
 
 def by_instrument(s, d):
-    return returns(s, d).where("trial <> 9").select(F.concat(F.lit("asset"), F.col("trial").cast("string")).alias("instrument"), "net")
+    return returns(s, d).select(F.concat(F.lit("asset"), F.col("trial").cast("string")).alias("instrument"), "net")
 
 
-add("d29_cross_asset_signs", lambda s, d: T.cross_asset(by_instrument(s, d))[0].select("instrument", r(F.col("mean_net")).alias("mean_net"), "positive"), f"WITH {RET} SELECT 'asset' || trial AS instrument, round(avg(net), 6) AS mean_net, avg(net) > 0 AS positive FROM rets WHERE trial <> 9 GROUP BY trial")
-add("d29_sub_universes", lambda s, d: T.cross_asset(by_instrument(s, d))[1].select("group_no", "n", r(F.col("mean_net")).alias("mean_net")), f"WITH {RET}, p AS (SELECT trial, avg(net) AS m, row_number() OVER (ORDER BY 'asset' || trial) AS rn FROM rets WHERE trial <> 9 GROUP BY trial) SELECT CAST(least(floor((rn - 1) / 2), 3) AS INTEGER) AS group_no, count(*) AS n, round(avg(m), 6) AS mean_net FROM p GROUP BY 1")
+add("d29_cross_asset_signs", lambda s, d: T.cross_asset(by_instrument(s, d))[0].select("instrument", r(F.col("mean_net")).alias("mean_net"), "positive"), f"WITH {RET} SELECT 'asset' || trial AS instrument, round(avg(net), 6) AS mean_net, avg(net) > 0 AS positive FROM rets GROUP BY trial")
+add("d29_sub_universes", lambda s, d: T.cross_asset(by_instrument(s, d))[1].select("group_no", "n", r(F.col("mean_net")).alias("mean_net")), f"WITH {RET}, p AS (SELECT trial, avg(net) AS m, row_number() OVER (ORDER BY 'asset' || trial) AS rn, count(*) OVER () AS k FROM rets GROUP BY trial) SELECT CAST(least((rn - 1) // 2, greatest(k // 2, 1) - 1) AS INTEGER) AS group_no, count(*) AS n, round(avg(m), 6) AS mean_net FROM p GROUP BY 1")
 
 
 def study(s, d):
@@ -248,7 +290,7 @@ def study(s, d):
 
 STUDY = "study AS (SELECT trial || '|' || lpad(CAST(time_no AS VARCHAR), 3, '0') AS event_key, net AS label FROM rets)"
 add("d34_shifted_control", lambda s, d: T.shifted(study(s, d), 5).select("event_key", r(F.col("label")).alias("label")), f"WITH {RET}, {STUDY}, n AS (SELECT *, row_number() OVER (ORDER BY event_key) - 1 AS k, count(*) OVER () AS c FROM study) SELECT a.event_key, round(b.label, 6) AS label FROM n a JOIN n b ON (b.k + 5) % b.c = a.k")
-add("d34_shuffled_control", lambda s, d: T.shuffled(study(s, d), 3).select("event_key", r(F.col("label")).alias("label")))
+add("d34_shuffled_control", lambda s, d: T.shuffled(study(s, d), 3).select("event_key", r(F.col("label")).alias("label")), f"WITH {RET}, {STUDY}, n AS (SELECT event_key, row_number() OVER (ORDER BY event_key) AS k FROM study), v AS (SELECT label, row_number() OVER (ORDER BY md5('3|' || event_key), event_key) AS k FROM study) SELECT event_key, round(label, 6) AS label FROM n JOIN v USING (k)")
 add("b14_instrument_of_key", lambda s, d: study(s, d).select(F.split("event_key", r"\|")[0].alias("instrument"), "label").groupBy("instrument").agg(F.count("*").alias("n"), r(F.sum("label")).alias("total")), f"WITH {RET}, {STUDY} SELECT split_part(event_key, '|', 1) AS instrument, count(*) AS n, round(sum(label), 6) AS total FROM study GROUP BY 1")
 
 
@@ -268,20 +310,35 @@ def curves(s, d):
     return equity(s, d).select("trial", F.col("mark").alias("time"), "equity")
 
 
-DEV = f"WITH {EQ}, d AS (SELECT a.mark AS time, a.equity - b.equity AS d FROM (SELECT * FROM eq WHERE trial = 1) a FULL JOIN (SELECT * FROM eq WHERE trial = 2) b ON a.mark = b.mark)"
+def family(s, d):
+    """The mean curve of all trials."""
+    return curves(s, d).groupBy("time").agg(F.avg("equity").alias("equity"))
+
+
+DEV = f"WITH {EQ}, f AS (SELECT mark, avg(equity) AS equity FROM eq GROUP BY mark), d AS (SELECT a.trial, a.mark AS time, a.equity - f.equity AS d FROM eq a JOIN f USING (mark))"
 add(
-    "d43_deviation_summary", lambda s, d: T.deviation(curves(s, d).where("trial = 1"), curves(s, d).where("trial = 2")).select("n", "widest_at", "n_unmatched", *[r(F.col(c)).alias(c) for c in ("mean_diff", "max_diff", "tracking_error")]),
-    DEV + " SELECT count(d) AS n, (SELECT time FROM d ORDER BY abs(d) DESC, time LIMIT 1) AS widest_at, count(*) FILTER (WHERE d IS NULL) AS n_unmatched, round(avg(d), 6) AS mean_diff, round(max(abs(d)), 6) AS max_diff, round(stddev_samp(d), 6) AS tracking_error FROM d",
+    "d43_deviation_summary", lambda s, d: T.deviation(curves(s, d), family(s, d)).select("trial", "n", "widest_at", "n_unmatched", *[r(F.col(c)).alias(c) for c in ("mean_diff", "max_diff", "tracking_error")]),
+    DEV + " SELECT trial, count(d) AS n, arg_max(time, (abs(d), -epoch_us(time))) AS widest_at, (SELECT count(*) FROM f) - count(*) AS n_unmatched, round(avg(d), 6) AS mean_diff, round(max(abs(d)), 6) AS max_diff, round(stddev_samp(d), 6) AS tracking_error FROM d GROUP BY trial",
 )
-add("c38_paper_deviation", lambda s, d: curves(s, d).where("trial = 1").select("time", F.col("equity").alias("a")).join(curves(s, d).where("trial = 2").select("time", F.col("equity").alias("b")), "time", "full").select("time", r(F.col("a") - F.col("b")).alias("difference")), DEV + " SELECT time, round(d, 6) AS difference FROM d")
+add("c38_paper_deviation", lambda s, d: curves(s, d).select("trial", "time", F.col("equity").alias("a")).join(family(s, d).select("time", F.col("equity").alias("b")), "time", "full").select("trial", "time", r(F.col("a") - F.col("b")).alias("difference")), DEV + " SELECT trial, time, round(d, 6) AS difference FROM d")
+
+
+def observed(s, d):
+    """The study's rows of calm months, each with the side that was taken."""
+    df = by_state(s, d).where("state = 'calm'").withColumn("side", F.when(F.col("n_lines") % 2 == 0, 1.0).otherwise(-1.0))
+    return df.select(F.concat_ws("|", F.col("trial").cast("string"), F.lpad(F.col("time_no").cast("string"), 3, "0")).alias("key"), F.col("net").alias("label"), "side")
 
 
 def percentile(s, d):
-    df = study(s, d).withColumnRenamed("event_key", "key")
-    return T.null_percentile(df, df.where("key like '3|%'").withColumn("side", F.when(F.xxhash64("key") % 2 == 0, 1.0).otherwise(-1.0)), 100, 7).select("sims", r(F.col("percentile")).alias("percentile"))
+    return T.null_percentile(study(s, d).withColumnRenamed("event_key", "key"), observed(s, d), 100, 7).select("sims", r(F.col("percentile")).alias("percentile"))
 
 
-add("d44_null_percentile", percentile)
+add(
+    "d44_null_percentile", percentile,
+    f"""WITH {RET}, {STUDY}, o AS (SELECT trial || '|' || lpad(CAST(time_no AS VARCHAR), 3, '0') AS key, net AS label, CASE WHEN n_lines % 2 = 0 THEN 1.0 ELSE -1.0 END AS side FROM rets WHERE n_lines % 3 = 0), sides AS (SELECT side, row_number() OVER (ORDER BY md5('7|' || key), key) AS rn FROM o),
+    taken AS (SELECT sim, label, row_number() OVER (PARTITION BY sim ORDER BY md5('7|' || event_key || '|' || sim), event_key) AS rn FROM study, (SELECT range AS sim FROM range(0, 100))), m AS (SELECT sim, avg(side * label) AS m FROM taken JOIN sides USING (rn) GROUP BY sim), own AS (SELECT avg(side * label) AS own FROM o)
+    SELECT count(*) AS sims, round(100 * (count(*) FILTER (WHERE m < own) + 0.5 * count(*) FILTER (WHERE m = own)) / count(*), 6) AS percentile FROM m, own""",
+)
 
 
 def rules(s):
@@ -289,7 +346,7 @@ def rules(s):
 
 
 def declines(s, d):
-    recent = T.long_metrics(returns(s, d).where("time_no >= 18").agg(T.sharpe("net").alias("sharpe"), F.avg("net").alias("mean_net"), F.min("net").alias("worst")), [], ["sharpe", "mean_net", "worst"])
+    recent = T.long_metrics(returns(s, d).where("time_no >= 60").agg(T.sharpe("net").alias("sharpe"), F.avg("net").alias("mean_net"), F.min("net").alias("worst")), [], ["sharpe", "mean_net", "worst"])
     return T.degradation(metrics(s, d, ()), recent, rules(s)).select("metric", "verdict", *[r(F.col(c)).alias(c) for c in ("base", "now", "decline")])
 
 
@@ -297,6 +354,6 @@ def _long(where: str) -> str:
     return " UNION ALL ".join(f"SELECT '{m}' AS metric, {x} AS value FROM rets {where}" for m, x in (("sharpe", SHARPE.format("net")), ("mean_net", "avg(net)"), ("worst", "min(net)")))
 
 
-add("c39_degradation", declines, f"""WITH {RET}, b AS ({_long('')}), n AS ({_long('WHERE time_no >= 18')}), g(metric, "limit") AS (VALUES ('sharpe', 0.01), ('mean_net', 0.0005), ('worst', 0.0), ('never_measured', 0.1)),
+add("c39_degradation", declines, f"""WITH {RET}, b AS ({_long('')}), n AS ({_long('WHERE time_no >= 60')}), g(metric, "limit") AS (VALUES ('sharpe', 0.01), ('mean_net', 0.0005), ('worst', 0.0), ('never_measured', 0.1)),
 x AS (SELECT g.metric, g."limit", b.value AS base, n.value AS now, b.value - n.value AS decline FROM g LEFT JOIN b ON b.metric = g.metric LEFT JOIN n ON n.metric = g.metric)
 SELECT metric, CASE WHEN base IS NULL OR now IS NULL THEN 'missing' WHEN decline > "limit" THEN 'breach' ELSE 'ok' END AS verdict, round(base, 6) AS base, round(now, 6) AS now, round(decline, 6) AS decline FROM x""")

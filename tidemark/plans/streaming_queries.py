@@ -53,11 +53,11 @@ add(
 
 def late(s, d):
     done = run(J.bars(trades(s, d), 60, "10 minutes"))
-    again = table(s, d, "events").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("venue_trade_id"), F.col("ts").cast("timestamp").alias("event_time")).where("venue_trade_id % 100 = 7")
+    again = table(s, d, "events").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("venue_trade_id"), F.col("ts").cast("timestamp").alias("event_time"))
     return J.late_rows(again, done, 60).select("symbol", "venue_trade_id", "interval_start")
 
 
-add("i01_late_rows", late, f"SELECT event_type AS symbol, event_id AS venue_trade_id, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS interval_start FROM events WHERE event_id % 100 = 7 AND time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') + INTERVAL 60 MINUTE <= {END} - INTERVAL 10 MINUTE")
+add("i01_late_rows", late, f"SELECT event_type AS symbol, event_id AS venue_trade_id, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS interval_start FROM events WHERE time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') + INTERVAL 60 MINUTE <= {END} - INTERVAL 10 MINUTE")
 
 
 def checkpoints(s, d):

@@ -1,8 +1,9 @@
-"""Sinks on Parquet folders: replay-safe appends, chunked writes, content-addressed runs and manifests, pinned reads."""
+"""Sinks on Parquet folders: replay-safe appends, pinned reads, chunked writes, content-addressed runs and manifests."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +29,9 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 def append_batch(df: DataFrame, root: str, batch_id: str) -> str:
     """Append a batch once: ``written``, or ``replayed`` if the same content is there already; other content is a Conflict.
 
-    The ledger has one row per batch with the fingerprint of its content.
+    The ledger has one row per batch with the fingerprint of its content, and is written last. A batch has a folder of its
+    own, which is replaced: rows left by a writer that died before the ledger are gone once the batch is written again.
+    Only batches of the ledger count; ``read_batches`` reads those.
     """
     spark = df.sparkSession
     own = fingerprint(df).first()
@@ -40,11 +43,23 @@ def append_batch(df: DataFrame, root: str, batch_id: str) -> str:
             if seen.fingerprint != print_:
                 raise Conflict(f"batch {batch_id} is stored with other content")
             return "replayed"
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(f"{root}/rows")
+    df.write.mode("overwrite").parquet(f"{root}/rows/batch_id={quote(batch_id, safe='')}")
     spark.createDataFrame([(batch_id, print_)], "batch_id string, fingerprint string").write.mode("append").parquet(f"{root}/ledger")
     return "written"
 
 
+def read_batches(spark: SparkSession, root: str, pinned: Sequence[str] | None = None) -> DataFrame:
+    """The rows of the batches that the ledger lists, or of the ``pinned`` ones among them: a table as it was, whatever came later.
+
+    Batches are folders, so a pinned read lists and scans no others.
+    """
+    done = spark.read.parquet(f"{root}/ledger").select("batch_id").distinct()
+    rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    if pinned is not None:
+        rows = rows.where(F.col("batch_id").isin(*pinned))
+    return rows.withColumn("batch_id", F.col("batch_id").cast("string")).join(done, "batch_id", "left_semi")
+
+
 def ingest_revisions(rows: DataFrame, root: str) -> int:
     """Append rows whose content id is not stored yet; returns how many. Ids are hashes of all columns, so replays add nothing."""
     spark = rows.sparkSession
@@ -100,49 +115,36 @@ def get_run(spark: SparkSession, root: str, key: str) -> DataFrame:
     return df
 
 
-def put_manifest(spark: SparkSession, root: str, manifest: dict) -> str:
-    """Store a manifest as canonical JSON under its hash; storing it again changes nothing."""
-    import hashlib
-    import json
+def store_manifests(manifests: DataFrame, root: str) -> DataFrame:
+    """Append manifests, one a row, as canonical JSON under their content hash; those that are stored already stay as they are.
 
-    text = json.dumps(manifest, sort_keys=True, separators=(",", ":"))
-    key = hashlib.sha256(text.encode()).hexdigest()
+    Returns all that are stored: ``content_hash, body``.
+    """
+    spark = manifests.sparkSession
+    body = F.to_json(F.struct(*sorted(manifests.columns)))
+    rows = manifests.select(F.sha2(body, 256).alias("content_hash"), body.alias("body")).dropDuplicates(["content_hash"])
     stored = _read(spark, root)
-    if stored is None or not stored.where(F.col("content_hash") == key).limit(1).count():
-        spark.createDataFrame([(key, text)], "content_hash string, body string").write.mode("append").parquet(root)
-    return key
+    if stored is not None:
+        rows = rows.join(stored.select("content_hash"), "content_hash", "left_anti")
+    rows.write.mode("append").parquet(root)
+    return spark.read.parquet(root)
 
 
-def bad_manifests(spark: SparkSession, root: str) -> DataFrame:
+def bad_manifests(stored: DataFrame) -> DataFrame:
     """Stored manifests whose body does not give their hash."""
-    return spark.read.parquet(root).where(F.sha2("body", 256) != F.col("content_hash"))
-
-
-def commit_snapshot(df: DataFrame, root: str) -> int:
-    """Write rows as a new immutable snapshot; the log lists each snapshot's folder. Returns the snapshot's number."""
-    spark = df.sparkSession
-    log = _read(spark, f"{root}/log")
-    n = 0 if log is None else log.agg(F.max("snapshot")).first()[0] + 1
-    name = f"data-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
-    spark.createDataFrame([(n, name)], "snapshot int, folder string").write.mode("append").parquet(f"{root}/log")
-    return n
+    return stored.where(F.sha2("body", 256) != F.col("content_hash"))
 
 
-def read_snapshot(spark: SparkSession, root: str, snapshot: int) -> DataFrame:
-    """The table as of a snapshot: every folder that the log lists up to it."""
-    folders = [r.folder for r in spark.read.parquet(f"{root}/log").where(F.col("snapshot") <= snapshot).orderBy("snapshot").collect()]
-    return spark.read.parquet(*[f"{root}/{f}" for f in folders])
+FAILURE = "subject string, family string, reason string, terminal_state string, gate_id string"
 
 
-def log_failure(spark: SparkSession, root: str, **fields: str) -> None:
-    """Append one record to the failure log: subject, family, reason, terminal_state, gate_id, at."""
-    names = ["subject", "family", "reason", "terminal_state", "gate_id", "at"]
-    spark.createDataFrame([tuple(fields.get(n) for n in names)], ", ".join(f"{n} string" for n in names)).write.mode("append").json(root)
+def log_failures(failed: DataFrame, root: str) -> None:
+    """Append failure records, a row each, to a JSON log."""
+    failed.select(*[F.col(c.split()[0]).cast("string") for c in FAILURE.split(", ")]).write.mode("append").json(root)
 
 
 def failures(spark: SparkSession, root: str, **wanted: str) -> DataFrame:
-    df = spark.read.schema("subject string, family string, reason string, terminal_state string, gate_id string, at string").json(root)
+    df = spark.read.schema(FAILURE).json(root)
     for name, value in wanted.items():
         df = df.where(F.col(name) == value)
     return df
