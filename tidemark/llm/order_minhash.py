@@ -24,6 +24,8 @@ SHINGLE = 5
 SKETCHES, TAKEN = 16, 3
 #: For the order of shingles alone, which bears on speed and not on results: texts counted, and shingles told apart as frequent.
 ORDER_TEXTS, ORDER_SHINGLES = 200_000, 1 << 17
+#: Share of a round's comparisons that must be links for another round; the exact pass takes over below.
+WORTH = 0.05
 #: Rows of one key that a task of the pair join meets at most on its salted side.
 SALT_ROWS = 512
 _P = np.uint64(0x100000001B3)
@@ -172,6 +174,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = jumped
 
 
+def merged(label: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
+    """The classes ``node, class`` after the links ``a, b`` are added: only classes that a new link touches are looked at."""
+    if label is None:
+        return components(found, name)
+    out = found
+    for end in ("a", "b"):
+        own = label.select(F.col("node").alias(end), F.col("class").alias(f"c_{end}"))
+        out = out.join(own, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    up = components(out.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct(), name)
+    raised = label.join(up.select(F.col("node").alias("class"), F.col("class").alias("above")), "class", "left").select("node", F.coalesce("above", "class").alias("class"))
+    out = materialise(raised.union(up.join(label.select("node"), "node", "left_anti").select("node", "class")), name)
+    discard(up)
+    return out
+
+
 def needed(a: int, b: int, least: float) -> int:
     """Shingles that texts of ``a`` and ``b`` shingles share at least, if they are linked."""
     return max(ceil(least / (1 + least) * (a + b) - 1e-6), 1)
@@ -256,7 +273,7 @@ def met_by_rarest(texts: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("node_s", "node").alias("a"), F.greatest("node_s", "node").alias("b")).distinct()
 
 
-def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, rounds: int = 4) -> DataFrame:
+def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64) -> DataFrame:
     """Class of every row: ``doc_id, rep, class_id, n_copies, class_no``.
 
     ``rep`` is the smallest id of the same text, ``class_id`` the smallest id linked to it over any number of links, and
@@ -267,8 +284,8 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, round
 
     Exact copies meet first: from there on distinct texts are compared, whatever their ids. Each is compared, in each of
     its 16 buckets, with the bucket's leader: the text whose own buckets are fullest, so the one least changed within a
-    family of copies. Texts not yet in their leader's class meet the next leaders, one a round, while a round still finds
-    links and at most ``rounds`` times. A bucket of n texts thus costs n comparisons a round, not n * n, and no bucket
+    family of copies. Texts not yet in their leader's class meet the next leaders, one a round, while at least ``WORTH`` of
+    a round's comparisons are links. A bucket of n texts thus costs n comparisons a round, not n * n, and no bucket
     is capped.
 
     The texts of buckets that then still hold more than one class are finished exactly: those that share one of their
@@ -279,22 +296,21 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64, round
     ``doc_id`` and ``text`` are not used. No row is added or lost. Tables of the rounds are deleted before the result is
     returned; two remain, which it reads.
     """
-    named = _named_texts(docs, least, band, rounds)
+    named = _named_texts(docs, least, band)
     h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"))
     return rows.join(named, ["h1", "h2"], "left").select("doc_id", "rep", "class_id", "n_copies", "class_no")
 
 
-def _named_texts(docs: DataFrame, least: float, band: int, rounds: int) -> DataFrame:
+def _named_texts(docs: DataFrame, least: float, band: int) -> DataFrame:
     """``h1, h2, rep, n_copies, class_no, class_id`` of every distinct text of a row with an id, written once."""
     base = distinct_texts(docs.where("doc_id is not null"))
-    edges, made = _links(docs, base, least, band, rounds)
+    label, made = _classes(docs, base, least, band)
     named = base.select("node", "h1", "h2", "rep", "n_copies")
-    if edges is None:
+    if label is None:
         out = materialise(named.select("h1", "h2", "rep", "n_copies", F.col("node").alias("class_no"), F.col("rep").alias("class_id")), "omh-named")
         discard(base, *made)
         return out
-    label = components(edges, "omh-classes")
     linked = materialise(named.join(label, "node"), "omh-linked")
     # a class of a third of all texts costs the aggregation a row per task, and its name returns to a plain table
     first = materialise(linked.groupBy("class").agg(F.min("rep").alias("class_id")), "omh-names")
@@ -304,8 +320,8 @@ def _named_texts(docs: DataFrame, least: float, band: int, rounds: int) -> DataF
     return out
 
 
-def _links(docs: DataFrame, base: DataFrame, least: float, band: int, rounds: int) -> tuple[DataFrame | None, list[DataFrame]]:
-    """Links ``a, b`` between texts that make the classes (None: there are none), and the tables written on the way."""
+def _classes(docs: DataFrame, base: DataFrame, least: float, band: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """``node, class`` of the texts that have links (None: there are none), and the tables written on the way."""
     made: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -322,9 +338,10 @@ def _links(docs: DataFrame, base: DataFrame, least: float, band: int, rounds: in
     h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
     bodies = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
     texts = keep(bodies.hint("merge").join(keep(wanted, "omh-wanted"), ["doc_id", "h1", "h2"]).select("node", "text").dropDuplicates(["node"]), "omh-bodies")
-    edges = tried = None
+    label = tried = None
     rows = buckets.withColumn("class", F.col("node"))
-    for k in range(rounds):
+    k = 0
+    while True:
         # within a bucket, each class is asked but the leader's own
         todo = rows
         if k:  # another order each round: by weight disturbed by a hash of the round, so that other texts lead
@@ -338,22 +355,25 @@ def _links(docs: DataFrame, base: DataFrame, least: float, band: int, rounds: in
         pairs = keep(pairs, "omh-pairs")
         found = keep(_verified(pairs, texts, least, band), "omh-links")
         tried = pairs if k == 0 else tried.union(pairs)
-        if not found.limit(1).count():
+        n_pairs, n_found = pairs.count(), found.count()
+        if n_found:
+            label = merged(label, found, "omh-classes")
+            made.append(label)
+            # the buckets that hold more than one class, each row with its class
+            rows = keep(rows.drop("class").join(label, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-classed")
+            many = rows.groupBy("no", "value").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("no", "value")
+            rows = rows.join(keep(many, "omh-many"), ["no", "value"])
+        if n_found < WORTH * n_pairs or not n_pairs:
             break
-        edges = found if edges is None else edges.union(found)
-        label = components(edges, "omh-classes")
-        made.append(label)
-        # the buckets that hold more than one class, each row with its class
-        rows = keep(buckets.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-classed")
-        many = rows.groupBy("no", "value").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("no", "value")
-        rows = keep(rows.join(keep(many, "omh-many"), ["no", "value"]), "omh-rows")
-    left = keep(rows.select("node", "class").distinct(), "omh-left")
+        k += 1
+    left = rows.select("node", "class").distinct()
     left = keep(left.hint("merge").join(texts, "node"), "omh-open")
     pairs = keep(met_by_rarest(left, least).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
     found = keep(_verified(pairs, texts, least, band), "omh-links")
     if found.limit(1).count():
-        edges = found if edges is None else edges.union(found)
-    return edges, made
+        made.append(label)
+        label = merged(label, found, "omh-classes")
+    return label, [t for t in made if t is not None and t is not label]
 
 
 def keep_one_per_class(docs: DataFrame, least: float = 0.8, band: int = 64) -> DataFrame:
@@ -363,7 +383,7 @@ def keep_one_per_class(docs: DataFrame, least: float = 0.8, band: int = 64) -> D
     the smallest hash of its text; and of repeated rows of both, the one with the smallest hash of all columns. Rows with
     a null id have no class and stay.
     """
-    named = _named_texts(docs, least, band, rounds=4)
+    named = _named_texts(docs, least, band)
     best = named.where("rep = class_id").groupBy("class_no").agg(F.min(F.struct(F.col("rep").alias("keep_id"), F.col("h1").alias("keep_h1"), F.col("h2").alias("keep_h2"))).alias("best"))
     best = materialise(best.select("best.*"), "omh-best")
     h1, h2 = text_key(F.coalesce(F.col("row")["text"], F.lit("")))
