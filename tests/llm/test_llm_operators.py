@@ -347,6 +347,33 @@ def test_interleaved_page(spark):
     assert not out[2] and not out[3]
 
 
+def test_captions_and_open_tags():
+    def items(html):
+        return [(i[1], i[2] or i[3], i[5]) for i in media_columns.parse_page(html)]
+
+    assert items("<figure><figcaption>before</figcaption><img src=a></figure><p>x") == [("media", "a", "before"), ("text", "x", None)]
+    assert items("<figure><figcaption>alone</figcaption></figure><p>y") == [("text", "alone", None), ("text", "y", None)]
+    assert items("<p>a<figure><img src=b><figcaption>open<p>more</p></figure>after") == [("text", "a", None), ("media", "b", "open more"), ("text", "after", None)]
+    assert items("<section><figure><img src=c><figcaption>open</section><p>rest") == [("media", "c", "open"), ("text", "rest", None)]
+    assert items("<figcaption>no figure</figcaption>") == [("text", "no figure", None)]
+    assert items("<figure><img src=d><figcaption>c1</figcaption><figure><img src=e><figcaption>in</figcaption></figure></figure>z") == [("media", "d", "c1"), ("media", "e", "in"), ("text", "z", None)]
+
+
+def test_given_pages_keep_their_words(spark, sf):
+    """Words of the items, in order, against a page stripped by patterns."""
+    import html as H
+
+    got = {r.page_id: r for r in queries.pages_interleaved(spark, sf).collect()}
+    pages = pd.read_parquet(f"{sf}/pages.parquet")
+    assert len(got) == len(pages)
+    for page_id, page in zip(pages.page_id, pages.html, strict=True):
+        bare = re.sub(r"(?s)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1>|<!DOCTYPE[^>]*>", "", page)
+        words = H.unescape(re.sub(r"(?i)</?(b|i|a|em|strong|span|u)\b[^>]*>", "", bare))
+        words = re.sub(r"<[^>]*>", " ", words).split()
+        assert " ".join(i.text for i in got[page_id]["items"] if i.text).split() == words
+        assert got[page_id].n_texts == len(got[page_id]["items"]) and [i.position for i in got[page_id]["items"]] == list(range(len(got[page_id]["items"])))
+
+
 def test_token_counts_equal_the_library(spark, odd, docs, local):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = pretokens.tokenizer(path)

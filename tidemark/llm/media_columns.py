@@ -23,6 +23,8 @@ ITEM = "position int, kind string, text string, url string, digest string, capti
 MEDIA_TAGS = frozenset({"img", "video", "audio", "source", "embed"})
 HIDDEN = frozenset({"script", "style", "template", "noscript"})
 BLOCKS = frozenset("p div section article aside header footer main nav ul ol li table tr td th h1 h2 h3 h4 h5 h6 br hr blockquote pre figure figcaption dl dt dd form".split())
+#: Elements whose end closes a figure that was left open inside them.
+CONTAINERS = frozenset("section article aside header footer main nav form".split())
 DIGEST_SCHEME = "digest:sha256/"
 #: Samples of one image row, and the multiple to which payloads are filled with spaces.
 ROW = 192
@@ -36,13 +38,31 @@ class _Page(HTMLParser):
         self.items: list[list] = []
         self.buffer: list[str] = []
         self.hidden = 0
-        self.figure: list[int] | None = None  # media of the open figure
-        self.caption: list[str] | None = None
+        self.figures: list[list] = []  # of each open figure its media and its captions
+        self.caption = False  # whether the buffer is a caption's
 
     def _flush(self) -> None:
-        if text := " ".join("".join(self.buffer).split()):
-            self.items.append(["text", text, None, None, None])
+        """Put out the text collected so far: as the open figure's caption, or as an item."""
+        text = " ".join("".join(self.buffer).split())
         self.buffer = []
+        if not text:
+            return
+        if self.caption:
+            self.figures[-1][1].append((len(self.items), text))
+        else:
+            self.items.append(["text", text, None, None, None])
+
+    def _close_figure(self) -> None:
+        self._flush()
+        self.caption = False
+        media, captions = self.figures.pop()
+        if media:
+            text = " ".join(t for _, t in captions)
+            for item in media:
+                item[4] = text or item[4]
+            return
+        for place, text in reversed(captions):  # nothing to caption: it is text, where it stood
+            self.items.insert(place, ["text", text, None, None, None])
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
@@ -50,33 +70,39 @@ class _Page(HTMLParser):
             self.hidden += 1
         elif tag in MEDIA_TAGS and (url := at.get("src")):
             self._flush()
-            caption = at.get("alt") or at.get("title") or None
-            if self.figure is not None:
-                self.figure.append(len(self.items))
-            self.items.append(["media", None, url, url[len(DIGEST_SCHEME) :].lower() if url.startswith(DIGEST_SCHEME) else None, caption])
+            item = ["media", None, url, url[len(DIGEST_SCHEME) :].lower() if url.startswith(DIGEST_SCHEME) else None, at.get("alt") or at.get("title") or None]
+            if self.figures:
+                self.figures[-1][0].append(item)
+            self.items.append(item)
         elif tag in BLOCKS:
             self._flush()
             if tag == "figure":
-                self.figure = []
-            elif tag == "figcaption" and self.figure is not None:
-                self.caption = []
+                self.caption = False
+                self.figures.append([[], []])
+            elif tag == "figcaption":
+                self.caption = bool(self.figures)
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag in BLOCKS:
-            if tag in ("figcaption", "figure") and self.caption is not None:
-                text = " ".join("".join(self.caption).split())
-                for i in self.figure or []:
-                    self.items[i][4] = text or self.items[i][4]
-                self.caption = None
-            if tag == "figure":
-                self.figure = None
             self._flush()
+            if tag == "figcaption":
+                self.caption = False
+            elif tag == "figure" and self.figures:
+                self._close_figure()
+            elif tag in CONTAINERS:  # what a figure's own end tag was left out of ends it
+                while self.figures:
+                    self._close_figure()
 
     def handle_data(self, data):
         if not self.hidden:
-            (self.caption if self.caption is not None else self.buffer).append(data)
+            self.buffer.append(data)
+
+    def finish(self) -> None:
+        while self.figures:
+            self._close_figure()
+        self._flush()
 
 
 def parse_page(html: str | None) -> list[tuple]:
@@ -84,7 +110,7 @@ def parse_page(html: str | None) -> list[tuple]:
     page = _Page()
     page.feed(html or "")
     page.close()
-    page._flush()
+    page.finish()
     return [(i, *item) for i, item in enumerate(page.items)]
 
 
@@ -92,9 +118,11 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     """``key, items array<struct<position, kind, text, url, digest, caption>>`` of every whole page.
 
     ``kind`` is ``text`` or ``media``. Text is broken at block elements and at media; white space is folded; scripts and
-    styles are left out. A figure's caption goes to its media, not into the text. Media whose address is
-    ``digest:sha256/<hex>`` have that digest. Null and empty pages have no items; broken markup is read as far as it goes;
-    repeated rows give equal rows.
+    styles are left out. A figure's captions, before or after its media, go to all of these and not into the text; where a
+    figure has no media they are text. A caption that is not closed ends with its figure, and a figure that is not closed ends
+    with the section around it, or with the page: then the text inside it counts as caption. A caption outside a figure is text. Media whose
+    address is ``digest:sha256/<hex>`` have that digest. Null and empty pages have no items; broken markup loses no text but
+    what follows a hidden element that is never closed; repeated rows give equal rows; other columns are not used.
     """
     ship(pages.sparkSession)
 

@@ -37,6 +37,13 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_media(table(spark, sf_dir, "documents"))
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages as sequences: per page its items, and how many of each kind."""
+    out = media_columns.interleave(table(spark, sf_dir, "pages"))
+    count = lambda kind: F.size(F.filter("items", lambda i: i["kind"] == kind)).cast("long")
+    return out.select("page_id", "items", count("text").alias("n_texts"), count("media").alias("n_media"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -64,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_language_id, op3_id_store, op4_sentencepiece, op5_order_minhash, op6_media_columns, op7_token_counts, op8_forest_search,
-        op9_toxicity, op10_source_mixing, pipeline,
+        op9_toxicity, op10_source_mixing, pages_interleaved, pipeline,
     )
 }
 
