@@ -414,9 +414,67 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_grammar():
     g = toxicity.Grammar({}, {"idiot": 5.0})
-    kind = lambda text: [toxicity.KINDS[i] for i, x in enumerate(g.features(text)[:5]) if x > 0]
+    kind = lambda text: [toxicity.KINDS[i] for i, x in enumerate(g.features(text)[: len(toxicity.KINDS)]) if x > 0]
     assert kind("an idiot") == ["plain"] and kind("you are such an idiot") == ["targeted"] and kind("you are not an idiot") == ["negated"]
     assert kind("she said that man is an idiot") == ["reported"] and kind('the word "idiot" here') == ["reported"] and kind("not here. an idiot") == ["plain"] and kind("calm") == []
+    assert kind("such an idiot are you") == ["targeted"]
+    assert kind("kill the process") == ["threat"] and kind("I will kill you") == ["aimed"] and kind("you I will kill") == ["aimed"] and kind("I will not kill you") == ["negated"]
+    assert kind("an idiot here. I will kill you. kill it") == ["threat", "plain", "aimed"]
+    assert g.features("I will kill you")[:6].sum() > g.features("kill the process")[:6].sum()
+
+
+def test_toxicity_equals_a_plain_reading(spark):
+    """Each clause read by distances between its words, without machines, for all documents; then the fitted weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scorer = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    g = scorer.grammar
+
+    def plain(text):
+        sums, clauses, quoted = dict.fromkeys(toxicity.KINDS, 0.0), [[]], False
+        tokens = toxicity.TOKEN.findall(text.lower())
+        for t in tokens:
+            if t in ".!?;\n":
+                clauses.append([])
+                quoted = quoted and t != "\n"
+            elif t in '"«»“”':
+                quoted = not quoted
+            else:
+                clauses[-1].append((*g.symbol(t), quoted))
+        weights = []
+        for c in clauses:
+            kinds, total = [], 0.0
+            near = lambda i, what, reach: any(c[j][0] == what for j in range(max(0, i - reach), i))  # noqa: B023, E731
+            for i, (symbol, weight, quote) in enumerate(c):
+                if symbol not in (toxicity.INSULT, toxicity.THREAT):
+                    continue
+                aim = near(i, toxicity.TARGET, toxicity.TARGET_REACH) or any(x[0] == toxicity.TARGET for x in c[i + 1 : i + 1 + toxicity.TARGET_REACH])
+                if near(i, toxicity.NEGATION, toxicity.NEGATION_REACH):
+                    kind = "negated"
+                elif quote or near(i, toxicity.REPORT, len(c)):
+                    kind = "reported"
+                elif symbol == toxicity.INSULT:
+                    kind = "targeted" if aim else "plain"
+                else:
+                    kind = "aimed" if aim else "threat"
+                kinds.append(kind)
+                total += weight * toxicity.SHARE[kind]
+            if kinds:
+                sums[max(kinds, key=toxicity.KINDS.index)] += total
+                weights.append(total)
+        x = np.log1p([*sums.values(), max(weights, default=0), len(weights), 100 * sum(weights) / max(len(tokens), 1)])
+        return 1 / (1 + np.exp(-np.clip(x @ scorer.weights + scorer.bias, -50, 50)))
+
+    rows = docs.select("doc_id", "text", toxicity.score_column(scorer, F.col("text"), spark).alias("score")).collect()
+    assert max(abs(r.score - plain(r.text)) for r in rows) < 1e-9 and max(r.score for r in rows) > 0.7
+
+
+def test_toxicity_under_repeated_ids_and_clashing_columns(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    more = docs.withColumns({"toxic_label": F.lit("clash"), "h1": F.lit(1), "Toxic": F.lit(1), "score": F.lit(0)})
+    assert toxicity.labelled_sample(more.union(more).union(more.withColumn("text", F.concat("text", F.lit(" x")))), labels, 20).count() == 20
+    kept = toxicity.drop_toxic(more, labels)
+    assert kept.columns == more.columns and kept.count() == toxicity.drop_toxic(docs, labels).count()
+    assert {(r.doc_id, r.score) for r in toxicity.score_toxicity(more, labels).collect()} == {(r.doc_id, r.score) for r in toxicity.score_toxicity(docs, labels).collect()}
 
 
 def test_toxicity_odd_inputs(spark, odd):

@@ -1,9 +1,10 @@
 """Toxicity scored by a weighted finite-state grammar over clauses.
 
 A lexical transducer turns words into symbols (insult, threat, target, negation, reported speech, other) with weights
-learned from labels. Three more transducers rewrite insults and threats by what stands around them in the clause:
-negated, reported, aimed at a target. Their composition reads each clause once and yields matches; a document's score
-comes from the weights of its matches, never from a word by itself.
+learned from labels. A cascade of further transducers rewrites insults and threats by what stands around them in the
+clause: negated, reported, aimed at a target before or (read from right to left) after them. Each clause gives one
+match, whose kind is that of its strongest part, and a document's score comes from its matched clauses, never from a word
+by itself: a threat that nobody is the target of and one that somebody is are two kinds of match.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import held_out, ship
+from tidemark.llm.shared import discard, held_out, materialise, ship, text_key
 
 TOKEN = re.compile(r"[^\W_]+|[.!?;\n\"«»“”]")
 CLAUSE_END = frozenset(".!?;\n")
@@ -35,9 +36,14 @@ PASSED = (OTHER, 0.0)
 #: How far, in words, a negation and a target reach.
 NEGATION_REACH, TARGET_REACH = 3, 5
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Kinds of match, in the order of the features.
-KINDS = ("plain", "targeted", "negated", "reported", "threat")
-PRIOR = np.array([1.0, 1.2, 0.3, 0.4, 1.0, 0.5, 0.5, 0.5])
+#: Kinds of match, from the weakest to the strongest: the features in this order, and with what share of its weight each counts in its clause.
+KINDS = ("negated", "reported", "threat", "plain", "targeted", "aimed")
+SHARE = {"negated": 0.3, "reported": 0.4, "threat": 0.5, "plain": 1.0, "targeted": 1.0, "aimed": 1.0}
+#: Where the logistic fit is drawn to: the kinds, then the strongest clause, the number of matched clauses, weight per 100 words.
+PRIOR = np.array([0.3, 0.4, 0.5, 1.0, 1.2, 1.2, 0.5, 0.5, 0.5])
+#: Lengths of words that enter the lexicon; threat words of the list keep a weight within these bounds.
+SHORTEST, LONGEST = 3, 60
+THREAT_WEIGHTS = (0.2, 4.0)
 
 
 @dataclass
@@ -85,19 +91,26 @@ def compose(machines: list[Transducer], symbols: list[object]) -> dict[tuple[tup
     return table
 
 
-def clause_machine() -> dict:
-    negated, reported, targeted = {INSULT: "negated", THREAT: "negated"}, {INSULT: "reported", THREAT: "reported"}, {INSULT: "targeted"}
-    return compose([within(NEGATION, NEGATION_REACH, negated), rest_of_clause(REPORT, reported), within(TARGET, TARGET_REACH, targeted)], [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT])
+INPUTS = [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT]
+AIMED = {INSULT: "targeted", THREAT: "aimed"}
+
+
+def clause_machines() -> tuple[dict, dict]:
+    """The cascade read from left to right, and the one that reads its output from right to left."""
+    negated, reported = {INSULT: "negated", THREAT: "negated"}, {INSULT: "reported", THREAT: "reported"}
+    ahead = compose([within(NEGATION, NEGATION_REACH, negated), rest_of_clause(REPORT, reported), within(TARGET, TARGET_REACH, AIMED)], INPUTS)
+    return ahead, compose([within(TARGET, TARGET_REACH, AIMED)], [*INPUTS, *KINDS])
 
 
 class Grammar:
-    """The composed machine with its lexicon: stems and words with weights."""
+    """The composed machines with their lexicon: stems and words of insults, and threats, with weights."""
 
-    def __init__(self, stems: dict[str, float], words: dict[str, float]):
+    def __init__(self, stems: dict[str, float], words: dict[str, float], threats: dict[str, float] | None = None):
         self.stems, self.words = stems, words
+        self.threats = dict.fromkeys(THREATS, 1.0) | (threats or {})
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.machine = clause_machine()
-        self.start = next(iter(self.machine))[0]
+        self.ahead, self.back = clause_machines()
+        self.start, self.end = (next(iter(m))[0] for m in (self.ahead, self.back))
         self.seen: dict[str, tuple[int, float]] = {}
 
     def symbol(self, word: str) -> tuple[int, float]:
@@ -106,47 +119,60 @@ class Grammar:
             return NEGATION, 0.0
         if word in REPORTS:
             return REPORT, 0.0
+        if word in self.threats:
+            return THREAT, self.threats[word]
         weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in self.lengths if len(word) >= k)])
         if weight > 0:
             return INSULT, weight
-        if word in TARGETS:
-            return TARGET, 0.0
-        if word in THREATS:
-            return THREAT, 1.0
-        return PASSED
+        return (TARGET, 0.0) if word in TARGETS else PASSED
+
+    def match(self, clause: list[tuple[int, float]], quoted: list[bool]) -> tuple[str, float] | None:
+        """Kind and weight of a clause's match, from the symbols of its words and whether each stands in quotes."""
+        state, out = self.start, []
+        for symbol, _ in clause:
+            state, put = self.ahead[state, symbol]
+            out.append(put)
+        state, total, kinds = self.end, 0.0, []
+        for i in range(len(out) - 1, -1, -1):
+            state, put = self.back[state, out[i]]
+            if clause[i][0] in (INSULT, THREAT):
+                kind = "plain" if put == INSULT else "threat" if put == THREAT else put
+                kind = "reported" if quoted[i] and kind != "negated" else kind
+                kinds.append(kind)
+                total += clause[i][1] * SHARE[kind]
+        return (max(kinds, key=KINDS.index), total) if kinds else None
 
     def features(self, text: str | None) -> np.ndarray:
-        """Per kind of match log1p of the summed weights; then the largest weight, distinct forms and weight per 100 words."""
+        """Per kind log1p of the weights of its clauses; then of the strongest clause, the number of clauses, the weight per 100 words."""
         out = np.zeros(len(KINDS) + 3)
         tokens = TOKEN.findall(text.lower()) if text else []
         seen = self.seen
         if len(seen) > 150_000:
             seen.clear()
-        for t in set(tokens):
+        distinct = set(tokens)
+        for t in distinct:
             if t not in seen:
                 seen[t] = self.symbol(t)
-        hot = {t for t in set(tokens) if seen[t][0] in (INSULT, THREAT)}
+        hot = {t for t in distinct if seen[t][0] in (INSULT, THREAT)}
         if not hot:
             return out
-        sums, forms, top = dict.fromkeys(KINDS, 0.0), set(), 0.0
-        state, quoted, clause_hot = self.start, False, True
-        for t in tokens:
+        sums, found = dict.fromkeys(KINDS, 0.0), []
+        clause, flags, quoted, due = [], [], False, False
+        for t in [*tokens, "\n"]:
             if t in CLAUSE_END:
-                state = self.start
+                if due and (m := self.match(clause, flags)):
+                    sums[m[0]] += m[1]
+                    found.append(m[1])
+                clause, flags, due = [], [], False
                 quoted = quoted and t != "\n"
-                continue
-            if t in QUOTES:
+            elif t in QUOTES:
                 quoted = not quoted
-                continue
-            symbol, weight = seen[t]
-            state, kind = self.machine[state, symbol]
-            if symbol in (INSULT, THREAT):
-                kind = "reported" if quoted and kind != "negated" else "threat" if kind == THREAT else "plain" if kind == INSULT else kind
-                sums[kind] += weight
-                forms.add(t)
-                top = max(top, weight * (0.3 if kind == "negated" else 0.4 if kind == "reported" else 1.0))
+            else:
+                clause.append(seen[t])
+                flags.append(quoted)
+                due = due or t in hot
         out[: len(KINDS)] = np.log1p([sums[k] for k in KINDS])
-        out[len(KINDS) :] = top, np.log1p(len(forms)), np.log1p(100 * sum(sums.values()) / len(tokens))
+        out[len(KINDS) :] = np.log1p([max(found), len(found), 100 * sum(found) / len(tokens)])
         return out
 
 
@@ -161,33 +187,43 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` labelled rows that are not held out, ``text, toxic``: those with the smallest hash of the id.
+    """At most ``size`` different labelled documents that are not held out, ``text, toxic``: those with the smallest hash of the id.
 
-    A document with several labels counts as toxic if one says so. The ids and labels chosen are broadcast: at most
-    ``size`` rows of two numbers.
+    A document with several labels counts as toxic if one says so; rows that repeat an id and a text count once. The keys
+    chosen are broadcast: at most ``size`` rows of four numbers.
     """
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = train.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic_label").alias("toxic"))
+    train = train.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
+    rows, key = docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")), ["doc_id", "h1", "h2"]
+    chosen = rows.select(*key).join(train, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), *key).limit(size)
+    return rows.join(F.broadcast(chosen), key).dropDuplicates(key).select("text", "toxic")
 
 
-def learn_lexicon(sample: DataFrame, size: int = 4_000) -> tuple[dict[str, float], dict[str, float]]:
-    """Stems and words that toxic documents hold far oftener than others, with their log odds.
+def learn_lexicon(sample: DataFrame, size: int = 4_000) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Stems and words that toxic documents hold far oftener than others, and the threat words, each with its log odds.
 
-    Document frequencies are counted in Spark; the ``size`` most significant terms reach the driver. A term needs
-    4 toxic documents, log odds of 1.2 and a z-score of 3. A longer term stays only where it says more than a shorter one.
+    Document frequencies of words of ``SHORTEST`` to ``LONGEST`` characters are counted in Spark; the ``size`` most
+    significant terms reach the driver. A term needs 4 toxic documents, log odds of 1.2 and a z-score of 3. A longer term
+    stays only where it says more than a shorter one. A threat word's odds are smoothed and kept within ``THREAT_WEIGHTS``.
     """
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
-    words = sample.where("text is not null").select(F.xxhash64("text").alias("h"), "toxic", word).where("char_length(word) between 3 and 60").distinct()
+    words = sample.where("text is not null").select(F.xxhash64("text").alias("h"), "toxic", word).where(F.char_length("word").between(SHORTEST, LONGEST)).distinct()
     terms = F.concat(F.array(F.concat(F.lit("="), F.col("word"))), *[F.when(F.char_length("word") > k, F.array(F.substring("word", 1, k))).otherwise(F.array().cast("array<string>")) for k in PREFIXES])
     found = words.select("h", "toxic", F.explode(terms).alias("term")).distinct().groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     total = sample.where("text is not null").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("nt"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("nc")).first()
     nt, nc = int(total.nt), int(total.nc)
     if not nt or not nc:
-        return {}, {}
-    odds = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    rows = found.where("t >= 4").withColumns({"odds": odds, "z": z}).where("odds >= 1.2 and z >= 3").orderBy(F.desc("z"), "term").limit(size).collect()
+        return {}, {}, {}
+
+    def odds(add: float) -> Column:
+        return F.log((F.col("t") + add) / (nt + 2 * add)) - F.log((F.col("c") + add) / (nc + 2 * add))
+
+    found = materialise(found.where("t >= 4").union(found.where(F.col("term").isin(*[f"={t}" for t in sorted(THREATS)]) & (F.col("t") < 4))), "toxic-terms")
+    z = odds(0.5) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    rows = found.where("t >= 4").withColumns({"odds": odds(0.5), "z": z}).where("odds >= 1.2 and z >= 3").orderBy(F.desc("z"), "term").limit(size).collect()
+    threats = found.where(F.col("term").isin(*[f"={t}" for t in sorted(THREATS)])).select("term", odds(3.0).alias("odds")).collect()
+    discard(found)
     stems: dict[str, float] = {}
     words_: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (r.term[0] == "=", len(r.term), r.term)):
@@ -195,18 +231,18 @@ def learn_lexicon(sample: DataFrame, size: int = 4_000) -> tuple[dict[str, float
         shorter = max((stems.get(term[:k], 0.0) for k in PREFIXES if k < len(term) + whole), default=0.0)
         if r.odds > shorter + 0.4:
             (words_ if whole else stems)[term] = float(r.odds)
-    return stems, words_
+    return stems, words_, {r.term[1:]: float(np.clip(r.odds, *THREAT_WEIGHTS)) for r in threats}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Scorer:
     """Learn the lexicon and the weights of the kinds of match from ``labelled_sample(docs, labels, sample)``.
 
-    The driver gets at most ``sample`` rows of 9 numbers. The weights are drawn towards a prior (a targeted match
+    The driver gets at most ``sample`` rows of 10 numbers. The weights are drawn towards a prior (a targeted match
     counts more, a negated or reported one less), which decides where labels say nothing.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = labelled_sample(docs, labels, sample)
+    rows = materialise(labelled_sample(docs, labels, sample), "toxic-sample")
     grammar = Grammar(*learn_lexicon(rows))
     shared = spark.sparkContext.broadcast(grammar)
 
@@ -216,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Scorer:
             yield pd.Series([shared.value.features(t).tolist() for t in texts])
 
     got = rows.select(features("text").alias("x"), "toxic").toPandas()
+    discard(rows)
     width = len(KINDS) + 3
     x = np.array(got["x"].tolist(), float).reshape(-1, width)
     y = got["toxic"].to_numpy(float)
