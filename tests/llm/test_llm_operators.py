@@ -383,6 +383,9 @@ def test_token_counts_equal_the_library(spark, odd, docs, local):
     want = {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in zip(local.doc_id, local.text, strict=True)}
     assert got.n_tokens.to_dict() == want and (got.over_limit == (got.n_tokens > 2048)).all()
     assert token_counts.count_tokens(empty(spark), path).count() == 0
+    counts = pretokens.counts_of(path)
+    for text in [*ODD[1:], "Привет, МИР!", "a<|startoftext|><|endoftext|> b", "İSTANBUL ǅ ﬁ Å Å", "\u2028x\u00a0y\u3000z", "कि क्या 日本語12", *local.text.head(60)]:
+        assert counts.of_text(text) == len(library.encode(text, add_special_tokens=False).ids), text[:40]
 
 
 def test_forest_recall_and_exact_scores(spark, sf):

@@ -2,14 +2,15 @@
 
 Both public BPE vocabularies split a text into pre-tokens by a pattern and then merge inside each of them. A stretch
 between white space is a whole number of pre-tokens and is encoded alone as it is inside a text, so each distinct one
-needs the library only once. This is done for texts of common Latin characters; other texts, and texts that may hold a
-special token, go to the library whole.
+needs the library only once. Texts of common Latin characters are cut at white space; for counting, all others are cut
+into pre-tokens by the library's own normaliser and pattern. Where ids are wanted these go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -57,6 +58,8 @@ class Counts(dict):
     def __init__(self, path: str):
         super().__init__()
         self.library = tokenizer(path)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.pieces: dict[str, int] = {}  # of pre-tokens in the library's own form
 
     def of(self, parts: list[str]) -> np.ndarray:
         """The number of pieces of each of the stretches, which are distinct."""
@@ -66,6 +69,23 @@ class Counts(dict):
             self.update(zip(new, (len(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
 
+    def of_text(self, text: str) -> int:
+        """Pieces of any whole text, by its pre-tokens; a special token's string counts as one, and parts the text."""
+        parts = self.special.split(text)
+        total = len(parts) - 1
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        for part in parts:
+            if not part:
+                continue
+            body = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+            for word, n in Counter(w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(body)).items():
+                size = self.pieces.get(word)
+                if size is None:
+                    size = self.pieces[word] = len(self.library.model.tokenize(word))
+                total += n * size
+        return total
+
 
 class Ids(dict):
     """Number of each chunk met so far, with the ids of all of them in one array."""

@@ -28,7 +28,7 @@ def _count_block(texts: list[str], path: str) -> np.ndarray:
     out = np.zeros(len(texts), np.int64)
     for d, text in enumerate(texts):
         if not is_common(text):
-            out[d] = len(counts.library.encode(text, add_special_tokens=False).ids)
+            out[d] = counts.of_text(text)
             continue
         own = Counter(text.lower().split())
         docs.append(np.full(len(own), d))
@@ -61,13 +61,14 @@ def token_count_column(text: Column, tokenizer_path: str, spark) -> Column:
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes long (UTF-8), n_tokens long, over_limit boolean (more than limit)``.
 
-    The counts are those of the tokenizers library for a lower-casing word-end BPE file, without added special tokens;
-    special strings inside a text count as the library counts them. A null text is an empty one: no bytes, no tokens.
-    Repeated rows are counted alike, very long texts whole; no row is added or lost, and other columns are not used.
+    The counts are those of the tokenizers library for a word-end BPE file that lower-cases and drops white space, without
+    added special tokens; a special token's string inside a text counts as the library counts it. A null text is an empty
+    one: no bytes, no tokens. Repeated rows are counted alike, very long texts whole; no row is added or lost, and other
+    columns are not used.
 
-    The per-document frequencies meet the piece counts inside each task. As rows of a shuffle they would be several
-    times the size of the text (most pre-tokens of a document occur once); inside a task they cost no network and no disk,
-    and each worker still asks the library once for each distinct pre-token that it has met.
+    The per-document frequencies meet the piece counts inside each task. As rows of a shuffle they would be many times the
+    size of the text (most pre-tokens of a document occur once); inside a task they cost no network and no disk, and each
+    worker asks the library once for each distinct pre-token that it has met.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), token_count_column(F.col("text"), tokenizer_path, docs.sparkSession).alias("n_tokens"))
