@@ -14,9 +14,26 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import discard, held_out, materialise, ship, text_key
 
 #: What counts as a word character without being a letter or a decimal digit: Roman numerals, fractions, powers.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: A run of letters.
-WORD = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
+_OTHER = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+#: The same as two patterns: a set within the first plane is looked up fast, and few texts have characters of the others.
+NUMERALS, _BEYOND = re.compile("[" + "".join(c for c in _OTHER if c <= "\uffff") + "]"), re.compile("[\U00010000-\U0010ffff]")
+_FAR = frozenset(c for c in _OTHER if c > "\uffff")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii():
+        if NUMERALS.search(text):
+            text = NUMERALS.sub(" ", text)
+        if _BEYOND.search(text):
+            text = _BEYOND.sub(lambda m: " " if m.group() in _FAR else m.group(), text)
+    return _RUN.findall(text)
+
+
 ORDERS = (4, 3, 2, 1)
 #: Added to each count.
 SMOOTH = 0.1
@@ -119,7 +136,7 @@ class _Scorer:
         return i
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.model.langs:
             return "und", 0.0
         if len(self.at) > KEPT_WORDS:
