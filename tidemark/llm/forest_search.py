@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialise, ship
 
-#: Queries that meet a leaf in one group, about; more are dealt over copies of the leaf.
-QUERIES_PER_GROUP = 20_000
+#: Queries and vectors that meet in one group, about: the queries of a leaf are dealt over copies of its vectors, and its
+#: vectors over copies of its queries.
+QUERIES_PER_GROUP, VECTORS_PER_GROUP = 20_000, 50_000
+#: Sample vectors that a query is held against for a first bound of its best scores.
+FLOOR_SAMPLE = 4_096
 
 
 class Forest:
@@ -70,9 +73,10 @@ class Forest:
 
     def floors(self, queries: np.ndarray, k: int) -> np.ndarray:
         """For each query the k-th best score within the sample: nothing below it can be among the k best of all vectors."""
-        if len(self.sample) < k:
+        few = self.sample[:FLOOR_SAMPLE]
+        if len(few) < k:
             return np.full(len(queries), -np.inf)
-        out = [np.partition(queries[i : i + 64] @ self.sample.T, -k, axis=1)[:, -k] for i in range(0, len(queries), 64)]
+        out = [np.partition(queries[i : i + 64] @ few.T, -k, axis=1)[:, -k] for i in range(0, len(queries), 64)]
         return np.concatenate(out)
 
     def visit(self, query: np.ndarray, visits: int) -> list[tuple[int, int]]:
@@ -103,7 +107,7 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, visit_share: float = 0.4, sample: int = 20_000, leaf_scale: float = 4.5,
+    vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 8, visit_share: float = 0.15, sample: int = 20_000, leaf_scale: float = 1.0,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """The ``k`` candidates with the largest inner product for each query: ``query_id, rank, vec_id, score``.
@@ -111,8 +115,9 @@ def nearest(
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own. The forest is
     fitted on the ``sample`` vectors with the smallest hash (this bounds what the driver holds) and indexes every vector.
     A leaf holds about ``leaf_scale * sqrt(n)`` of n distinct vectors, as long as the sample can tell so many leaves
-    apart. A query visits ``visit_share`` of all leaves of the forest, in the order of one shared queue, and all vectors
-    found there are ranked by the exact inner product in double precision, ties by the smaller id.
+    apart. A query visits ``visit_share`` of all leaves of the forest, and one more of each tree, in the order of one shared
+    queue, and all vectors found there are ranked by the exact inner product in double precision, ties by the smaller id.
+    A leaf's vectors and queries meet in groups of bounded size. Vectors travel in the type of their column.
 
     The first leaf of each tree passes on its ``k + 1`` best for a query; the others only what reaches the query's
     (k + 1)-th best score within the sample, since nothing below it is among the best of all vectors.
@@ -124,7 +129,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(_usable(F.col("v")) & F.col("id").isNotNull())
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where(_usable(F.col("v")) & F.col("id").isNotNull())
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
@@ -133,31 +139,32 @@ def nearest(
     rows = rows.where(F.size("v") == dims).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
     few = rows.dropDuplicates(["id", "h1", "h2"]).withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= k + 1)
     distinct = materialise(few.groupBy("h1", "h2").agg(F.min("id").alias("key"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "forest-vectors")
-    size = distinct.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
+    size = distinct.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("longest")).first()
     chosen = np.array([r.v for r in distinct.select("v", F.xxhash64("h1").alias("h"), "h2").orderBy("h", "h2").limit(sample).select("v").collect()], float)
     depth = max(0, min(int(math.log2(max(size.n / (leaf_scale * math.sqrt(size.n)), 1))), int(math.log2(max(len(chosen) / 16, 1)))))
     forest = spark.sparkContext.broadcast(Forest(chosen, trees, depth, size.longest))
-    visits = max(1, math.ceil(visit_share * trees * 2**depth))
+    visits = min(trees + math.ceil(visit_share * trees * 2**depth), trees * 2**depth)
 
     asked = rows.where(F.col("id") % every == 0).select("id", "h1", "h2").distinct()
     queries = distinct.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("key", "v")
     asking = queries.count()
     copies = max(1, math.ceil(asking * visits / (trees * 2**depth) / QUERIES_PER_GROUP))
+    slices = max(1, math.ceil(size.n / 2**depth / VECTORS_PER_GROUP))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                leaves = forest.value.leaves(np.stack(b["v"].to_numpy()))
+                leaves = forest.value.leaves(np.stack(b["v"].to_numpy()).astype(float))
                 yield pd.concat([pd.DataFrame({"tree": t, "leaf": leaves[:, t], "key": b["key"], "v": b["v"]}) for t in range(trees)])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                floors = forest.value.floors(np.stack(b["v"].to_numpy()), k + 1)
+                floors = forest.value.floors(np.stack(b["v"].to_numpy()).astype(float), k + 1)
                 found = []
                 for key, v, floor in zip(b["key"], b["v"], floors.tolist(), strict=True):
                     whole = set()
-                    for t, leaf in forest.value.visit(np.asarray(v), visits):
+                    for t, leaf in forest.value.visit(np.asarray(v, float), visits):
                         found.append((t, leaf, key, v, floor if t in whole else -math.inf))
                         whole.add(t)
                 yield pd.DataFrame(found, columns=["tree", "leaf", "key", "v", "floor"])
@@ -166,10 +173,10 @@ def nearest(
         out = []
         if len(probes) and len(points):
             points = points.sort_values("key")
-            v, keys = np.stack(points["v"].to_numpy()), points["key"].to_numpy()
+            v, keys = np.stack(points["v"].to_numpy()).astype(float), points["key"].to_numpy()
             for start in range(0, len(probes), 256):
                 block = probes.iloc[start : start + 256]
-                q = np.stack(block["v"].to_numpy())
+                q = np.stack(block["v"].to_numpy()).astype(float)
                 s = q @ v.T
                 top = min(k + 1, len(keys))
                 least = np.maximum(block["floor"].to_numpy(), np.partition(s, -top, axis=1)[:, -top]) - 1e-9
@@ -177,10 +184,12 @@ def nearest(
                 out.append(pd.DataFrame({"q": block["key"].to_numpy()[at], "key": keys[best], "score": _exact(q[at], v[best])}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    shape = "tree int, leaf long, key long, v array<double>"
-    index = distinct.select("key", "v").mapInPandas(place, shape).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    probes = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").mapInPandas(probe, f"{shape}, floor double").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(copies)).cast("int"))
-    group = ["tree", "leaf", "part"]
+    shape = f"tree int, leaf long, key long, v {kind}"
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = distinct.select("key", "v").mapInPandas(place, shape).withColumn("slice", dealt(slices)).withColumn("part", every_one(copies))
+    probes = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").mapInPandas(probe, f"{shape}, floor double").withColumn("part", dealt(copies)).withColumn("slice", every_one(slices))
+    group = ["tree", "leaf", "slice", "part"]
     found = probes.groupBy(*group).cogroup(index.groupBy(*group)).applyInPandas(rank, "q long, key long, score double")
     # of each distinct vector the k + 1 best others: the query's own row is one of them at most
     best = found.groupBy("q", "key").agg(F.max("score").alias("score"))
