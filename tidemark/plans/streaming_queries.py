@@ -1,6 +1,7 @@
 """Streaming queries: each runs a stream over the events table to its end and returns what it wrote.
 
-The table arrives in one micro-batch, so windows are final up to the largest time less the delay.
+Windows are final up to the largest time less the delay. The stateful jobs read their input in four micro-batches, of
+which each holds rows that are earlier than the latest of the batch before.
 """
 
 from __future__ import annotations
@@ -69,10 +70,34 @@ def checkpoints(s, d):
 
 add("i02_late_data_policy", checkpoints, "SELECT event_id, CASE WHEN event_id % 90 = 1 THEN 'future_confirmed' ELSE 'retracted' END AS problem FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND (event_id % 90 = 1) <> (event_id % 70 = 1)")
 add("i03_stream_dedupe", lambda s, d: run(J.deduplicated(stream(s, d).select((F.col("user_id") * 10 + F.length("event_type")).alias("revision_id"), "event_time"), "revision_id", "event_time", "40 days")).select("revision_id"), "SELECT DISTINCT user_id * 10 + length(event_type) AS revision_id FROM events")
-add("i04_stream_volume_bars", lambda s, d: run(J.volume_bars(trades(s, d), 500.0)), """WITH RECURSIVE t AS (SELECT event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS q, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events), w AS (
+def batch_of(s, df, name, delay_s):
+    """A table as a stream of four micro-batches, cut at equal times; some rows come a batch late, within the delay of what was seen."""
+    path = f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    t = F.unix_micros("event_time")
+    ends = df.agg(F.min(t).alias("a"), F.max(t).alias("z")).first()
+    if ends.a is None:
+        df.write.parquet(path)
+    else:
+        width = (ends.z - ends.a) // 4 + 1
+        part = F.floor((t - ends.a) / F.lit(width))
+        tail = part < F.floor((t - ends.a + F.lit(delay_s * 1_000_000)) / F.lit(width))
+        df = df.withColumn("_part", F.least(part + F.when(tail & (F.col("order_id") % 3 == 0), 1).otherwise(0), F.lit(3)))
+        for k in range(4):  # files are read in the order in which they were written
+            df.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(df.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def in_batches(s, d):
+    e = table(s, d, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    e = e.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("order_id"), "event_time", F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("double") + 1).alias("quantity"))
+    return batch_of(s, e, "trades", 6 * 3600)
+
+
+DUE = "({0} <= date_trunc('millisecond', (SELECT max({0}) FROM {1})) - INTERVAL 6 HOUR)"
+add("i04_stream_volume_bars", lambda s, d: run(J.volume_bars(in_batches(s, d), 500.0, "6 hours")), """WITH RECURSIVE t AS (SELECT event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS q, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events), w AS (
   SELECT symbol, i, q AS held, 0 AS bar_no, q >= 500 AS closes, ts, price FROM t WHERE i = 1
   UNION ALL SELECT t.symbol, t.i, CASE WHEN w.closes THEN t.q ELSE w.held + t.q END, w.bar_no + CASE WHEN w.closes THEN 1 ELSE 0 END, CASE WHEN w.closes THEN t.q ELSE w.held + t.q END >= 500, t.ts, t.price FROM w JOIN t ON t.symbol = w.symbol AND t.i = w.i + 1)
-SELECT symbol, CAST(bar_no AS INTEGER) AS bar_no, max(ts) AS last_time, arg_min(price, i) AS open, max(price) AS high, min(price) AS low, arg_max(price, i) AS close, max(held) AS volume, CAST(count(*) AS INTEGER) AS trade_count FROM w GROUP BY symbol, bar_no HAVING bool_or(closes)""")
+SELECT symbol, CAST(bar_no AS INTEGER) AS bar_no, max(ts) AS last_time, arg_min(price, i) AS open, max(price) AS high, min(price) AS low, arg_max(price, i) AS close, max(held) AS volume, CAST(count(*) AS INTEGER) AS trade_count FROM w GROUP BY symbol, bar_no HAVING bool_or(closes) AND """ + DUE.format("max(ts)", "events").replace("max(max(ts))", "max(ts)"))
 add("i05_stream_sequences", lambda s, d: J.latest_sequences(run(J.sequences(points(s, d, "view"), points(s, d, "purchase"), 43_200, "1 hour"))), """SELECT p.user_id AS key, p.event_id, p.ts AS event_time, arg_max(a.event_id, a.ts) AS first_id FROM events p JOIN events a ON a.event_type = 'view' AND a.user_id = p.user_id AND a.ts < p.ts AND a.ts >= p.ts - INTERVAL 43200 SECOND WHERE p.event_type = 'purchase' GROUP BY 1, 2, 3""")
 add(
     "i06_stream_absences", lambda s, d: run(J.absences(points(s, d, "view"), points(s, d, "purchase"), 43_200, "1 hour")),
@@ -92,28 +117,21 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY start, event_id) AS i
 SELECT key, min(start) AS cluster_start, max(e) AS cluster_end, count(*) AS n_spans FROM g GROUP BY key, i HAVING max(e) <= (SELECT max(start) FROM s) - INTERVAL 1 HOUR""")
 
 
-def batch_of(s, df, name):
-    """A table as a stream: written once to the shared folder and read as a file stream."""
-    path = f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return s.readStream.schema(df.schema).parquet(path)
-
-
 def labels(s, d):
     b = S.trend_range(X.with_returns(bars(s, d)), "log_return", 5, 0.5)
-    return batch_of(s, b.select("symbol", F.col("interval_start").alias("event_time"), F.unix_micros("interval_start").alias("order_id"), F.col("state").alias("label")), "labels")
+    return batch_of(s, b.select("symbol", F.col("interval_start").alias("event_time"), F.unix_micros("interval_start").alias("order_id"), F.col("state").alias("label")), "labels", 6 * 3600)
 
 
-add("i09_stream_state_switch", lambda s, d: run(J.state_switches(labels(s, d))), f"""WITH {runs_sql()}, s AS (SELECT symbol, interval_start, CASE WHEN k < 5 THEN NULL WHEN p = 0 THEN 'range' WHEN abs(t) / p >= 0.5 THEN CASE WHEN t > 0 THEN 'up' ELSE 'down' END ELSE 'range' END AS state FROM (SELECT *, count(log_return) OVER w AS k, sum(log_return) OVER w AS t, sum(abs(log_return)) OVER w AS p FROM b WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))), p AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY interval_start) AS f FROM s)
-SELECT symbol, interval_start AS event_time, f AS from_state, state AS to_state FROM p WHERE f IS NOT NULL AND state IS NOT NULL AND f <> state""")
+add("i09_stream_state_switch", lambda s, d: run(J.state_switches(labels(s, d), "6 hours")), f"""WITH {runs_sql()}, s AS (SELECT symbol, interval_start, CASE WHEN k < 5 THEN NULL WHEN p = 0 THEN 'range' WHEN abs(t) / p >= 0.5 THEN CASE WHEN t > 0 THEN 'up' ELSE 'down' END ELSE 'range' END AS state FROM (SELECT *, count(log_return) OVER w AS k, sum(log_return) OVER w AS t, sum(abs(log_return)) OVER w AS p FROM b WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))), p AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY interval_start) AS f FROM s)
+SELECT symbol, interval_start AS event_time, f AS from_state, state AS to_state FROM p WHERE f IS NOT NULL AND state IS NOT NULL AND f <> state AND """ + DUE.format("interval_start", "b"))
 
 
 def closes(s, d, name):
     b = bars(s, d)
-    return batch_of(s, b.select("symbol", F.col("interval_start").alias("event_time"), F.unix_micros("interval_start").alias("order_id"), F.col("close").cast("double").alias(name)), name)
+    return batch_of(s, b.select("symbol", F.col("interval_start").alias("event_time"), F.unix_micros("interval_start").alias("order_id"), F.col("close").cast("double").alias(name)), name, 6 * 3600)
 
 
-add("i10_drawdown_alerts", lambda s, d: run(J.drawdown_alerts(closes(s, d, "equity"), 0.9)), f"""WITH {runs_sql()}, p AS (SELECT symbol, interval_start, close, max(close) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM b), q AS (SELECT *, 1 - close / peak > 0.9 AS deep FROM p), z AS (SELECT *, coalesce(lag(deep) OVER (PARTITION BY symbol ORDER BY interval_start), false) AS before FROM q)
-SELECT symbol, interval_start AS event_time, close AS equity, peak FROM z WHERE deep AND NOT before""")
-add("i11_zscore_latch", lambda s, d: run(J.zscore_latch(closes(s, d, "close"), 6, 1.0, 0.2)), f"""WITH {runs_sql()}, z AS (SELECT *, CASE WHEN count(close) OVER w = 6 THEN (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) END AS z FROM b WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), m AS (SELECT *, CASE WHEN z IS NULL OR z > -0.2 THEN 0.0 WHEN z < -1 THEN 1.0 END AS mark FROM z),
-l AS (SELECT symbol, interval_start, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS target FROM m), c AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY interval_start), 0.0) AS before FROM l) SELECT symbol, interval_start AS event_time, target FROM c WHERE target <> before""")
+add("i10_drawdown_alerts", lambda s, d: run(J.drawdown_alerts(closes(s, d, "equity"), 0.9, "6 hours")), f"""WITH {runs_sql()}, p AS (SELECT symbol, interval_start, close, max(close) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM b), q AS (SELECT *, 1 - close / peak > 0.9 AS deep FROM p), z AS (SELECT *, coalesce(lag(deep) OVER (PARTITION BY symbol ORDER BY interval_start), false) AS before FROM q)
+SELECT symbol, interval_start AS event_time, close AS equity, peak FROM z WHERE deep AND NOT before AND """ + DUE.format("interval_start", "b"))
+add("i11_zscore_latch", lambda s, d: run(J.zscore_latch(closes(s, d, "close"), 6, 1.0, 0.2, "6 hours")), f"""WITH {runs_sql()}, z AS (SELECT *, CASE WHEN count(close) OVER w = 6 THEN (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) END AS z FROM b WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), m AS (SELECT *, CASE WHEN z IS NULL OR z > -0.2 THEN 0.0 WHEN z < -1 THEN 1.0 END AS mark FROM z),
+l AS (SELECT symbol, interval_start, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS target FROM m), c AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY interval_start), 0.0) AS before FROM l) SELECT symbol, interval_start AS event_time, target FROM c WHERE target <> before AND """ + DUE.format("interval_start", "b"))

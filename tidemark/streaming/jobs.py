@@ -85,21 +85,53 @@ def session_clusters(spans: DataFrame, delay: str) -> DataFrame:
     return grouped.select("key", F.col("w.start").alias("cluster_start"), (F.col("w.end") + F.expr("interval 1 microsecond")).alias("cluster_end"), "n_spans")
 
 
-def _stateful(stream: DataFrame, key: str, out: str, state: str, step) -> DataFrame:
-    """``step(rows in time order, state tuple or None) -> (output rows, new state tuple)`` per key and micro-batch."""
+#: A row that waits for the watermark: time in microseconds, order, and up to three numbers and one text.
+WAITING = "array<struct<us:bigint,order_id:bigint,x:double,y:double,label:string>>"
+
+
+def _stateful(stream: DataFrame, key: str, values: dict[str, str], out: str, state: str, step, delay: str) -> DataFrame:
+    """``step(key, rows in time order, state tuple or None) -> (output rows, new state tuple)`` over each key's rows.
+
+    Rows wait in the state until the watermark, ``delay`` behind the latest time seen, has passed them, and are then
+    applied in the order of time and ``order_id``: how they are dealt over micro-batches, and in which order they arrive
+    within the delay, makes no difference. Rows later than that are dropped. State is what waits, at most the delay's rows
+    of a key, and one record.
+    """
     ship(stream.sparkSession)
     names = [c.split()[0] for c in out.split(", ")]
+    slots = {c: s for s, c in values.items()}  # column: slot
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["event_time", "order_id"])
-        got, new = step(k[0], rows, held.get if held.exists else None)
-        held.update(new)
+        old, waiting = None, []
+        if held.exists:
+            *old, waiting = held.get
+            old, waiting = (tuple(old[:-1]) if old[-1] else None), [tuple(w) for w in waiting]
+        for rows in batches:
+            filled = {s: rows[c].tolist() if c else [None] * len(rows) for s, c in (("x", values.get("x")), ("y", values.get("y")), ("label", values.get("label")))}
+            us = rows["event_time"].astype("datetime64[us]").astype("int64").tolist()
+            waiting += zip(us, rows["order_id"].tolist(), filled["x"], filled["y"], filled["label"], strict=True)
+        mark = held.getCurrentWatermarkMs()
+        waiting.sort(key=lambda w: w[:2])
+        ready = [w for w in waiting if w[0] <= mark * 1000]
+        waiting = waiting[len(ready) :]
+        got = []
+        if ready:
+            frame = pd.DataFrame(ready, columns=["us", "order_id", "x", "y", "label"])
+            frame["event_time"] = pd.to_datetime(frame["us"], unit="us")
+            got, old = step(k[0], frame.rename(columns={s: c for c, s in slots.items()}), old)
+        blank = empty if old is None else tuple(old)
+        held.update((*blank, old is not None, waiting))
+        if waiting:
+            held.setTimeoutTimestamp(max(waiting[0][0] // 1000, mark + 1))
         yield pd.DataFrame(got, columns=names)
 
-    return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    fields = [f.split(" ", 1)[1] for f in state.split(", ")]
+    empty = tuple({"string": "", "boolean": False, "int": 0, "double": 0.0}.get(t, []) for t in fields)
+    timed = stream.withWatermark("event_time", delay)
+    return timed.groupBy(key).applyInPandasWithState(run, out, f"{state}, started boolean, waiting {WAITING}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def volume_bars(trades: DataFrame, threshold: float) -> DataFrame:
+def volume_bars(trades: DataFrame, threshold: float, delay: str = "10 minutes") -> DataFrame:
     """Volume bars with the open bar as state. Input: ``symbol, event_time, order_id, price, quantity`` (doubles)."""
 
     def step(symbol, rows, held):
@@ -113,24 +145,24 @@ def volume_bars(trades: DataFrame, threshold: float) -> DataFrame:
                 held = [no + 1, 0.0, 0.0, 0.0, 0.0, 0]
         return out, tuple(held)
 
-    return _stateful(trades, "symbol", "symbol string, bar_no int, last_time timestamp, open double, high double, low double, close double, volume double, trade_count int", "bar_no int, volume double, open double, high double, low double, trades int", step)
+    return _stateful(trades, "symbol", {"x": "price", "y": "quantity"}, "symbol string, bar_no int, last_time timestamp, open double, high double, low double, close double, volume double, trade_count int", "bar_no int, volume double, open double, high double, low double, trades int", step, delay)
 
 
-def state_switches(labels: DataFrame) -> DataFrame:
+def state_switches(labels: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Changes of a label per key. Input: ``symbol, event_time, order_id, label``."""
 
     def step(symbol, rows, held):
-        last, out = held[0] if held else None, []
+        last, out = (held[0] or None) if held else None, []
         for t, label in zip(rows["event_time"], rows["label"], strict=True):
             if last is not None and label is not None and label != last:
                 out.append((symbol, t, last, label))
             last = label
-        return out, (last,)
+        return out, (last or "",)
 
-    return _stateful(labels, "symbol", "symbol string, event_time timestamp, from_state string, to_state string", "label string", step)
+    return _stateful(labels, "symbol", {"label": "label"}, "symbol string, event_time timestamp, from_state string, to_state string", "label string", step, delay)
 
 
-def drawdown_alerts(equity: DataFrame, limit: float) -> DataFrame:
+def drawdown_alerts(equity: DataFrame, limit: float, delay: str = "10 minutes") -> DataFrame:
     """One alert for each episode below ``peak * (1 - limit)``. Input: ``symbol, event_time, order_id, equity``."""
 
     def step(symbol, rows, held):
@@ -144,10 +176,10 @@ def drawdown_alerts(equity: DataFrame, limit: float) -> DataFrame:
             breached = deep
         return out, (float(peak), bool(breached))
 
-    return _stateful(equity, "symbol", "symbol string, event_time timestamp, equity double, peak double", "peak double, breached boolean", step)
+    return _stateful(equity, "symbol", {"x": "equity"}, "symbol string, event_time timestamp, equity double, peak double", "peak double, breached boolean", step, delay)
 
 
-def zscore_latch(closes: DataFrame, n: int, entry_z: float, exit_z: float) -> DataFrame:
+def zscore_latch(closes: DataFrame, n: int, entry_z: float, exit_z: float, delay: str = "10 minutes") -> DataFrame:
     """Long under ``-entry_z``, flat above ``-exit_z``, on the last ``n`` closes kept as state; one row per change."""
 
     def step(symbol, rows, held):
@@ -164,4 +196,4 @@ def zscore_latch(closes: DataFrame, n: int, entry_z: float, exit_z: float) -> Da
             on = now
         return out, (last, on)
 
-    return _stateful(closes, "symbol", "symbol string, event_time timestamp, target double", "closes array<double>, held boolean", step)
+    return _stateful(closes, "symbol", {"x": "close"}, "symbol string, event_time timestamp, target double", "closes array<double>, held boolean", step, delay)
