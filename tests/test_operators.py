@@ -2,9 +2,10 @@
 
 import datetime as dt
 import math
+import random
 
-import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
@@ -13,8 +14,12 @@ from tidemark.operators import events as E
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
 from tidemark.operators import revisions as R
+from tidemark.operators import states as S
 from tidemark.operators import statistics as T
 from tidemark.operators import universe as U
+from tidemark.plans.registry import causality
+from tidemark.sources import sinks as K
+from tidemark.streaming import jobs as J
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -117,16 +122,22 @@ def test_entry_points(spark):
 
 
 def test_null_percentile_ranks_draws_in_range_partitions(spark):
+    import hashlib
+
     pool = spark.createDataFrame([(f"k{i}", float((i * 37) % 23) - 11) for i in range(60)] + [("none", None)], "key string, label double")
-    observed = pool.where("key like 'k1%'").withColumn("side", F.when(F.xxhash64("key") % 2 == 0, 1.0).otherwise(-1.0))
+    observed = pool.where("key like 'k1%'").withColumn("side", F.when(F.crc32(F.col("key").cast("binary")) % 2 == 0, 1.0).otherwise(-1.0))
     out = T.null_percentile(pool, observed, 20, 7)
     assert "windowspecdefinition(sim" not in out._jdf.queryExecution().optimizedPlan().toString()
-    seen = observed.select("side", "label", F.xxhash64(F.lit(7), "side").alias("h")).collect()
-    sides = [r.side for r in sorted(seen, key=lambda r: (r.h, r.side))]
+
+    def dealt(*parts):
+        return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+    seen = observed.collect()
+    sides = [r.side for r in sorted(seen, key=lambda r: (dealt(7, r.key), r.key))]
     own = sum(r.side * r.label for r in seen)
-    hashed = pool.where("label is not null").crossJoin(spark.range(20)).select("id", "label", "key", F.xxhash64(F.lit(7), "key", "id").alias("h")).collect()
-    draws = [[r.label for r in sorted((r for r in hashed if r.id == sim), key=lambda r: (r.h, r.key))][: len(sides)] for sim in range(20)]
-    sums = [sum(a * b for a, b in zip(sides, labels, strict=True)) for labels in draws]
+    labels = [(r.key, r.label) for r in pool.collect() if r.label is not None]
+    draws = [[v for _, v in sorted(labels, key=lambda x: (dealt(7, x[0], sim), x[0]))][: len(sides)] for sim in range(20)]  # noqa: B023
+    sums = [sum(a * b for a, b in zip(sides, d, strict=True)) for d in draws]
     row = out.collect()[0]
     assert row.sims == 20 and row.percentile == pytest.approx(5 * (sum(m < own for m in sums) + 0.5 * sum(m == own for m in sums)))
 
@@ -136,3 +147,141 @@ def test_fittable_study_holds_no_fold_in_one_group(spark, sf):
 
     plan = catalogue.QUERIES["j06_fittable_study"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+REV = "observation_key string, revision_id long, available_time timestamp, knowledge_time timestamp"
+EDGE = "revision_id long, superseded_revision_id long, knowledge_time timestamp"
+
+
+def test_selection_equals_closure_on_random_graphs(spark):
+    """Heads at one time, over a period, and of chosen candidates, against the closure of all paths."""
+    rng = random.Random(4)
+    revs, edges = [], []
+    for k in range(30):
+        ids = [100 * k + i for i in range(rng.randrange(1, 9))]
+        revs += [(f"k{k}", i, at(rng.randrange(60)), at(rng.randrange(80))) for i in ids]
+        edges += [(b, a, at(rng.randrange(80))) for n, b in enumerate(ids) for a in ids[:n] if rng.random() < 0.3]
+    cut, start, end = at(60), at(10), at(50)
+    known = [r for r in revs if r[3] <= cut]
+    paths = {(a, b) for a, b, t in edges if t <= cut}
+    while more := {(a, d) for a, b in paths for c, d in paths if b == c} - paths:
+        paths |= more
+
+    def heads(t):
+        live = {r[1]: r[0] for r in known if r[2] <= t}
+        return {i: k for i, k in live.items() if not any((j, i) in paths for j in live)}
+
+    def answer(key, t):
+        own = [i for i, k in heads(t).items() if k == key]
+        return ("ABSENT", None) if not own else ("SELECTED", own[0]) if len(own) == 1 else ("CONFLICT", None)
+
+    rows, links = spark.createDataFrame(revs, REV), spark.createDataFrame(edges, EDGE)
+    for t in (at(20), at(45)):
+        got = {r.observation_key: (r.status, r.revision_id) for r in R.select_at(rows, links, str(t), str(cut)).collect()}
+        assert got == {k: answer(k, t) for k in {r[0] for r in revs}}
+    spans = R.select_over(rows, links, str(start), str(end), str(cut)).collect()
+    for minute in range(10, 50):
+        got = {r.observation_key: (r.status, r.revision_id) for r in spans if r.valid_from <= at(minute) < r.valid_until}
+        assert got == {r[0]: answer(r[0], at(minute)) for r in known}
+    chosen = {r[1] for r in known if rng.random() < 0.5}
+    got = {r.revision_id for r in R.maximal_heads(rows.where(F.col("revision_id").isin(*chosen)), links.where(F.col("knowledge_time") <= str(cut))).collect()}
+    assert got == {i for i in chosen if not any((j, i) in paths for j in chosen)}
+
+
+def test_a_long_chain_costs_linear_rows(spark):
+    n = 10_000
+    ids = spark.range(n)
+    revs = ids.select(F.lit("k").alias("observation_key"), F.col("id").alias("revision_id"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).alias("available_time")).withColumn("knowledge_time", F.col("available_time"))
+    edges = ids.where("id > 0").select(F.col("id").alias("revision_id"), (F.col("id") - 1).alias("superseded_revision_id"), F.lit(T0).alias("knowledge_time"))
+    assert R.superseded_from(revs, edges).count() == n - 1
+    assert [r.revision_id for r in R.maximal_heads(revs, edges).collect()] == [n - 1]
+    assert R.graph_problems(revs, edges).count() == 0
+    spans = R.select_over(revs, edges, str(at(0)), str(at(1)), "2025-01-01").orderBy("valid_from").collect()
+    assert [r.revision_id for r in spans] == list(range(60))
+
+
+def test_cycles_are_found_between_edges_that_lead_forward(spark):
+    revs = spark.createDataFrame([("k", i, at(i), at(i)) for i in range(8)] + [("j", 9, at(1), at(1))], REV)
+    pairs = [(1, 0), (2, 1), (1, 2), (4, 3), (5, 4), (3, 5), (7, 7), (6, 99), (6, 9)]
+    got = {(r.problem, r.revision_id) for r in R.graph_problems(revs, spark.createDataFrame([(a, b, T0) for a, b in pairs], EDGE)).collect()}
+    assert got == {("cycle", i) for i in (1, 2, 3, 4, 5, 7)} | {("dangling", 6), ("crosses keys", 6)}
+
+
+def test_fingerprint_marks_nulls_and_types(spark):
+    def print_(rows):
+        r = R.fingerprint(spark.createDataFrame(rows, "a string, b string")).first()
+        return r.n_rows, r.sum1, r.sum2
+
+    rows = [[("x", None)], [(None, "x")], [("x", "")], [("x", "!")], [("x|", "y")], [("x", "|y")], [("x", "=y")], [("x", "y"), ("z", None)], [("x", None), ("z", "y")]]
+    assert len({print_(r) for r in rows}) == len(rows)
+    assert print_([("x", "y"), ("z", None)]) == print_([("z", None), ("x", "y")])
+
+
+def test_a_batch_whose_writer_died_is_written_once(spark, tmp_path):
+    root, batch = str(tmp_path), spark.range(10)
+    batch.union(batch).write.parquet(f"{root}/rows/batch_id=b1")  # a writer that died before the ledger
+    K.append_batch(spark.range(3), root, "b0")
+    assert K.read_batches(spark, root).count() == 3
+    assert K.append_batch(batch, root, "b1") == "written" and K.append_batch(batch.repartition(3), root, "b1") == "replayed"
+    assert K.read_batches(spark, root).count() == 13 and K.read_batches(spark, root, ["b1"]).count() == 10
+    with pytest.raises(K.Conflict):
+        K.append_batch(spark.range(9), root, "b1")
+
+
+def test_barriers_by_symbol_event_and_row(spark):
+    one = minute_bars(spark, [10.0, 10.0, 10.0, 10.0])
+    bars = one.union(one.withColumns({"symbol": F.lit("t"), "high": F.col("high") + 5, "low": F.col("open")}))
+    events = spark.createDataFrame([("s", 1, at(0)), ("t", 1, at(0)), ("s", 1, at(0)), ("s", 1, at(1))], "symbol string, event_key long, event_time timestamp")
+    out = sorted((r.symbol, r.event_time, r.side, round(r.label, 6)) for r in L.triple_barrier(events, bars, 1, 2, 0.3, 0.05).collect())
+    assert out == [("s", at(0), -1, -0.05), ("s", at(0), -1, -0.05), ("s", at(1), -1, -0.05), ("t", at(0), 1, 0.3)]
+
+
+def test_regimes_equal_counting(spark):
+    rng = random.Random(2)
+    rows = [("a" if rng.random() < 0.8 else "b", i, at(rng.randrange(600)), None if rng.random() < 0.1 else float(rng.randrange(9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, id long, interval_end timestamp, x double")
+    got = {r.id: r.state for r in S.quantile_regime(df, "x", [0.3, 0.7], ["low", "mid", "high"], 5, 3600).collect()}
+    for symbol, i, t, x in rows:
+        seen = [v for s, _, u, v in rows if s == symbol and v is not None and t - dt.timedelta(seconds=3600) < u <= t]
+        less = sum(v < x for v in seen) if x is not None else 0
+        want = None if x is None or len(seen) < 5 else ["low", "mid", "high"][sum(less >= max(1, math.ceil(c * len(seen))) for c in (0.3, 0.7))]
+        assert got[i] == want
+
+
+def test_running_maxima_over_range_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, None if rng.random() < 0.2 else rng.randrange(1000)) for i in range(300)]
+    out = {r.i: r.top for r in T.running_max(spark.createDataFrame(rows, "i long, v long").repartition(5), [F.col("i")], F.col("v"), "top", 7).collect()}
+    top = None
+    for i, v in rows:
+        top = v if top is None else max(top, v or 0)
+        assert out[i] == top
+
+
+def test_causality_catches_a_provider_that_looks_ahead(spark):
+    bars = minute_bars(spark, [float(i) for i in range(20)])
+    ahead = lambda b: b.select("symbol", F.col("available_time").alias("time"), F.lead("close").over(Window.partitionBy("symbol").orderBy("interval_start")).alias("value"))
+    fair = lambda b: b.select("symbol", F.col("available_time").alias("time"), F.lag("close").over(Window.partitionBy("symbol").orderBy("interval_start")).alias("value"))
+    assert causality(ahead, bars, str(at(10))).count() == 2 and causality(fair, bars, str(at(10))).count() == 0
+
+
+def test_normal_functions(spark):
+    from statistics import NormalDist
+
+    z = spark.createDataFrame([(x / 4,) for x in range(-40, 41)] + [(None,), (float("nan"),)], "z double")
+    for r in z.select("z", T.normal_sf(F.col("z")).alias("p")).collect():
+        assert r.p is None if r.z is None or r.z != r.z else r.p == pytest.approx(0.5 * math.erfc(r.z / math.sqrt(2)), rel=1e-11)
+    p = spark.createDataFrame([(x,) for x in (1e-9, 0.001, 0.02425, 0.3, 0.5, 0.97, 0.9999, 0.0, 1.0)], "p double")
+    for r in p.select("p", T.normal_quantile(F.col("p")).alias("z")).collect():
+        assert r.z is None if r.p in (0.0, 1.0) else r.z == pytest.approx(NormalDist().inv_cdf(r.p), abs=1e-8)
+
+
+def test_stateful_stream_waits_for_the_watermark(spark, tmp_path):
+    """Three batches: order within the delay does not matter, rows beyond it are dropped, the rest waits."""
+    schema = "symbol string, order_id long, event_time timestamp, label string"
+    batches = [[("s", 2, at(12), "b"), ("s", 1, at(10), "a")], [("s", 4, at(30), "a"), ("s", 3, at(11), "c")], [("s", 6, at(60), "z"), ("s", 5, at(1), "late"), ("s", 7, at(31), "d")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = J.run_available(J.state_switches(stream, "5 minutes"), f"{tmp_path}/run").orderBy("event_time").collect()
+    assert [(r.event_time, r.from_state, r.to_state) for r in out] == [(at(11), "a", "c"), (at(12), "c", "b"), (at(30), "b", "a"), (at(31), "a", "d")]
