@@ -510,3 +510,45 @@ def test_mixing_odd_inputs(spark, odd):
     assert source_mixing.mix_sources(empty(spark)).count() == 0
     out = source_mixing.mix_sources(odd, target_ratio=40.0)
     assert out.where("source is null").count() > 0 and out.columns == [*odd.columns, "copy_no", "rate"]
+
+
+CLASHES = {"h1": "x", "h2": "y", "row": "r", "rep": "q", "body": "b", "node": "n", "key": "k", "Score": "s", "digest": "d", "n_tokens": "t", "items": "i", "media": "m", "stored": "w", "coded": "c", "Lang_Pred": "l"}
+
+
+def test_clashing_columns_change_nothing(spark, docs, sf):
+    """Extra columns named like those that operators use inside, in any case of letters, leave every result as it is."""
+    few = docs.orderBy("doc_id").limit(40)
+    more = few.withColumns({n: F.lit(v) for n, v in CLASHES.items()})
+    runs = {
+        "2": language_id.identify_languages, "3": lambda d: id_store.check_documents(id_store.write_store(d, public_tokenizers.path("byte_bpe_50k.json"))),
+        "4": lambda d: sentencepiece_codec.encode_documents(d, public_tokenizers.path("piece_bpe_32k.model")), "6": media_columns.text_media,
+        "5": lambda d: order_minhash.duplicate_classes(d).drop("class_no"), "7": lambda d: token_counts.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")),
+    }
+    for n, run in runs.items():
+        assert sorted(map(str, run(more).collect())) == sorted(map(str, run(few).collect())), n
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").limit(60)
+    assert sorted(forest_search.nearest(vectors.withColumns({"id": F.lit(1), "v": F.lit(2), "key": F.lit(3)})).collect()) == sorted(forest_search.nearest(vectors).collect())
+
+
+def test_texts_of_several_megabytes(spark):
+    """One text of 3 MB of words, and one of 2 MB without any white space, whole through every operator on texts."""
+    rng = np.random.default_rng(8)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 60_000, 500_000))
+    solid = "".join(map(chr, rng.integers(97, 123, 2_000_000)))
+    docs = spark.createDataFrame([(1, long, "en", "s", 0), (2, long + " end", "en", "s", 0), (3, solid, "de", "t", 0), (4, "short text", "en", "s", 0)], SCHEMA)
+    texts = {1: long, 2: long + " end", 3: solid, 4: "short text"}
+    lines = {r.doc_id: r for r in line_dedup.drop_common_lines(docs, min_docs=2).collect()}
+    assert all(lines[d].kept_text == t for d, t in texts.items())
+    assert {r.doc_id for r in language_id.identify_languages(docs).collect()} == set(texts)
+    store = id_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    library = pretokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in id_store.check_documents(store).collect():
+        ids = np.array([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert r.verified and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids.tobytes())
+    assert all(r.round_trip for r in sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    assert {r.doc_id: r.class_id for r in order_minhash.duplicate_classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_bytes for r in media_columns.text_media(docs).collect()} == {d: len(t) for d, t in texts.items()}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()} == {d: len(pretokens.tokenizer(path).encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(docs, labels).count() == 4
