@@ -30,14 +30,20 @@ def _latest(side: str, frame):
     return F.max(F.when(F.col("side") == side, F.struct("us", "event_id"))).over(frame)
 
 
+def _so_far(last: int):
+    """All rows of a key up to now (0) or strictly before (-1): a frame that only grows, so each row is read once. Whether the
+    latest of them lies within a window is asked afterwards."""
+    return Window.partitionBy("key").orderBy("us").rangeBetween(Window.unboundedPreceding, last)
+
+
 def sequence(first: DataFrame, then: DataFrame, window_s: int) -> DataFrame:
     """Each ``then`` with the latest ``first`` strictly before it and at most the window away: ``key, event_id, event_time, first_id, gap_seconds``.
 
     One window over the union of both sides; no pairs are made.
     """
-    w = Window.partitionBy("key").orderBy("us").rangeBetween(-window_s * US, -1)
-    both = _tagged(first=first, then=then).withColumn("hit", _latest("first", w))
-    return both.where("side = 'then' and hit is not null").select("key", "event_id", "event_time", F.col("hit.event_id").alias("first_id"), ((F.col("us") - F.col("hit.us")) / US).alias("gap_seconds"))
+    both = _tagged(first=first, then=then).withColumn("hit", _latest("first", _so_far(-1)))
+    near = both.where("side = 'then'").where(F.col("us") - F.col("hit.us") <= window_s * US)
+    return near.select("key", "event_id", "event_time", F.col("hit.event_id").alias("first_id"), ((F.col("us") - F.col("hit.us")) / US).alias("gap_seconds"))
 
 
 def sequence_in_bars(first: DataFrame, then: DataFrame, n_bars: int, bar_s: int, lag_s: int) -> DataFrame:
@@ -53,18 +59,16 @@ def co_occurrence(left: DataFrame, right: DataFrame, window_s: int) -> DataFrame
 
     ``key, event_id, event_time, other_id``: of two events at one time the right one is kept.
     """
-    w = Window.partitionBy("key").orderBy("us").rangeBetween(-window_s * US, 0)
-    both = _tagged(left=left, right=right).withColumns({"l": _latest("left", w), "r": _latest("right", w)})
+    both = _tagged(left=left, right=right).withColumns({"l": _latest("left", _so_far(0)), "r": _latest("right", _so_far(0))})
     hit = F.when(F.col("side") == "left", F.col("r")).otherwise(F.col("l"))
-    found = both.withColumn("hit", hit).where("hit is not null").where(~((F.col("side") == "left") & (F.col("hit.us") == F.col("us"))))
+    found = both.withColumn("hit", hit).where(F.col("us") - F.col("hit.us") <= window_s * US).where(~((F.col("side") == "left") & (F.col("hit.us") == F.col("us"))))
     return found.select("key", "event_id", "event_time", F.col("hit.event_id").alias("other_id"))
 
 
 def absence(anchor: DataFrame, absent: DataFrame, window_s: int) -> DataFrame:
     """Anchors without an ``absent`` event in the window up to and including them."""
-    w = Window.partitionBy("key").orderBy("us").rangeBetween(-window_s * US, 0)
-    both = _tagged(anchor=anchor, absent=absent).withColumn("n", F.count(F.when(F.col("side") == "absent", 1)).over(w))
-    return both.where("side = 'anchor' and n = 0").select("key", "event_id", "event_time")
+    both = _tagged(anchor=anchor, absent=absent).withColumn("last", F.max(F.when(F.col("side") == "absent", F.col("us"))).over(_so_far(0)))
+    return both.where("side = 'anchor'").where(F.col("last").isNull() | (F.col("us") - F.col("last") > window_s * US)).select("key", "event_id", "event_time")
 
 
 def window_end(events: DataFrame, window_s: int) -> DataFrame:

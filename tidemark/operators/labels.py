@@ -19,7 +19,7 @@ def entry_bars(events: DataFrame, bars: DataFrame, bar_minutes: int) -> DataFram
     """Each event with its instrument's first bar that starts at or after it; none that starts a whole bar late.
 
     The columns of ``events`` (among them ``symbol, event_key, event_time``) with ``entry_start, entry_open, entry_run,
-    entry_no`` (position of the bar in its run). One sort over the union of events and bars, read backwards.
+    entry_no`` (position of the bar in its run). One backward sort over the union of events and bars.
     """
     return _entries(events, numbered_bars(bars), bar_minutes)
 
@@ -29,8 +29,9 @@ def _entries(events: DataFrame, numbered: DataFrame, bar_minutes: int) -> DataFr
     kind = numbered.select(bar.alias("b")).schema["b"].dataType
     e = events.select("symbol", F.col("event_time").alias("t"), F.struct("*").alias("event"), F.lit(None).cast(kind).alias("bar"), F.lit(0).alias("side"))
     b = numbered.select("symbol", F.col("interval_start").alias("t"), F.lit(None).cast(e.schema["event"].dataType).alias("event"), bar.alias("bar"), F.lit(1).alias("side"))
-    ahead = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
-    found = e.unionByName(b).withColumn("found", F.first("bar", ignorenulls=True).over(ahead)).where("side = 0")
+    # sorted backwards: a frame that only grows is extended row by row, one that shrinks is read again for each row
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = e.unionByName(b).withColumn("found", F.last("bar", ignorenulls=True).over(ahead)).where("side = 0")
     late = F.unix_micros("found.interval_start") - F.unix_micros("event.event_time") >= bar_minutes * 60_000_000
     f = F.when(~late, F.col("found"))
     return found.select("event.*", f["interval_start"].alias("entry_start"), f["open"].alias("entry_open"), f["run_id"].alias("entry_run"), f["no"].alias("entry_no"))

@@ -159,7 +159,7 @@ def select_over(revisions: DataFrame, edges: DataFrame, start: str, end: str, cu
     however many others the key has. Equal neighbours are merged.
     """
     c, s, e = (F.lit(x).cast("timestamp") for x in (cutoff, start, end))
-    known = revisions.where(F.col("knowledge_time") <= c)
+    known = materialise(revisions.where(F.col("knowledge_time") <= c).select("observation_key", "revision_id", "available_time"), "known")
     number = F.row_number().over(Window.partitionBy("observation_key").orderBy("revision_id"))
     spans = known.withColumn("no", number.cast("long")).join(superseded_from(known, edges.where(F.col("knowledge_time") <= c)), "revision_id", "left")
     spans = materialise(spans.select("observation_key", "revision_id", "no", "available_time", "beaten_at"), "head-spans")

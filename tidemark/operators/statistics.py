@@ -116,14 +116,14 @@ def breakeven_multiple(gross: str = "gross", cost: str = "cost") -> Column:
 def period_returns(equity: DataFrame, fills: DataFrame, by: str = "trial") -> DataFrame:
     """Returns between marks, with each fill's cost at the first mark strictly after it: ``by, mark, gross, cost``.
 
-    ``equity``: by, mark, equity. ``fills``: by, fill_time, cost. One sort over both, read backwards.
+    ``equity``: by, mark, equity. ``fills``: by, fill_time, cost. One backward sort over both.
     """
     w = Window.partitionBy(by).orderBy("mark")
     marks = equity.withColumn("before", F.lag("equity").over(w))
     f = fills.select(by, F.col("fill_time").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("timestamp").alias("at"), "cost")
     m = equity.select(by, F.col("mark").alias("t"), F.lit(0).alias("side"), F.col("mark").alias("at"), F.lit(None).cast("double").alias("cost"))
-    ahead = Window.partitionBy(by).orderBy("t", "side").rowsBetween(1, Window.unboundedFollowing)
-    placed = f.unionByName(m).withColumn("mark", F.first("at", ignorenulls=True).over(ahead)).where("side = 1 and mark is not null").groupBy(by, "mark").agg(F.sum("cost").alias("paid"))
+    ahead = Window.partitionBy(by).orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows
+    placed = f.unionByName(m).withColumn("mark", F.last("at", ignorenulls=True).over(ahead)).where("side = 1 and mark is not null").groupBy(by, "mark").agg(F.sum("cost").alias("paid"))
     out = marks.where("before is not null").join(placed, [by, "mark"], "left")
     cost = F.coalesce("paid", F.lit(0.0)) / F.col("before")
     return out.select(by, "mark", (F.col("equity") / F.col("before") - 1 + cost).alias("gross"), cost.alias("cost"))

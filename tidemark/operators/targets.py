@@ -160,8 +160,8 @@ def execution_bars(targets: DataFrame, bars: DataFrame) -> DataFrame:
     """Each target with its instrument's first bar at or after the decision: ``..., exec_start``."""
     e = targets.select("instrument", F.col("time").alias("t"), F.lit(0).alias("side"), F.struct("*").alias("row"), F.lit(None).cast("timestamp").alias("bar"))
     b = bars.select(F.col("symbol").alias("instrument"), F.col("interval_start").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(e.schema["row"].dataType).alias("row"), F.col("interval_start").alias("bar"))
-    ahead = Window.partitionBy("instrument").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
-    return e.unionByName(b).withColumn("exec_start", F.first("bar", ignorenulls=True).over(ahead)).where("side = 0").select("row.*", "exec_start")
+    ahead = Window.partitionBy("instrument").orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows
+    return e.unionByName(b).withColumn("exec_start", F.last("bar", ignorenulls=True).over(ahead)).where("side = 0").select("row.*", "exec_start")
 
 
 def supersede(executed: DataFrame) -> DataFrame:
