@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.session import materialise
 
 
+#: Edges that a later round of ``superseded_from`` follows at once.
+HOPS = 4
+
+
 def precedence(revisions: DataFrame) -> DataFrame:
     """Neighbouring revisions of a key by declared time: ``observation_key, revision_id, other_id, verdict``.
 
@@ -88,19 +92,28 @@ def superseded_from(revisions: DataFrame, edges: DataFrame) -> DataFrame:
     """``revision_id, beaten_at``: the earliest time at which a revision that supersedes it, directly or through others, is available.
 
     A revision is a head from its own time until then, so one pass answers for all times. Superseding revisions are
-    nearly always the later ones, and then the first round, over the edges alone, is final; a later round only carries
-    times on that are earlier than what it finds.
+    nearly always the later ones, and then the first round, over the edges alone, is final. A later round only carries on
+    times that are earlier than what it finds, ``HOPS`` edges at once since they are few.
     """
     step = materialise(edges.select("revision_id", "superseded_revision_id").distinct(), "edges")
-    own = revisions.select("revision_id", "available_time")
-    best = news = materialise(step.join(own, "revision_id").groupBy(F.col("superseded_revision_id").alias("revision_id")).agg(F.min("available_time").alias("beaten_at")), "beaten")
+
+    def onward(times: DataFrame) -> DataFrame:
+        return step.join(times, "revision_id").groupBy(F.col("superseded_revision_id").alias("revision_id")).agg(F.min("beaten_at").alias("beaten_at"))
+
+    news = materialise(onward(revisions.select("revision_id", F.col("available_time").alias("beaten_at"))), "beaten")
+    found, hops = news, 1
     while True:
-        told = step.join(news, "revision_id").groupBy(F.col("superseded_revision_id").alias("revision_id")).agg(F.min("beaten_at").alias("told"))
+        told = reached = onward(news)
+        for _ in range(hops - 1):
+            reached = onward(reached)
+            told = told.union(reached)
+        told = told.groupBy("revision_id").agg(F.min("beaten_at").alias("told"))
+        best = found.groupBy("revision_id").agg(F.min("beaten_at").alias("beaten_at"))
         news = told.join(best, "revision_id", "left").where("beaten_at is null or told < beaten_at").select("revision_id", F.col("told").alias("beaten_at"))
         news = materialise(news, "beaten")
         if not news.limit(1).count():
             return best
-        best = materialise(best.union(news).groupBy("revision_id").agg(F.min("beaten_at").alias("beaten_at")), "beaten")
+        found, hops = found.union(news), HOPS
 
 
 def graph_problems(revisions: DataFrame, edges: DataFrame) -> DataFrame:
