@@ -277,8 +277,8 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64) -> Da
     """Class of every row: ``doc_id, rep, class_id, n_copies, class_no``.
 
     ``rep`` is the smallest id of the same text, ``class_id`` the smallest id linked to it over any number of links, and
-    ``class_no`` a number of the class, which also tells two classes apart that go by the same id, because rows with
-    different texts repeat it. A link is a similarity of at least ``least``: the five-word shingles (words: lower-cased
+    ``class_no`` a number of the class within this result, which also tells two classes apart that go by the same id,
+    because rows with different texts repeat it. A link is a similarity of at least ``least``: the five-word shingles (words: lower-cased
     runs of letters, digits and underscores) that a banded alignment matches in order, as a share of those of both
     texts. Shingles further than ``band`` positions (or a quarter of the text) from the middle diagonal do not match.
 
@@ -294,7 +294,7 @@ def duplicate_classes(docs: DataFrame, least: float = 0.8, band: int = 64) -> Da
     Texts without words, null ones included, are linked to their exact copies alone. Repeated rows and repeated ids are
     kept, each with its class; a null ``doc_id`` has a null ``rep`` and class unless a copy has an id. Columns of ``docs`` other than
     ``doc_id`` and ``text`` are not used. No row is added or lost. Tables of the rounds are deleted before the result is
-    returned; two remain, which it reads.
+    returned; one remains, which it reads.
     """
     named = _named_texts(docs, least, band)
     h1, h2 = text_key(F.coalesce(F.col("text"), F.lit("")))
