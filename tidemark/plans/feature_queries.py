@@ -63,17 +63,23 @@ def time_bars_query(spark, sf_dir):
 
 
 QUERIES["d01_time_bars"] = time_bars_query
-ORACLE["d01_time_bars"] = f"WITH {bars_sql(60)} SELECT symbol, interval_start, interval_end, available_time, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'quote_volume', 'taker_buy_base_volume'))}, trade_count FROM bars"
+ORACLE["d01_time_bars"] = f"""WITH {bars_sql(60)}
+    SELECT symbol, interval_start, interval_end, available_time, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'quote_volume', 'taker_buy_base_volume'))}, trade_count
+    FROM bars"""
 
 QUERIES["d02_volume_bars"] = lambda spark, sf_dir: B.volume_bars(trades(spark, sf_dir), 500.0)
 ORACLE["d02_volume_bars"] = f"""WITH RECURSIVE {TRADES_SQL}, t AS (
-  SELECT symbol, CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, event_time, price, quantity, row_number() OVER (PARTITION BY symbol, CAST(event_time AS DATE) ORDER BY event_time, venue_trade_id) AS i FROM trades
+
+    SELECT symbol, CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, event_time, price, quantity, row_number() OVER (PARTITION BY symbol, CAST(event_time AS DATE)
+    ORDER BY event_time, venue_trade_id) AS i FROM trades
 ), walk AS (
   SELECT symbol, day, i, quantity AS held, 0 AS bar_no, quantity >= 500 AS closes, event_time, price FROM t WHERE i = 1
   UNION ALL
-  SELECT t.symbol, t.day, t.i, CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END, w.bar_no + CASE WHEN w.closes THEN 1 ELSE 0 END,
+  SELECT t.symbol, t.day, t.i, CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END, w.bar_no + CASE
+    WHEN w.closes THEN 1 ELSE 0 END,
          CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END >= 500, t.event_time, t.price
-  FROM walk w JOIN t ON t.symbol = w.symbol AND t.day = w.day AND t.i = w.i + 1
+  FROM walk w
+    JOIN t ON t.symbol = w.symbol AND t.day = w.day AND t.i = w.i + 1
 )
 SELECT symbol, day, CAST(bar_no AS INTEGER) AS bar_no, min(event_time) AS first_time, max(event_time) AS last_time, arg_min(price, i) AS open, max(price) AS high, min(price) AS low,
        arg_max(price, i) AS close, max(held) AS volume, CAST(count(*) AS INTEGER) AS trade_count
@@ -86,11 +92,15 @@ ORACLE["d36_missing_intervals"] = f"""WITH {bars_sql(60)}, grid AS (
 SELECT symbol, day, min(t) AS gap_start, max(t) + INTERVAL 1 HOUR AS gap_end, count(*) AS n_missing FROM missing GROUP BY symbol, day, t - k * INTERVAL 1 HOUR"""
 
 QUERIES["d37_id_jumps"] = lambda spark, sf_dir: B.id_jumps(trades(spark, sf_dir))
-ORACLE["d37_id_jumps"] = f"""WITH {TRADES_SQL}, s AS (SELECT symbol, venue_trade_id AS after_id, lead(venue_trade_id) OVER (PARTITION BY symbol ORDER BY venue_trade_id) AS next_id FROM (SELECT DISTINCT symbol, venue_trade_id FROM trades))
+ORACLE["d37_id_jumps"] = f"""WITH {TRADES_SQL}, s AS (SELECT symbol, venue_trade_id AS after_id, lead(venue_trade_id) OVER (PARTITION BY symbol
+    ORDER BY venue_trade_id) AS next_id FROM (SELECT DISTINCT symbol, venue_trade_id
+    FROM trades))
 SELECT symbol, after_id, next_id, next_id - after_id - 1 AS n_skipped FROM s WHERE next_id <> after_id + 1"""
 
 QUERIES["e01_contiguous_runs"] = lambda spark, sf_dir: base(spark, sf_dir).groupBy("symbol", "run_id").agg(F.count("*").alias("n_bars"), F.min("interval_start").alias("first_start"), F.max("interval_end").alias("last_end"))
-ORACLE["e01_contiguous_runs"] = f"WITH {runs_sql()} SELECT symbol, CAST(run_id AS BIGINT) AS run_id, count(*) AS n_bars, min(interval_start) AS first_start, max(interval_end) AS last_end FROM b GROUP BY symbol, run_id"
+ORACLE["e01_contiguous_runs"] = f"""WITH {runs_sql()}
+    SELECT symbol, CAST(run_id AS BIGINT) AS run_id, count(*) AS n_bars, min(interval_start) AS first_start, max(interval_end) AS last_end FROM b
+    GROUP BY symbol, run_id"""
 
 feature("e02_log_return", lambda: F.col("log_return"), "log_return")
 feature("e03_realized_volatility", lambda: X.realized_volatility(N), f"sqrt({full_sql('sum', 'log_return * log_return', N)})")
@@ -141,10 +151,12 @@ def cross(spark, sf_dir):
 QUERIES["e26_cross_sectional_rank"] = lambda spark, sf_dir: cross(spark, sf_dir).select("symbol", "interval_end", "cs_rank")
 QUERIES["e27_cross_sectional_quantile"] = lambda spark, sf_dir: cross(spark, sf_dir).select("symbol", "interval_end", "cs_quantile")
 CS = f"""WITH {runs_sql()}, c AS (
-  SELECT x.symbol, x.interval_end, x.log_return, count(y.symbol) AS n, count(y.symbol) FILTER (WHERE y.log_return < x.log_return) AS less, count(y.symbol) FILTER (WHERE y.log_return = x.log_return) AS eq
+
+    SELECT x.symbol, x.interval_end, x.log_return, count(y.symbol) AS n, count(y.symbol) FILTER (WHERE y.log_return < x.log_return) AS less, count(y.symbol) FILTER (WHERE y.log_return = x.log_return) AS eq
   FROM b x LEFT JOIN b y ON x.interval_end = y.interval_end AND y.log_return IS NOT NULL GROUP BY x.symbol, x.interval_end, x.log_return)"""
 ORACLE["e26_cross_sectional_rank"] = CS + "SELECT symbol, interval_end, CASE WHEN log_return IS NOT NULL AND n > 1 THEN round((2 * less + eq - 1) / (2.0 * (n - 1)), 6) END AS cs_rank FROM c"
-ORACLE["e27_cross_sectional_quantile"] = CS + "SELECT symbol, interval_end, CASE WHEN log_return IS NOT NULL AND n > 1 THEN CAST(least(floor((2 * less + eq - 1) * 5 / (2.0 * (n - 1))), 4) AS INTEGER) END AS cs_quantile FROM c"
+ORACLE["e27_cross_sectional_quantile"] = CS + """SELECT symbol, interval_end, CASE
+    WHEN log_return IS NOT NULL AND n > 1 THEN CAST(least(floor((2 * less + eq - 1) * 5 / (2.0 * (n - 1))), 4) AS INTEGER) END AS cs_quantile FROM c"""
 
 
 # ---- recursive features; SQL walks each run with a recursive query
@@ -228,9 +240,12 @@ def slice_query(spark, sf_dir):
 
 
 def regime_sql(base_sql: str, source: str, seconds: int, minimum: int) -> str:
-    return f"""{base_sql}, h AS (SELECT *, list(vol) FILTER (WHERE vol IS NOT NULL) OVER (PARTITION BY symbol ORDER BY interval_end RANGE BETWEEN INTERVAL {seconds - 1} SECOND PRECEDING AND CURRENT ROW) AS past FROM {source}),
+    return f"""{base_sql}, h AS (SELECT *, list(vol) FILTER (WHERE vol IS NOT NULL) OVER (PARTITION BY symbol
+    ORDER BY interval_end RANGE BETWEEN INTERVAL {seconds - 1} SECOND PRECEDING AND CURRENT ROW) AS past
+    FROM {source}),
     g AS (SELECT *, len(past) AS n, len(list_filter(past, lambda v: v < vol)) AS less FROM h)
-    SELECT symbol, interval_start, COLUMNS_HERE CASE WHEN vol IS NULL OR n < {minimum} THEN NULL WHEN less >= greatest(1, ceil(0.66 * n)) THEN 'high' WHEN less >= greatest(1, ceil(0.33 * n)) THEN 'mid' ELSE 'low' END AS state FROM g"""
+    SELECT symbol, interval_start, COLUMNS_HERE CASE WHEN vol IS NULL OR n < {minimum} THEN NULL WHEN less >= greatest(1, ceil(0.66 * n)) THEN 'high'
+    WHEN less >= greatest(1, ceil(0.33 * n)) THEN 'mid' ELSE 'low' END AS state FROM g"""
 
 
 QUERIES["slice_regime_bars"] = slice_query
@@ -238,30 +253,47 @@ ORACLE["slice_regime_bars"] = regime_sql(f"WITH {runs_sql(1440)}, v AS (SELECT *
 QUERIES["e28_quantile_regime"] = lambda spark, sf_dir: S.quantile_regime(vol_base(spark, sf_dir), "vol", (0.33, 0.66), ("low", "mid", "high"), 10, 7 * 86400).select("symbol", "interval_start", "state")
 ORACLE["e28_quantile_regime"] = regime_sql(f"WITH {VOL}", "v", 7 * 86400, 10).replace("COLUMNS_HERE", "")
 QUERIES["e29_trend_range"] = lambda spark, sf_dir: S.trend_range(base(spark, sf_dir), "log_return", N, 0.5).select("symbol", "interval_start", "state")
-TREND = f"""SELECT symbol, interval_start, CASE WHEN k < {N} THEN NULL WHEN p = 0 THEN 'range' WHEN abs(t) / p >= 0.5 THEN CASE WHEN t > 0 THEN 'up' ELSE 'down' END ELSE 'range' END AS state
-FROM (SELECT *, count(log_return) OVER w AS k, sum(log_return) OVER w AS t, sum(abs(log_return)) OVER w AS p FROM b WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW))"""
+TREND = f"""SELECT symbol, interval_start, CASE WHEN k < {N} THEN NULL WHEN p = 0 THEN 'range' WHEN abs(t) / p >= 0.5 THEN CASE
+    WHEN t > 0 THEN 'up' ELSE 'down' END ELSE 'range' END AS state
+FROM (SELECT *, count(log_return) OVER w AS k, sum(log_return) OVER w AS t, sum(abs(log_return)) OVER w AS p FROM b WINDOW w AS (PARTITION BY symbol
+    ORDER BY interval_start ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW))"""
 ORACLE["e29_trend_range"] = f"WITH {runs_sql()} {TREND}"
 QUERIES["e30_volatility_squeeze"] = lambda spark, sf_dir: vol_base(spark, sf_dir).withColumn("state", S.volatility_squeeze("vol", "vol_long", 0.45, 0.7)).select("symbol", "interval_start", "state")
-ORACLE["e30_volatility_squeeze"] = f"WITH {VOL} SELECT symbol, interval_start, CASE WHEN vol IS NULL OR vol_long IS NULL OR vol_long = 0 THEN NULL WHEN vol / vol_long < 0.45 THEN 'squeeze' WHEN vol / vol_long > 0.7 THEN 'expansion' ELSE 'normal' END AS state FROM v"
+ORACLE["e30_volatility_squeeze"] = f"""WITH {VOL} SELECT symbol, interval_start, CASE WHEN vol IS NULL OR vol_long IS NULL OR vol_long = 0 THEN NULL
+    WHEN vol / vol_long < 0.45 THEN 'squeeze' WHEN vol / vol_long > 0.7 THEN 'expansion' ELSE 'normal' END AS state FROM v"""
 QUERIES["e31_return_shock"] = lambda spark, sf_dir: vol_base(spark, sf_dir).withColumn("state", S.return_shock("log_return", "vol", 0.6)).select("symbol", "interval_start", "state")
-ORACLE["e31_return_shock"] = f"WITH {VOL} SELECT symbol, interval_start, CASE WHEN log_return IS NULL OR vol IS NULL THEN NULL WHEN log_return > 0.6 * vol THEN 'up_shock' WHEN log_return < -0.6 * vol THEN 'down_shock' ELSE 'calm' END AS state FROM v"
+ORACLE["e31_return_shock"] = f"""WITH {VOL} SELECT symbol, interval_start, CASE WHEN log_return IS NULL OR vol IS NULL THEN NULL
+    WHEN log_return > 0.6 * vol THEN 'up_shock' WHEN log_return < -0.6 * vol THEN 'down_shock' ELSE 'calm' END AS state FROM v"""
 QUERIES["e32_threshold_cross"] = lambda spark, sf_dir: S.threshold_cross(base(spark, sf_dir), "log_return", 0.0, "both").select("symbol", "interval_start", "direction")
-ORACLE["e32_threshold_cross"] = f"WITH {runs_sql()} SELECT symbol, interval_start, CASE WHEN log_return > 0 THEN 'up' ELSE 'down' END AS direction FROM (SELECT *, lag(log_return) OVER (PARTITION BY symbol ORDER BY interval_start) AS p FROM b) WHERE (p <= 0 AND log_return > 0) OR (p >= 0 AND log_return < 0)"
+ORACLE["e32_threshold_cross"] = f"""WITH {runs_sql()} SELECT symbol, interval_start, CASE WHEN log_return > 0 THEN 'up' ELSE 'down' END AS direction
+    FROM (SELECT *, lag(log_return) OVER (PARTITION BY symbol ORDER BY interval_start) AS p FROM b)
+    WHERE (p <= 0 AND log_return > 0) OR (p >= 0 AND log_return < 0)"""
 QUERIES["e33_volatility_breakout"] = lambda spark, sf_dir: S.breakout(vol_base(spark, sf_dir), "vol", 4, 1.1).select("symbol", "interval_start", r(F.col("baseline")).alias("baseline"))
-ORACLE["e33_volatility_breakout"] = f"""WITH {VOL}, m AS (SELECT *, count(vol) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS k, avg(vol) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS baseline,
-  avg(vol) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS before, lag(vol) OVER (PARTITION BY symbol ORDER BY interval_start) AS p FROM v)
+ORACLE["e33_volatility_breakout"] = f"""WITH {VOL}, m AS (SELECT *, count(vol) OVER (PARTITION BY symbol
+    ORDER BY interval_start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS k, avg(vol) OVER (PARTITION BY symbol
+    ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS baseline,
+  avg(vol) OVER (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS before, lag(vol) OVER (PARTITION BY symbol
+    ORDER BY interval_start) AS p FROM v)
 SELECT symbol, interval_start, round(baseline, 6) AS baseline FROM m WHERE k = 6 AND vol > 1.1 * baseline AND NOT p > 1.1 * before"""
 QUERIES["e34_state_switch"] = lambda spark, sf_dir: S.state_switch(S.trend_range(base(spark, sf_dir), "log_return", N, 0.5), "state").select("symbol", "interval_start", "from_state", "to_state")
 ORACLE["e34_state_switch"] = f"""WITH {runs_sql()}, s AS ({TREND}), p AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY interval_start) AS from_state FROM s)
 SELECT symbol, interval_start, from_state, state AS to_state FROM p WHERE from_state IS NOT NULL AND state IS NOT NULL AND from_state <> state"""
 QUERIES["c27_relative_threshold_cross"] = lambda spark, sf_dir: S.relative_cross(vol_base(spark, sf_dir), "vol", "vol_long", 0.6).select("symbol", "interval_start", "direction")
-ORACLE["c27_relative_threshold_cross"] = f"""WITH {VOL}, m AS (SELECT *, vol - 0.6 * vol_long AS gap FROM v WHERE vol IS NOT NULL AND vol_long IS NOT NULL), p AS (SELECT *, lag(gap) OVER (PARTITION BY symbol ORDER BY interval_start) AS before FROM m)
-SELECT symbol, interval_start, CASE WHEN gap > 0 THEN 'up' ELSE 'down' END AS direction FROM p WHERE (before <= 0 AND gap > 0) OR (before >= 0 AND gap < 0)"""
+ORACLE["c27_relative_threshold_cross"] = f"""WITH {VOL}, m AS (SELECT *, vol - 0.6 * vol_long AS gap FROM v
+    WHERE vol IS NOT NULL AND vol_long IS NOT NULL), p AS (SELECT *, lag(gap) OVER (PARTITION BY symbol ORDER BY interval_start) AS before
+    FROM m)
+SELECT symbol, interval_start, CASE WHEN gap > 0 THEN 'up' ELSE 'down' END AS direction FROM p
+    WHERE (before <= 0 AND gap > 0) OR (before >= 0 AND gap < 0)"""
 STATES = f"WITH {runs_sql()}, s AS ({TREND})"
 QUERIES["d06_state_counts"] = lambda spark, sf_dir: S.state_counts(S.trend_range(base(spark, sf_dir), "log_return", N, 0.5)).select("state", "n", r(F.col("share")).alias("share"), "runs", r(F.col("mean_run")).alias("mean_run"), "max_run", "short_runs")
-ORACLE["d06_state_counts"] = STATES + """, f AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY symbol ORDER BY interval_start) THEN 0 ELSE 1 END AS fresh FROM s WHERE state IS NOT NULL), g AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY interval_start) AS rid FROM f),
-q AS (SELECT symbol, rid, state, count(*) AS steps FROM g GROUP BY symbol, rid, state)
-SELECT state, CAST(sum(steps) AS BIGINT) AS n, round(sum(steps) / (SELECT sum(steps) FROM q), 6) AS share, count(*) AS runs, round(avg(steps), 6) AS mean_run, max(steps) AS max_run, count(*) FILTER (WHERE steps < 3) AS short_runs FROM q GROUP BY state"""
+ORACLE["d06_state_counts"] = STATES + """, f AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY symbol
+    ORDER BY interval_start) THEN 0 ELSE 1 END AS fresh FROM s WHERE state IS NOT NULL), g AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol
+    ORDER BY interval_start) AS rid FROM f),
+q AS (SELECT symbol, rid, state, count(*) AS steps FROM g
+    GROUP BY symbol, rid, state)
+SELECT state, CAST(sum(steps) AS BIGINT) AS n, round(sum(steps) / (SELECT sum(steps)
+    FROM q), 6) AS share, count(*) AS runs, round(avg(steps), 6) AS mean_run, max(steps) AS max_run, count(*) FILTER (WHERE steps < 3) AS short_runs
+    FROM q GROUP BY state"""
 QUERIES["d06_state_transitions"] = lambda spark, sf_dir: S.transitions(S.trend_range(base(spark, sf_dir), "log_return", N, 0.5)).select("from_state", "to_state", "n", r(F.col("probability")).alias("probability"))
 ORACLE["d06_state_transitions"] = STATES + """, p AS (SELECT lag(state) OVER (PARTITION BY symbol ORDER BY interval_start) AS from_state, state AS to_state FROM s WHERE state IS NOT NULL)
 SELECT from_state, to_state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY from_state), 6) AS probability FROM p WHERE from_state IS NOT NULL GROUP BY from_state, to_state"""

@@ -36,11 +36,19 @@ def edges(s, d):
 
 
 REVS = """revs AS (SELECT *, available_time + INTERVAL 2 DAY AS knowledge_time FROM (
-  SELECT o_orderkey AS observation_key, o_orderkey * 100 AS revision_id, CAST(round(o_totalprice / 100000) AS BIGINT) AS payload_hash, CAST(o_orderdate AS TIMESTAMP) AS available_time FROM orders
-  UNION ALL SELECT l_orderkey, l_orderkey * 100 + l_linenumber, CAST(round(sum(l_extendedprice) / 100000) AS BIGINT), CAST(max(l_shipdate) AS TIMESTAMP) FROM lineitem GROUP BY l_orderkey, l_linenumber)),
-edges AS (SELECT revision_id, superseded_revision_id, knowledge_time FROM (SELECT *, lag(revision_id) OVER (PARTITION BY observation_key ORDER BY revision_id) AS superseded_revision_id FROM revs) WHERE superseded_revision_id IS NOT NULL AND observation_key % 3 <> 0)"""
-CL = f"""WITH RECURSIVE {REVS}, kedges AS (SELECT * FROM edges WHERE knowledge_time <= TIMESTAMP '{CUT}'), cl AS (SELECT revision_id AS src, superseded_revision_id AS dst FROM kedges UNION SELECT c.src, e.superseded_revision_id FROM cl c JOIN kedges e ON e.revision_id = c.dst)"""
-CAND = f"cand AS (SELECT * FROM revs WHERE knowledge_time <= TIMESTAMP '{CUT}' AND available_time <= TIMESTAMP '{AT}'), heads AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cl JOIN cand x ON x.revision_id = cl.src WHERE cl.dst = c.revision_id))"
+
+    SELECT o_orderkey AS observation_key, o_orderkey * 100 AS revision_id, CAST(round(o_totalprice / 100000) AS BIGINT) AS payload_hash, CAST(o_orderdate AS TIMESTAMP) AS available_time
+    FROM orders
+  UNION ALL
+    SELECT l_orderkey, l_orderkey * 100 + l_linenumber, CAST(round(sum(l_extendedprice) / 100000) AS BIGINT), CAST(max(l_shipdate) AS TIMESTAMP)
+    FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+edges AS (SELECT revision_id, superseded_revision_id, knowledge_time FROM (SELECT *, lag(revision_id) OVER (PARTITION BY observation_key
+    ORDER BY revision_id) AS superseded_revision_id FROM revs) WHERE superseded_revision_id IS NOT NULL AND observation_key % 3 <> 0)"""
+CL = f"""WITH RECURSIVE {REVS}, kedges AS (SELECT * FROM edges WHERE knowledge_time <= TIMESTAMP '{CUT}'),
+    cl AS (SELECT revision_id AS src, superseded_revision_id AS dst FROM kedges UNION SELECT c.src, e.superseded_revision_id FROM cl c
+    JOIN kedges e ON e.revision_id = c.dst)"""
+CAND = f"""cand AS (SELECT * FROM revs WHERE knowledge_time <= TIMESTAMP '{CUT}' AND available_time <= TIMESTAMP '{AT}'), heads AS (SELECT c.*
+    FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cl JOIN cand x ON x.revision_id = cl.src WHERE cl.dst = c.revision_id))"""
 
 
 def known(s, d):
@@ -52,8 +60,11 @@ def candidates(s, d):
     return known(s, d)[0].where(F.col("available_time") <= F.lit(AT).cast("timestamp"))
 
 
-add("c01_precedence", lambda s, d: R.precedence(revs(s, d)), f"""WITH {REVS}, x AS (SELECT *, lag(revision_id) OVER w AS other_id, lag(payload_hash) OVER w AS h, lag(available_time) OVER w AS a FROM revs WINDOW w AS (PARTITION BY observation_key ORDER BY available_time, revision_id))
-SELECT observation_key, revision_id, other_id, CASE WHEN payload_hash = h THEN 'replay' WHEN available_time > a THEN 'newer' ELSE 'competing' END AS verdict FROM x WHERE other_id IS NOT NULL""")
+add("c01_precedence", lambda s, d: R.precedence(revs(s, d)), f"""WITH {REVS},
+    x AS (SELECT *, lag(revision_id) OVER w AS other_id, lag(payload_hash) OVER w AS h, lag(available_time) OVER w AS a FROM revs
+    WINDOW w AS (PARTITION BY observation_key ORDER BY available_time, revision_id))
+SELECT observation_key, revision_id, other_id, CASE WHEN payload_hash = h THEN 'replay'
+    WHEN available_time > a THEN 'newer' ELSE 'competing' END AS verdict FROM x WHERE other_id IS NOT NULL""")
 
 
 def left(s, d):
@@ -64,7 +75,12 @@ def right(s, d):
     return table(s, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("observation_key"), F.when(F.col("o_custkey") % 4 == 0, F.col("o_totalprice") + 1).when(F.col("o_custkey") % 4 != 1, F.col("o_totalprice")).alias("amount")).unionByName(left(s, d).where("observation_key % 97 = 1"))
 
 
-CMP = "l AS (SELECT o_orderkey AS observation_key, o_totalprice AS amount FROM orders), rr AS (SELECT o_orderkey AS observation_key, CASE WHEN o_custkey % 4 = 0 THEN o_totalprice + 1 WHEN o_custkey % 4 <> 1 THEN o_totalprice END AS amount FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT * FROM l WHERE observation_key % 97 = 1), rg AS (SELECT observation_key, count(*) AS n, first(amount) AS amount FROM rr GROUP BY 1), cmp AS (SELECT coalesce(l.observation_key, rg.observation_key) AS observation_key, CASE WHEN rg.n > 1 THEN 'INTEGRITY_VIOLATION' WHEN l.observation_key IS NULL OR rg.observation_key IS NULL OR l.amount IS NULL OR rg.amount IS NULL THEN 'INCOMPARABLE' WHEN l.amount = rg.amount THEN 'EQUAL' ELSE 'MISMATCH' END AS verdict FROM l FULL JOIN rg ON l.observation_key = rg.observation_key)"
+CMP = """l AS (SELECT o_orderkey AS observation_key, o_totalprice AS amount FROM orders), rr AS (SELECT o_orderkey AS observation_key, CASE
+    WHEN o_custkey % 4 = 0 THEN o_totalprice + 1 WHEN o_custkey % 4 <> 1 THEN o_totalprice END AS amount FROM orders WHERE o_orderkey % 5 <> 0
+    UNION ALL SELECT * FROM l WHERE observation_key % 97 = 1), rg AS (SELECT observation_key, count(*) AS n, first(amount) AS amount FROM rr
+    GROUP BY 1), cmp AS (SELECT coalesce(l.observation_key, rg.observation_key) AS observation_key, CASE WHEN rg.n > 1 THEN 'INTEGRITY_VIOLATION'
+    WHEN l.observation_key IS NULL OR rg.observation_key IS NULL OR l.amount IS NULL OR rg.amount IS NULL THEN 'INCOMPARABLE'
+    WHEN l.amount = rg.amount THEN 'EQUAL' ELSE 'MISMATCH' END AS verdict FROM l FULL JOIN rg ON l.observation_key = rg.observation_key)"""
 add("c02_compare_channels", lambda s, d: R.compare_channels(left(s, d), right(s, d), ["amount"]), f"WITH {CMP} SELECT * FROM cmp")
 
 
@@ -80,9 +96,13 @@ def canonical(s, d):
     return revs(s, d).select(F.col("revision_id").alias("lineage_id"), (F.col("revision_id") + 1_000_000_000).alias("revision_id"), (F.col("available_time") + F.expr("interval 3 days")).alias("knowledge_time"))
 
 
-add("c04_map_edges", lambda s, d: R.map_edges(edges(s, d), canonical(s, d)), f"WITH {REVS}, ca AS (SELECT revision_id AS lineage_id, revision_id + 1000000000 AS revision_id, available_time + INTERVAL 3 DAY AS k FROM revs) SELECT a.revision_id, b.revision_id AS superseded_revision_id, greatest(e.knowledge_time, a.k, b.k) AS knowledge_time, 1 AS n_matches FROM edges e JOIN ca a ON a.lineage_id = e.revision_id JOIN ca b ON b.lineage_id = e.superseded_revision_id")
+add("c04_map_edges", lambda s, d: R.map_edges(edges(s, d), canonical(s, d)), f"""WITH {REVS},
+    ca AS (SELECT revision_id AS lineage_id, revision_id + 1000000000 AS revision_id, available_time + INTERVAL 3 DAY AS k FROM revs)
+    SELECT a.revision_id, b.revision_id AS superseded_revision_id, greatest(e.knowledge_time, a.k, b.k) AS knowledge_time, 1 AS n_matches
+    FROM edges e JOIN ca a ON a.lineage_id = e.revision_id JOIN ca b ON b.lineage_id = e.superseded_revision_id""")
 add("c05_maximal_heads", lambda s, d: R.maximal_heads(candidates(s, d), known(s, d)[1]).select("observation_key", "revision_id"), f"{CL}, {CAND} SELECT observation_key, revision_id FROM heads")
-BAD = "SELECT revision_id, superseded_revision_id, knowledge_time FROM edges UNION ALL SELECT revision_id, CASE WHEN revision_id % 1000 = 1 THEN revision_id + 77000000 ELSE revision_id END, knowledge_time FROM revs WHERE revision_id % 1000 IN (1, 102)"
+BAD = """SELECT revision_id, superseded_revision_id, knowledge_time FROM edges UNION ALL SELECT revision_id, CASE
+    WHEN revision_id % 1000 = 1 THEN revision_id + 77000000 ELSE revision_id END, knowledge_time FROM revs WHERE revision_id % 1000 IN (1, 102)"""
 
 
 def bad_edges(s, d):
@@ -90,22 +110,44 @@ def bad_edges(s, d):
     return edges(s, d).unionByName(more)
 
 
-add("c06_graph_problems", lambda s, d: R.graph_problems(revs(s, d), bad_edges(s, d)).distinct(), f"WITH {REVS} SELECT DISTINCT CASE WHEN revision_id % 1000 = 1 THEN 'dangling' ELSE 'cycle' END AS problem, revision_id FROM revs WHERE revision_id % 1000 IN (1, 102)")
-add("c07_select_at", lambda s, d: R.select_at(revs(s, d), edges(s, d), AT, CUT), f"{CL}, {CAND}, p AS (SELECT observation_key, count(*) AS n, min(revision_id) AS one FROM heads GROUP BY 1) SELECT k.observation_key, CASE WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE WHEN n = 1 THEN one END AS revision_id, coalesce(n, 0) AS n_heads FROM (SELECT DISTINCT observation_key FROM revs) k LEFT JOIN p USING (observation_key)")
+add("c06_graph_problems", lambda s, d: R.graph_problems(revs(s, d), bad_edges(s, d)).distinct(), f"""WITH {REVS} SELECT DISTINCT CASE
+    WHEN revision_id % 1000 = 1 THEN 'dangling' ELSE 'cycle' END AS problem, revision_id FROM revs WHERE revision_id % 1000 IN (1, 102)""")
+add("c07_select_at", lambda s, d: R.select_at(revs(s, d), edges(s, d), AT, CUT), f"""{CL}, {CAND},
+    p AS (SELECT observation_key, count(*) AS n, min(revision_id) AS one FROM heads GROUP BY 1) SELECT k.observation_key, CASE
+    WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE
+    WHEN n = 1 THEN one END AS revision_id, coalesce(n, 0) AS n_heads FROM (SELECT DISTINCT observation_key FROM revs) k LEFT
+    JOIN p USING (observation_key)""")
 S0, E0 = "1999-01-01", "2000-06-01"
 add(
     "c08_select_over", lambda s, d: R.select_over(revs(s, d), edges(s, d), S0, E0, CUT),
-    f"""{CL}, kn AS (SELECT * FROM revs WHERE knowledge_time <= TIMESTAMP '{CUT}'), pts AS (SELECT DISTINCT observation_key, TIMESTAMP '{S0}' AS t FROM kn UNION SELECT observation_key, available_time FROM kn WHERE available_time > TIMESTAMP '{S0}' AND available_time < TIMESTAMP '{E0}'),
-    cd AS (SELECT p.observation_key, p.t, k.revision_id FROM pts p JOIN kn k ON k.observation_key = p.observation_key AND k.available_time <= p.t), bt AS (SELECT DISTINCT c.observation_key, c.t, cl.dst AS revision_id FROM cd c JOIN cl ON cl.src = c.revision_id),
-    hd AS (SELECT c.observation_key, c.t, count(*) AS n, min(c.revision_id) AS one FROM cd c ANTI JOIN bt ON bt.observation_key = c.observation_key AND bt.t = c.t AND bt.revision_id = c.revision_id GROUP BY 1, 2),
-    an AS (SELECT p.observation_key, p.t, CASE WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE WHEN n = 1 THEN one END AS revision_id FROM pts p LEFT JOIN hd ON hd.observation_key = p.observation_key AND hd.t = p.t),
-    ch AS (SELECT *, row_number() OVER w = 1 OR status IS DISTINCT FROM lag(status) OVER w OR revision_id IS DISTINCT FROM lag(revision_id) OVER w AS fresh FROM an WINDOW w AS (PARTITION BY observation_key ORDER BY t))
-    SELECT observation_key, t AS valid_from, coalesce(lead(t) OVER (PARTITION BY observation_key ORDER BY t), TIMESTAMP '{E0}') AS valid_until, status, revision_id FROM ch WHERE fresh""",
+    f"""{CL}, kn AS (SELECT * FROM revs WHERE knowledge_time <= TIMESTAMP '{CUT}'), pts AS (SELECT DISTINCT observation_key, TIMESTAMP '{S0}' AS t
+    FROM kn UNION SELECT observation_key, available_time FROM kn
+    WHERE available_time > TIMESTAMP '{S0}' AND available_time < TIMESTAMP '{E0}'),
+    cd AS (SELECT p.observation_key, p.t, k.revision_id FROM pts p JOIN kn k ON k.observation_key = p.observation_key AND k.available_time <= p.t),
+    bt AS (SELECT DISTINCT c.observation_key, c.t, cl.dst AS revision_id FROM cd c
+    JOIN cl ON cl.src = c.revision_id),
+    hd AS (SELECT c.observation_key, c.t, count(*) AS n, min(c.revision_id) AS one FROM cd c ANTI
+    JOIN bt ON bt.observation_key = c.observation_key AND bt.t = c.t AND bt.revision_id = c.revision_id
+    GROUP BY 1, 2),
+    an AS (SELECT p.observation_key, p.t, CASE WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE
+    WHEN n = 1 THEN one END AS revision_id FROM pts p LEFT
+    JOIN hd ON hd.observation_key = p.observation_key AND hd.t = p.t),
+    ch AS (SELECT *, row_number() OVER w = 1 OR status IS DISTINCT FROM lag(status) OVER w OR revision_id IS DISTINCT
+    FROM lag(revision_id) OVER w AS fresh FROM an WINDOW w AS (PARTITION BY observation_key ORDER BY t))
+    SELECT observation_key, t AS valid_from, coalesce(lead(t) OVER (PARTITION BY observation_key
+    ORDER BY t), TIMESTAMP '{E0}') AS valid_until, status, revision_id FROM ch WHERE fresh""",
 )
-add("c09_key_closure", lambda s, d: R.key_closure(revs(s, d).where("available_time >= timestamp '2000-01-01' and available_time < timestamp '2000-01-08'"), revs(s, d)).select("observation_key", "revision_id"), f"WITH {REVS} SELECT observation_key, revision_id FROM revs WHERE observation_key IN (SELECT observation_key FROM revs WHERE available_time >= TIMESTAMP '2000-01-01' AND available_time < TIMESTAMP '2000-01-08')")
-add("c10_asof_revisions", lambda s, d: R.asof_revisions(revs(s, d)).select("observation_key", "revision_id", "valid_from", "valid_until"), f"WITH {REVS} SELECT observation_key, revision_id, available_time AS valid_from, lead(available_time) OVER (PARTITION BY observation_key ORDER BY available_time, revision_id) AS valid_until FROM revs")
-add("f08_conflict_heads", lambda s, d: R.conflict_heads(candidates(s, d), known(s, d)[1]).select("observation_key", "revision_id", "n_heads", "ordinal"), f"{CL}, {CAND}, c AS (SELECT *, count(*) OVER (PARTITION BY observation_key) AS n_heads, row_number() OVER (PARTITION BY observation_key ORDER BY revision_id) - 1 AS ordinal FROM heads) SELECT observation_key, revision_id, n_heads, ordinal FROM c WHERE n_heads > 1")
-add("d38_competing_heads", lambda s, d: R.conflict_heads(candidates(s, d), known(s, d)[1]).groupBy("observation_key").agg(F.count("*").alias("n_heads"), F.min("revision_id").alias("first_head")), f"{CL}, {CAND} SELECT observation_key, count(*) AS n_heads, min(revision_id) AS first_head FROM heads GROUP BY 1 HAVING count(*) > 1")
+add("c09_key_closure", lambda s, d: R.key_closure(revs(s, d).where("available_time >= timestamp '2000-01-01' and available_time < timestamp '2000-01-08'"), revs(s, d)).select("observation_key", "revision_id"), f"""WITH {REVS}
+    SELECT observation_key, revision_id FROM revs WHERE observation_key IN (SELECT observation_key FROM revs
+    WHERE available_time >= TIMESTAMP '2000-01-01' AND available_time < TIMESTAMP '2000-01-08')""")
+add("c10_asof_revisions", lambda s, d: R.asof_revisions(revs(s, d)).select("observation_key", "revision_id", "valid_from", "valid_until"), f"""WITH {REVS}
+    SELECT observation_key, revision_id, available_time AS valid_from, lead(available_time) OVER (PARTITION BY observation_key
+    ORDER BY available_time, revision_id) AS valid_until FROM revs""")
+add("f08_conflict_heads", lambda s, d: R.conflict_heads(candidates(s, d), known(s, d)[1]).select("observation_key", "revision_id", "n_heads", "ordinal"), f"""{CL}, {CAND},
+    c AS (SELECT *, count(*) OVER (PARTITION BY observation_key) AS n_heads, row_number() OVER (PARTITION BY observation_key
+    ORDER BY revision_id) - 1 AS ordinal FROM heads) SELECT observation_key, revision_id, n_heads, ordinal FROM c WHERE n_heads > 1""")
+add("d38_competing_heads", lambda s, d: R.conflict_heads(candidates(s, d), known(s, d)[1]).groupBy("observation_key").agg(F.count("*").alias("n_heads"), F.min("revision_id").alias("first_head")), f"""{CL}, {CAND}
+    SELECT observation_key, count(*) AS n_heads, min(revision_id) AS first_head FROM heads GROUP BY 1 HAVING count(*) > 1""")
 add("f02_canonical_order", lambda s, d: revs(s, d).orderBy("observation_key", "available_time", "revision_id").select("observation_key", "available_time", "revision_id"), f"WITH {REVS} SELECT observation_key, available_time, revision_id FROM revs ORDER BY 1, 2, 3")
 add("d42_largest_value", lambda s, d: revs(s, d).where("available_time < timestamp '2000-01-01'").agg(F.max("revision_id").alias("largest")), f"WITH {REVS} SELECT max(revision_id) AS largest FROM revs WHERE available_time < TIMESTAMP '2000-01-01'")
 
@@ -117,7 +159,8 @@ def ids(s, d, flag):
     return table(s, d, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("id"))
 
 
-add("g01_tagged_union", lambda s, d: ids(s, d, "A").withColumn("channel", F.lit("archive")).unionByName(ids(s, d, "R").withColumn("channel", F.lit("rest"))).groupBy("channel", "id").agg(F.count("*").alias("n")), f"WITH {IDS} SELECT channel, id, count(*) AS n FROM (SELECT 'archive' AS channel, id FROM a UNION ALL SELECT 'rest', id FROM b) GROUP BY 1, 2")
+add("g01_tagged_union", lambda s, d: ids(s, d, "A").withColumn("channel", F.lit("archive")).unionByName(ids(s, d, "R").withColumn("channel", F.lit("rest"))).groupBy("channel", "id").agg(F.count("*").alias("n")), f"""WITH {IDS}
+    SELECT channel, id, count(*) AS n FROM (SELECT 'archive' AS channel, id FROM a UNION ALL SELECT 'rest', id FROM b) GROUP BY 1, 2""")
 add("g02_distinct_ids", lambda s, d: ids(s, d, "A").distinct(), f"WITH {IDS} SELECT DISTINCT id FROM a")
 add("g03_union_ids", lambda s, d: ids(s, d, "A").union(ids(s, d, "R")).distinct(), f"WITH {IDS} SELECT id FROM a UNION SELECT id FROM b")
 add("g04_difference_ids", lambda s, d: ids(s, d, "A").distinct().join(ids(s, d, "R"), "id", "left_anti"), f"WITH {IDS} SELECT id FROM a EXCEPT SELECT id FROM b")
@@ -134,7 +177,9 @@ def rederived(s, d):
     return R.same_rows(stored, derived).groupBy("only_in", "observation_key").agg(F.count("*").alias("n"))
 
 
-add("g07_rederive_compare", rederived, "SELECT CASE WHEN o_orderkey % 50 = 3 THEN 'stored' ELSE 'derived' END AS only_in, o_orderkey AS observation_key, count(*) AS n FROM orders WHERE o_orderkey % 50 IN (3, 4) GROUP BY 1, 2")
+add("g07_rederive_compare", rederived, """SELECT CASE
+    WHEN o_orderkey % 50 = 3 THEN 'stored' ELSE 'derived' END AS only_in, o_orderkey AS observation_key, count(*) AS n FROM orders
+    WHERE o_orderkey % 50 IN (3, 4) GROUP BY 1, 2""")
 
 
 def batches(s, d):
@@ -144,18 +189,23 @@ def batches(s, d):
     return j.select("batch", "n_expected", "n_committed", F.when(F.col("n_committed").isNull(), "missing").when(F.col("n_committed") < F.col("n_expected"), "partial").otherwise("complete").alias("state"))
 
 
-add("g08_expected_committed", batches, "WITH w AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS batch, count(*) AS n_expected, nullif(count(*) FILTER (WHERE o_orderpriority <> '5-LOW' AND month(o_orderdate) <> 7), 0) AS n_committed FROM orders GROUP BY 1) SELECT batch, n_expected, n_committed, CASE WHEN n_committed IS NULL THEN 'missing' WHEN n_committed < n_expected THEN 'partial' ELSE 'complete' END AS state FROM w")
-add("g09_symmetric_difference", lambda s, d: ids(s, d, "A").distinct().withColumn("side", F.lit("a")).join(ids(s, d, "R").distinct(), "id", "left_anti").unionByName(ids(s, d, "R").distinct().withColumn("side", F.lit("r")).join(ids(s, d, "A"), "id", "left_anti")), f"WITH {IDS} SELECT id, 'a' AS side FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'r' FROM (SELECT id FROM b EXCEPT SELECT id FROM a)")
+add("g08_expected_committed", batches, """WITH w AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS batch, count(*) AS n_expected, nullif(count(*) FILTER (WHERE o_orderpriority <> '5-LOW' AND month(o_orderdate) <> 7), 0) AS n_committed
+    FROM orders GROUP BY 1) SELECT batch, n_expected, n_committed, CASE WHEN n_committed IS NULL THEN 'missing'
+    WHEN n_committed < n_expected THEN 'partial' ELSE 'complete' END AS state FROM w""")
+add("g09_symmetric_difference", lambda s, d: ids(s, d, "A").distinct().withColumn("side", F.lit("a")).join(ids(s, d, "R").distinct(), "id", "left_anti").unionByName(ids(s, d, "R").distinct().withColumn("side", F.lit("r")).join(ids(s, d, "A"), "id", "left_anti")), f"""WITH {IDS}
+    SELECT id, 'a' AS side FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'r' FROM (SELECT id FROM b EXCEPT SELECT id FROM a)""")
 HASHED = [f"'=' || replace(replace(CAST({c} AS VARCHAR), '%', '%25'), '|', '%7C')" for c in sorted("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_linestatus l_shipdate".split())]
 ROW_TEXT = ", ".join(f"coalesce({c}, '!')" for c in HASHED)
 add(
     "d26_batch_fingerprint", lambda s, d: R.fingerprint(table(s, d, "lineitem"), ["l_returnflag"]).select("l_returnflag", "n_rows", F.col("sum1").cast("string").alias("sum1"), F.col("sum2").cast("string").alias("sum2")),
-    f"""WITH h AS (SELECT l_returnflag, ('0x' || substr(md5(concat_ws('|', '', {ROW_TEXT})), 1, 15))::BIGINT AS h1, ('0x' || substr(md5(concat_ws('|', 'second', {ROW_TEXT})), 1, 15))::BIGINT AS h2 FROM lineitem)
+    f"""WITH h AS (SELECT l_returnflag, ('0x' || substr(md5(concat_ws('|', '', {ROW_TEXT})), 1, 15))::BIGINT AS h1, ('0x' || substr(md5(concat_ws('|', 'second', {ROW_TEXT})), 1, 15))::BIGINT AS h2
+    FROM lineitem)
     SELECT l_returnflag, count(*) AS n_rows, CAST(sum(h1) AS VARCHAR) AS sum1, CAST(sum(h2) AS VARCHAR) AS sum2 FROM h GROUP BY l_returnflag""",
 )
 
 # ---- availability
-AV = "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS observable, CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 5 - 1) * INTERVAL 1 DAY AS ingest, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR END AS source_time FROM orders"
+AV = """SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS observable, CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 5 - 1) * INTERVAL 1 DAY AS ingest,
+    CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR END AS source_time FROM orders"""
 
 
 def av(s, d):
@@ -163,10 +213,17 @@ def av(s, d):
     return table(s, d, "orders").select("o_orderkey", t.alias("observable"), F.timestamp_micros(F.unix_micros(t) + (F.col("o_custkey") % 5 - 1) * 86_400_000_000).alias("ingest"), F.when(F.col("o_custkey") % 3 == 0, t + F.expr("interval 10 hours")).alias("source_time"))
 
 
-add("b03_availability", lambda s, d: av(s, d).select("o_orderkey", R.availability(F.col("ingest"), F.col("observable"), F.col("source_time"), 30, 60).alias("x")).select("o_orderkey", "x.*"), f"WITH a AS ({AV}) SELECT o_orderkey, CASE WHEN source_time IS NOT NULL THEN greatest(observable, source_time) + INTERVAL 90 SECOND ELSE ingest END AS available_time, CASE WHEN source_time IS NULL THEN 'no_availability_evidence' END AS gap, ingest < observable AS refused FROM a")
-add("b04_canonical_availability", lambda s, d: av(s, d).select("o_orderkey", R.canonical_availability(F.col("observable"), F.col("ingest"), F.col("ingest"), F.col("observable") + F.expr("interval 1 day"), 60).alias("x")).select("o_orderkey", "x.*"), f"WITH a AS ({AV}) SELECT o_orderkey, greatest(observable, ingest + INTERVAL 60 SECOND) AS available_time, greatest(observable + INTERVAL 1 DAY, ingest) AS knowledge_time, observable + INTERVAL 1 DAY < ingest AS refused FROM a")
-add("b05_assumed_availability", lambda s, d: av(s, d).select("o_orderkey", R.assumed_availability(F.col("ingest"), F.col("observable"), F.when(F.col("source_time").isNull(), "no_evidence"), "no_evidence").alias("available_time")), f"WITH a AS ({AV}) SELECT o_orderkey, CASE WHEN source_time IS NULL THEN least(ingest, observable + INTERVAL 5 SECOND) ELSE ingest END AS available_time FROM a")
-add("b07_visible_states", lambda s, d: trades(s, d).withColumn("us", F.unix_micros("event_time")).withColumn("n_visible", F.count("*").over(Window.partitionBy("symbol").orderBy("us").rangeBetween(-(3_600_000_000 - 1), 0))).select("symbol", "venue_trade_id", "n_visible"), "SELECT event_type AS symbol, event_id AS venue_trade_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS n_visible FROM events")
+add("b03_availability", lambda s, d: av(s, d).select("o_orderkey", R.availability(F.col("ingest"), F.col("observable"), F.col("source_time"), 30, 60).alias("x")).select("o_orderkey", "x.*"), f"""WITH a AS ({AV})
+    SELECT o_orderkey, CASE
+    WHEN source_time IS NOT NULL THEN greatest(observable, source_time) + INTERVAL 90 SECOND ELSE ingest END AS available_time, CASE
+    WHEN source_time IS NULL THEN 'no_availability_evidence' END AS gap, ingest < observable AS refused FROM a""")
+add("b04_canonical_availability", lambda s, d: av(s, d).select("o_orderkey", R.canonical_availability(F.col("observable"), F.col("ingest"), F.col("ingest"), F.col("observable") + F.expr("interval 1 day"), 60).alias("x")).select("o_orderkey", "x.*"), f"""WITH a AS ({AV})
+    SELECT o_orderkey, greatest(observable, ingest + INTERVAL 60 SECOND) AS available_time, greatest(observable + INTERVAL 1 DAY, ingest) AS knowledge_time, observable + INTERVAL 1 DAY < ingest AS refused
+    FROM a""")
+add("b05_assumed_availability", lambda s, d: av(s, d).select("o_orderkey", R.assumed_availability(F.col("ingest"), F.col("observable"), F.when(F.col("source_time").isNull(), "no_evidence"), "no_evidence").alias("available_time")), f"""WITH a AS ({AV})
+    SELECT o_orderkey, CASE WHEN source_time IS NULL THEN least(ingest, observable + INTERVAL 5 SECOND) ELSE ingest END AS available_time FROM a""")
+add("b07_visible_states", lambda s, d: trades(s, d).withColumn("us", F.unix_micros("event_time")).withColumn("n_visible", F.count("*").over(Window.partitionBy("symbol").orderBy("us").rangeBetween(-(3_600_000_000 - 1), 0))).select("symbol", "venue_trade_id", "n_visible"), """SELECT event_type AS symbol, event_id AS venue_trade_id, count(*) OVER (PARTITION BY event_type
+    ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS n_visible FROM events""")
 
 
 def canonical_rows(s, d):
@@ -174,8 +231,13 @@ def canonical_rows(s, d):
     return trades(s, d).join(names, "symbol").select("venue_symbol", "venue_trade_id", F.unix_micros("event_time").alias("event_us"), r(F.col("price")).alias("price"), r(F.col("quantity")).alias("quantity"), F.sha2(F.concat_ws("|", "venue_symbol", "venue_trade_id"), 256).alias("revision"))
 
 
-add("b01_canonical_projection", lambda s, d: canonical_rows(s, d).drop("revision"), "SELECT CASE event_type WHEN 'view' THEN 'VIEWUSD' WHEN 'click' THEN 'CLICKUSD' WHEN 'purchase' THEN 'BUYUSD' WHEN 'signup' THEN 'SIGNUSD' ELSE 'ERRUSD' END AS venue_symbol, event_id AS venue_trade_id, epoch_us(ts) AS event_us, round(value, 6) AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity FROM events")
-add("b02_revision_ids", lambda s, d: canonical_rows(s, d).select("venue_trade_id", "revision"), "SELECT event_id AS venue_trade_id, sha256(CASE event_type WHEN 'view' THEN 'VIEWUSD' WHEN 'click' THEN 'CLICKUSD' WHEN 'purchase' THEN 'BUYUSD' WHEN 'signup' THEN 'SIGNUSD' ELSE 'ERRUSD' END || '|' || event_id) AS revision FROM events")
+add("b01_canonical_projection", lambda s, d: canonical_rows(s, d).drop("revision"), """SELECT CASE event_type WHEN 'view' THEN 'VIEWUSD'
+    WHEN 'click' THEN 'CLICKUSD' WHEN 'purchase' THEN 'BUYUSD'
+    WHEN 'signup' THEN 'SIGNUSD' ELSE 'ERRUSD' END AS venue_symbol, event_id AS venue_trade_id, epoch_us(ts) AS event_us, round(value, 6) AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity
+    FROM events""")
+add("b02_revision_ids", lambda s, d: canonical_rows(s, d).select("venue_trade_id", "revision"), """SELECT event_id AS venue_trade_id, sha256(CASE event_type
+    WHEN 'view' THEN 'VIEWUSD' WHEN 'click' THEN 'CLICKUSD' WHEN 'purchase' THEN 'BUYUSD'
+    WHEN 'signup' THEN 'SIGNUSD' ELSE 'ERRUSD' END || '|' || event_id) AS revision FROM events""")
 
 # ---- listings
 
@@ -186,8 +248,19 @@ def listings(s, d):
     return e.select(F.concat(F.lit("S"), (F.col("user_id") % 20).cast("string")).alias("symbol"), F.date_trunc("minute", "ts").alias("observed_at"), status.alias("source_status"), "event_id")
 
 
-LIST = "li AS (SELECT 'S' || (user_id % 20) AS symbol, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS observed_at, CASE event_type WHEN 'view' THEN 'TRADING' WHEN 'purchase' THEN 'TRADING' WHEN 'click' THEN 'HALT' WHEN 'signup' THEN 'BREAK' ELSE 'ODD' END AS source_status, event_id FROM events), ls AS (SELECT *, CASE WHEN source_status = 'TRADING' THEN 'listed' WHEN source_status IN ('HALT', 'BREAK', 'END_OF_DAY', 'CANCEL_ONLY') THEN 'suspended' ELSE 'unresolved' END AS status, count(*) OVER (PARTITION BY symbol, observed_at) AS tie FROM li)"
-CHAIN = f"{LIST}, c1 AS (SELECT *, min(observed_at) FILTER (WHERE tie > 1) OVER (PARTITION BY symbol) AS stop, min(observed_at) FILTER (WHERE status = 'listed') OVER (PARTITION BY symbol) AS opened FROM ls), c2 AS (SELECT * FROM c1 WHERE (stop IS NULL OR observed_at < stop) AND observed_at >= opened AND status <> 'unresolved'), c3 AS (SELECT *, lag(status) OVER (PARTITION BY symbol ORDER BY observed_at) AS before FROM c2), chain AS (SELECT symbol, observed_at AS valid_from, lead(observed_at) OVER (PARTITION BY symbol ORDER BY observed_at) AS valid_until, status, CAST(sum(CASE WHEN status = 'listed' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY observed_at) AS BIGINT) AS episode FROM c3 WHERE before IS NULL OR before <> status)"
+LIST = """li AS (SELECT 'S' || (user_id % 20) AS symbol, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS observed_at, CASE event_type
+    WHEN 'view' THEN 'TRADING' WHEN 'purchase' THEN 'TRADING' WHEN 'click' THEN 'HALT'
+    WHEN 'signup' THEN 'BREAK' ELSE 'ODD' END AS source_status, event_id FROM events), ls AS (SELECT *, CASE
+    WHEN source_status = 'TRADING' THEN 'listed'
+    WHEN source_status IN ('HALT', 'BREAK', 'END_OF_DAY', 'CANCEL_ONLY') THEN 'suspended' ELSE 'unresolved' END AS status, count(*) OVER (PARTITION BY symbol, observed_at) AS tie
+    FROM li)"""
+CHAIN = f"""{LIST},
+    c1 AS (SELECT *, min(observed_at) FILTER (WHERE tie > 1) OVER (PARTITION BY symbol) AS stop, min(observed_at) FILTER (WHERE status = 'listed') OVER (PARTITION BY symbol) AS opened
+    FROM ls), c2 AS (SELECT * FROM c1 WHERE (stop IS NULL OR observed_at < stop) AND observed_at >= opened AND status <> 'unresolved'),
+    c3 AS (SELECT *, lag(status) OVER (PARTITION BY symbol ORDER BY observed_at) AS before FROM c2),
+    chain AS (SELECT symbol, observed_at AS valid_from, lead(observed_at) OVER (PARTITION BY symbol
+    ORDER BY observed_at) AS valid_until, status, CAST(sum(CASE WHEN status = 'listed' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol
+    ORDER BY observed_at) AS BIGINT) AS episode FROM c3 WHERE before IS NULL OR before <> status)"""
 add("b16_classify_status", lambda s, d: listings(s, d).select("event_id", U.classify(F.col("source_status")).alias("status")), f"WITH {LIST} SELECT event_id, status FROM ls")
 add("e49_listing_chain", lambda s, d: U.derive_chain(listings(s, d)), f"WITH {CHAIN} SELECT * FROM chain")
 T0, T1, T2 = "2024-01-02", "2024-01-03 12:00:00", "2024-01-06"
@@ -197,8 +270,16 @@ def wanted(s, d):
     return listings(s, d).select("symbol").distinct().unionByName(s.createDataFrame([("S99",)], "symbol string"))
 
 
-add("c30_listing_at", lambda s, d: U.listing_at(U.derive_chain(listings(s, d)), wanted(s, d), T1), f"WITH {CHAIN}, w AS (SELECT DISTINCT symbol FROM li UNION SELECT 'S99'), j AS (SELECT w.symbol, (SELECT min(valid_from) FROM chain c WHERE c.symbol = w.symbol) AS first, (SELECT count(*) FROM chain c WHERE c.symbol = w.symbol AND valid_from <= TIMESTAMP '{T1}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{T1}')) AS n, (SELECT max(status) FROM chain c WHERE c.symbol = w.symbol AND valid_from <= TIMESTAMP '{T1}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{T1}')) AS status FROM w), q AS (SELECT symbol, CASE WHEN first IS NULL THEN 'never observed' WHEN first > TIMESTAMP '{T1}' THEN 'not yet observed' WHEN n = 0 THEN 'no status in force' WHEN n > 1 THEN 'competing statuses' WHEN status = 'suspended' THEN 'suspended' END AS reason FROM j) SELECT symbol, reason IS NULL AS constructible, reason FROM q")
-MEM = f"me AS (SELECT symbol, greatest(valid_from, TIMESTAMP '{T0}') AS valid_from, least(coalesce(valid_until, TIMESTAMP '{T2}'), TIMESTAMP '{T2}') AS valid_until, status FROM chain WHERE valid_from < TIMESTAMP '{T2}' AND coalesce(valid_until, TIMESTAMP '{T2}') > TIMESTAMP '{T0}')"
+add("c30_listing_at", lambda s, d: U.listing_at(U.derive_chain(listings(s, d)), wanted(s, d), T1), f"""WITH {CHAIN}, w AS (SELECT DISTINCT symbol
+    FROM li UNION SELECT 'S99'), j AS (SELECT w.symbol, (SELECT min(valid_from) FROM chain c WHERE c.symbol = w.symbol) AS first, (SELECT count(*)
+    FROM chain c
+    WHERE c.symbol = w.symbol AND valid_from <= TIMESTAMP '{T1}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{T1}')) AS n, (SELECT max(status)
+    FROM chain c WHERE c.symbol = w.symbol AND valid_from <= TIMESTAMP '{T1}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{T1}')) AS status
+    FROM w), q AS (SELECT symbol, CASE WHEN first IS NULL THEN 'never observed' WHEN first > TIMESTAMP '{T1}' THEN 'not yet observed'
+    WHEN n = 0 THEN 'no status in force' WHEN n > 1 THEN 'competing statuses' WHEN status = 'suspended' THEN 'suspended' END AS reason FROM j)
+    SELECT symbol, reason IS NULL AS constructible, reason FROM q""")
+MEM = f"""me AS (SELECT symbol, greatest(valid_from, TIMESTAMP '{T0}') AS valid_from, least(coalesce(valid_until, TIMESTAMP '{T2}'), TIMESTAMP '{T2}') AS valid_until, status
+    FROM chain WHERE valid_from < TIMESTAMP '{T2}' AND coalesce(valid_until, TIMESTAMP '{T2}') > TIMESTAMP '{T0}')"""
 
 
 def mem(s, d):
@@ -213,7 +294,10 @@ def policy(s, d):
     return listings(s, d).select("symbol").distinct().withColumn("backfill", F.length("symbol") == 3)
 
 
-add("c32_backfill", lambda s, d: U.backfilled(mem(s, d), policy(s, d), "2024-01-01"), f"WITH {CHAIN}, {MEM}, l AS (SELECT * FROM me WHERE status = 'listed') SELECT symbol, valid_from, valid_until, false AS assumed FROM l UNION ALL SELECT symbol, TIMESTAMP '2024-01-01', min(valid_from), true FROM l WHERE length(symbol) = 3 GROUP BY symbol HAVING min(valid_from) > TIMESTAMP '2024-01-01'")
+add("c32_backfill", lambda s, d: U.backfilled(mem(s, d), policy(s, d), "2024-01-01"), f"""WITH {CHAIN}, {MEM}, l AS (SELECT * FROM me
+    WHERE status = 'listed') SELECT symbol, valid_from, valid_until, false AS assumed FROM l UNION ALL
+    SELECT symbol, TIMESTAMP '2024-01-01', min(valid_from), true FROM l WHERE length(symbol) = 3 GROUP BY symbol
+    HAVING min(valid_from) > TIMESTAMP '2024-01-01'""")
 
 
 def selections(s, d):
@@ -221,8 +305,15 @@ def selections(s, d):
     return e.where("event_type = 'view'").select(F.concat(F.lit("S"), (F.col("user_id") % 20).cast("string")).alias("symbol"), "event_id", F.col("ts").alias("effective_from"), (F.col("ts") + F.expr("interval 6 hours")).alias("effective_until"))
 
 
-add("c29_membership_gate", lambda s, d: U.gate_membership(selections(s, d), mem(s, d)).select("symbol", "event_id", "effective_from", "effective_until"), f"WITH {CHAIN}, {MEM} SELECT me.symbol, e.event_id, greatest(e.ts, me.valid_from) AS effective_from, least(e.ts + INTERVAL 6 HOUR, me.valid_until) AS effective_until FROM events e JOIN me ON me.symbol = 'S' || (e.user_id % 20) AND me.status = 'listed' AND e.ts < me.valid_until AND e.ts + INTERVAL 6 HOUR > me.valid_from WHERE e.event_type = 'view'")
-add("d39_listing_report", lambda s, d: U.listing_report(listings(s, d), U.derive_chain(listings(s, d))), f"WITH {CHAIN} SELECT o.symbol, o.n AS n_observations, o.u AS n_unresolved, o.t AS n_tied, coalesce(c.k, 0) AS n_intervals, coalesce(c.e, 0) AS n_episodes, o.t = 0 AS sound FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE status = 'unresolved') AS u, count(*) FILTER (WHERE tie > 1) AS t FROM ls GROUP BY 1) o LEFT JOIN (SELECT symbol, count(*) AS k, max(episode) AS e FROM chain GROUP BY 1) c ON c.symbol = o.symbol")
+add("c29_membership_gate", lambda s, d: U.gate_membership(selections(s, d), mem(s, d)).select("symbol", "event_id", "effective_from", "effective_until"), f"""WITH {CHAIN}, {MEM}
+    SELECT me.symbol, e.event_id, greatest(e.ts, me.valid_from) AS effective_from, least(e.ts + INTERVAL 6 HOUR, me.valid_until) AS effective_until
+    FROM events e
+    JOIN me ON me.symbol = 'S' || (e.user_id % 20) AND me.status = 'listed' AND e.ts < me.valid_until AND e.ts + INTERVAL 6 HOUR > me.valid_from
+    WHERE e.event_type = 'view'""")
+add("d39_listing_report", lambda s, d: U.listing_report(listings(s, d), U.derive_chain(listings(s, d))), f"""WITH {CHAIN}
+    SELECT o.symbol, o.n AS n_observations, o.u AS n_unresolved, o.t AS n_tied, coalesce(c.k, 0) AS n_intervals, coalesce(c.e, 0) AS n_episodes, o.t = 0 AS sound
+    FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE status = 'unresolved') AS u, count(*) FILTER (WHERE tie > 1) AS t FROM ls
+    GROUP BY 1) o LEFT JOIN (SELECT symbol, count(*) AS k, max(episode) AS e FROM chain GROUP BY 1) c ON c.symbol = o.symbol""")
 
 # ---- quality
 
@@ -233,10 +324,19 @@ def odd_bars(s, d):
     return b.withColumn("high", F.when(low, F.col("low")).otherwise(F.col("high"))).withColumn("interval_start", F.when(F.col("trade_count") % 7 == 0, F.col("interval_start") + F.expr("interval 1 minute")).otherwise(F.col("interval_start")))
 
 
-ODD = f"{bars_sql()}, ob AS (SELECT * REPLACE (CASE WHEN trade_count % 5 = 0 THEN low ELSE high END AS high, CASE WHEN trade_count % 7 = 0 THEN interval_start + INTERVAL 1 MINUTE ELSE interval_start END AS interval_start) FROM bars), pr AS (SELECT *, concat_ws(',', CASE WHEN least(open, high, low, close) <= 0 THEN 'non_positive_price' END, CASE WHEN high < greatest(open, close) OR low > least(open, close) THEN 'crossed_range' END, CASE WHEN volume < taker_buy_base_volume THEN 'taker_above_volume' END, CASE WHEN minute(interval_start) <> 0 THEN 'misaligned_start' END, CASE WHEN trade_count < 1 THEN 'no_trades' END) AS problems FROM ob)"
+ODD = f"""{bars_sql()}, ob AS (SELECT * REPLACE (CASE WHEN trade_count % 5 = 0 THEN low ELSE high END AS high, CASE
+    WHEN trade_count % 7 = 0 THEN interval_start + INTERVAL 1 MINUTE ELSE interval_start END AS interval_start) FROM bars),
+    pr AS (SELECT *, concat_ws(',', CASE WHEN least(open, high, low, close) <= 0 THEN 'non_positive_price' END, CASE
+    WHEN high < greatest(open, close) OR low > least(open, close) THEN 'crossed_range' END, CASE
+    WHEN volume < taker_buy_base_volume THEN 'taker_above_volume' END, CASE WHEN minute(interval_start) <> 0 THEN 'misaligned_start' END, CASE
+    WHEN trade_count < 1 THEN 'no_trades' END) AS problems FROM ob)"""
 add("b15_bar_problems", lambda s, d: U.bar_problems(odd_bars(s, d), 60).select("symbol", "interval_start", "problems"), f"WITH {ODD} SELECT symbol, interval_start, problems FROM pr")
-add("d38_partition_report", lambda s, d: U.partition_report(odd_bars(s, d), BB.missing_intervals(bars(s, d), 60), 60).select("symbol", "day", "n_bars", "n_problems", "n_missing", r(F.col("completeness")).alias("completeness")), f"WITH {ODD} SELECT symbol, CAST(date_trunc('day', interval_start) AS TIMESTAMP) AS day, count(*) AS n_bars, count(*) FILTER (WHERE problems <> '') AS n_problems, 24 - count(*) AS n_missing, round(count(*) / 24.0, 6) AS completeness FROM pr GROUP BY 1, 2")
-add("c33_coverage", lambda s, d: U.uncovered(table(s, d, "orders"), table(s, d, "lineitem").select("l_orderkey").distinct(), "o_orderkey", "l_orderkey"), "SELECT o_orderkey AS id, 'raw without image' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'image without raw' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+add("d38_partition_report", lambda s, d: U.partition_report(odd_bars(s, d), BB.missing_intervals(bars(s, d), 60), 60).select("symbol", "day", "n_bars", "n_problems", "n_missing", r(F.col("completeness")).alias("completeness")), f"""WITH {ODD}
+    SELECT symbol, CAST(date_trunc('day', interval_start) AS TIMESTAMP) AS day, count(*) AS n_bars, count(*) FILTER (WHERE problems <> '') AS n_problems, 24 - count(*) AS n_missing, round(count(*) / 24.0, 6) AS completeness
+    FROM pr GROUP BY 1, 2""")
+add("c33_coverage", lambda s, d: U.uncovered(table(s, d, "orders"), table(s, d, "lineitem").select("l_orderkey").distinct(), "o_orderkey", "l_orderkey"), """SELECT o_orderkey AS id, 'raw without image' AS side
+    FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'image without raw' FROM lineitem
+    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
 
 
 def claims(s, d):
@@ -250,22 +350,36 @@ def reports(s, d):
     return bars(s, d).select(F.concat_ws("@", F.col("symbol"), day).alias("report_id"), "symbol", day.alias("day")).distinct()
 
 
-add("c34_unsupported_claims", lambda s, d: U.unsupported_claims(claims(s, d), reports(s, d)), f"""WITH {bars_sql()}, grid AS (SELECT symbol, day, unnest(generate_series(day, day + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS t FROM (SELECT DISTINCT symbol, date_trunc('day', interval_start)::TIMESTAMP AS day FROM bars)),
-m AS (SELECT g.*, row_number() OVER (PARTITION BY g.symbol, g.day ORDER BY g.t) AS k FROM grid g ANTI JOIN bars b ON b.symbol = g.symbol AND b.interval_start = g.t), g2 AS (SELECT symbol, day, count(*) AS n_missing FROM m GROUP BY symbol, day, t - k * INTERVAL 1 HOUR)
-SELECT symbol || '@' || strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS report_id, symbol, strftime(day, '%Y-%m-%d') AS day, n_missing FROM g2 WHERE n_missing > 1""")
+add("c34_unsupported_claims", lambda s, d: U.unsupported_claims(claims(s, d), reports(s, d)), f"""WITH {bars_sql()},
+    grid AS (SELECT symbol, day, unnest(generate_series(day, day + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS t
+    FROM (SELECT DISTINCT symbol, date_trunc('day', interval_start)::TIMESTAMP AS day
+    FROM bars)),
+m AS (SELECT g.*, row_number() OVER (PARTITION BY g.symbol, g.day ORDER BY g.t) AS k FROM grid g ANTI
+    JOIN bars b ON b.symbol = g.symbol AND b.interval_start = g.t), g2 AS (SELECT symbol, day, count(*) AS n_missing FROM m
+    GROUP BY symbol, day, t - k * INTERVAL 1 HOUR)
+SELECT symbol || '@' || strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS report_id, symbol, strftime(day, '%Y-%m-%d') AS day, n_missing FROM g2
+    WHERE n_missing > 1""")
 
 
 def manifests(s, d):
     return table(s, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), F.when(F.col("o_orderstatus") == "F", "feature").otherwise("price").alias("kind"), (F.col("o_custkey") % 50).alias("dataset"), F.year("o_orderdate").alias("knowledge_cutoff"), F.month("o_orderdate").alias("snapshot"), F.col("o_orderdate").alias("until"))
 
 
-add("c35_pair_manifests", lambda s, d: U.pair_manifests(manifests(s, d)), "WITH m AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash, CASE WHEN o_orderstatus = 'F' THEN 'feature' ELSE 'price' END AS kind, o_custkey % 50 AS ds, year(o_orderdate) AS k, month(o_orderdate) AS sn, o_orderdate AS until FROM orders) SELECT a.content_hash AS feature_hash, b.content_hash AS price_hash FROM m a JOIN m b ON a.kind = 'feature' AND b.kind = 'price' AND a.ds = b.ds AND a.k = b.k AND a.sn = b.sn AND b.until >= a.until")
+add("c35_pair_manifests", lambda s, d: U.pair_manifests(manifests(s, d)), """WITH m AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash, CASE
+    WHEN o_orderstatus = 'F' THEN 'feature' ELSE 'price' END AS kind, o_custkey % 50 AS ds, year(o_orderdate) AS k, month(o_orderdate) AS sn, o_orderdate AS until
+    FROM orders) SELECT a.content_hash AS feature_hash, b.content_hash AS price_hash FROM m a
+    JOIN m b ON a.kind = 'feature' AND b.kind = 'price' AND a.ds = b.ds AND a.k = b.k AND a.sn = b.sn AND b.until >= a.until""")
 
 
 def page_spans(s, d):
     return table(s, d, "lineitem").select(F.col("l_suppkey").alias("request"), F.col("l_shipdate").cast("timestamp").alias("start"), (F.col("l_shipdate").cast("timestamp") + F.expr("interval 3 days")).alias("end"))
 
 
-AN = "p AS (SELECT l_suppkey AS request, CAST(l_shipdate AS TIMESTAMP) AS s, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 3 DAY AS e FROM lineitem), f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY request ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM p), g AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY s, e) AS i FROM f), me AS (SELECT request, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY request, i)"
+AN = """p AS (SELECT l_suppkey AS request, CAST(l_shipdate AS TIMESTAMP) AS s, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 3 DAY AS e FROM lineitem),
+    f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY request
+    ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM p),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY s, e) AS i FROM f), me AS (SELECT request, min(s) AS start, max(e) AS \"end\"
+    FROM g GROUP BY request, i)"""
 add("d45_answered_spans", lambda s, d: U.answered(page_spans(s, d))[0], f"WITH {AN} SELECT * FROM me")
-add("d45_answer_gaps", lambda s, d: U.answered(page_spans(s, d))[1], f"WITH {AN}, n AS (SELECT *, lead(start) OVER (PARTITION BY request ORDER BY start) AS nx FROM me) SELECT request, \"end\" AS start, nx AS \"end\" FROM n WHERE nx IS NOT NULL")
+add("d45_answer_gaps", lambda s, d: U.answered(page_spans(s, d))[1], f"""WITH {AN}, n AS (SELECT *, lead(start) OVER (PARTITION BY request
+    ORDER BY start) AS nx FROM me) SELECT request, \"end\" AS start, nx AS \"end\" FROM n WHERE nx IS NOT NULL""")

@@ -55,9 +55,14 @@ def trade_files(s, d):
     return A.trade_archives(s, path)
 
 
-GOOD = "days AS (SELECT CAST(ts AS DATE) AS day, min(event_id) FILTER (WHERE event_id % 1999 = 1000 OR event_id % 2999 = 7) AS first_bad, count(*) FILTER (WHERE event_id % 1999 = 1000 OR event_id % 2999 = 7) AS n_bad FROM events GROUP BY 1)"
-add("a01_trade_archive", lambda s, d: trade_files(s, d)[0].select("agg_trade_id", F.col("price").cast("double").alias("price"), "event_time"), f"WITH {GOOD} SELECT event_id AS agg_trade_id, value AS price, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS event_time FROM events JOIN days ON CAST(ts AS DATE) = day WHERE n_bad = 0")
-add("a01_trade_rejects", lambda s, d: trade_files(s, d)[1].select(F.regexp_extract("file", r"filed=(\d{4}-\d{2}-\d{2})", 1).alias("day"), "reason", "n_broken"), f"WITH {GOOD} SELECT CAST(day AS VARCHAR) AS day, CASE WHEN first_bad % 2999 = 7 THEN 'unparsable' ELSE 'price not positive' END AS reason, n_bad AS n_broken FROM days WHERE n_bad > 0")
+GOOD = """days AS (SELECT CAST(ts AS DATE) AS day, min(event_id) FILTER (WHERE event_id % 1999 = 1000 OR event_id % 2999 = 7) AS first_bad, count(*) FILTER (WHERE event_id % 1999 = 1000 OR event_id % 2999 = 7) AS n_bad
+    FROM events GROUP BY 1)"""
+add("a01_trade_archive", lambda s, d: trade_files(s, d)[0].select("agg_trade_id", F.col("price").cast("double").alias("price"), "event_time"), f"""WITH {GOOD}
+    SELECT event_id AS agg_trade_id, value AS price, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS event_time FROM events
+    JOIN days ON CAST(ts AS DATE) = day WHERE n_bad = 0""")
+add("a01_trade_rejects", lambda s, d: trade_files(s, d)[1].select(F.regexp_extract("file", r"filed=(\d{4}-\d{2}-\d{2})", 1).alias("day"), "reason", "n_broken"), f"""WITH {GOOD}
+    SELECT CAST(day AS VARCHAR) AS day, CASE WHEN first_bad % 2999 = 7 THEN 'unparsable' ELSE 'price not positive' END AS reason, n_bad AS n_broken
+    FROM days WHERE n_bad > 0""")
 
 
 def bar_files(s, d):
@@ -73,7 +78,8 @@ def bar_files(s, d):
     return A.bar_archives(s, path)
 
 
-add("a02_bar_archive", lambda s, d: bar_files(s, d)[0].select("interval_start", F.col("close").cast("double").alias("close"), "trade_count"), "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS interval_start, arg_max(value, ts) AS close, count(*) AS trade_count FROM events WHERE event_type = 'view' AND day(ts) <> 9 GROUP BY 1")
+add("a02_bar_archive", lambda s, d: bar_files(s, d)[0].select("interval_start", F.col("close").cast("double").alias("close"), "trade_count"), """SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS interval_start, arg_max(value, ts) AS close, count(*) AS trade_count
+    FROM events WHERE event_type = 'view' AND day(ts) <> 9 GROUP BY 1""")
 
 
 def pages(s, d):
@@ -84,9 +90,14 @@ def pages(s, d):
 
 
 PG = "pg AS (SELECT CAST(floor(event_id / 250) AS INTEGER) AS page_no, * FROM events WHERE event_type = 'click')"
-add("a04_rest_pages", lambda s, d: A.rest_pages(pages(s, d), 45)[0].select("page_no", "row_no", "agg_trade_id", r(F.col("price")).alias("price"), "event_time"), f"WITH {PG} SELECT page_no, CAST(row_number() OVER (PARTITION BY page_no ORDER BY event_id) - 1 AS INTEGER) AS row_no, event_id AS agg_trade_id, round(value, 6) AS price, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS event_time FROM pg WHERE page_no % 13 <> 5")
+add("a04_rest_pages", lambda s, d: A.rest_pages(pages(s, d), 45)[0].select("page_no", "row_no", "agg_trade_id", r(F.col("price")).alias("price"), "event_time"), f"""WITH {PG}
+    SELECT page_no, CAST(row_number() OVER (PARTITION BY page_no
+    ORDER BY event_id) - 1 AS INTEGER) AS row_no, event_id AS agg_trade_id, round(value, 6) AS price, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS event_time
+    FROM pg WHERE page_no % 13 <> 5""")
 add("a04_page_quarantine", lambda s, d: A.rest_pages(pages(s, d), 45)[1].select("page_no", "problem"), f"WITH {PG} SELECT DISTINCT page_no, 'unparsable' AS problem FROM pg WHERE page_no % 13 = 5")
-add("a04_page_facts", lambda s, d: A.rest_pages(pages(s, d), 45)[2].where("next_cursor is not null").select("page_no", F.col("n_rows").cast("long").alias("n_rows"), "next_cursor", "stop_reason"), f"WITH {PG} SELECT page_no, count(*) AS n_rows, max(event_id) + 1 AS next_cursor, CASE WHEN count(*) < 45 THEN 'short page' END AS stop_reason FROM pg WHERE page_no % 13 <> 5 GROUP BY 1")
+add("a04_page_facts", lambda s, d: A.rest_pages(pages(s, d), 45)[2].where("next_cursor is not null").select("page_no", F.col("n_rows").cast("long").alias("n_rows"), "next_cursor", "stop_reason"), f"""WITH {PG}
+    SELECT page_no, count(*) AS n_rows, max(event_id) + 1 AS next_cursor, CASE WHEN count(*) < 45 THEN 'short page' END AS stop_reason FROM pg
+    WHERE page_no % 13 <> 5 GROUP BY 1""")
 
 
 def snapshots(s, d):
@@ -95,7 +106,11 @@ def snapshots(s, d):
     return e.groupBy("day").agg(F.collect_list(item).alias("symbols")).select(F.to_json(F.struct(F.unix_millis("day").alias("serverTime"), "symbols")).alias("body"))
 
 
-add("a05_instrument_snapshot", lambda s, d: A.instrument_snapshot(snapshots(s, d), events(s, d).select(F.col("event_type").alias("symbol")).distinct()), "WITH c AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT * FROM c WHERE n % 3 <> 0), d AS (SELECT DISTINCT day FROM k), s AS (SELECT DISTINCT event_type FROM events) SELECT d.day AS observed_at, s.event_type AS symbol, CASE WHEN n IS NULL THEN 'ABSENT' WHEN n % 2 = 0 THEN 'TRADING' ELSE 'HALT' END AS source_status, CASE WHEN n IS NOT NULL THEN upper(s.event_type) END AS base, CASE WHEN n IS NOT NULL THEN 'USD' END AS quote FROM d CROSS JOIN s LEFT JOIN k ON k.day = d.day AND k.event_type = s.event_type")
+add("a05_instrument_snapshot", lambda s, d: A.instrument_snapshot(snapshots(s, d), events(s, d).select(F.col("event_type").alias("symbol")).distinct()), """WITH c AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n
+    FROM events GROUP BY 1, 2), k AS (SELECT * FROM c WHERE n % 3 <> 0), d AS (SELECT DISTINCT day FROM k), s AS (SELECT DISTINCT event_type
+    FROM events) SELECT d.day AS observed_at, s.event_type AS symbol, CASE WHEN n IS NULL THEN 'ABSENT'
+    WHEN n % 2 = 0 THEN 'TRADING' ELSE 'HALT' END AS source_status, CASE WHEN n IS NOT NULL THEN upper(s.event_type) END AS base, CASE
+    WHEN n IS NOT NULL THEN 'USD' END AS quote FROM d CROSS JOIN s LEFT JOIN k ON k.day = d.day AND k.event_type = s.event_type""")
 
 # ---- sinks
 
@@ -108,7 +123,8 @@ def ingest(s, d):
     return s.read.parquet(root).groupBy().agg(F.count("*").alias("n"), F.countDistinct("revision_id").alias("n_ids")).select(F.lit(first).cast("long").alias("first"), F.lit(again).cast("long").alias("again"), F.lit(more).cast("long").alias("more"), "n", "n_ids")
 
 
-add("a06_replay_safe_ingest", ingest, "SELECT count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS first, 0 AS again, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS more, count(*) AS n, count(*) AS n_ids FROM orders")
+add("a06_replay_safe_ingest", ingest, """SELECT count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS first, 0 AS again, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS more, count(*) AS n, count(*) AS n_ids
+    FROM orders""")
 
 
 def snapshot(s, d):
@@ -141,15 +157,20 @@ def chunked(s, d):
 
 
 add("a10_chunked_sink", lambda s, d: chunked(s, d)[1], "SELECT CAST(floor((row_number() OVER ()) - 1) AS BIGINT) // 5000 AS chunk_index, count(*) AS n_rows FROM lineitem GROUP BY 1")
-ORACLE["a10_chunked_sink"] = "WITH n AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 200000)), t AS (SELECT count(*) AS total FROM lineitem) SELECT c AS chunk_index, least(5000, total - c * 5000) AS n_rows FROM n, t WHERE c * 5000 < total"
-add("a16_chunk_read", lambda s, d: K.read_chunks(s, chunked(s, d)[0], "sel", 0, 0).select("row_no", "l_orderkey", "l_linenumber"), "SELECT k AS row_no, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k FROM lineitem) WHERE k < 5000")
+ORACLE["a10_chunked_sink"] = """WITH n AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 200000)), t AS (SELECT count(*) AS total FROM lineitem)
+    SELECT c AS chunk_index, least(5000, total - c * 5000) AS n_rows FROM n, t WHERE c * 5000 < total"""
+add("a16_chunk_read", lambda s, d: K.read_chunks(s, chunked(s, d)[0], "sel", 0, 0).select("row_no", "l_orderkey", "l_linenumber"), """SELECT k AS row_no, l_orderkey, l_linenumber
+    FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k FROM lineitem) WHERE k < 5000""")
 
 
 def state_rows(s, d):
     return S.trend_range(X.with_returns(bars(s, d)), "log_return", 5, 0.5).select("symbol", "interval_start", "state")
 
 
-TREND = f"WITH {runs_sql()}, st AS (SELECT symbol, interval_start, CASE WHEN k < 5 THEN NULL WHEN p = 0 THEN 'range' WHEN abs(t) / p >= 0.5 THEN CASE WHEN t > 0 THEN 'up' ELSE 'down' END ELSE 'range' END AS state FROM (SELECT *, count(log_return) OVER w AS k, sum(log_return) OVER w AS t, sum(abs(log_return)) OVER w AS p FROM b WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"
+TREND = f"""WITH {runs_sql()}, st AS (SELECT symbol, interval_start, CASE WHEN k < 5 THEN NULL WHEN p = 0 THEN 'range' WHEN abs(t) / p >= 0.5 THEN CASE
+    WHEN t > 0 THEN 'up' ELSE 'down' END ELSE 'range' END AS state
+    FROM (SELECT *, count(log_return) OVER w AS k, sum(log_return) OVER w AS t, sum(abs(log_return)) OVER w AS p FROM b
+    WINDOW w AS (PARTITION BY symbol ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"""
 
 
 def stored(s, df, name, index=None):
@@ -182,7 +203,8 @@ def manifest(s, d):
 
 add(
     "a13_manifests", manifest,
-    """SELECT sha256(body) AS content_hash, body FROM (SELECT '{"first_key":' || min(o_orderkey) || ',"last_key":' || max(o_orderkey) || ',"month":"' || strftime(o_orderdate, '%Y-%m') || '","n_rows":' || count(*) || ',"part":"' || o_orderstatus || '"}' AS body
+    """SELECT sha256(body) AS content_hash, body
+    FROM (SELECT '{"first_key":' || min(o_orderkey) || ',"last_key":' || max(o_orderkey) || ',"month":"' || strftime(o_orderdate, '%Y-%m') || '","n_rows":' || count(*) || ',"part":"' || o_orderstatus || '"}' AS body
     FROM orders GROUP BY o_orderstatus, strftime(o_orderdate, '%Y-%m'))""",
 )
 
@@ -198,7 +220,9 @@ def complete(s, d):
     return K.observations(resample(bars(s, d), 240, 60)).select("symbol", "interval_start", r(F.col("close")).alias("close"))
 
 
-add("a15_feature_observations", complete, f"WITH {bars_sql()} SELECT symbol, time_bucket(INTERVAL 240 MINUTE, interval_start, TIMESTAMP '1970-01-01') AS interval_start, round(arg_max(close, interval_start), 6) AS close FROM bars GROUP BY symbol, time_bucket(INTERVAL 240 MINUTE, interval_start, TIMESTAMP '1970-01-01') HAVING count(*) = 4")
+add("a15_feature_observations", complete, f"""WITH {bars_sql()}
+    SELECT symbol, time_bucket(INTERVAL 240 MINUTE, interval_start, TIMESTAMP '1970-01-01') AS interval_start, round(arg_max(close, interval_start), 6) AS close
+    FROM bars GROUP BY symbol, time_bucket(INTERVAL 240 MINUTE, interval_start, TIMESTAMP '1970-01-01') HAVING count(*) = 4""")
 
 
 def outcome_run(s, d):
@@ -207,7 +231,8 @@ def outcome_run(s, d):
 
 
 add("a17_outcome_table", outcome_run, event_queries.ORACLE["e35_forward_return"])
-add("a19_lineage_inputs", lambda s, d: K.lineage_inputs(table(s, d, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("evaluation_time"), F.col("o_custkey").alias("value")), "orders").select("source", "symbol", "available_time", "value", F.length("lineage_hash").alias("hash_length")), "SELECT 'orders' AS source, o_orderstatus AS symbol, CAST(o_orderdate AS TIMESTAMP) AS available_time, o_custkey AS value, 64 AS hash_length FROM orders")
+add("a19_lineage_inputs", lambda s, d: K.lineage_inputs(table(s, d, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("evaluation_time"), F.col("o_custkey").alias("value")), "orders").select("source", "symbol", "available_time", "value", F.length("lineage_hash").alias("hash_length")), """SELECT 'orders' AS source, o_orderstatus AS symbol, CAST(o_orderdate AS TIMESTAMP) AS available_time, o_custkey AS value, 64 AS hash_length
+    FROM orders""")
 
 
 def failure_log(s, d):
@@ -222,8 +247,11 @@ def failure_log(s, d):
 
 add(
     "a20_failure_log", failure_log,
-    """SELECT * FROM (SELECT CAST(s_suppkey AS VARCHAR) AS subject, CAST(s_nationkey AS VARCHAR) AS family, 'balance below zero' AS reason, 'balance' AS gate_id FROM supplier WHERE s_acctbal < 0
-    UNION ALL SELECT CAST(l_suppkey AS VARCHAR), NULL, 'discount above five percent', 'discount' FROM lineitem GROUP BY l_suppkey HAVING avg(l_discount) > 0.05) WHERE CAST(subject AS BIGINT) % 2 = 0""",
+    """SELECT *
+    FROM (SELECT CAST(s_suppkey AS VARCHAR) AS subject, CAST(s_nationkey AS VARCHAR) AS family, 'balance below zero' AS reason, 'balance' AS gate_id
+    FROM supplier WHERE s_acctbal < 0
+    UNION ALL SELECT CAST(l_suppkey AS VARCHAR), NULL, 'discount above five percent', 'discount' FROM lineitem GROUP BY l_suppkey
+    HAVING avg(l_discount) > 0.05) WHERE CAST(subject AS BIGINT) % 2 = 0""",
 )
 
 # ---- providers
@@ -270,7 +298,8 @@ def _volatility_change(b, n):
 VOL = f"WITH {runs_sql()}, v AS (SELECT symbol, available_time AS time, sqrt({full_sql('sum', 'log_return * log_return', 5)}) AS value FROM b)"
 add("j01_feature_provider", lambda s, d: REG.run("feature", "volatility", bars(s, d), n=5).select("symbol", "time", r(F.col("value")).alias("value")), VOL + " SELECT symbol, time, round(value, 6) AS value FROM v")
 add("j02_state_provider", lambda s, d: REG.run("state", "trend", bars(s, d), n=5).groupBy("value").agg(F.count("*").alias("n")), TREND + " SELECT state AS value, count(*) AS n FROM st GROUP BY 1")
-add("j03_event_provider", lambda s, d: REG.run("event", "upcross", bars(s, d)), f"WITH {runs_sql()} SELECT symbol AS key, available_time AS event_time FROM (SELECT *, lag(log_return) OVER (PARTITION BY symbol ORDER BY interval_start) AS p FROM b) WHERE p <= 0 AND log_return > 0")
+add("j03_event_provider", lambda s, d: REG.run("event", "upcross", bars(s, d)), f"""WITH {runs_sql()} SELECT symbol AS key, available_time AS event_time
+    FROM (SELECT *, lag(log_return) OVER (PARTITION BY symbol ORDER BY interval_start) AS p FROM b) WHERE p <= 0 AND log_return > 0""")
 
 
 @udtf(returnType=StructType([StructField("month_no", IntegerType()), StructField("month_start", TimestampType())]))
@@ -290,7 +319,9 @@ def months(s, d):
     return s.sql("SELECT o_orderkey, month_no, month_start FROM tidemark_spans, LATERAL span_months(a, b)")
 
 
-add("j03_event_udtf", months, "SELECT o_orderkey, CAST(k AS INTEGER) AS month_no, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH AS month_start FROM orders, (VALUES (0), (1), (2), (3)) v(k) WHERE CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH <= o_orderdate + INTERVAL 70 DAY")
+add("j03_event_udtf", months, """SELECT o_orderkey, CAST(k AS INTEGER) AS month_no, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH AS month_start
+    FROM orders, (VALUES (0), (1), (2), (3)) v(k)
+    WHERE CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + k * INTERVAL 1 MONTH <= o_orderdate + INTERVAL 70 DAY""")
 
 
 def months_native(s, d):
@@ -318,7 +349,9 @@ def fitted(s, d):
     return fit_predict(folds, "fold", {"mean": F.avg("x")}, F.when(F.col("x") > F.col("mean"), 1.0).when(F.col("mean").isNotNull(), -1.0)).groupBy("fold", "side").agg(F.count("*").alias("n"))
 
 
-add("j06_fittable_study", fitted, f"WITH {FOLDS}, m AS (SELECT fold, avg(length(key)) AS mean FROM j WHERE role = 'train' GROUP BY fold) SELECT CAST(j.fold AS BIGINT) AS fold, CASE WHEN length(key) > mean THEN 1.0 ELSE -1.0 END AS side, count(*) AS n FROM j JOIN m ON m.fold = j.fold WHERE role = 'test' GROUP BY 1, 2")
+add("j06_fittable_study", fitted, f"""WITH {FOLDS}, m AS (SELECT fold, avg(length(key)) AS mean FROM j WHERE role = 'train' GROUP BY fold)
+    SELECT CAST(j.fold AS BIGINT) AS fold, CASE WHEN length(key) > mean THEN 1.0 ELSE -1.0 END AS side, count(*) AS n FROM j
+    JOIN m ON m.fold = j.fold WHERE role = 'test' GROUP BY 1, 2""")
 
 
 def causal(s, d):

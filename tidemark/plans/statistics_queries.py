@@ -25,7 +25,8 @@ def spans(s, d):
     return li.select(F.col("l_suppkey").alias("supplier"), F.concat_ws("|", "l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("key"), start.alias("start"), (start + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("end")).dropDuplicates(["key", "start"])
 
 
-SPANS = """spans AS (SELECT DISTINCT l_suppkey AS supplier, concat_ws('|', l_suppkey, l_orderkey, l_partkey, l_linenumber, CAST(l_quantity AS VARCHAR), CAST(l_extendedprice AS VARCHAR)) AS key, l_shipdate AS start, l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY AS "end" FROM lineitem)"""
+SPANS = """spans AS (SELECT DISTINCT l_suppkey AS supplier, concat_ws('|', l_suppkey, l_orderkey, l_partkey, l_linenumber, CAST(l_quantity AS VARCHAR), CAST(l_extendedprice AS VARCHAR)) AS key, l_shipdate AS start, l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY AS "end"
+    FROM lineitem)"""
 
 
 def returns(s, d):
@@ -39,8 +40,10 @@ def returns(s, d):
     return out.crossJoin(F.broadcast(first)).withColumn("net", F.col("gross") - F.col("cost")).withColumn("time_no", month(F.col("time")) - F.col("first")).drop("first")
 
 
-RET = """rets AS (SELECT *, gross - cost AS net, (year(time) * 12 + month(time)) - (SELECT year(min(l_shipdate)) * 12 + month(min(l_shipdate)) FROM lineitem) AS time_no FROM (
-  SELECT l_suppkey AS trial, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, round(avg(l_extendedprice * l_discount) / 10000 - 0.25, 9) AS gross, round(avg(l_tax) / 10, 9) AS cost, count(*) AS n_lines, sum(l_quantity) AS traded, sum(l_extendedprice) AS market_volume
+RET = """rets AS (SELECT *, gross - cost AS net, (year(time) * 12 + month(time)) - (SELECT year(min(l_shipdate)) * 12 + month(min(l_shipdate))
+    FROM lineitem) AS time_no FROM (
+
+    SELECT l_suppkey AS trial, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, round(avg(l_extendedprice * l_discount) / 10000 - 0.25, 9) AS gross, round(avg(l_tax) / 10, 9) AS cost, count(*) AS n_lines, sum(l_quantity) AS traded, sum(l_extendedprice) AS market_volume
   FROM lineitem GROUP BY 1, 2))"""
 
 
@@ -73,29 +76,39 @@ def quantile_sql(p: str) -> str:
 
 SHARPE = "CASE WHEN count({0}) > 1 AND stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) ELSE 0 END"
 
-add("d09_effective_sample", lambda s, d: T.effective_sample(spans(s, d), ["supplier"], "start", "end"), f"""WITH {SPANS}, b AS (SELECT *, max("end") OVER (PARTITION BY supplier ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans)
+add("d09_effective_sample", lambda s, d: T.effective_sample(spans(s, d), ["supplier"], "start", "end"), f"""WITH {SPANS},
+    b AS (SELECT *, max("end") OVER (PARTITION BY supplier ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM spans)
 SELECT supplier, count(*) AS n_spans, count(*) FILTER (WHERE before IS NULL OR start >= before) AS n_effective FROM b GROUP BY supplier""")
-add("d10_overlap_lag", lambda s, d: T.overlap_lag(spans(s, d), ["supplier"], "start", "end").withColumn("lag", F.col("lag").cast("long")), f"""WITH {SPANS}, n AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY start, "end", key) AS i FROM spans)
+add("d10_overlap_lag", lambda s, d: T.overlap_lag(spans(s, d), ["supplier"], "start", "end").withColumn("lag", F.col("lag").cast("long")), f"""WITH {SPANS},
+    n AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY start, "end", key) AS i FROM spans)
 SELECT a.supplier, max((SELECT count(*) FROM n b WHERE b.supplier = a.supplier AND b.start < a."end") - a.i) AS lag FROM n a GROUP BY a.supplier""")
 L = 3
 HAC = ", ".join(f"c * lag(c, {k}) OVER (PARTITION BY trial ORDER BY time) AS p{k}" for k in range(1, L + 1))
 LONG = " + ".join(["sum(c * c)", *[f"{2 * (1 - k / (L + 1))} * coalesce(sum(p{k}), 0)" for k in range(1, L + 1)]])
 add(
     "d11_hac_test", lambda s, d: T.hac_test(returns(s, d), ["trial"], ["time"], "net", L).select("trial", "n", r(F.col("mean")).alias("mean"), r(F.col("se")).alias("se"), r(F.col("t")).alias("t")),
-    f"""WITH {RET}, c AS (SELECT *, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), p AS (SELECT *, {HAC} FROM c), q AS (SELECT trial, count(*) AS n, avg(net) AS mean, {LONG} AS lv FROM p GROUP BY trial), e AS (SELECT *, CASE WHEN n > 1 AND lv > 0 THEN sqrt(lv) / n END AS se FROM q)
+    f"""WITH {RET}, c AS (SELECT *, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), p AS (SELECT *, {HAC} FROM c),
+    q AS (SELECT trial, count(*) AS n, avg(net) AS mean, {LONG} AS lv FROM p GROUP BY trial), e AS (SELECT *, CASE
+    WHEN n > 1 AND lv > 0 THEN sqrt(lv) / n END AS se FROM q)
     SELECT trial, n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 6) AS t FROM e""",
 )
-HAC_SQL = f"""WITH {RET}, c AS (SELECT *, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), p AS (SELECT *, {HAC} FROM c), q AS (SELECT trial, count(*) AS n, avg(net) AS mean, {LONG} AS lv FROM p GROUP BY trial), e AS (SELECT *, CASE WHEN n > 1 AND lv > 0 THEN sqrt(lv) / n END AS se FROM q)"""
+HAC_SQL = f"""WITH {RET}, c AS (SELECT *, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), p AS (SELECT *, {HAC} FROM c),
+    q AS (SELECT trial, count(*) AS n, avg(net) AS mean, {LONG} AS lv FROM p GROUP BY trial), e AS (SELECT *, CASE
+    WHEN n > 1 AND lv > 0 THEN sqrt(lv) / n END AS se FROM q)"""
 add(
     "d11_hac_p_values", lambda s, d: T.hac_test(returns(s, d), ["trial"], ["time"], "net", L).select("trial", r(F.col("p_greater")).alias("p_greater"), r(F.col("p_two_sided")).alias("p_two_sided")),
     f"{HAC_SQL}, t AS (SELECT trial, mean / se AS t, abs(mean / se) AS a FROM e) SELECT trial, round({tail_sql('t')}, 6) AS p_greater, round(2 * ({tail_sql('a')}), 6) AS p_two_sided FROM t",
 )
-add("h18_normal_tail", lambda s, d: returns(s, d).select("trial", "time", r(T.normal_sf(F.col("net") * 10)).alias("tail")), f"WITH {RET}, z AS (SELECT trial, time, net * 10 AS z FROM rets) SELECT trial, time, round({tail_sql('z')}, 6) AS tail FROM z")
+add("h18_normal_tail", lambda s, d: returns(s, d).select("trial", "time", r(T.normal_sf(F.col("net") * 10)).alias("tail")), f"""WITH {RET},
+    z AS (SELECT trial, time, net * 10 AS z FROM rets) SELECT trial, time, round({tail_sql('z')}, 6) AS tail FROM z""")
 add(
     "d12_adjust_p", lambda s, d: returns(s, d).where("gross between 0 and 1").select("trial", "time", r(T.adjust_p(F.col("gross") / 10, F.lit(10), "bonferroni")).alias("bonferroni"), r(T.adjust_p(F.col("gross") / 10, F.lit(10), "sidak")).alias("sidak")),
     f"WITH {RET} SELECT trial, time, round(least(1.0, gross / 10 * 10), 6) AS bonferroni, round(1 - power(1 - gross / 10, 10), 6) AS sidak FROM rets WHERE gross BETWEEN 0 AND 1",
 )
-WINDOWS = """w0 AS (SELECT CAST(date_trunc('day', min(start)) AS TIMESTAMP) AS a, CAST(date_trunc('day', max("end")) AS TIMESTAMP) AS z FROM spans), w AS (SELECT CAST(range AS INTEGER) AS window_no, a + range * INTERVAL 90 DAY AS train_start, a + range * INTERVAL 90 DAY + INTERVAL 360 DAY AS test_start, a + range * INTERVAL 90 DAY + INTERVAL 450 DAY AS test_end FROM w0, range(0, 10000) WHERE a + range * INTERVAL 90 DAY + INTERVAL 450 DAY <= z)"""
+WINDOWS = """w0 AS (SELECT CAST(date_trunc('day', min(start)) AS TIMESTAMP) AS a, CAST(date_trunc('day', max("end")) AS TIMESTAMP) AS z FROM spans),
+    w AS (SELECT CAST(range AS INTEGER) AS window_no, a + range * INTERVAL 90 DAY AS train_start, a + range * INTERVAL 90 DAY + INTERVAL 360 DAY AS test_start, a + range * INTERVAL 90 DAY + INTERVAL 450 DAY AS test_end
+    FROM w0, range(0, 10000) WHERE a + range * INTERVAL 90 DAY + INTERVAL 450 DAY <= z)"""
 
 
 def windows(s, d):
@@ -104,20 +117,30 @@ def windows(s, d):
 
 add("d13_walk_forward_windows", windows, f"WITH {SPANS}, {WINDOWS} SELECT window_no, train_start, test_start, test_end FROM w")
 ROLE = """CASE WHEN start >= test_start AND start < test_end THEN 'test' WHEN start < test_end AND "end" > test_start THEN 'purged' WHEN start >= test_end AND start < test_end + INTERVAL 864000 SECOND THEN 'embargoed' ELSE 'train' END"""
-add("d13_walk_forward_folds", lambda s, d: P.walk_forward(spans(s, d), windows(s, d), 864_000).groupBy("window_no", "role").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end")), f"""WITH {SPANS}, {WINDOWS}, j AS (SELECT window_no, start, "end", {ROLE} AS role FROM spans JOIN w ON start >= train_start AND start < test_end)
+add("d13_walk_forward_folds", lambda s, d: P.walk_forward(spans(s, d), windows(s, d), 864_000).groupBy("window_no", "role").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end")), f"""WITH {SPANS}, {WINDOWS},
+    j AS (SELECT window_no, start, "end", {ROLE} AS role FROM spans
+    JOIN w ON start >= train_start AND start < test_end)
 SELECT window_no, role, count(*) AS n, min(start) AS first_start, max("end") AS last_end FROM j GROUP BY window_no, role""")
-FOLDS = f"""{SPANS}, f AS (SELECT *, ntile(5) OVER (ORDER BY start, key) - 1 AS fold FROM spans), t AS (SELECT fold AS test_fold, min(start) AS test_start, max("end") AS test_end FROM f GROUP BY fold),
-j AS (SELECT CAST(test_fold AS INTEGER) AS fold, key, start, CASE WHEN fold = test_fold THEN 'test' WHEN start < test_end AND "end" > test_start THEN 'purged' WHEN start >= test_end AND start < test_end + INTERVAL 864000 SECOND THEN 'embargoed' ELSE 'train' END AS role FROM f, t)"""
+FOLDS = f"""{SPANS}, f AS (SELECT *, ntile(5) OVER (ORDER BY start, key) - 1 AS fold FROM spans),
+    t AS (SELECT fold AS test_fold, min(start) AS test_start, max("end") AS test_end FROM f
+    GROUP BY fold),
+j AS (SELECT CAST(test_fold AS INTEGER) AS fold, key, start, CASE WHEN fold = test_fold THEN 'test'
+    WHEN start < test_end AND "end" > test_start THEN 'purged'
+    WHEN start >= test_end AND start < test_end + INTERVAL 864000 SECOND THEN 'embargoed' ELSE 'train' END AS role FROM f, t)"""
 add("d14_purged_k_fold", lambda s, d: P.purged_k_fold(spans(s, d), 5, 864_000).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("key").alias("first_key")), f"WITH {FOLDS} SELECT fold, role, count(*) AS n, min(key) AS first_key FROM j GROUP BY fold, role")
 add("c36_purge_embargo", lambda s, d: P.purged_k_fold(spans(s, d), 5, 864_000).where("role in ('purged', 'embargoed')").select("fold", "key", "role"), f"WITH {FOLDS} SELECT fold, key, role FROM j WHERE role IN ('purged', 'embargoed')")
-add("b11_research_spans", lambda s, d: P.research_spans(spans(s, d), "1998-06-01", "1999-06-01").groupBy("supplier").agg(F.count("*").alias("n"), F.max("end").alias("last_end")), f"""WITH {SPANS} SELECT supplier, count(*) AS n, max("end") AS last_end FROM spans WHERE start >= TIMESTAMP '1998-06-01' AND start < TIMESTAMP '1999-06-01' AND "end" < TIMESTAMP '1999-06-01' GROUP BY supplier""")
+add("b11_research_spans", lambda s, d: P.research_spans(spans(s, d), "1998-06-01", "1999-06-01").groupBy("supplier").agg(F.count("*").alias("n"), F.max("end").alias("last_end")), f"""WITH {SPANS}
+    SELECT supplier, count(*) AS n, max("end") AS last_end FROM spans
+    WHERE start >= TIMESTAMP '1998-06-01' AND start < TIMESTAMP '1999-06-01' AND "end" < TIMESTAMP '1999-06-01' GROUP BY supplier""")
 
 
 def ledger(s, d):
     return table(s, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("family"))
 
 
-add("b12_sealed_window", lambda s, d: P.sealed(spans(s, d).withColumnRenamed("supplier", "family"), ledger(s, d), "2000-01-01").groupBy("family").agg(F.count("*").alias("n"), F.max("start").alias("last_start")), f"WITH {SPANS} SELECT supplier AS family, count(*) AS n, max(start) AS last_start FROM spans WHERE start < TIMESTAMP '2000-01-01' OR supplier IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY supplier")
+add("b12_sealed_window", lambda s, d: P.sealed(spans(s, d).withColumnRenamed("supplier", "family"), ledger(s, d), "2000-01-01").groupBy("family").agg(F.count("*").alias("n"), F.max("start").alias("last_start")), f"""WITH {SPANS}
+    SELECT supplier AS family, count(*) AS n, max(start) AS last_start FROM spans
+    WHERE start < TIMESTAMP '2000-01-01' OR supplier IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY supplier""")
 add(
     "d15_net_returns", lambda s, d: T.net_returns(returns(s, d), 1.5).groupBy("trial").agg(r(F.sum("net")).alias("net"), r(T.breakeven_multiple()).alias("breakeven")),
     f"WITH {RET} SELECT trial, round(sum(gross - 1.5 * cost), 6) AS net, round(avg(gross) / nullif(CASE WHEN avg(cost) > 0 THEN avg(cost) END, 0), 6) AS breakeven FROM rets GROUP BY trial",
@@ -136,32 +159,51 @@ def fills(s, d):
 EQ = f"{RET}, eq AS (SELECT trial, time AS mark, round(100 + sum(net) OVER (PARTITION BY trial ORDER BY time), 9) AS equity FROM rets)"
 add(
     "d16_period_returns", lambda s, d: T.period_returns(equity(s, d), fills(s, d)).select("trial", "mark", r(F.col("gross"), 8).alias("gross"), r(F.col("cost"), 8).alias("cost")),
-    f"""WITH {EQ}, fills AS (SELECT trial, time + INTERVAL 10 DAY AS fill_time, cost / 2 AS cost FROM rets UNION ALL SELECT trial, time, cost / 2 FROM rets),
-    m AS (SELECT *, lag(equity) OVER (PARTITION BY trial ORDER BY mark) AS before FROM eq), p AS (SELECT f.trial, (SELECT min(mark) FROM eq WHERE eq.trial = f.trial AND eq.mark > f.fill_time) AS mark, f.cost FROM fills f), q AS (SELECT trial, mark, sum(cost) AS paid FROM p WHERE mark IS NOT NULL GROUP BY trial, mark)
-    SELECT m.trial, m.mark, round(equity / before - 1 + coalesce(paid, 0) / before, 8) AS gross, round(coalesce(paid, 0) / before, 8) AS cost FROM m LEFT JOIN q ON q.trial = m.trial AND q.mark = m.mark WHERE before IS NOT NULL""",
+    f"""WITH {EQ}, fills AS (SELECT trial, time + INTERVAL 10 DAY AS fill_time, cost / 2 AS cost FROM rets UNION ALL SELECT trial, time, cost / 2
+    FROM rets),
+    m AS (SELECT *, lag(equity) OVER (PARTITION BY trial ORDER BY mark) AS before FROM eq), p AS (SELECT f.trial, (SELECT min(mark) FROM eq
+    WHERE eq.trial = f.trial AND eq.mark > f.fill_time) AS mark, f.cost FROM fills f), q AS (SELECT trial, mark, sum(cost) AS paid FROM p
+    WHERE mark IS NOT NULL GROUP BY trial, mark)
+    SELECT m.trial, m.mark, round(equity / before - 1 + coalesce(paid, 0) / before, 8) AS gross, round(coalesce(paid, 0) / before, 8) AS cost FROM m
+    LEFT JOIN q ON q.trial = m.trial AND q.mark = m.mark WHERE before IS NOT NULL""",
 )
 COMP = "CASE WHEN min(net) <= -1 THEN -1.0 ELSE exp(sum(ln(1 + CASE WHEN net > -1 THEN net END))) - 1 END"
 add("d17_compounded_return", lambda s, d: returns(s, d).groupBy("trial").agg(r(T.compounded("net")).alias("compounded")), f"WITH {RET} SELECT trial, round({COMP}, 6) AS compounded FROM rets GROUP BY trial")
 add(
     "d18_benchmark", lambda s, d: T.excess(returns(s, d), returns(s, d).groupBy("time").agg(F.avg("net").alias("net"))).select("trial", "n", *[r(F.col(c)).alias(c) for c in ("mean_excess", "positive_share", "inverse_mean", "compounded")]),
-    f"WITH {RET} SELECT r.trial, count(*) AS n, round(avg(r.net - b.net), 6) AS mean_excess, round(avg(CASE WHEN r.net - b.net > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share, round(avg(-r.gross - r.cost), 6) AS inverse_mean, round({COMP.replace('net', 'r.net')}, 6) AS compounded FROM rets r JOIN (SELECT time, avg(net) AS net FROM rets GROUP BY time) b ON b.time = r.time GROUP BY r.trial",
+    f"""WITH {RET} SELECT r.trial, count(*) AS n, round(avg(r.net - b.net), 6) AS mean_excess, round(avg(CASE
+    WHEN r.net - b.net > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share, round(avg(-r.gross - r.cost), 6) AS inverse_mean, round({COMP.replace('net', 'r.net')}, 6) AS compounded
+    FROM rets r JOIN (SELECT time, avg(net) AS net FROM rets GROUP BY time) b ON b.time = r.time GROUP BY r.trial""",
 )
 add("d19_sharpe", lambda s, d: returns(s, d).groupBy("trial").agg(r(T.sharpe("net")).alias("sharpe")), f"WITH {RET} SELECT trial, round({SHARPE.format('net')}, 6) AS sharpe FROM rets GROUP BY trial")
 add(
     "d20_overfitting_probability", lambda s, d: T.overfitting_probability(returns(s, d), 6).select("n_splits", r(F.col("pbo")).alias("pbo"), r(F.col("mean_logit")).alias("mean_logit")),
-    f"""WITH {RET}, g AS (SELECT *, CAST(floor(time_no * 6 / ((SELECT max(time_no) FROM rets) + 1)) AS INTEGER) AS seg FROM rets), sums AS (SELECT trial, seg, count(*) AS n, sum(net) AS s, sum(net * net) AS q FROM g GROUP BY trial, seg),
-    masks AS (SELECT range AS m FROM range(0, 64) WHERE bit_count(CAST(range AS INTEGER)) = 3), per0 AS (SELECT m AS split, trial, (m >> seg) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM masks, sums GROUP BY m, trial, (m >> seg) & 1),
-    per AS (SELECT *, round(CASE WHEN n > 1 AND (q - s * s / n) / (n - 1) > 1e-18 THEN s / n / sqrt((q - s * s / n) / (n - 1)) ELSE 0 END, 9) AS sharpe FROM per0),
-    best AS (SELECT split, arg_max(trial, (sharpe, trial)) AS trial FROM per WHERE inside = 1 GROUP BY split), o AS (SELECT * FROM per WHERE inside = 0),
-    rk AS (SELECT b.split, (count(*) FILTER (WHERE y.sharpe < x.sharpe) + (count(*) FILTER (WHERE y.sharpe = x.sharpe) + 1) / 2.0) / (count(*) + 1.0) AS rank FROM best b JOIN o x ON x.split = b.split AND x.trial = b.trial JOIN o y ON y.split = b.split GROUP BY b.split)
-    SELECT count(*) AS n_splits, round(avg(CASE WHEN ln(rank / (1 - rank)) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, round(avg(ln(rank / (1 - rank))), 6) AS mean_logit FROM rk""",
+    f"""WITH {RET}, g AS (SELECT *, CAST(floor(time_no * 6 / ((SELECT max(time_no) FROM rets) + 1)) AS INTEGER) AS seg FROM rets),
+    sums AS (SELECT trial, seg, count(*) AS n, sum(net) AS s, sum(net * net) AS q FROM g GROUP BY trial, seg),
+    masks AS (SELECT range AS m FROM range(0, 64) WHERE bit_count(CAST(range AS INTEGER)) = 3),
+    per0 AS (SELECT m AS split, trial, (m >> seg) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM masks, sums
+    GROUP BY m, trial, (m >> seg) & 1),
+    per AS (SELECT *, round(CASE
+    WHEN n > 1 AND (q - s * s / n) / (n - 1) > 1e-18 THEN s / n / sqrt((q - s * s / n) / (n - 1)) ELSE 0 END, 9) AS sharpe
+    FROM per0),
+    best AS (SELECT split, arg_max(trial, (sharpe, trial)) AS trial FROM per WHERE inside = 1 GROUP BY split), o AS (SELECT * FROM per
+    WHERE inside = 0),
+    rk AS (SELECT b.split, (count(*) FILTER (WHERE y.sharpe < x.sharpe) + (count(*) FILTER (WHERE y.sharpe = x.sharpe) + 1) / 2.0) / (count(*) + 1.0) AS rank
+    FROM best b JOIN o x ON x.split = b.split AND x.trial = b.trial JOIN o y ON y.split = b.split GROUP BY b.split)
+    SELECT count(*) AS n_splits, round(avg(CASE
+    WHEN ln(rank / (1 - rank)) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, round(avg(ln(rank / (1 - rank))), 6) AS mean_logit FROM rk""",
 )
 GAMMA = 0.5772156649015329
 add(
     "d21_deflated_sharpe", lambda s, d: T.deflated_sharpe(returns(s, d)).select("trial", "n", *[r(F.col(c)).alias(c) for c in ("sharpe", "expected", "deflated")]),
-    f"""WITH {RET}, c AS (SELECT trial, net, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets), per AS (SELECT trial, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(c * c) AS m2, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4 FROM c GROUP BY trial),
-    fam AS (SELECT var_samp(sharpe) AS v, 1 - 1.0 / count(*) AS p1, 1 - 1.0 / (count(*) * exp(1.0)) AS p2, count(*) AS k FROM per), ex AS (SELECT CASE WHEN k > 1 THEN sqrt(v) * ((1 - {GAMMA}) * ({quantile_sql('p1')}) + {GAMMA} * ({quantile_sql('p2')})) ELSE 0 END AS expected FROM fam),
-    x AS (SELECT trial, n, sharpe, expected, 1 - m3 / power(nullif(m2, 0), 1.5) * sharpe + (m4 / nullif(m2 * m2, 0) - 1) / 4 * sharpe * sharpe AS spread FROM per, ex), z AS (SELECT *, (sharpe - expected) * sqrt(n - 1) / CASE WHEN spread > 0 THEN sqrt(spread) END AS z FROM x)
+    f"""WITH {RET}, c AS (SELECT trial, net, net - avg(net) OVER (PARTITION BY trial) AS c FROM rets),
+    per AS (SELECT trial, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(c * c) AS m2, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4 FROM c
+    GROUP BY trial),
+    fam AS (SELECT var_samp(sharpe) AS v, 1 - 1.0 / count(*) AS p1, 1 - 1.0 / (count(*) * exp(1.0)) AS p2, count(*) AS k FROM per), ex AS (SELECT
+    CASE WHEN k > 1 THEN sqrt(v) * ((1 - {GAMMA}) * ({quantile_sql('p1')}) + {GAMMA} * ({quantile_sql('p2')})) ELSE 0 END AS expected
+    FROM fam),
+    x AS (SELECT trial, n, sharpe, expected, 1 - m3 / power(nullif(m2, 0), 1.5) * sharpe + (m4 / nullif(m2 * m2, 0) - 1) / 4 * sharpe * sharpe AS spread
+    FROM per, ex), z AS (SELECT *, (sharpe - expected) * sqrt(n - 1) / CASE WHEN spread > 0 THEN sqrt(spread) END AS z FROM x)
     SELECT trial, n, round(sharpe, 6) AS sharpe, round(expected, 6) AS expected, round(1 - ({tail_sql('z')}), 6) AS deflated FROM z""",
 )
 
@@ -196,8 +238,11 @@ def gates(s, d, by=("trial",)):
 add("d31_gate_comparison", gates, gate_sql("trial"))
 add("d30_in_sample_gates", lambda s, d: gates(s, d, ()), gate_sql(""))
 add("d22_family_gates", lambda s, d: gates(s, d).groupBy("metric", "outcome").agg(F.count("*").alias("n")), f"SELECT metric, outcome, count(*) AS n FROM ({gate_sql('trial')}) GROUP BY metric, outcome")
-add("d33_pooled_and_each", lambda s, d: gates(s, d, ()).withColumn("scope", F.lit("pooled")).unionByName(gates(s, d).select(F.concat(F.lit("trial "), F.col("trial").cast("string")).alias("scope"), "metric", "value", "limit", "outcome")), f"SELECT 'pooled' AS scope, * FROM ({gate_sql('')}) UNION ALL SELECT 'trial ' || trial AS scope, metric, value, \"limit\", outcome FROM ({gate_sql('trial')})")
-add("d32_sealed_gates", lambda s, d: T.gate_table(T.long_metrics(returns(s, d).where("time_no >= 60").groupBy("trial").agg(F.avg("net").alias("mean_net")), ["trial"], ["mean_net"]), thresholds(s).where("metric = 'mean_net'"), ["trial"]).select("trial", r(F.col("value")).alias("value"), "outcome"), f"WITH {RET} SELECT trial, round(avg(net), 6) AS value, CASE WHEN abs(avg(net) - 0.001) <= 0.0005 THEN 'INCONCLUSIVE' WHEN avg(net) >= 0.001 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM rets WHERE time_no >= 60 GROUP BY trial")
+add("d33_pooled_and_each", lambda s, d: gates(s, d, ()).withColumn("scope", F.lit("pooled")).unionByName(gates(s, d).select(F.concat(F.lit("trial "), F.col("trial").cast("string")).alias("scope"), "metric", "value", "limit", "outcome")), f"""SELECT 'pooled' AS scope, *
+    FROM ({gate_sql('')}) UNION ALL SELECT 'trial ' || trial AS scope, metric, value, \"limit\", outcome FROM ({gate_sql('trial')})""")
+add("d32_sealed_gates", lambda s, d: T.gate_table(T.long_metrics(returns(s, d).where("time_no >= 60").groupBy("trial").agg(F.avg("net").alias("mean_net")), ["trial"], ["mean_net"]), thresholds(s).where("metric = 'mean_net'"), ["trial"]).select("trial", r(F.col("value")).alias("value"), "outcome"), f"""WITH {RET}
+    SELECT trial, round(avg(net), 6) AS value, CASE WHEN abs(avg(net) - 0.001) <= 0.0005 THEN 'INCONCLUSIVE'
+    WHEN avg(net) >= 0.001 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM rets WHERE time_no >= 60 GROUP BY trial""")
 def grid(s, d):
     """Trials on a grid of two parameters, ten values of the second for each of the first."""
     return returns(s, d).groupBy("trial").agg(T.sharpe("net").alias("sharpe")).withColumns({"pa": F.floor(F.col("trial") / 10), "pb": F.col("trial") % 10})
@@ -205,11 +250,18 @@ def grid(s, d):
 
 add(
     "d23_neighbourhood", lambda s, d: T.neighbourhood(grid(s, d), ["pa", "pb"]).select("trial", "n_due", "n_found", r(F.col("share_positive")).alias("share_positive"), r(F.col("ratio")).alias("ratio")),
-    f"""WITH {RET}, g AS (SELECT trial, {SHARPE.format('net')} AS sharpe, trial // 10 AS pa, trial % 10 AS pb FROM rets GROUP BY trial), due AS (SELECT g.trial, g.sharpe AS own, pa + da AS na, pb + db AS nb FROM g, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(da, db) WHERE pa + da BETWEEN 0 AND (SELECT max(pa) FROM g) AND pb + db BETWEEN 0 AND (SELECT max(pb) FROM g)),
+    f"""WITH {RET}, g AS (SELECT trial, {SHARPE.format('net')} AS sharpe, trial // 10 AS pa, trial % 10 AS pb FROM rets GROUP BY trial),
+    due AS (SELECT g.trial, g.sharpe AS own, pa + da AS na, pb + db AS nb FROM g, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(da, db)
+    WHERE pa + da BETWEEN 0 AND (SELECT max(pa) FROM g) AND pb + db BETWEEN 0 AND (SELECT max(pb)
+    FROM g)),
     m AS (SELECT due.trial, own, n.sharpe AS near FROM due LEFT JOIN g n ON n.pa = na AND n.pb = nb)
-    SELECT trial, count(*) AS n_due, count(near) AS n_found, CASE WHEN count(*) = count(near) THEN round(avg(CASE WHEN near > 0 THEN 1.0 ELSE 0.0 END), 6) END AS share_positive, CASE WHEN count(*) = count(near) AND max(own) > 0 THEN round(avg(near) / max(own), 6) END AS ratio FROM m GROUP BY trial""",
+    SELECT trial, count(*) AS n_due, count(near) AS n_found, CASE WHEN count(*) = count(near) THEN round(avg(CASE
+    WHEN near > 0 THEN 1.0 ELSE 0.0 END), 6) END AS share_positive, CASE
+    WHEN count(*) = count(near) AND max(own) > 0 THEN round(avg(near) / max(own), 6) END AS ratio FROM m GROUP BY trial""",
 )
-add("d24_cost_stress", lambda s, d: T.stress(returns(s, d), [1, 2, 3]).select("trial", "multiplier", r(F.col("net")).alias("net")), f"WITH {RET} SELECT trial, m AS multiplier, round(sum(gross) - m * sum(cost), 6) AS net FROM rets, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) v(m) GROUP BY trial, m")
+add("d24_cost_stress", lambda s, d: T.stress(returns(s, d), [1, 2, 3]).select("trial", "multiplier", r(F.col("net")).alias("net")), f"""WITH {RET}
+    SELECT trial, m AS multiplier, round(sum(gross) - m * sum(cost), 6) AS net FROM rets, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) v(m)
+    GROUP BY trial, m""")
 
 
 def positioned(s, d):
@@ -217,10 +269,14 @@ def positioned(s, d):
     return returns(s, d).select("trial", "time_no", F.coalesce(F.signum(F.lag("net").over(w)), F.lit(0.0)).alias("position"), F.col("net").alias("asset_return"), "cost")
 
 
-POS = f"{RET}, pos AS (SELECT trial, time_no, cost, net AS asset_return, CAST(coalesce(sign(lag(net) OVER (PARTITION BY trial ORDER BY time_no)), 0) AS DOUBLE) AS position FROM rets), lagged AS (SELECT *, position * asset_return AS r0, lag(position, 1) OVER (PARTITION BY trial ORDER BY time_no) * asset_return AS r1, lag(position, 2) OVER (PARTITION BY trial ORDER BY time_no) * asset_return AS r2 FROM pos)"
+POS = f"""{RET}, pos AS (SELECT trial, time_no, cost, net AS asset_return, CAST(coalesce(sign(lag(net) OVER (PARTITION BY trial
+    ORDER BY time_no)), 0) AS DOUBLE) AS position FROM rets),
+    lagged AS (SELECT *, position * asset_return AS r0, lag(position, 1) OVER (PARTITION BY trial
+    ORDER BY time_no) * asset_return AS r1, lag(position, 2) OVER (PARTITION BY trial ORDER BY time_no) * asset_return AS r2 FROM pos)"""
 add(
     "d24_time_alignment", lambda s, d: T.shifted_ratio(positioned(s, d), [1, 2]).select("trial", "offset", r(F.col("ratio"), 5).alias("ratio")),
-    f"WITH {POS}, s AS (SELECT trial, {SHARPE.format('r0')} AS s0, {SHARPE.format('r1')} AS s1, {SHARPE.format('r2')} AS s2 FROM lagged GROUP BY trial) SELECT trial, 1 AS \"offset\", round(s1 / nullif(s0, 0), 5) AS ratio FROM s UNION ALL SELECT trial, 2, round(s2 / nullif(s0, 0), 5) FROM s",
+    f"""WITH {POS}, s AS (SELECT trial, {SHARPE.format('r0')} AS s0, {SHARPE.format('r1')} AS s1, {SHARPE.format('r2')} AS s2 FROM lagged GROUP BY trial)
+    SELECT trial, 1 AS \"offset\", round(s1 / nullif(s0, 0), 5) AS ratio FROM s UNION ALL SELECT trial, 2, round(s2 / nullif(s0, 0), 5) FROM s""",
 )
 
 
@@ -229,12 +285,18 @@ def delayed(s, d):
     return positioned(s, d).select("trial", (F.lag("position").over(w) * F.col("asset_return")).alias("gross"), (F.abs(F.lag("position").over(w)) * F.col("cost")).alias("cost"))
 
 
-add("d24_delay_stress", lambda s, d: delayed(s, d).groupBy("trial").agg(r(T.breakeven_multiple()).alias("breakeven")), f"WITH {POS}, z AS (SELECT trial, r1 AS gross, abs(lag(position) OVER (PARTITION BY trial ORDER BY time_no)) * cost AS cost FROM lagged) SELECT trial, round(avg(gross) / CASE WHEN avg(cost) > 0 THEN avg(cost) END, 6) AS breakeven FROM z GROUP BY trial")
+add("d24_delay_stress", lambda s, d: delayed(s, d).groupBy("trial").agg(r(T.breakeven_multiple()).alias("breakeven")), f"""WITH {POS},
+    z AS (SELECT trial, r1 AS gross, abs(lag(position) OVER (PARTITION BY trial ORDER BY time_no)) * cost AS cost FROM lagged)
+    SELECT trial, round(avg(gross) / CASE WHEN avg(cost) > 0 THEN avg(cost) END, 6) AS breakeven FROM z GROUP BY trial""")
 add(
     "d25_walk_forward_result", lambda s, d: T.walk_forward_result(returns(s, d), windows(s, d)).select("trial", "n_windows", "n_empty", r(F.col("positive_share")).alias("positive_share"), r(F.col("largest_share")).alias("largest_share")),
-    f"""WITH {RET}, {SPANS}, {WINDOWS}, p AS (SELECT trial, window_no, sum(net) AS net FROM rets JOIN w ON time >= test_start AND time < test_end GROUP BY trial, window_no),
-    o AS (SELECT trial, count(*) AS n_full, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS positive_share, CASE WHEN sum(net) > 0 THEN max(net) / sum(net) END AS largest_share FROM p GROUP BY trial)
-    SELECT t.trial, (SELECT count(*) FROM w) AS n_windows, (SELECT count(*) FROM w) - coalesce(n_full, 0) AS n_empty, round(positive_share, 6) AS positive_share, round(largest_share, 6) AS largest_share FROM (SELECT DISTINCT trial FROM rets) t LEFT JOIN o USING (trial)""",
+    f"""WITH {RET}, {SPANS}, {WINDOWS}, p AS (SELECT trial, window_no, sum(net) AS net FROM rets JOIN w ON time >= test_start AND time < test_end
+    GROUP BY trial, window_no),
+    o AS (SELECT trial, count(*) AS n_full, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS positive_share, CASE
+    WHEN sum(net) > 0 THEN max(net) / sum(net) END AS largest_share FROM p GROUP BY trial)
+    SELECT t.trial, (SELECT count(*) FROM w) AS n_windows, (SELECT count(*)
+    FROM w) - coalesce(n_full, 0) AS n_empty, round(positive_share, 6) AS positive_share, round(largest_share, 6) AS largest_share
+    FROM (SELECT DISTINCT trial FROM rets) t LEFT JOIN o USING (trial)""",
 )
 
 
@@ -251,11 +313,19 @@ def matrix(s, d):
 
 add(
     "d07_state_matrix", lambda s, d: matrix(s, d).select("state", "n", "is_best", *[r(F.col(c)).alias(c) for c in ("total", "mean", "hit_rate", "share", "top_share")]),
-    f"""WITH {RET}, x AS (SELECT {STATE} AS state, net, row_number() OVER (PARTITION BY {STATE} ORDER BY net DESC) AS rn FROM rets), p AS (SELECT state, count(*) AS n, sum(net) AS total, avg(net) AS mean, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(net) FILTER (WHERE rn <= 3) AS top FROM x GROUP BY state)
-    SELECT state, n, total = max(total) OVER () AS is_best, round(total, 6) AS total, round(mean, 6) AS mean, round(hit_rate, 6) AS hit_rate, round(total / nullif(sum(total) OVER (), 0), 6) AS share, round(top / nullif(total, 0), 6) AS top_share FROM p""",
+    f"""WITH {RET}, x AS (SELECT {STATE} AS state, net, row_number() OVER (PARTITION BY {STATE} ORDER BY net DESC) AS rn FROM rets),
+    p AS (SELECT state, count(*) AS n, sum(net) AS total, avg(net) AS mean, avg(CASE
+    WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(net) FILTER (WHERE rn <= 3) AS top FROM x GROUP BY state)
+
+    SELECT state, n, total = max(total) OVER () AS is_best, round(total, 6) AS total, round(mean, 6) AS mean, round(hit_rate, 6) AS hit_rate, round(total / nullif(sum(total) OVER (), 0), 6) AS share, round(top / nullif(total, 0), 6) AS top_share
+    FROM p""",
 )
-add("d08_state_support", lambda s, d: T.state_support(matrix(s, d), ["calm", "busy", "panic"], 125), f"""WITH {RET}, c AS (SELECT {STATE} AS state, count(*) AS n FROM rets GROUP BY 1) SELECT v.state, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'no observations' WHEN n < 125 THEN 'below minimum support' END AS reason FROM (VALUES ('calm'), ('busy'), ('panic'), ('unknown')) v(state) LEFT JOIN c USING (state)""")
-add("f05_top_returns", lambda s, d: by_state(s, d).where("state = 'calm'").orderBy(F.desc("net"), "trial", "time").limit(5).select("trial", "time", r(F.col("net")).alias("net")), f"WITH {RET} SELECT trial, time, round(net, 6) AS net FROM rets WHERE n_lines % 3 = 0 ORDER BY rets.net DESC, trial, time LIMIT 5")
+add("d08_state_support", lambda s, d: T.state_support(matrix(s, d), ["calm", "busy", "panic"], 125), f"""WITH {RET},
+    c AS (SELECT {STATE} AS state, count(*) AS n FROM rets GROUP BY 1) SELECT v.state, coalesce(n, 0) AS n, CASE
+    WHEN coalesce(n, 0) = 0 THEN 'no observations' WHEN n < 125 THEN 'below minimum support' END AS reason
+    FROM (VALUES ('calm'), ('busy'), ('panic'), ('unknown')) v(state) LEFT JOIN c USING (state)""")
+add("f05_top_returns", lambda s, d: by_state(s, d).where("state = 'calm'").orderBy(F.desc("net"), "trial", "time").limit(5).select("trial", "time", r(F.col("net")).alias("net")), f"""WITH {RET}
+    SELECT trial, time, round(net, 6) AS net FROM rets WHERE n_lines % 3 = 0 ORDER BY rets.net DESC, trial, time LIMIT 5""")
 
 
 def decomposition(s, d):
@@ -267,12 +337,18 @@ def decomposition(s, d):
 
 add(
     "d27_state_decomposition", decomposition,
-    f"""WITH {RET}, x AS (SELECT trial, {STATE} AS state, time, net, time + INTERVAL 45 DAY AS e FROM rets), y AS (SELECT *, max(e) OVER (PARTITION BY trial, state ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x WHERE state <> 'unknown')
-    SELECT trial, state, count(*) FILTER (WHERE before IS NULL OR time >= before) AS n_effective, round(sum(net), 6) AS net, count(*) FILTER (WHERE before IS NULL OR time >= before) < 5 AS undersampled FROM y GROUP BY trial, state""",
+    f"""WITH {RET}, x AS (SELECT trial, {STATE} AS state, time, net, time + INTERVAL 45 DAY AS e FROM rets),
+    y AS (SELECT *, max(e) OVER (PARTITION BY trial, state ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x
+    WHERE state <> 'unknown')
+
+    SELECT trial, state, count(*) FILTER (WHERE before IS NULL OR time >= before) AS n_effective, round(sum(net), 6) AS net, count(*) FILTER (WHERE before IS NULL OR time >= before) < 5 AS undersampled
+    FROM y GROUP BY trial, state""",
 )
 add(
     "d28_capacity", lambda s, d: T.capacity(returns(s, d), 0.1, 0.5).select("trial", *[r(F.col(c)).alias(c) for c in ("capacity", "turnover", "impact_cost")]),
-    f"WITH {RET} SELECT trial, round(min(market_volume / traded) * 0.1, 6) AS capacity, round(sum(traded), 6) AS turnover, round(sum(0.5 * sqrt(traded / market_volume) * traded), 6) AS impact_cost FROM rets GROUP BY trial",
+    f"""WITH {RET}
+    SELECT trial, round(min(market_volume / traded) * 0.1, 6) AS capacity, round(sum(traded), 6) AS turnover, round(sum(0.5 * sqrt(traded / market_volume) * traded), 6) AS impact_cost
+    FROM rets GROUP BY trial""",
 )
 
 
@@ -280,8 +356,11 @@ def by_instrument(s, d):
     return returns(s, d).select(F.concat(F.lit("asset"), F.col("trial").cast("string")).alias("instrument"), "net")
 
 
-add("d29_cross_asset_signs", lambda s, d: T.cross_asset(by_instrument(s, d))[0].select("instrument", r(F.col("mean_net")).alias("mean_net"), "positive"), f"WITH {RET} SELECT 'asset' || trial AS instrument, round(avg(net), 6) AS mean_net, avg(net) > 0 AS positive FROM rets GROUP BY trial")
-add("d29_sub_universes", lambda s, d: T.cross_asset(by_instrument(s, d))[1].select("group_no", "n", r(F.col("mean_net")).alias("mean_net")), f"WITH {RET}, p AS (SELECT trial, avg(net) AS m, row_number() OVER (ORDER BY 'asset' || trial) AS rn, count(*) OVER () AS k FROM rets GROUP BY trial) SELECT CAST(least((rn - 1) // 2, greatest(k // 2, 1) - 1) AS INTEGER) AS group_no, count(*) AS n, round(avg(m), 6) AS mean_net FROM p GROUP BY 1")
+add("d29_cross_asset_signs", lambda s, d: T.cross_asset(by_instrument(s, d))[0].select("instrument", r(F.col("mean_net")).alias("mean_net"), "positive"), f"""WITH {RET}
+    SELECT 'asset' || trial AS instrument, round(avg(net), 6) AS mean_net, avg(net) > 0 AS positive FROM rets GROUP BY trial""")
+add("d29_sub_universes", lambda s, d: T.cross_asset(by_instrument(s, d))[1].select("group_no", "n", r(F.col("mean_net")).alias("mean_net")), f"""WITH {RET},
+    p AS (SELECT trial, avg(net) AS m, row_number() OVER (ORDER BY 'asset' || trial) AS rn, count(*) OVER () AS k FROM rets GROUP BY trial)
+    SELECT CAST(least((rn - 1) // 2, greatest(k // 2, 1) - 1) AS INTEGER) AS group_no, count(*) AS n, round(avg(m), 6) AS mean_net FROM p GROUP BY 1""")
 
 
 def study(s, d):
@@ -289,9 +368,15 @@ def study(s, d):
 
 
 STUDY = "study AS (SELECT trial || '|' || lpad(CAST(time_no AS VARCHAR), 3, '0') AS event_key, net AS label FROM rets)"
-add("d34_shifted_control", lambda s, d: T.shifted(study(s, d), 5).select("event_key", r(F.col("label")).alias("label")), f"WITH {RET}, {STUDY}, n AS (SELECT *, row_number() OVER (ORDER BY event_key) - 1 AS k, count(*) OVER () AS c FROM study) SELECT a.event_key, round(b.label, 6) AS label FROM n a JOIN n b ON (b.k + 5) % b.c = a.k")
-add("d34_shuffled_control", lambda s, d: T.shuffled(study(s, d), 3).select("event_key", r(F.col("label")).alias("label")), f"WITH {RET}, {STUDY}, n AS (SELECT event_key, row_number() OVER (ORDER BY event_key) AS k FROM study), v AS (SELECT label, row_number() OVER (ORDER BY md5('3|' || event_key), event_key) AS k FROM study) SELECT event_key, round(label, 6) AS label FROM n JOIN v USING (k)")
-add("b14_instrument_of_key", lambda s, d: study(s, d).select(F.split("event_key", r"\|")[0].alias("instrument"), "label").groupBy("instrument").agg(F.count("*").alias("n"), r(F.sum("label")).alias("total")), f"WITH {RET}, {STUDY} SELECT split_part(event_key, '|', 1) AS instrument, count(*) AS n, round(sum(label), 6) AS total FROM study GROUP BY 1")
+add("d34_shifted_control", lambda s, d: T.shifted(study(s, d), 5).select("event_key", r(F.col("label")).alias("label")), f"""WITH {RET}, {STUDY},
+    n AS (SELECT *, row_number() OVER (ORDER BY event_key) - 1 AS k, count(*) OVER () AS c FROM study) SELECT a.event_key, round(b.label, 6) AS label
+    FROM n a JOIN n b ON (b.k + 5) % b.c = a.k""")
+add("d34_shuffled_control", lambda s, d: T.shuffled(study(s, d), 3).select("event_key", r(F.col("label")).alias("label")), f"""WITH {RET}, {STUDY},
+    n AS (SELECT event_key, row_number() OVER (ORDER BY event_key) AS k FROM study),
+    v AS (SELECT label, row_number() OVER (ORDER BY md5('3|' || event_key), event_key) AS k FROM study) SELECT event_key, round(label, 6) AS label
+    FROM n JOIN v USING (k)""")
+add("b14_instrument_of_key", lambda s, d: study(s, d).select(F.split("event_key", r"\|")[0].alias("instrument"), "label").groupBy("instrument").agg(F.count("*").alias("n"), r(F.sum("label")).alias("total")), f"""WITH {RET}, {STUDY}
+    SELECT split_part(event_key, '|', 1) AS instrument, count(*) AS n, round(sum(label), 6) AS total FROM study GROUP BY 1""")
 
 
 def audit(s, d):
@@ -301,9 +386,14 @@ def audit(s, d):
     return both.withColumn("action", F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("was") == F.col("now"), "keep").otherwise("review"))
 
 
-add("d35_retro_audit", audit, f"""SELECT coalesce(n.trial, o.trial) AS trial, coalesce(n.metric, o.metric) AS metric, n.outcome AS now, o.outcome AS was, CASE WHEN o.outcome IS NULL THEN 'new' WHEN n.outcome IS NULL THEN 'gone' WHEN n.outcome = o.outcome THEN 'keep' ELSE 'review' END AS action
-FROM ({gate_sql('trial')}) n FULL JOIN (SELECT * FROM ({gate_sql('trial').replace("('sharpe', 0.0,", "('sharpe', 0.001,").replace("('mean_net', 0.001,", "('mean_net', 0.002,").replace("('worst', -0.05,", "('worst', -0.049,").replace("('never_measured', 1.0,", "('never_measured', 1.001,")}) WHERE trial <> 2) o ON n.trial = o.trial AND n.metric = o.metric""")
-add("d40_trial_counts", lambda s, d: table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("family")).agg(F.count("*").alias("n_trials"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("n_failed")), "SELECT o_orderpriority AS family, count(*) AS n_trials, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_failed FROM orders GROUP BY 1")
+add("d35_retro_audit", audit, f"""SELECT coalesce(n.trial, o.trial) AS trial, coalesce(n.metric, o.metric) AS metric, n.outcome AS now, o.outcome AS was,
+    CASE WHEN o.outcome IS NULL THEN 'new' WHEN n.outcome IS NULL THEN 'gone'
+    WHEN n.outcome = o.outcome THEN 'keep' ELSE 'review' END AS action
+FROM ({gate_sql('trial')}) n FULL JOIN (SELECT *
+    FROM ({gate_sql('trial').replace("('sharpe', 0.0,", "('sharpe', 0.001,").replace("('mean_net', 0.001,", "('mean_net', 0.002,").replace("('worst', -0.05,", "('worst', -0.049,").replace("('never_measured', 1.0,", "('never_measured', 1.001,")})
+    WHERE trial <> 2) o ON n.trial = o.trial AND n.metric = o.metric""")
+add("d40_trial_counts", lambda s, d: table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("family")).agg(F.count("*").alias("n_trials"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("n_failed")), """SELECT o_orderpriority AS family, count(*) AS n_trials, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_failed
+    FROM orders GROUP BY 1""")
 
 
 def curves(s, d):
@@ -318,7 +408,9 @@ def family(s, d):
 DEV = f"WITH {EQ}, f AS (SELECT mark, avg(equity) AS equity FROM eq GROUP BY mark), d AS (SELECT a.trial, a.mark AS time, a.equity - f.equity AS d FROM eq a JOIN f USING (mark))"
 add(
     "d43_deviation_summary", lambda s, d: T.deviation(curves(s, d), family(s, d)).select("trial", "n", "widest_at", "n_unmatched", *[r(F.col(c)).alias(c) for c in ("mean_diff", "max_diff", "tracking_error")]),
-    DEV + " SELECT trial, count(d) AS n, arg_max(time, (abs(d), -epoch_us(time))) AS widest_at, (SELECT count(*) FROM f) - count(*) AS n_unmatched, round(avg(d), 6) AS mean_diff, round(max(abs(d)), 6) AS max_diff, round(stddev_samp(d), 6) AS tracking_error FROM d GROUP BY trial",
+    DEV + """ SELECT trial, count(d) AS n, arg_max(time, (abs(d), -epoch_us(time))) AS widest_at, (SELECT count(*)
+    FROM f) - count(*) AS n_unmatched, round(avg(d), 6) AS mean_diff, round(max(abs(d)), 6) AS max_diff, round(stddev_samp(d), 6) AS tracking_error
+    FROM d GROUP BY trial""",
 )
 add("c38_paper_deviation", lambda s, d: curves(s, d).select("trial", "time", F.col("equity").alias("a")).join(family(s, d).select("time", F.col("equity").alias("b")), "time", "full").select("trial", "time", r(F.col("a") - F.col("b")).alias("difference")), DEV + " SELECT trial, time, round(d, 6) AS difference FROM d")
 
@@ -335,9 +427,15 @@ def percentile(s, d):
 
 add(
     "d44_null_percentile", percentile,
-    f"""WITH {RET}, {STUDY}, o AS (SELECT trial || '|' || lpad(CAST(time_no AS VARCHAR), 3, '0') AS key, net AS label, CASE WHEN n_lines % 2 = 0 THEN 1.0 ELSE -1.0 END AS side FROM rets WHERE n_lines % 3 = 0), sides AS (SELECT side, row_number() OVER (ORDER BY md5('7|' || key), key) AS rn FROM o),
-    taken AS (SELECT sim, label, row_number() OVER (PARTITION BY sim ORDER BY md5('7|' || event_key || '|' || sim), event_key) AS rn FROM study, (SELECT range AS sim FROM range(0, 100))), m AS (SELECT sim, avg(side * label) AS m FROM taken JOIN sides USING (rn) GROUP BY sim), own AS (SELECT avg(side * label) AS own FROM o)
-    SELECT count(*) AS sims, round(100 * (count(*) FILTER (WHERE m < own) + 0.5 * count(*) FILTER (WHERE m = own)) / count(*), 6) AS percentile FROM m, own""",
+    f"""WITH {RET}, {STUDY}, o AS (SELECT trial || '|' || lpad(CAST(time_no AS VARCHAR), 3, '0') AS key, net AS label, CASE
+    WHEN n_lines % 2 = 0 THEN 1.0 ELSE -1.0 END AS side FROM rets WHERE n_lines % 3 = 0),
+    sides AS (SELECT side, row_number() OVER (ORDER BY md5('7|' || key), key) AS rn
+    FROM o),
+    taken AS (SELECT sim, label, row_number() OVER (PARTITION BY sim ORDER BY md5('7|' || event_key || '|' || sim), event_key) AS rn
+    FROM study, (SELECT range AS sim FROM range(0, 100))), m AS (SELECT sim, avg(side * label) AS m FROM taken JOIN sides USING (rn) GROUP BY sim),
+    own AS (SELECT avg(side * label) AS own FROM o)
+    SELECT count(*) AS sims, round(100 * (count(*) FILTER (WHERE m < own) + 0.5 * count(*) FILTER (WHERE m = own)) / count(*), 6) AS percentile
+    FROM m, own""",
 )
 
 
@@ -354,6 +452,9 @@ def _long(where: str) -> str:
     return " UNION ALL ".join(f"SELECT '{m}' AS metric, {x} AS value FROM rets {where}" for m, x in (("sharpe", SHARPE.format("net")), ("mean_net", "avg(net)"), ("worst", "min(net)")))
 
 
-add("c39_degradation", declines, f"""WITH {RET}, b AS ({_long('')}), n AS ({_long('WHERE time_no >= 60')}), g(metric, "limit") AS (VALUES ('sharpe', 0.01), ('mean_net', 0.0005), ('worst', 0.0), ('never_measured', 0.1)),
-x AS (SELECT g.metric, g."limit", b.value AS base, n.value AS now, b.value - n.value AS decline FROM g LEFT JOIN b ON b.metric = g.metric LEFT JOIN n ON n.metric = g.metric)
-SELECT metric, CASE WHEN base IS NULL OR now IS NULL THEN 'missing' WHEN decline > "limit" THEN 'breach' ELSE 'ok' END AS verdict, round(base, 6) AS base, round(now, 6) AS now, round(decline, 6) AS decline FROM x""")
+add("c39_degradation", declines, f"""WITH {RET}, b AS ({_long('')}), n AS ({_long('WHERE time_no >= 60')}),
+    g(metric, "limit") AS (VALUES ('sharpe', 0.01), ('mean_net', 0.0005), ('worst', 0.0), ('never_measured', 0.1)),
+x AS (SELECT g.metric, g."limit", b.value AS base, n.value AS now, b.value - n.value AS decline FROM g LEFT JOIN b ON b.metric = g.metric LEFT
+    JOIN n ON n.metric = g.metric)
+SELECT metric, CASE WHEN base IS NULL OR now IS NULL THEN 'missing'
+    WHEN decline > "limit" THEN 'breach' ELSE 'ok' END AS verdict, round(base, 6) AS base, round(now, 6) AS now, round(decline, 6) AS decline FROM x""")
