@@ -531,10 +531,10 @@ def test_clashing_columns_change_nothing(spark, docs, sf):
 
 
 def test_texts_of_several_megabytes(spark):
-    """One text of 3 MB of words, and one of 2 MB without any white space, whole through every operator on texts."""
+    """Two texts of 2 MB of words, and one of 1 MB without any white space, whole through every operator on texts."""
     rng = np.random.default_rng(8)
-    long = " ".join(f"w{i}" for i in rng.integers(0, 60_000, 500_000))
-    solid = "".join(map(chr, rng.integers(97, 123, 2_000_000)))
+    long = " ".join(f"w{i}" for i in rng.integers(0, 60_000, 330_000))
+    solid = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
     docs = spark.createDataFrame([(1, long, "en", "s", 0), (2, long + " end", "en", "s", 0), (3, solid, "de", "t", 0), (4, "short text", "en", "s", 0)], SCHEMA)
     texts = {1: long, 2: long + " end", 3: solid, 4: "short text"}
     lines = {r.doc_id: r for r in line_dedup.drop_common_lines(docs, min_docs=2).collect()}
