@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import greedy_walk, in_blocks, previous, running_sum
+
 
 def _bucket_start(time: Column, minutes: int) -> Column:
     width = minutes * 60_000_000
@@ -49,28 +52,34 @@ def resample(bars: DataFrame, minutes: int, base_minutes: int = 1) -> DataFrame:
     )
 
 
-def volume_bars(trades: DataFrame, threshold: float) -> DataFrame:
+def volume_bars(trades: DataFrame, threshold: Decimal | float | str, partitions: int | None = None) -> DataFrame:
     """Bars that close at the first trade with which the quantity since the last close reaches ``threshold``.
 
-    The closing trade belongs whole to its bar; a tail below the threshold gives no bar. Where a bar ends depends on where
-    the one before ended, so this runs through each symbol's trades in order, one group per symbol and day: volume starts
-    afresh each UTC day, which bounds a group to one symbol's day.
-    """
+    ``symbol, bar_no, first_time, last_time, available_time, open, high, low, close, volume, trade_count``. The closing trade
+    belongs whole to its bar, and the bar is available with it; a tail below the threshold gives no bar. Volume runs on over
+    midnight. Quantities are summed exactly. Refused are a threshold that is not positive and finite, quantities that are not
+    positive, and trade ids that repeat or fall along a symbol's time.
 
-    def cut(trades: pd.DataFrame) -> pd.DataFrame:
-        trades = trades.sort_values(["event_time", "venue_trade_id"])
-        rows, held, first = [], 0, 0
-        quantity = trades["quantity"].tolist()
-        for i, q in enumerate(quantity):
-            held += q
-            if held >= threshold:
-                part = trades.iloc[first : i + 1]
-                rows.append((part["symbol"].iat[0], part["day"].iat[0], len(rows), part["event_time"].iat[0], part["event_time"].iat[-1], part["price"].iat[0], part["price"].max(), part["price"].min(), part["price"].iat[-1], held, len(part)))
-                held, first = 0, i + 1
-        return pd.DataFrame(rows, columns=["symbol", "day", "bar_no", "first_time", "last_time", "open", "high", "low", "close", "volume", "trade_count"])
-
-    slim = trades.select("symbol", F.to_date("event_time").cast("string").alias("day"), "event_time", "venue_trade_id", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
-    return slim.groupBy("symbol", "day").applyInPandas(cut, "symbol string, day string, bar_no int, first_time timestamp, last_time timestamp, open double, high double, low double, close double, volume double, trade_count int")
+    The next close of each trade follows from exact prefix sums; closes are walked block by block (``greedy_walk``), so a busy
+    symbol is many tasks. ``partitions``: blocks to cut the trades into, by default as many as shuffles have.
+    """
+    step = Decimal(str(threshold))
+    if not step.is_finite() or step <= 0:
+        raise ValueError("the threshold must be positive and finite")
+    by, order = ["symbol"], ["event_time", "venue_trade_id"]
+    slim = trades.select(*by, *order, "available_time", F.col("price").cast("decimal(38,18)").alias("price"), F.col("quantity").cast("decimal(38,18)").alias("quantity"))
+    blocks = previous(in_blocks(slim, by, order, partitions), by, order, {"_id0": "venue_trade_id"})
+    fine = F.coalesce((F.col("quantity") > 0) & (F.col("_id0").isNull() | (F.col("venue_trade_id") > F.col("_id0"))), F.lit(False))
+    if blocks.where(~fine).limit(1).count():
+        raise ValueError("trade ids repeat or fall, or a quantity is not positive")
+    sums = running_sum(blocks.drop("_id0"), by, order, "quantity", "total")
+    walked = greedy_walk(sums, by, order, "total", step, Decimal(0))
+    at = F.struct(*order)
+    bars = walked.groupBy("symbol", F.col("walk").cast("int").alias("bar_no")).agg(
+        F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"), F.max_by("available_time", at).alias("available_time"), F.min_by("price", at).alias("open"), F.max("price").alias("high"),
+        F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").cast("decimal(38,18)").alias("volume"), F.count("*").cast("int").alias("trade_count"), F.bool_or("kept").alias("closed"),
+    )
+    return bars.where("closed").drop("closed")
 
 
 def missing_intervals(bars: DataFrame, minutes: int) -> DataFrame:

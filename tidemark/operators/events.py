@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import ship
+from tidemark.functions.blocks import greedy_walk, in_blocks
 from tidemark.functions.windows import near_join
 
 US = 1_000_000
@@ -146,18 +145,11 @@ def overlap(events: DataFrame, horizon_s: int) -> DataFrame:
     )
 
 
-def independent_count(events: DataFrame, horizon_s: int) -> DataFrame:
+def independent_count(events: DataFrame, horizon_s: int, partitions: int | None = None) -> DataFrame:
     """Per key, how many events a greedy walk keeps that skips all within the horizon of the last kept: ``key, n_independent``.
 
-    Each choice depends on the one before, so a key's times are walked in order, as arrays of whole seconds and microseconds.
+    The walk is that of volume bars, along time instead of volume: a busy key is walked block by block.
     """
-    ship(events.sparkSession)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, last = 0, None
-        for t in sorted(rows["us"]):
-            if last is None or t - last >= horizon_s * US:
-                kept, last = kept + 1, t
-        return pd.DataFrame({"key": rows["key"].iloc[:1], "n_independent": [kept]})
-
-    return events.select("key", F.unix_micros("event_time").alias("us")).groupBy("key").applyInPandas(walk, "key long, n_independent long")
+    times = events.select("key", F.unix_micros("event_time").alias("us"))
+    walked = greedy_walk(in_blocks(times, ["key"], ["us"], partitions), ["key"], ["us"], "us", horizon_s * US, None)
+    return walked.groupBy("key").agg(F.count_if("kept").alias("n_independent"))

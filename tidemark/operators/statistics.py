@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import in_ranges
 from tidemark.functions.session import materialise
 
 
@@ -301,16 +302,9 @@ def shifted(study: DataFrame, offset: int, key: str = "event_key", x: str = "lab
     return numbered.select(key, "_k").join(moved, "_k").drop("_k")
 
 
-def _in_ranges(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
-    """Rows in range partitions ``_rk_part`` by ``_rk_o``, written once: bounds are sampled, and all readers must see the same."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = df.withColumn("_rk_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange(n, "_rk_o")
-    return materialise(split.withColumn("_rk_part", F.spark_partition_id()), "ranges")
-
-
 def ranked(df: DataFrame, order: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:
     """Rows numbered from 0 in a total order without a single-task window: range partitions, counted, then offset."""
-    split = _in_ranges(df, order, partitions)
+    split = in_ranges(df, order, partitions)
     inner = split.withColumn("_rk_i", F.row_number().over(Window.partitionBy("_rk_part").orderBy("_rk_o")))
     counts = inner.groupBy("_rk_part").agg(F.count("*").alias("_rk_n"))
     before = counts.withColumn("_rk_b", F.coalesce(F.sum("_rk_n").over(Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
@@ -322,7 +316,7 @@ def running_max(df: DataFrame, order: Sequence[Column], value: Column, name: str
 
     As in ``ranked``: a running maximum inside range partitions, joined with the largest of the partitions before.
     """
-    split = _in_ranges(df.withColumn("_rk_v", value), order, partitions)
+    split = in_ranges(df.withColumn("_rk_v", value), order, partitions)
     inner = split.withColumn("_rk_m", F.max("_rk_v").over(Window.partitionBy("_rk_part").orderBy("_rk_o").rowsBetween(Window.unboundedPreceding, 0)))
     tops = split.groupBy("_rk_part").agg(F.max("_rk_v").alias("_rk_t"))
     before = tops.withColumn("_rk_b", F.max("_rk_t").over(Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row per partition

@@ -67,23 +67,20 @@ ORACLE["d01_time_bars"] = f"""WITH {bars_sql(60)}
     SELECT symbol, interval_start, interval_end, available_time, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'quote_volume', 'taker_buy_base_volume'))}, trade_count
     FROM bars"""
 
-QUERIES["d02_volume_bars"] = lambda spark, sf_dir: B.volume_bars(trades(spark, sf_dir), 500.0)
+PRICES = ("open", "high", "low", "close", "volume")
+QUERIES["d02_volume_bars"] = lambda spark, sf_dir: B.volume_bars(trades(spark, sf_dir), "500").select("symbol", "bar_no", "first_time", "last_time", "available_time", *[r(F.col(c)).alias(c) for c in PRICES], "trade_count")
 ORACLE["d02_volume_bars"] = f"""WITH RECURSIVE {TRADES_SQL}, t AS (
-
-    SELECT symbol, CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, event_time, price, quantity, row_number() OVER (PARTITION BY symbol, CAST(event_time AS DATE)
-    ORDER BY event_time, venue_trade_id) AS i FROM trades
+    SELECT symbol, event_time, available_time, price, quantity, row_number() OVER (PARTITION BY symbol ORDER BY event_time, venue_trade_id) AS i FROM trades
 ), walk AS (
-  SELECT symbol, day, i, quantity AS held, 0 AS bar_no, quantity >= 500 AS closes, event_time, price FROM t WHERE i = 1
+  SELECT symbol, i, quantity AS held, 0 AS bar_no, quantity >= 500 AS closes, event_time, available_time, price FROM t WHERE i = 1
   UNION ALL
-  SELECT t.symbol, t.day, t.i, CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END, w.bar_no + CASE
-    WHEN w.closes THEN 1 ELSE 0 END,
-         CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END >= 500, t.event_time, t.price
-  FROM walk w
-    JOIN t ON t.symbol = w.symbol AND t.day = w.day AND t.i = w.i + 1
+  SELECT t.symbol, t.i, CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END, w.bar_no + CASE WHEN w.closes THEN 1 ELSE 0 END,
+         CASE WHEN w.closes THEN t.quantity ELSE w.held + t.quantity END >= 500, t.event_time, t.available_time, t.price
+  FROM walk w JOIN t ON t.symbol = w.symbol AND t.i = w.i + 1
 )
-SELECT symbol, day, CAST(bar_no AS INTEGER) AS bar_no, min(event_time) AS first_time, max(event_time) AS last_time, arg_min(price, i) AS open, max(price) AS high, min(price) AS low,
-       arg_max(price, i) AS close, max(held) AS volume, CAST(count(*) AS INTEGER) AS trade_count
-FROM walk GROUP BY symbol, day, bar_no HAVING bool_or(closes)"""
+SELECT symbol, CAST(bar_no AS INTEGER) AS bar_no, min(event_time) AS first_time, max(event_time) AS last_time, arg_max(available_time, i) AS available_time, round(arg_min(price, i), 6) AS open, round(max(price), 6) AS high,
+       round(min(price), 6) AS low, round(arg_max(price, i), 6) AS close, round(max(held), 6) AS volume, CAST(count(*) AS INTEGER) AS trade_count
+FROM walk GROUP BY symbol, bar_no HAVING bool_or(closes)"""
 
 QUERIES["d36_missing_intervals"] = lambda spark, sf_dir: B.missing_intervals(bars(spark, sf_dir, 60), 60)
 ORACLE["d36_missing_intervals"] = f"""WITH {bars_sql(60)}, grid AS (

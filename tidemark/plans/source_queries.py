@@ -44,42 +44,52 @@ def folder(s, name):
 
 
 def trade_files(s, d):
+    """A file a day, in the order of ids but for lines that come after the next one; some prices, flags and times are broken."""
     path = folder(s, "trade-archive")
     e = events(s, d)
     price = F.when(F.col("event_id") % 1999 == 1000, -1.0).otherwise(F.col("value"))
+    place = F.col("event_id") + F.when(F.col("event_id") % 997 == 3, 1.5).otherwise(0.0)
     rows = e.select(
         F.date_format("ts", "yyyy-MM-dd").alias("filed"), F.col("event_id").cast("string").alias("a"), price.cast("decimal(38,18)").cast("string").alias("p"), F.lit("1.5").alias("q"),
-        (F.col("event_id") * 2).cast("string").alias("f"), (F.col("event_id") * 2 + 1).cast("string").alias("l"), F.unix_millis("ts").cast("string").alias("t"), F.lit("true").alias("m"), F.when(F.col("event_id") % 2999 == 7, "maybe").otherwise("true").alias("b"),
+        (F.col("event_id") * 2).cast("string").alias("f"), (F.col("event_id") * 2 + 1).cast("string").alias("l"), (F.unix_millis("ts") - F.when(F.col("event_id") % 1499 == 11, 3_600_000).otherwise(0)).cast("string").alias("t"),
+        F.lit("true").alias("m"), F.when(F.col("event_id") % 2999 == 7, "maybe").otherwise("true").alias("b"), place.alias("place"),
     )
-    rows.repartition("filed").write.partitionBy("filed").csv(path)
+    rows.repartition("filed").sortWithinPartitions("filed", "place").drop("place").write.partitionBy("filed").csv(path)
     return A.trade_archives(s, path)
 
 
-GOOD = """days AS (SELECT CAST(ts AS DATE) AS day, min(event_id) FILTER (WHERE event_id % 1999 = 1000 OR event_id % 2999 = 7) AS first_bad, count(*) FILTER (WHERE event_id % 1999 = 1000 OR event_id % 2999 = 7) AS n_bad
-    FROM events GROUP BY 1)"""
-add("a01_trade_archive", lambda s, d: trade_files(s, d)[0].select("agg_trade_id", F.col("price").cast("double").alias("price"), "event_time"), f"""WITH {GOOD}
-    SELECT event_id AS agg_trade_id, value AS price, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS event_time FROM events
-    JOIN days ON CAST(ts AS DATE) = day WHERE n_bad = 0""")
-add("a01_trade_rejects", lambda s, d: trade_files(s, d)[1].select(F.regexp_extract("file", r"filed=(\d{4}-\d{2}-\d{2})", 1).alias("day"), "reason", "n_broken"), f"""WITH {GOOD}
-    SELECT CAST(day AS VARCHAR) AS day, CASE WHEN first_bad % 2999 = 7 THEN 'unparsable' ELSE 'price not positive' END AS reason, n_bad AS n_broken
-    FROM days WHERE n_bad > 0""")
+LINES = """lines AS (SELECT *, CAST(ts AS DATE) AS day, event_id + CASE WHEN event_id % 997 = 3 THEN 1.5 ELSE 0 END AS place, date_trunc('millisecond', ts) - CASE WHEN event_id % 1499 = 11 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS tick
+    FROM events), before AS (SELECT *, lag(event_id) OVER w AS id0, lag(tick) OVER w AS tick0 FROM lines WINDOW w AS (PARTITION BY day ORDER BY place)), judged AS (SELECT *, CASE WHEN event_id % 2999 = 7 THEN 'unparsable'
+    WHEN event_id % 1999 = 1000 THEN 'price not positive' WHEN CAST(tick AS DATE) <> day THEN 'outside the day' WHEN event_id < id0 THEN 'id falls' WHEN tick < tick0 THEN 'time falls' END AS reason FROM before)"""
+add("a01_trade_archive", lambda s, d: trade_files(s, d)[0].select("agg_trade_id", F.col("price").cast("double").alias("price"), "event_time"), f"""WITH {LINES}
+    SELECT event_id AS agg_trade_id, value AS price, CAST(tick AS TIMESTAMP) AS event_time FROM judged WHERE day NOT IN (SELECT day FROM judged WHERE reason IS NOT NULL)""")
+add("a01_trade_rejects", lambda s, d: trade_files(s, d)[1].select(F.regexp_extract("file", r"filed=(\d{4}-\d{2}-\d{2})", 1).alias("day"), "reason", "n_broken"), f"""WITH {LINES}
+    SELECT CAST(day AS VARCHAR) AS day, arg_min(reason, place) AS reason, count(*) AS n_broken FROM judged WHERE reason IS NOT NULL GROUP BY day""")
 
 
 def bar_files(s, d):
+    """A file a day of minute bars in order; on some days two bars are swapped, close times are wrong or the taker's quote volume is too high."""
     path = folder(s, "bar-archive")
     b = time_bars(trades(s, d).where("symbol = 'view'"), 1)
-    us = F.unix_millis("interval_start")
+    us, day = F.unix_millis("interval_start"), F.dayofmonth("interval_start")
     text = lambda c: c.cast("string")
+    quote = F.col("quote_volume").cast("decimal(38,18)")
     rows = b.select(
         F.date_format("interval_start", "yyyy-MM-dd").alias("filed"), text(us).alias("t"), text(F.col("open")).alias("o"), text(F.col("high")).alias("h"), text(F.col("low")).alias("l"), text(F.col("close")).alias("c"), text(F.col("volume")).alias("v"),
-        text(us + F.when(F.dayofmonth("interval_start") == 9, 60_000).otherwise(59_999)).alias("ct"), text(F.col("quote_volume").cast("decimal(38,18)")).alias("qv"), text(F.col("trade_count")).alias("n"), text(F.col("taker_buy_base_volume")).alias("tb"), F.lit("0").alias("tq"), F.lit("0").alias("x"),
+        text(us + F.when(day == 9, 60_000).otherwise(59_999)).alias("ct"), text(quote).alias("qv"), text(F.col("trade_count")).alias("n"), text(F.col("taker_buy_base_volume")).alias("tb"),
+        text(F.when(day == 12, quote + 1).otherwise(quote)).alias("tq"), F.lit("0").alias("x"), F.when(day == 5, -us).otherwise(us).alias("place"),
     )
-    rows.repartition("filed").write.partitionBy("filed").csv(path)
+    rows.repartition("filed").sortWithinPartitions("filed", "place").drop("place").write.partitionBy("filed").csv(path)
     return A.bar_archives(s, path)
 
 
-add("a02_bar_archive", lambda s, d: bar_files(s, d)[0].select("interval_start", F.col("close").cast("double").alias("close"), "trade_count"), """SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS interval_start, arg_max(value, ts) AS close, count(*) AS trade_count
-    FROM events WHERE event_type = 'view' AND day(ts) <> 9 GROUP BY 1""")
+add("a02_bar_archive", lambda s, d: bar_files(s, d)[0].select("interval_start", F.col("close").cast("double").alias("close"), "trade_count"), """WITH b AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS interval_start, arg_max(value, ts) AS close, count(*) AS trade_count
+    FROM events WHERE event_type = 'view' GROUP BY 1)
+    SELECT * FROM b WHERE day(interval_start) NOT IN (9, 12) AND (day(interval_start) <> 5 OR (SELECT count(*) FROM b WHERE day(interval_start) = 5) = 1)""")
+add("a02_bar_rejects", lambda s, d: bar_files(s, d)[1].select(F.regexp_extract("file", r"filed=(\d{4}-\d{2}-\d{2})", 1).alias("day"), "reason", "n_broken"), """WITH b AS (SELECT DISTINCT time_bucket(INTERVAL 1 MINUTE, ts) AS tick
+    FROM events WHERE event_type = 'view'), k AS (SELECT CAST(CAST(tick AS DATE) AS VARCHAR) AS day, day(max(tick)) AS d, count(*) AS n FROM b GROUP BY 1)
+    SELECT day, CASE d WHEN 9 THEN 'wrong close time' WHEN 12 THEN 'taker quote above quote volume' ELSE 'bar falls' END AS reason, CASE WHEN d = 5 THEN n - 1 ELSE n END AS n_broken
+    FROM k WHERE d IN (9, 12) OR d = 5 AND n > 1""")
 
 
 def pages(s, d):
@@ -129,12 +139,12 @@ add("a06_replay_safe_ingest", ingest, """SELECT count(*) FILTER (WHERE o_orderke
 
 def snapshot(s, d):
     root, o = folder(s, "snapshots"), table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    for flag in ("F", "O", "P"):
-        K.append_batch(o.where(F.col("o_orderstatus") == flag), root, flag)
-    return K.read_batches(s, root, ["F", "O"]).where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus")
+    for flag, name in (("F", "001"), ("O", "2024-01-01"), ("P", "1")):  # ids that look like numbers and dates are texts all the same
+        K.append_batch(o.where(F.col("o_orderstatus") == flag), root, name)
+    return K.read_batches(s, root, ["001", "2024-01-01"]).where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus", "batch_id")
 
 
-add("a07_pinned_snapshot", snapshot, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000")
+add("a07_pinned_snapshot", snapshot, "SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN '001' ELSE '2024-01-01' END AS batch_id FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000")
 
 
 def batch(s, d):

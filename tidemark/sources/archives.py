@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import previous
 from tidemark.functions.scalars import ticks_to_time
 
 TRADE_SCHEMA = "agg_trade_id long, price decimal(38,18), quantity decimal(38,18), first_trade_id long, last_trade_id long, ticks long, is_buyer_maker boolean, is_best_match boolean, _bad string"
@@ -25,48 +28,60 @@ def _file_day() -> Column:
     return F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})(?!.*\d{4}-\d{2}-\d{2})", 1))
 
 
-def _verdicts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parsed lines with their file, its day, and their place in it.
+
+    A large file is read in several blocks. ``_block`` is where a line's block begins in the file, and within a block ids
+    rise in the order of lines; so the two give the order of lines, whichever task reads what.
+    """
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    at = {"file": F.col("_metadata.file_path"), "day": _file_day(), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    return raw.drop("filed").select("*", *[c.alias(n) for n, c in at.items()])
+
+
+def _verdicts(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Rows of sound files, and one reject per broken file: the first reason in line order."""
-    broken = rows.where("reason is not null").groupBy("file").agg(F.min_by("reason", "order_key").alias("reason"), F.count("*").alias("n_broken"))
-    return rows.join(broken.select("file"), "file", "left_anti").drop("reason", "order_key", "_bad"), broken
+    judged = rows.withColumn("reason", reason)
+    broken = judged.where("reason is not null").groupBy("file").agg(F.min_by("reason", F.struct("_block", "_line")).alias("reason"), F.count("*").alias("n_broken"))
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return judged.join(broken.select("file"), "file", "left_anti").select(*kept), broken
 
 
 def trade_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Headerless trade files named by day: good rows and rejected files. One broken row rejects its whole file.
 
-    Row rules: parsable, positive price and quantity, first id not above last, time inside the file's day. Order rules:
-    ids rise, times do not fall, id ranges do not overlap; they follow the ids, so file order is not needed.
+    Row rules: parsable, positive price and quantity, first id not above last, time inside the file's day. Order rules, from
+    each line to the next: ids rise, times do not fall, id ranges do not overlap. Lines keep their order when a file is read in several
+    blocks: each block's last line is carried to the first of the next. Ids may have gaps, and times may be equal.
     """
-    raw = spark.read.schema(TRADE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    rows = raw.drop("filed").select("*", F.col("_metadata.file_path").alias("file"), _file_day().alias("day"))
+    rows = _lines(spark, path, TRADE_SCHEMA)
     rows = rows.withColumn("event_time", ticks_to_time(F.col("ticks"), F.col("day")))
-    w = Window.partitionBy("file").orderBy("agg_trade_id", "ticks")
-    rows = rows.withColumns({"_id0": F.lag("agg_trade_id").over(w), "_t0": F.lag("ticks").over(w), "_last0": F.lag("last_trade_id").over(w)})
+    rows = previous(rows, ["file"], ["_line"], {"_id0": "agg_trade_id", "_t0": "ticks", "_last0": "last_trade_id"})
     reason = _first_reason([
         (F.col("_bad").isNotNull(), "unparsable"), (F.col("agg_trade_id").isNull() | F.col("ticks").isNull() | F.col("price").isNull() | F.col("quantity").isNull() | F.col("is_buyer_maker").isNull() | F.col("is_best_match").isNull(), "missing field"),
         (F.col("price") <= 0, "price not positive"), (F.col("quantity") <= 0, "quantity not positive"), (F.col("first_trade_id") > F.col("last_trade_id"), "ids reversed"),
-        (F.to_date("event_time") != F.col("day"), "outside the day"), (F.col("agg_trade_id") == F.col("_id0"), "repeated id"), (F.col("ticks") < F.col("_t0"), "time falls"), (F.col("first_trade_id") <= F.col("_last0"), "id ranges overlap"),
+        (F.to_date("event_time") != F.col("day"), "outside the day"), (F.col("agg_trade_id") == F.col("_id0"), "repeated id"), (F.col("agg_trade_id") < F.col("_id0"), "id falls"),
+        (F.col("ticks") < F.col("_t0"), "time falls"), (F.col("first_trade_id") <= F.col("_last0"), "id ranges overlap"),
     ])
-    rows = rows.withColumns({"reason": reason, "order_key": F.coalesce("agg_trade_id", F.lit(-1))}).drop("_id0", "_t0", "_last0")
-    return _verdicts(rows)
+    return _verdicts(rows, reason)
 
 
 def bar_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Headerless minute-bar files named by day: good rows and rejected files."""
-    raw = spark.read.schema(BAR_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    rows = raw.drop("filed").select("*", F.col("_metadata.file_path").alias("file"), _file_day().alias("day"))
+    """Headerless minute-bar files named by day: good rows and rejected files; bars rise from line to line, minutes may lack."""
+    rows = _lines(spark, path, BAR_SCHEMA)
     rows = rows.withColumns({"interval_start": ticks_to_time(F.col("open_ticks"), F.col("day")), "close_time": ticks_to_time(F.col("close_ticks"), F.col("day"))})
     tick = F.when(F.col("day") < F.lit("2025-01-01").cast("date"), 1_000).otherwise(1)
-    w = Window.partitionBy("file").orderBy("open_ticks")
-    rows = rows.withColumn("_s0", F.lag("open_ticks").over(w))
+    rows = previous(rows, ["file"], ["_line"], {"_s0": "open_ticks"})
     lowest, highest = F.least("open", "high", "low", "close"), F.greatest("open", "close")
+    missing = [F.col(c).isNull() for c in ("open_ticks", "open", "high", "low", "close", "volume", "close_ticks", "quote_volume", "trade_count", "taker_buy_base_volume", "taker_buy_quote_volume")]
     reason = _first_reason([
-        (F.col("_bad").isNotNull(), "unparsable"), (F.col("open_ticks").isNull() | lowest.isNull(), "missing field"), (lowest <= 0, "price not positive"),
+        (F.col("_bad").isNotNull(), "unparsable"), (reduce(or_, missing), "missing field"), (lowest <= 0, "price not positive"),
         ((F.col("high") < highest) | (F.col("low") > F.least("open", "close")), "crossed range"), (F.col("taker_buy_base_volume") > F.col("volume"), "taker above volume"),
-        (F.unix_micros("interval_start") % 60_000_000 != 0, "misaligned start"), (F.unix_micros("close_time") != F.unix_micros("interval_start") + 60_000_000 - tick, "wrong close time"), (F.col("open_ticks") == F.col("_s0"), "repeated bar"),
+        (F.col("taker_buy_quote_volume") > F.col("quote_volume"), "taker quote above quote volume"), (F.to_date("interval_start") != F.col("day"), "outside the day"),
+        (F.unix_micros("interval_start") % 60_000_000 != 0, "misaligned start"), (F.unix_micros("close_time") != F.unix_micros("interval_start") + 60_000_000 - tick, "wrong close time"),
+        (F.col("open_ticks") == F.col("_s0"), "repeated bar"), (F.col("open_ticks") < F.col("_s0"), "bar falls"),
     ])
-    rows = rows.withColumns({"reason": reason, "order_key": F.coalesce("open_ticks", F.lit(-1))}).drop("_s0")
-    return _verdicts(rows)
+    return _verdicts(rows, reason)
 
 
 PAGE_SCHEMA = "array<struct<a:bigint,p:string,q:string,f:bigint,l:bigint,T:bigint,m:boolean>>"
@@ -103,5 +118,5 @@ def instrument_snapshot(documents: DataFrame, requested: DataFrame) -> DataFrame
     """
     d = documents.withColumn("d", F.from_json("body", SNAPSHOT_SCHEMA)).select(F.timestamp_millis("d.serverTime").alias("observed_at"), "d.symbols")
     found = d.select("observed_at", F.explode("symbols").alias("x")).select("observed_at", "x.symbol", "x.status", "x.baseAsset", "x.quoteAsset")
-    due = d.select("observed_at").crossJoin(F.broadcast(requested.select("symbol").distinct()))
+    due = d.select("observed_at").crossJoin(requested.select("symbol").distinct())  # a row for each of them is the result
     return due.join(found, ["observed_at", "symbol"], "left").select("observed_at", "symbol", F.coalesce("status", F.lit("ABSENT")).alias("source_status"), F.col("baseAsset").alias("base"), F.col("quoteAsset").alias("quote"))

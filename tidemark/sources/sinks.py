@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
-from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import exists
 from tidemark.operators.revisions import fingerprint
 from tidemark.operators.statistics import ranked
 
@@ -26,12 +27,18 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _folder(batch_id: str) -> str:
+    """A batch's folder, whatever its id looks like: neither a number, a date nor a slash in it means anything here."""
+    return "b" + hashlib.sha256(batch_id.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def append_batch(df: DataFrame, root: str, batch_id: str) -> str:
     """Append a batch once: ``written``, or ``replayed`` if the same content is there already; other content is a Conflict.
 
     The ledger has one row per batch with the fingerprint of its content, and is written last. A batch has a folder of its
     own, which is replaced: rows left by a writer that died before the ledger are gone once the batch is written again.
-    Only batches of the ledger count; ``read_batches`` reads those.
+    Only batches of the ledger count; ``read_batches`` reads those. Different batches may be written at the same time; of
+    one batch there must be one writer at a time. A column ``batch_id`` of ``df`` is replaced; a batch may be empty.
     """
     spark = df.sparkSession
     own = fingerprint(df).first()
@@ -43,7 +50,7 @@ def append_batch(df: DataFrame, root: str, batch_id: str) -> str:
             if seen.fingerprint != print_:
                 raise Conflict(f"batch {batch_id} is stored with other content")
             return "replayed"
-    df.write.mode("overwrite").parquet(f"{root}/rows/batch_id={quote(batch_id, safe='')}")
+    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/rows/folder={_folder(batch_id)}")
     spark.createDataFrame([(batch_id, print_)], "batch_id string, fingerprint string").write.mode("append").parquet(f"{root}/ledger")
     return "written"
 
@@ -51,13 +58,13 @@ def append_batch(df: DataFrame, root: str, batch_id: str) -> str:
 def read_batches(spark: SparkSession, root: str, pinned: Sequence[str] | None = None) -> DataFrame:
     """The rows of the batches that the ledger lists, or of the ``pinned`` ones among them: a table as it was, whatever came later.
 
-    Batches are folders, so a pinned read lists and scans no others.
+    Batches are folders, so a pinned read scans no others. ``batch_id`` is the text that it was stored under.
     """
     done = spark.read.parquet(f"{root}/ledger").select("batch_id").distinct()
     rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
     if pinned is not None:
-        rows = rows.where(F.col("batch_id").isin(*pinned))
-    return rows.withColumn("batch_id", F.col("batch_id").cast("string")).join(done, "batch_id", "left_semi")
+        rows = rows.where(F.col("folder").isin(*[_folder(b) for b in pinned]))
+    return rows.drop("folder").join(done, "batch_id", "left_semi")
 
 
 def ingest_revisions(rows: DataFrame, root: str) -> int:
@@ -92,25 +99,29 @@ def read_chunks(spark: SparkSession, root: str, selection_id: str, first: int, l
 
 
 def put_run(df: DataFrame, root: str, index: str | None = None) -> str:
-    """Store a run under the hash of its content, once; returns the hash. ``index``: a column that must be 0..n-1."""
-    spark = df.sparkSession
+    """Store a run under the hash of its content, once; returns the hash. ``index``: a column that must be 0..n-1.
+
+    A run is a folder of its own, and counts once Spark has marked the folder as whole. What a writer that died has left is
+    replaced by the next one. A run without rows is a run.
+    """
     own = fingerprint(df).first()
     key = f"{own.n_rows}-{own.sum1}-{own.sum2}"
     if index is not None:
         facts = df.agg(F.count("*").alias("n"), F.countDistinct(index).alias("k"), F.min(index).alias("lo"), F.max(index).alias("hi")).first()
         if facts.n and not (facts.n == facts.k and facts.lo == 0 and facts.hi == facts.n - 1):
             raise ValueError(f"{index} is not 0..n-1")
-    stored = _read(spark, root)
-    if stored is None or "result_hash" not in stored.columns or not stored.where(F.col("result_hash") == key).limit(1).count():
-        df.withColumn("result_hash", F.lit(key)).write.mode("append").partitionBy("result_hash").parquet(root)
+    if not exists(df.sparkSession, f"{root}/run={key}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(f"{root}/run={key}")
     return key
 
 
 def get_run(spark: SparkSession, root: str, key: str) -> DataFrame:
     """A stored run, verified against its hash."""
-    df = spark.read.parquet(root).where(F.col("result_hash") == key).drop("result_hash")
+    if not exists(spark, f"{root}/run={key}/_SUCCESS"):
+        raise KeyError(f"run {key} is not stored whole")
+    df = spark.read.parquet(f"{root}/run={key}")
     own = fingerprint(df).first()
-    if own is None or f"{own.n_rows}-{own.sum1}-{own.sum2}" != key:
+    if f"{own.n_rows}-{own.sum1}-{own.sum2}" != key:
         raise Conflict(f"run {key} does not match its hash")
     return df
 
