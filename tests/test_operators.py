@@ -285,3 +285,17 @@ def test_stateful_stream_waits_for_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = J.run_available(J.state_switches(stream, "5 minutes"), f"{tmp_path}/run").orderBy("event_time").collect()
     assert [(r.event_time, r.from_state, r.to_state) for r in out] == [(at(11), "a", "c"), (at(12), "c", "b"), (at(30), "b", "a"), (at(31), "a", "d")]
+
+
+def test_long_stretches_of_other_revisions_take_a_logarithm_of_rounds(spark, monkeypatch):
+    n, rounds = 5_000, []
+    write = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    ids = spark.range(n)
+    revs = ids.select(F.lit("k").alias("observation_key"), F.col("id").alias("revision_id"), F.lit(T0).alias("available_time"), F.lit(T0).alias("knowledge_time"))
+    edges = ids.where("id > 0").select(F.col("id").alias("revision_id"), (F.col("id") - 1).alias("superseded_revision_id"), F.lit(T0).alias("knowledge_time"))
+    heads = R.maximal_heads(revs.where(F.col("revision_id").isin(0, 2500, n - 1)), edges)
+    assert [r.revision_id for r in heads.collect()] == [n - 1] and rounds.count("links") <= 15
+    circle = edges.union(spark.createDataFrame([(0, n - 1, T0)], EDGE))
+    assert R.maximal_heads(revs.where("revision_id = 7"), circle).count() == 0
+    assert R.maximal_heads(revs.where("revision_id = 7"), edges).count() == 1

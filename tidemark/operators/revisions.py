@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.session import materialise
 
 
-#: Edges that a later round of ``superseded_from`` follows at once.
-HOPS = 4
-
-
 def precedence(revisions: DataFrame) -> DataFrame:
     """Neighbouring revisions of a key by declared time: ``observation_key, revision_id, other_id, verdict``.
 
@@ -74,46 +70,74 @@ def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
 def maximal_heads(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates that no candidate supersedes, directly or through any known revision; one on a cycle supersedes itself.
 
-    All candidates are sources at once, so one step settles whatever supersedes directly. Only revisions that are no
-    candidates are walked through: each enters the walk once, and there are as many rounds as the longest stretch of them.
+    A candidate ends a walk at once; stretches of other revisions are jumped over by doubled pointers, so the rounds grow
+    with the logarithm of the longest stretch.
     """
-    ids = candidates.select("revision_id").distinct()
-    step = materialise(edges.select("revision_id", "superseded_revision_id").distinct(), "edges")
-    beaten = reached = materialise(expand(ids, step), "beaten")
-    while True:
-        through = reached.join(ids, "revision_id", "left_anti")
-        reached = materialise(expand(through, step).join(beaten, "revision_id", "left_anti"), "beaten")
-        if not reached.limit(1).count():
-            return candidates.join(beaten, "revision_id", "left_anti")
-        beaten = beaten.union(reached)
+    now = F.timestamp_seconds(F.lit(0))
+    beaten = superseded_from(candidates.select("revision_id").distinct().withColumn("available_time", now), edges, earliest=now)
+    return candidates.join(beaten.where("beaten_at is not null").select("revision_id"), "revision_id", "left_anti")
 
 
-def superseded_from(revisions: DataFrame, edges: DataFrame) -> DataFrame:
+def chased(links: DataFrame, done: Column) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pointers followed to their end by doubling: ``links`` (``v, up, m``) with ``up`` the last that is reached and ``m`` the least on the way.
+
+    A pointer ends at what has no link of its own, or where ``done`` holds. Every round doubles what is followed, so there are a logarithm
+    of the longest chain. Returns all links, those that run in a circle and so never end (followed for more steps than there are links), and
+    the links of every round, each twice as far as those of the round before.
+    """
+    ends = links.select(F.col("v").alias("up"), F.lit(True).alias("_goes"))
+    pending = materialise(links.join(ends, "up", "left").select("v", "up", "m", (F.col("_goes").isNull() | done).alias("ended")), "links")
+    n, parts, rounds = pending.count(), [], []
+    while True:
+        parts.append(pending.where("ended").select("v", "up", "m"))
+        pending = pending.where("not ended")
+        known = parts[0].withColumn("ended", F.lit(True))
+        for part in parts[1:]:
+            known = known.unionByName(part.withColumn("ended", F.lit(True)))
+        known = known.unionByName(pending)
+        rounds.append(known.select("v", "up", "m"))
+        if len(rounds) > n.bit_length() + 1 or not pending.limit(1).count():
+            return known.select("v", "up", "m"), pending.select("v", "up", "m"), rounds
+        ahead = known.select(F.col("v").alias("up"), F.col("up").alias("_up"), F.col("m").alias("_m"), F.col("ended").alias("_ended"))
+        further = pending.join(ahead, "up").select("v", F.col("_up").alias("up"), F.least("m", "_m").alias("m"), F.col("_ended").alias("ended"))
+        pending = materialise(further.withColumn("ended", F.col("ended") | done), "links")
+
+
+def superseded_from(revisions: DataFrame, edges: DataFrame, earliest: Column | None = None) -> DataFrame:
     """``revision_id, beaten_at``: the earliest time at which a revision that supersedes it, directly or through others, is available.
 
     A revision is a head from its own time until then, so one pass answers for all times. Superseding revisions are
-    nearly always the later ones, and then the first round, over the edges alone, is final. A later round only carries on
-    times that are earlier than what it finds, ``HOPS`` edges at once since they are few.
+    nearly always the later ones: if no edge leads forward in time (an aggregate tells), direct ones are final. Else chains of
+    revisions with one superseding revision each are walked by doubled pointers (``chased``), and only those with several are
+    told times round by round, from one to the next over whole chains. ``earliest``: a time that no other comes
+    before; who has it is done. Revisions that ``revisions`` lacks have no time, and pass on those of others.
     """
-    step = materialise(edges.select("revision_id", "superseded_revision_id").distinct(), "edges")
-
-    def onward(times: DataFrame) -> DataFrame:
-        return step.join(times, "revision_id").groupBy(F.col("superseded_revision_id").alias("revision_id")).agg(F.min("beaten_at").alias("beaten_at"))
-
-    news = materialise(onward(revisions.select("revision_id", F.col("available_time").alias("beaten_at"))), "beaten")
-    found, hops = news, 1
-    while True:
-        told = reached = onward(news)
-        for _ in range(hops - 1):
-            reached = onward(reached)
-            told = told.union(reached)
-        told = told.groupBy("revision_id").agg(F.min("beaten_at").alias("told"))
-        best = found.groupBy("revision_id").agg(F.min("beaten_at").alias("beaten_at"))
-        news = told.join(best, "revision_id", "left").where("beaten_at is null or told < beaten_at").select("revision_id", F.col("told").alias("beaten_at"))
-        news = materialise(news, "beaten")
-        if not news.limit(1).count():
-            return best
-        found, hops = found.union(news), HOPS
+    times = revisions.select("revision_id", F.col("available_time").alias("at"))
+    step = edges.select(F.col("revision_id").alias("a"), F.col("superseded_revision_id").alias("v"))
+    step = step.join(times.withColumnsRenamed({"revision_id": "a"}), "a", "left").join(times.select(F.col("revision_id").alias("v"), F.col("at").alias("own")), "v", "left")
+    step = materialise(step, "edges")
+    forward = step.where(F.coalesce(F.col("at") < F.col("own"), F.lit(True))).limit(1).count()
+    direct = step.groupBy("v").agg(F.min("at").alias("m"), (F.min("a") == F.max("a")).alias("single"), F.min("a").alias("up"))
+    if not forward:
+        return direct.select(F.col("v").alias("revision_id"), F.col("m").alias("beaten_at"))
+    direct = materialise(direct, "beaten")
+    done = F.coalesce(F.col("m") <= earliest, F.lit(False)) if earliest is not None else F.lit(False)
+    chains = chased(direct.where("single").select("v", "up", "m"), done)[0]
+    several = direct.where("not single").select("v", "m")
+    if several.limit(1).count():
+        reach = chains.select(F.col("v").alias("a"), F.col("up").alias("x"), F.col("m").alias("passed"))
+        arcs = step.join(several.select("v"), "v", "left_semi").join(reach, "a", "left")
+        arcs = materialise(arcs.select(F.coalesce("x", "a").alias("x"), "v", F.least("at", "passed").alias("m")), "arcs")
+        best = news = materialise(arcs.groupBy("v").agg(F.min("m").alias("m")), "beaten")
+        while True:
+            told = arcs.select("x", "v").join(news.select(F.col("v").alias("x"), "m"), "x").groupBy("v").agg(F.min("m").alias("told"))
+            news = materialise(told.join(best, "v").where("told < m or (m is null and told is not null)").select("v", F.col("told").alias("m")), "news")
+            if not news.limit(1).count():
+                break
+            best = materialise(best.unionByName(news).groupBy("v").agg(F.min("m").alias("m")), "beaten")
+        above = best.select(F.col("v").alias("up"), F.col("m").alias("above"))
+        chains = chains.join(above, "up", "left").select("v", F.least("m", "above").alias("m")).unionByName(best)
+    return chains.select(F.col("v").alias("revision_id"), F.col("m").alias("beaten_at"))
 
 
 def graph_problems(revisions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,7 +196,7 @@ def select_over(revisions: DataFrame, edges: DataFrame, start: str, end: str, cu
     however many others the key has. Equal neighbours are merged.
     """
     c, s, e = (F.lit(x).cast("timestamp") for x in (cutoff, start, end))
-    known = materialise(revisions.where(F.col("knowledge_time") <= c).select("observation_key", "revision_id", "available_time"), "known")
+    known = revisions.where(F.col("knowledge_time") <= c).select("observation_key", "revision_id", "available_time")
     number = F.row_number().over(Window.partitionBy("observation_key").orderBy("revision_id"))
     spans = known.withColumn("no", number.cast("long")).join(superseded_from(known, edges.where(F.col("knowledge_time") <= c)), "revision_id", "left")
     spans = materialise(spans.select("observation_key", "revision_id", "no", "available_time", "beaten_at"), "head-spans")

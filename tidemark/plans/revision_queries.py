@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import materialise
 from tidemark.operators import bars as BB
 from tidemark.operators import revisions as R
 from tidemark.operators import universe as U
@@ -29,9 +30,9 @@ def revs(s, d):
     return one.unionByName(two).withColumn("knowledge_time", F.col("available_time") + F.expr("interval 2 days"))
 
 
-def edges(s, d):
+def edges(s, d, of=None):
     w = Window.partitionBy("observation_key").orderBy("revision_id")
-    e = revs(s, d).withColumn("superseded_revision_id", F.lag("revision_id").over(w)).where("superseded_revision_id is not null and observation_key % 3 <> 0")
+    e = (revs(s, d) if of is None else of).withColumn("superseded_revision_id", F.lag("revision_id").over(w)).where("superseded_revision_id is not null and observation_key % 3 <> 0")
     return e.select("revision_id", "superseded_revision_id", "knowledge_time")
 
 
@@ -51,13 +52,17 @@ CAND = f"""cand AS (SELECT * FROM revs WHERE knowledge_time <= TIMESTAMP '{CUT}'
     FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cl JOIN cand x ON x.revision_id = cl.src WHERE cl.dst = c.revision_id))"""
 
 
-def known(s, d):
-    c = F.lit(CUT).cast("timestamp")
-    return revs(s, d).where(F.col("knowledge_time") <= c), edges(s, d).where(F.col("knowledge_time") <= c)
+def graph(s, d):
+    """Revisions, written once, and their edges."""
+    written = materialise(revs(s, d), "revisions")
+    return written, edges(s, d, written)
 
 
-def candidates(s, d):
-    return known(s, d)[0].where(F.col("available_time") <= F.lit(AT).cast("timestamp"))
+def known(s, d):
+    """Candidates and edges as of the cutoff."""
+    c = F.lit(CUT).cast("timestamp")
+    all_, links = (x.where(F.col("knowledge_time") <= c) for x in graph(s, d))
+    return all_.where(F.col("available_time") <= F.lit(AT).cast("timestamp")), links
 
 
 add("c01_precedence", lambda s, d: R.precedence(revs(s, d)), f"""WITH {REVS},
@@ -100,7 +105,7 @@ add("c04_map_edges", lambda s, d: R.map_edges(edges(s, d), canonical(s, d)), f""
     ca AS (SELECT revision_id AS lineage_id, revision_id + 1000000000 AS revision_id, available_time + INTERVAL 3 DAY AS k FROM revs)
     SELECT a.revision_id, b.revision_id AS superseded_revision_id, greatest(e.knowledge_time, a.k, b.k) AS knowledge_time, 1 AS n_matches
     FROM edges e JOIN ca a ON a.lineage_id = e.revision_id JOIN ca b ON b.lineage_id = e.superseded_revision_id""")
-add("c05_maximal_heads", lambda s, d: R.maximal_heads(candidates(s, d), known(s, d)[1]).select("observation_key", "revision_id"), f"{CL}, {CAND} SELECT observation_key, revision_id FROM heads")
+add("c05_maximal_heads", lambda s, d: R.maximal_heads(*known(s, d)).select("observation_key", "revision_id"), f"{CL}, {CAND} SELECT observation_key, revision_id FROM heads")
 BAD = """SELECT revision_id, superseded_revision_id, knowledge_time FROM edges UNION ALL SELECT revision_id, CASE
     WHEN revision_id % 1000 = 1 THEN revision_id + 77000000 ELSE revision_id END, knowledge_time FROM revs WHERE revision_id % 1000 IN (1, 102)"""
 
@@ -112,14 +117,14 @@ def bad_edges(s, d):
 
 add("c06_graph_problems", lambda s, d: R.graph_problems(revs(s, d), bad_edges(s, d)).distinct(), f"""WITH {REVS} SELECT DISTINCT CASE
     WHEN revision_id % 1000 = 1 THEN 'dangling' ELSE 'cycle' END AS problem, revision_id FROM revs WHERE revision_id % 1000 IN (1, 102)""")
-add("c07_select_at", lambda s, d: R.select_at(revs(s, d), edges(s, d), AT, CUT), f"""{CL}, {CAND},
+add("c07_select_at", lambda s, d: R.select_at(*graph(s, d), AT, CUT), f"""{CL}, {CAND},
     p AS (SELECT observation_key, count(*) AS n, min(revision_id) AS one FROM heads GROUP BY 1) SELECT k.observation_key, CASE
     WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE
     WHEN n = 1 THEN one END AS revision_id, coalesce(n, 0) AS n_heads FROM (SELECT DISTINCT observation_key FROM revs) k LEFT
     JOIN p USING (observation_key)""")
 S0, E0 = "1999-01-01", "2000-06-01"
 add(
-    "c08_select_over", lambda s, d: R.select_over(revs(s, d), edges(s, d), S0, E0, CUT),
+    "c08_select_over", lambda s, d: R.select_over(*graph(s, d), S0, E0, CUT),
     f"""{CL}, kn AS (SELECT * FROM revs WHERE knowledge_time <= TIMESTAMP '{CUT}'), pts AS (SELECT DISTINCT observation_key, TIMESTAMP '{S0}' AS t
     FROM kn UNION SELECT observation_key, available_time FROM kn
     WHERE available_time > TIMESTAMP '{S0}' AND available_time < TIMESTAMP '{E0}'),
@@ -143,10 +148,10 @@ add("c09_key_closure", lambda s, d: R.key_closure(revs(s, d).where("available_ti
 add("c10_asof_revisions", lambda s, d: R.asof_revisions(revs(s, d)).select("observation_key", "revision_id", "valid_from", "valid_until"), f"""WITH {REVS}
     SELECT observation_key, revision_id, available_time AS valid_from, lead(available_time) OVER (PARTITION BY observation_key
     ORDER BY available_time, revision_id) AS valid_until FROM revs""")
-add("f08_conflict_heads", lambda s, d: R.conflict_heads(candidates(s, d), known(s, d)[1]).select("observation_key", "revision_id", "n_heads", "ordinal"), f"""{CL}, {CAND},
+add("f08_conflict_heads", lambda s, d: R.conflict_heads(*known(s, d)).select("observation_key", "revision_id", "n_heads", "ordinal"), f"""{CL}, {CAND},
     c AS (SELECT *, count(*) OVER (PARTITION BY observation_key) AS n_heads, row_number() OVER (PARTITION BY observation_key
     ORDER BY revision_id) - 1 AS ordinal FROM heads) SELECT observation_key, revision_id, n_heads, ordinal FROM c WHERE n_heads > 1""")
-add("d38_competing_heads", lambda s, d: R.conflict_heads(candidates(s, d), known(s, d)[1]).groupBy("observation_key").agg(F.count("*").alias("n_heads"), F.min("revision_id").alias("first_head")), f"""{CL}, {CAND}
+add("d38_competing_heads", lambda s, d: R.conflict_heads(*known(s, d)).groupBy("observation_key").agg(F.count("*").alias("n_heads"), F.min("revision_id").alias("first_head")), f"""{CL}, {CAND}
     SELECT observation_key, count(*) AS n_heads, min(revision_id) AS first_head FROM heads GROUP BY 1 HAVING count(*) > 1""")
 add("f02_canonical_order", lambda s, d: revs(s, d).orderBy("observation_key", "available_time", "revision_id").select("observation_key", "available_time", "revision_id"), f"WITH {REVS} SELECT observation_key, available_time, revision_id FROM revs ORDER BY 1, 2, 3")
 add("d42_largest_value", lambda s, d: revs(s, d).where("available_time < timestamp '2000-01-01'").agg(F.max("revision_id").alias("largest")), f"WITH {REVS} SELECT max(revision_id) AS largest FROM revs WHERE available_time < TIMESTAMP '2000-01-01'")
