@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.blocks import greedy_walk, in_blocks, previous, running_sum
 from tidemark.operators import bars as B
 from tidemark.operators import events as E
+from tidemark.operators import features as X
 from tidemark.sources import archives as A
 from tidemark.sources import sinks as K
 
@@ -47,7 +48,7 @@ def test_volume_bars_equal_a_plain_walk_in_any_number_of_blocks(spark):
                 want.append((symbol, no, part[0][2], t[2], t[3], part[0][4], max(x[4] for x in part), min(x[4] for x in part), t[4], held, len(part)))
                 held, no, part = Decimal(0), no + 1, []
     rng.shuffle(rows)
-    for parts in (1, 3, 16):
+    for parts in (None, 1, 3, 16):
         assert sorted(tuple(r) for r in B.volume_bars(spark.createDataFrame(rows, TRADES), "4.2", parts).collect()) == want
     assert B.volume_bars(spark.createDataFrame([], TRADES), 1, 2).count() == 0
 
@@ -66,9 +67,9 @@ def test_greedy_walk_and_sums_over_blocks(spark):
     rng = random.Random(8)
     rows = [(k, rng.randrange(n * 3), i) for k, n in (("busy", 400), ("x", 1), (None, 30)) for i in range(n)]
     df = spark.createDataFrame(rows, "key string, x long, id long")
-    for parts in (1, 4, 11):
+    for parts in (None, 1, 4, 11):
         blocks = in_blocks(df, ["key"], ["x", "id"], parts)
-        got = greedy_walk(running_sum(previous(blocks, ["key"], ["x", "id"], {"before": "id"}), ["key"], ["x", "id"], "x", "total", "long"), ["key"], ["x", "id"], "x", 10, None).collect()
+        got = greedy_walk(running_sum(previous(blocks, {"before": "id"}), "x", "total", "long"), "x", 10, None).rows.collect()
         for key in ("busy", "x", None):
             own = sorted((r for r in got if r.key == key), key=lambda r: (r.x, r.id))
             base, walked, total, last = None, 0, 0, None
@@ -180,3 +181,61 @@ def test_runs_are_whole_or_absent(spark, tmp_path):
     assert sorted(r.id for r in K.get_run(spark, root, key).collect()) == list(range(5)) and K.put_run(run.repartition(3), root, "id") == key
     with pytest.raises(ValueError, match="not 0..n-1"):
         K.put_run(spark.range(1, 4), root, "id")
+
+
+def test_smoothing_over_blocks_equals_one_pass(spark):
+    rng = random.Random(6)
+    begin = datetime.datetime(2024, 1, 1)
+    rows = []
+    for symbol, run, n in (("a", 1, 240), ("a", 2, 3), ("b", 1, 30), ("c", 1, 12)):
+        price = 100.0
+        for i in range(n):
+            price += rng.choice([-1.5, -0.5, 0.0, 0.7, 1.1]) if symbol != "c" else 0.0
+            spread = rng.random() if symbol != "c" else 0.0
+            rows.append((symbol, run, begin + datetime.timedelta(minutes=i), price + spread, price - spread, price))
+    df = spark.createDataFrame(rows, "symbol string, run_id long, interval_start timestamp, high double, low double, close double")
+    rng.shuffle(rows)
+
+    def smoothed(xs, period, alpha):
+        out, y = [], None
+        for i, x in enumerate(xs):
+            y = None if i + 1 < period else sum(xs[:period]) / period if i + 1 == period else y + alpha * (x - y)
+            out.append(y)
+        return out
+
+    def plain(bars, period=5):
+        bars = sorted(bars, key=lambda r: r[2])
+        steps = list(zip(bars, bars[1:], strict=False))
+        tr = [max(b[3] - b[4], abs(b[3] - a[5]), abs(b[4] - a[5])) for a, b in steps]
+        up, down = [max(b[5] - a[5], 0.0) for a, b in steps], [max(a[5] - b[5], 0.0) for a, b in steps]
+        gain, loss = smoothed(up, period, 1 / period), smoothed(down, period, 1 / period)
+        rsi = [None, *[None if g is None else 100.0 if x == 0 else 100 - 100 / (1 + g / x) for g, x in zip(gain, loss, strict=True)]]
+        close = [b[5] for b in bars]
+        fast, slow = smoothed(close, 7, 2 / 4), smoothed(close, 7, 2 / 8)
+        line = [None if f is None else f - s for f, s in zip(fast, slow, strict=True)]
+        known = [x for x in line if x is not None]
+        signal = [None] * (len(line) - len(known)) + smoothed(known, 4, 2 / 5)
+        rise = [b[3] - a[3] if b[3] - a[3] > a[4] - b[4] and b[3] > a[3] else 0.0 for a, b in steps]
+        fall = [a[4] - b[4] if a[4] - b[4] > b[3] - a[3] and a[4] > b[4] else 0.0 for a, b in steps]
+        dx = []
+        for t, p, m in zip(*(smoothed(x, period, 1 / period) for x in (tr, rise, fall)), strict=True):
+            if t is not None:
+                if t == 0 or p + m == 0:
+                    break
+                dx.append(100 * abs(p - m) / (p + m))
+        adx = smoothed(dx, period, 1 / period)
+        adx = [None] * period + adx + [None] * (len(bars) - period - len(adx))
+        return [None, *smoothed(tr, period, 1 / period)], rsi, line, signal, adx[: len(bars)]
+
+    want = {}
+    for key in {(r[0], r[1]) for r in rows}:
+        own = [r for r in rows if r[:2] == key]
+        for r, values in zip(sorted(own, key=lambda r: r[2]), zip(*plain(own), strict=True), strict=True):
+            want[r[0], r[1], r[2]] = values
+    for parts in (None, 1, 9, 40):
+        tables = X.atr(df, 5, parts), X.rsi(df, 5, parts), X.macd(df, 3, 7, 4, parts), X.adx(df, 5, parts)
+        got = [{(r.symbol, r.run_id, r.interval_start): r[3:] for r in t.collect()} for t in tables]
+        for key, values in want.items():
+            found = [v for t in got for v in t[key]]
+            assert [v is None for v in found] == [v is None for v in values], key
+            assert found == pytest.approx(list(values), abs=1e-9), key

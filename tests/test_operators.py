@@ -299,3 +299,33 @@ def test_long_stretches_of_other_revisions_take_a_logarithm_of_rounds(spark, mon
     circle = edges.union(spark.createDataFrame([(0, n - 1, T0)], EDGE))
     assert R.maximal_heads(revs.where("revision_id = 7"), circle).count() == 0
     assert R.maximal_heads(revs.where("revision_id = 7"), edges).count() == 1
+
+
+def test_cycles_of_random_graphs_equal_the_closure(spark):
+    rng = random.Random(11)
+    arcs, base = set(), 0
+    for n, m in [(1, 1), (2, 2), (5, 6), (8, 9), (12, 14), (20, 24), (30, 31), (6, 20)] * 2:  # one graph beside the other
+        arcs |= {(base + rng.randrange(n), base + rng.randrange(n)) for _ in range(m)}
+        base += n
+    arcs |= {(base + i, base + i + 1) for i in range(300)} | {(base + 250, base + 40), (base + 200, base + 100), (base + 299, base + 270)}
+    after = {}
+    for a, b in arcs:
+        after.setdefault(a, set()).add(b)
+
+    def reaches_itself(v):
+        seen, todo = set(), list(after.get(v, ()))
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        return v in seen
+
+    got = sorted(r.v for r in R.on_cycles(spark.createDataFrame(sorted(arcs), "a long, v long")).collect())
+    assert got == [v for v in range(base + 301) if reaches_itself(v)]
+
+
+def test_one_cycle_of_a_long_chain_is_named_whole(spark):
+    n = 3_000
+    chain = spark.range(n).where("id > 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("v"))
+    assert R.on_cycles(chain).count() == 0
+    assert R.on_cycles(chain.union(spark.createDataFrame([(5, n - 10)], "a long, v long"))).agg(F.min("v"), F.max("v"), F.count("*")).first()[:] == (5, n - 10, n - 14)

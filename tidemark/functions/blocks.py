@@ -10,6 +10,7 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_left
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from decimal import Context, Decimal, setcontext
 
 import numpy as np
@@ -29,49 +30,79 @@ def in_ranges(df: DataFrame, order: Sequence[Column], partitions: int | None) ->
     return materialise(split.withColumn("_rk_part", F.spark_partition_id()), "ranges")
 
 
-def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """The rows with the number ``_block`` of their range partition by key and order, dealt by block.
+#: Rows of a key from which on it is cut into blocks.
+BUSY = 1_000_000
 
-    Windows and groups by ``_block`` and more columns need no further shuffle.
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows with the number ``_block`` of their block, dealt by it, so that windows and groups within blocks need no further shuffle.
+
+    ``whole``: no key meets two blocks, so nothing has to be carried from one to another.
     """
-    return in_ranges(df, [F.col(c) for c in [*by, *order]], partitions).drop("_rk_o").withColumnRenamed("_rk_part", "_block").repartition("_block")
+
+    rows: DataFrame
+    by: Sequence[str]
+    order: Sequence[str]
+    whole: bool = False
+
+    def but(self, rows: DataFrame) -> Blocks:
+        return replace(self, rows=rows)
+
+    @property
+    def window(self):
+        return Window.partitionBy("_block", *self.by).orderBy(*self.order)
 
 
-def block_window(by: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy("_block", *by).orderBy(*order)
+def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int | None = None) -> Blocks:
+    """Rows in blocks: range partitions by key and order. While no key has more than ``BUSY`` rows, keys stay whole and are
+    dealt by hash, which costs no write. ``partitions`` asks for so many ranges in any case."""
+    if partitions is None:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if largest <= BUSY:
+            n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return Blocks(df.withColumn("_block", F.pmod(F.hash(*by), F.lit(n))).repartition("_block"), by, order, True)
+    ranges = in_ranges(df, [F.col(c) for c in [*by, *order]], partitions)
+    return Blocks(ranges.drop("_rk_o").withColumnRenamed("_rk_part", "_block").repartition("_block"), by, order)
 
 
-def from_before(blocks: DataFrame, by: Sequence[str], agg: Column, over: Callable[[Column, object], Column], name: str) -> DataFrame:
+def from_before(blocks: Blocks, agg: Column, over: Callable[[Column, object], Column], name: str) -> DataFrame:
     """Each row with ``name``: what ``over(agg of a block, window of the key's blocks before)`` gives.
 
     The aggregates are one row for each key and block. Only keys that meet several blocks have blocks before; their rows
     are written, so that Spark knows how few they are.
     """
-    parts = blocks.groupBy("_block", *by).agg(agg.alias("_agg"))
-    w = Window.partitionBy(*by).orderBy("_block")
-    before = materialise(parts.withColumn(name, over(F.col("_agg"), w)).where(F.col(name).isNotNull()).select("_block", *by, name), "before")
-    return blocks.join(before, ["_block", *by], "left")
+    parts = blocks.rows.groupBy("_block", *blocks.by).agg(agg.alias("_agg"))
+    w = Window.partitionBy(*blocks.by).orderBy("_block")
+    before = parts.withColumn(name, over(F.col("_agg"), w)).where(F.col(name).isNotNull()).select("_block", *[F.col(c).alias(f"_by_{c}") for c in blocks.by], name)
+    before = materialise(before, "before").withColumnRenamed("_block", "_of")
+    same = F.col("_block") == F.col("_of")
+    for c in blocks.by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return blocks.rows.join(before, same, "left").drop("_of", *[f"_by_{c}" for c in blocks.by])
 
 
-def previous(blocks: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
+def previous(blocks: Blocks, columns: dict[str, str]) -> Blocks:
     """Adds columns ``{new: old}`` with the values of the key's row before, across blocks."""
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    joined = from_before(blocks, by, F.max_by(packed, at), lambda a, w: F.lag(a).over(w), "_last")
-    last = F.coalesce(F.lag(packed).over(block_window(by, order)), F.col("_last"))
-    return joined.withColumn("_last", last).withColumns({n: F.col("_last")[n] for n in columns}).drop("_last")
+    last = F.lag(packed).over(blocks.window)
+    rows = blocks.rows
+    if not blocks.whole:
+        at = F.struct(*blocks.order) if len(blocks.order) > 1 else F.col(blocks.order[0])
+        rows = from_before(blocks, F.max_by(packed, at), lambda a, w: F.lag(a).over(w), "_last")
+        last = F.coalesce(last, F.col("_last"))
+    return blocks.but(rows.withColumn("_last", last).withColumns({n: F.col("_last")[n] for n in columns}).drop("_last"))
 
 
-def running_sum(blocks: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, kind: str = "decimal(38,18)") -> DataFrame:
+def running_sum(blocks: Blocks, value: str, name: str, kind: str = "decimal(38,18)") -> Blocks:
     """Adds the sum of ``value`` over the key's rows up to each one, exact for decimals."""
-    joined = from_before(blocks, by, F.sum(value), lambda a, w: F.sum(a).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
-    own = F.sum(value).over(block_window(by, order).rowsBetween(Window.unboundedPreceding, 0))
-    if kind.startswith("decimal(38,"):  # two such numbers would be added with one digit less
-        less = kind.replace("(38,", "(37,")
-        total = own.cast(less) + F.coalesce(F.col("_before").cast(less), F.lit(0).cast(less))
-    else:
-        total = own + F.coalesce("_before", F.lit(0))
-    return joined.withColumn(name, total.cast(kind)).drop("_before")
+    own = F.sum(value).over(blocks.window.rowsBetween(Window.unboundedPreceding, 0))
+    if blocks.whole:
+        return blocks.but(blocks.rows.withColumn(name, own.cast(kind)))
+    joined = from_before(blocks, F.sum(value), lambda a, w: F.sum(a).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
+    less = kind.replace("(38,", "(37,")  # two decimals of all digits would be added with one digit less
+    total = own.cast(less) + F.coalesce(F.col("_before").cast(less), F.lit(0).cast(less))
+    return blocks.but(joined.withColumn(name, total.cast(kind)).drop("_before"))
 
 
 def _pieces(rows: pa.Table, by: Sequence[str]) -> list[tuple[int, int]]:
@@ -86,20 +117,19 @@ def _pieces(rows: pa.Table, by: Sequence[str]) -> list[tuple[int, int]]:
     return list(zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True)) if n else []
 
 
-def carried(
-    blocks: DataFrame, by: Sequence[str], order: Sequence[str], start: object, summarise: Callable[[pa.Table], object], fold: Callable[[object, object], object], apply: Callable[[pa.Table, object], dict], out: str
-) -> DataFrame:
+def carried(blocks: Blocks, start: object, summarise: Callable[[pa.Table], object], fold: Callable[[object, object], object], apply: Callable[[pa.Table, object], dict], out: str) -> Blocks:
     """Columns ``out`` that depend on all earlier rows of the key.
 
     ``summarise(rows)`` is what a block's rows of a key do to any state, small whatever their number; ``fold(state, summary)``
     the state after them; ``apply(rows, state)`` gives the columns, as sequences, from the state before. The first row's
     state is ``start``. Rows come to the functions in order, as Arrow tables. All must be pure: tasks may run twice.
     """
-    spark = blocks.sparkSession
+    spark, rows, by, order = blocks.rows.sparkSession, blocks.rows, list(blocks.by), list(blocks.order)
     ship(spark)
-    keys = StructType([f for f in blocks.schema if f.name in by])
     sort = [(c, "ascending") for c in [*by, *order]]
     names = [c.split()[0] for c in out.split(", ")]
+    plan = lambda schema: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    columns = plan(StructType([f for f in rows.schema if f.name in by]))
 
     def edges(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(sort)
@@ -115,29 +145,28 @@ def carried(
             state = fold(state, pickle.loads(does))
         return rows.drop(columns="_does").assign(_state=got)
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
-    summaries = materialise(blocks.groupBy("_block").applyInArrow(edges, f"{columns}, _block int, _does binary"), "summaries")
-    before = materialise(summaries.groupBy(*by).applyInPandas(states, f"{columns}, _block int, _state binary"), "states")
-    plan = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
-
-    def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, before: pa.Table | None = None) -> pa.Table:
         rows = rows.sort_by(sort)
-        known = {tuple(r[c] for c in by): pickle.loads(r["_state"]) for r in before.to_pylist()}
+        known = {tuple(r[c] for c in by): pickle.loads(r["_state"]) for r in before.to_pylist()} if before is not None else {}
         got: dict[str, list] = {n: [] for n in names}
         for a, b in _pieces(rows, by):
             part = rows.slice(a, b - a)
-            key = tuple(part.column(c)[0].as_py() for c in by)
-            for n, values in apply(part, known.get(key, start)).items():
+            state = known.get(tuple(part.column(c)[0].as_py() for c in by), start) if known else start
+            for n, values in apply(part, state).items():
                 got[n].extend(values)
         for n in names:
             kind = pa.bool_() if f"{n} boolean" in out else pa.int64() if f"{n} long" in out else pa.float64()
             rows = rows.append_column(n, pa.array(got[n], kind, from_pandas=True))
         return rows
 
-    return blocks.groupBy("_block").cogroup(before.groupBy("_block")).applyInArrow(run, f"{plan}, {out}")
+    if blocks.whole:
+        return blocks.but(rows.groupBy("_block").applyInArrow(lambda t: run(t), f"{plan(rows.schema)}, {out}"))
+    summaries = materialise(rows.groupBy("_block").applyInArrow(edges, f"{columns}, _block int, _does binary"), "summaries")
+    before = materialise(summaries.groupBy(*by).applyInPandas(states, f"{columns}, _block int, _state binary"), "states")
+    return blocks.but(rows.groupBy("_block").cogroup(before.groupBy("_block")).applyInArrow(run, f"{plan(rows.schema)}, {out}"))
 
 
-def greedy_walk(blocks: DataFrame, by: Sequence[str], order: Sequence[str], x: str, step: Decimal | int, start: Decimal | int | None) -> DataFrame:
+def greedy_walk(blocks: Blocks, x: str, step: Decimal | int, start: Decimal | int | None) -> Blocks:
     """Adds ``kept boolean`` and ``walk long`` (rows kept before this one) of the walk that always keeps the next row with ``x >= base + step``.
 
     ``x`` never falls within a key, and the base is the last kept row's ``x``, at first ``start``; None keeps the first
@@ -190,4 +219,76 @@ def greedy_walk(blocks: DataFrame, by: Sequence[str], order: Sequence[str], x: s
         total = np.cumsum(kept)
         return {"kept": kept, "walk": (walked + total - np.array(kept, int)).tolist()}
 
-    return carried(blocks, by, order, (start, 0), summarise, fold, apply, "kept boolean, walk long")
+    return carried(blocks, (start, 0), summarise, fold, apply, "kept boolean, walk long")
+
+
+@dataclass(frozen=True)
+class Smoothing:
+    """``y + alpha * (x - y)`` from the mean of the first ``period`` values of ``x`` on; null before that.
+
+    Nulls before the first value are passed over; a later one, or an infinite value anywhere, ends it: null from there on.
+    """
+
+    x: str
+    period: int
+    alpha: float
+
+    #: values so far up to ``period``, their sum, the mean, and whether it has ended
+    START = (0, 0.0, 0.0, False)
+
+    def summarise(self, values: np.ndarray) -> tuple:
+        """The first values as they are; what the others do is affine: ``y`` becomes ``a * y + b``."""
+        known = ~np.isnan(values)
+        lead = int(np.argmax(known)) if known.any() else len(values)
+        rest = values[lead:]
+        ended = not np.isfinite(rest).all()
+        rest = rest[: int(np.argmin(np.isfinite(rest)))] if ended else rest
+        more = rest[self.period :]
+        return lead > 0, rest[: self.period].tolist(), (1 - self.alpha) ** len(more), self._run(0.0, more)[-1] if len(more) else 0.0, ended
+
+    def _run(self, y: float, values: np.ndarray) -> np.ndarray:
+        return pd.Series(np.concatenate([[y], values])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[1:]
+
+    def fold(self, state: tuple, summary: tuple) -> tuple:
+        n, total, y, over = state
+        late, first, a, b, ended = summary
+        if over or (late and n):
+            return n, total, y, True
+        for x in first:
+            n, total, y = self._one(n, total, y, x)
+        return n, total, a * y + b if n == self.period else y, ended
+
+    def _one(self, n: int, total: float, y: float, x: float) -> tuple:
+        if n == self.period:
+            return n, total, y + self.alpha * (x - y)
+        return n + 1, total + x, (total + x) / self.period if n + 1 == self.period else y
+
+    def apply(self, values: np.ndarray, state: tuple) -> np.ndarray:
+        out = np.full(len(values), np.nan)
+        n, total, y, over = state
+        late, first, _, _, ended = self.summarise(values)
+        if over or (late and n):
+            return out
+        at = int(np.argmax(~np.isnan(values))) if first else 0
+        for i, x in enumerate(first):
+            n, total, y = self._one(n, total, y, x)
+            if n == self.period:
+                out[at + i] = y
+        more = values[at + len(first) :]
+        more = more[: int(np.argmin(np.isfinite(more)))] if not np.isfinite(more).all() else more
+        if len(first) == self.period and len(more):
+            out[at + len(first) : at + len(first) + len(more)] = self._run(y, more)
+        return out
+
+
+def smooth(blocks: Blocks, smoothings: dict[str, Smoothing]) -> Blocks:
+    """Adds a column for each smoothing of a column of doubles, along the rows of each key."""
+
+    def values(rows: pa.Table, s: Smoothing) -> np.ndarray:
+        return rows.column(s.x).to_numpy(zero_copy_only=False).astype(float)
+
+    return carried(
+        blocks, {n: Smoothing.START for n in smoothings}, lambda rows: {n: s.summarise(values(rows, s)) for n, s in smoothings.items()},
+        lambda state, does: {n: s.fold(state[n], does[n]) for n, s in smoothings.items()}, lambda rows, state: {n: s.apply(values(rows, s), state[n]) for n, s in smoothings.items()},
+        ", ".join(f"{n} double" for n in smoothings),
+    )

@@ -61,19 +61,19 @@ def volume_bars(trades: DataFrame, threshold: Decimal | float | str, partitions:
     positive, and trade ids that repeat or fall along a symbol's time.
 
     The next close of each trade follows from exact prefix sums; closes are walked block by block (``greedy_walk``), so a busy
-    symbol is many tasks. ``partitions``: blocks to cut the trades into, by default as many as shuffles have.
+    symbol is many tasks. ``partitions``: ranges to cut the trades into, by default as ``in_blocks`` does.
     """
     step = Decimal(str(threshold))
     if not step.is_finite() or step <= 0:
         raise ValueError("the threshold must be positive and finite")
     by, order = ["symbol"], ["event_time", "venue_trade_id"]
     slim = trades.select(*by, *order, "available_time", F.col("price").cast("decimal(38,18)").alias("price"), F.col("quantity").cast("decimal(38,18)").alias("quantity"))
-    blocks = previous(in_blocks(slim, by, order, partitions), by, order, {"_id0": "venue_trade_id"})
+    blocks = previous(in_blocks(slim, by, order, partitions), {"_id0": "venue_trade_id"})
     fine = F.coalesce((F.col("quantity") > 0) & (F.col("_id0").isNull() | (F.col("venue_trade_id") > F.col("_id0"))), F.lit(False))
-    if blocks.where(~fine).limit(1).count():
+    if blocks.rows.where(~fine).limit(1).count():
         raise ValueError("trade ids repeat or fall, or a quantity is not positive")
-    sums = running_sum(blocks.drop("_id0"), by, order, "quantity", "total")
-    walked = greedy_walk(sums, by, order, "total", step, Decimal(0))
+    sums = running_sum(blocks.but(blocks.rows.drop("_id0")), "quantity", "total")
+    walked = greedy_walk(sums, "total", step, Decimal(0)).rows
     at = F.struct(*order)
     bars = walked.groupBy("symbol", F.col("walk").cast("int").alias("bar_no")).agg(
         F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"), F.max_by("available_time", at).alias("available_time"), F.min_by("price", at).alias("open"), F.max("price").alias("high"),

@@ -151,5 +151,5 @@ def independent_count(events: DataFrame, horizon_s: int, partitions: int | None
     The walk is that of volume bars, along time instead of volume: a busy key is walked block by block.
     """
     times = events.select("key", F.unix_micros("event_time").alias("us"))
-    walked = greedy_walk(in_blocks(times, ["key"], ["us"], partitions), ["key"], ["us"], "us", horizon_s * US, None)
+    walked = greedy_walk(in_blocks(times, ["key"], ["us"], partitions), "us", horizon_s * US, None).rows
     return walked.groupBy("key").agg(F.count_if("kept").alias("n_independent"))

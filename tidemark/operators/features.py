@@ -8,12 +8,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import ship
+from tidemark.functions.blocks import Blocks, Smoothing, in_blocks, previous, smooth
 from tidemark.functions.windows import full, nonzero, run_window, with_runs
 
 
@@ -169,82 +167,64 @@ def product(x: str, y: str) -> Column:
     return F.col(x) * F.col(y)
 
 
-# ---- recursive smoothing: one pass through each contiguous run
+# ---- recursive smoothing along each contiguous run
 
 
-def _per_run(bars: DataFrame, columns: list[str], names: list[str], compute: Callable[[pd.DataFrame], dict]) -> DataFrame:
-    """Apply ``compute`` to the bars of each symbol and run in order; it returns the columns ``names``."""
-    ship(bars.sparkSession)
-    keep = ["symbol", "run_id", "interval_start"]
-    slim = bars.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+def _in_runs(bars: DataFrame, columns: list[str], partitions: int | None) -> Blocks:
+    """The columns as doubles, in blocks along ``symbol, run_id`` and time, each with the bar before (``high0``, ...), across blocks."""
+    slim = bars.select("symbol", "run_id", "interval_start", *[F.col(c).cast("double").alias(c) for c in columns])
+    return previous(in_blocks(slim, ["symbol", "run_id"], ["interval_start"], partitions), {f"{c}0": c for c in columns})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("interval_start")
-        return rows[keep].assign(**{n: pd.Series(v, rows.index, object).where(~np.isnan(v), None) for n, v in compute(rows).items()})
 
-    return slim.groupBy("symbol", "run_id").applyInPandas(run, f"symbol string, run_id long, interval_start timestamp, {', '.join(f'{n} double' for n in names)}")
+def _with(blocks: Blocks, **columns: Column) -> Blocks:
+    return blocks.but(blocks.rows.withColumns(columns))
 
 
-def smoothed(x: np.ndarray, period: int, alpha: float) -> np.ndarray:
-    """``y = y + alpha * (x - y)`` seeded by the mean of the first ``period`` values; null before that."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= period:
-        fed = np.concatenate([[x[:period].mean()], x[period:]])
-        out[period - 1 :] = pd.Series(fed).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out
+def _of_run(blocks: Blocks, *names: str) -> DataFrame:
+    return blocks.rows.select("symbol", "run_id", "interval_start", *names)
 
 
-def _late(x: np.ndarray) -> np.ndarray:
-    """Values that begin with the second bar of a run."""
-    return np.concatenate([[np.nan], x])
+def _true_range() -> Column:
+    """The true range of a bar that has one before it, else null."""
+    h, l, c = (F.col(n) for n in ("high", "low", "close0"))
+    return F.when(c.isNotNull(), F.greatest(h - l, F.abs(h - c), F.abs(l - c)))
 
 
-def _ranges(rows: pd.DataFrame) -> np.ndarray:
-    h, l, c = (rows[n].to_numpy() for n in ("high", "low", "close"))
-    return np.maximum(h[1:] - l[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1])))
+def atr(bars: DataFrame, period: int, partitions: int | None = None) -> DataFrame:
+    """Wilder's average true range: ``symbol, run_id, interval_start, atr``; needs ``period + 1`` bars of the run.
 
-
-def atr(bars: DataFrame, period: int) -> DataFrame:
-    """Wilder's average true range: ``symbol, run_id, interval_start, atr``; needs ``period + 1`` bars of the run."""
-    return _per_run(bars, ["high", "low", "close"], ["atr"], lambda rows: {"atr": _late(smoothed(_ranges(rows), period, 1 / period))})
+    A run is cut into blocks if it is long (``in_blocks``): what a block does to an average is affine, so averages are carried over
+    blocks by two numbers each. So do ``rsi``, ``macd`` and ``adx``.
+    """
+    blocks = _with(_in_runs(bars, ["high", "low", "close"], partitions), tr=_true_range())
+    return _of_run(smooth(blocks, {"atr": Smoothing("tr", period, 1 / period)}), "atr")
 
 
-def rsi(bars: DataFrame, period: int) -> DataFrame:
+def rsi(bars: DataFrame, period: int, partitions: int | None = None) -> DataFrame:
     """Wilder's relative strength index, 100 where there was no loss."""
-
-    def compute(rows: pd.DataFrame) -> dict:
-        step = np.diff(rows["close"].to_numpy())
-        gain, loss = (smoothed(np.maximum(s, 0.0), period, 1 / period) for s in (step, -step))
-        ratio = np.divide(gain, loss, out=np.full(len(step), np.inf), where=loss != 0)
-        return {"rsi": _late(np.where(np.isnan(gain), np.nan, 100 - 100 / (1 + ratio)))}
-
-    return _per_run(bars, ["close"], ["rsi"], compute)
+    step = F.col("close") - F.col("close0")
+    blocks = _with(_in_runs(bars, ["close"], partitions), up=F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), down=F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))))
+    both = smooth(blocks, {"gain": Smoothing("up", period, 1 / period), "loss": Smoothing("down", period, 1 / period)})
+    value = F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.nullif(F.col("loss"), F.lit(0.0))))
+    return _of_run(_with(both, rsi=F.when(F.col("gain").isNotNull(), value)), "rsi")
 
 
-def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
+def macd(bars: DataFrame, fast: int, slow: int, signal: int, partitions: int | None = None) -> DataFrame:
     """``macd_line`` and ``macd_signal``; both averages start from the mean of the first ``slow`` closes of the run."""
+    averages = smooth(_in_runs(bars, ["close"], partitions), {"fast": Smoothing("close", slow, 2 / (fast + 1)), "slow": Smoothing("close", slow, 2 / (slow + 1))})
+    line = _with(averages, macd_line=F.col("fast") - F.col("slow"))
+    return _of_run(smooth(line, {"macd_signal": Smoothing("macd_line", signal, 2 / (signal + 1))}), "macd_line", "macd_signal")
 
-    def compute(rows: pd.DataFrame) -> dict:
-        c = rows["close"].to_numpy()
-        line = smoothed(c, slow, 2 / (fast + 1)) - smoothed(c, slow, 2 / (slow + 1))
-        start = min(slow - 1, len(c))
-        return {"macd_line": line, "macd_signal": np.concatenate([np.full(start, np.nan), smoothed(line[start:], signal, 2 / (signal + 1))])}
 
-    return _per_run(bars, ["close"], ["macd_line", "macd_signal"], compute)
-
-
-def adx(bars: DataFrame, period: int) -> DataFrame:
+def adx(bars: DataFrame, period: int, partitions: int | None = None) -> DataFrame:
     """Wilder's average directional index; null from where a smoothed range or both directions are zero."""
-
-    def compute(rows: pd.DataFrame) -> dict:
-        up, down = np.diff(rows["high"].to_numpy()), -np.diff(rows["low"].to_numpy())
-        plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-        tr, p, m = (smoothed(x, period, 1 / period) for x in (_ranges(rows), plus, minus))  # means: their ratios are those of the sums
-        known = (tr != 0) & (p + m != 0)
-        dx = np.divide(100 * np.abs(p - m), p + m, out=np.full(len(tr), np.nan), where=known)[period - 1 :]
-        dx = dx[: np.argmax(np.isnan(dx))] if np.isnan(dx).any() else dx
-        value = np.full(len(rows), np.nan)
-        value[period : period + len(dx)] = smoothed(dx, period, 1 / period)
-        return {"adx": value}
-
-    return _per_run(bars, ["high", "low", "close"], ["adx"], compute)
+    blocks = _in_runs(bars, ["high", "low", "close"], partitions)
+    up, down = F.col("high") - F.col("high0"), F.col("low0") - F.col("low")
+    moved = lambda one, other: F.when(F.col("close0").isNotNull(), F.when((one > other) & (one > 0), one).otherwise(0.0))
+    blocks = _with(blocks, tr=_true_range(), rise=moved(up, down), fall=moved(down, up))
+    means = smooth(blocks, {n: Smoothing(x, period, 1 / period) for n, x in (("range", "tr"), ("plus", "rise"), ("minus", "fall"))})  # means: their ratios are those of the sums
+    both = F.col("plus") + F.col("minus")
+    known = (F.col("range") != 0) & (both != 0)
+    # an infinite value ends it, also where it would be the first
+    dx = F.when(known, 100 * F.abs(F.col("plus") - F.col("minus")) / F.nullif(both, F.lit(0.0))).when(F.col("range").isNotNull(), float("inf"))
+    return _of_run(smooth(_with(means, dx=dx), {"adx": Smoothing("dx", period, 1 / period)}), "adx")

@@ -140,11 +140,83 @@ def superseded_from(revisions: DataFrame, edges: DataFrame, earliest: Column | N
     return chains.select(F.col("v").alias("revision_id"), F.col("m").alias("beaten_at"))
 
 
+def on_cycles(arcs: DataFrame) -> DataFrame:
+    """``v``: the nodes of a directed graph ``a, v`` that lie on a cycle.
+
+    Nodes with one arc in are chains, which doubled pointers contract: what is left are nodes with several, with an arc from each
+    node that a chain leads down from. A chain that has no end runs in a circle. The rest is cut to its strongly connected parts by
+    colours: each node takes the largest that reaches it, and what goes back from a colour's own node within the
+    colour is one part. Last, chains between two nodes of one part are marked by the pointers' rounds. All of it is rows in
+    proportion to the arcs, whatever the paths between them.
+    """
+    arcs = materialise(arcs.distinct(), "arcs")
+    into = arcs.groupBy("v").agg(F.min("a").alias("up"), F.count("*").alias("n"))
+    links, circling, rounds = chased(into.where("n = 1").select("v", "up", F.lit(0).alias("m")), F.lit(False))
+    found = circling.select(F.col("up").alias("v")).distinct()  # after so many steps only the circles themselves are pointed to
+    several = materialise(into.where("n > 1").select("v"), "several")
+    if not several.limit(1).count():
+        return found
+    down = links.select(F.col("v").alias("a"), F.col("up").alias("x"))
+    whole = materialise(arcs.join(several, "v").join(down, "a", "left").select(F.coalesce("x", "a").alias("x"), "a", "v"), "arcs")
+    left = whole.select("x", "v").where("x <> v").distinct()
+    parts = [whole.where("x = v").select(F.col("v"), F.col("v").alias("part"))]
+    while True:
+        left = _trimmed(left)
+        if not left.limit(1).count():
+            break
+        colours = _coloured(left)
+        coloured = left.join(colours.withColumnsRenamed({"v": "x", "colour": "cx"}), "x").join(colours, "v").where("cx = colour").select("x", "v", "colour")
+        back = _reached(coloured)
+        parts.append(back.select("v", F.col("colour").alias("part")))
+        left = materialise(left.join(back.select(F.col("v").alias("x")), "x", "left_anti").join(back.select("v"), "v", "left_anti"), "arcs")
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.unionByName(part)
+    members = materialise(members.distinct(), "parts")
+    closing = whole.join(members.withColumnsRenamed({"v": "x", "part": "px"}), "x").join(members, "v").where("px = part")
+    marked = closing.select(F.col("a").alias("v")).distinct()
+    for jump in rounds:  # who is 1, 2, 4, ... further up the chain
+        marked = materialise(marked.unionByName(marked.join(jump.select("v", "up"), "v").select(F.col("up").alias("v"))).distinct(), "marked")
+    return found.unionByName(members.select("v")).unionByName(marked).distinct()
+
+
+def _trimmed(arcs: DataFrame) -> DataFrame:
+    """The arcs without those at nodes with none in or none out, again and again."""
+    arcs = materialise(arcs, "arcs")
+    while True:
+        kept = materialise(arcs.join(arcs.select(F.col("v").alias("x")), "x", "left_semi").join(arcs.select(F.col("x").alias("v")), "v", "left_semi"), "arcs")
+        if kept.count() == arcs.count():
+            return kept
+        arcs = kept
+
+
+def _coloured(arcs: DataFrame) -> DataFrame:
+    """``v, colour``: the largest node from which a path leads to the node, itself included."""
+    colours = materialise(arcs.select(F.col("x").alias("v")).union(arcs.select("v")).distinct().withColumn("colour", F.col("v")), "colours")
+    news = colours
+    while True:
+        told = arcs.join(news.withColumnRenamed("v", "x"), "x").groupBy("v").agg(F.max("colour").alias("told"))
+        news = materialise(told.join(colours, "v").where("told > colour").select("v", F.col("told").alias("colour")), "news")
+        if not news.limit(1).count():
+            return colours
+        colours = materialise(colours.unionByName(news).groupBy("v").agg(F.max("colour").alias("colour")), "colours")
+
+
+def _reached(arcs: DataFrame) -> DataFrame:
+    """``v, colour``: the nodes from which a path within the colour leads to the colour's own node."""
+    reached = news = materialise(arcs.where("v = colour").select("v", "colour").distinct(), "reached")
+    while True:
+        news = materialise(arcs.join(news, ["v", "colour"]).select(F.col("x").alias("v"), "colour").distinct().join(reached, ["v", "colour"], "left_anti"), "reached")
+        if not news.limit(1).count():
+            return reached
+        reached = materialise(reached.unionByName(news), "reached")
+
+
 def graph_problems(revisions: DataFrame, edges: DataFrame) -> DataFrame:
     """``problem, revision_id``: dangling ends, edges between keys, and revisions on a cycle within a key.
 
-    A cycle has an edge whose newer end is not the later one, by available time and id. Only between the ends of such
-    edges, within their key, are paths followed: edges that all lead back in time cost two joins, however long the chain.
+    A cycle has an edge whose newer end is not the later one, by available time and id. Only edges between the ends of such
+    edges, within their key, are looked at (``on_cycles``): edges that all lead back in time cost two joins, however long the chain.
     """
     at = F.struct("available_time", "revision_id")
     ids = revisions.select("revision_id", F.col("observation_key").alias("k"), at.alias("at"))
@@ -156,16 +228,8 @@ def graph_problems(revisions: DataFrame, edges: DataFrame) -> DataFrame:
     inside = b.where("ka = kb")
     ranges = inside.where("at_a <= at_b").groupBy("ka").agg(F.min("at_a").alias("low"), F.max("at_b").alias("high"))
     suspect = inside.join(ranges, "ka").where("at_a between low and high and at_b between low and high")
-    paths = materialise(suspect.select(F.col("revision_id").alias("src"), F.col("superseded_revision_id").alias("dst")).distinct(), "paths")
-    n = paths.count()
-    while n:  # paths double in length each round; a round that adds nothing ends it
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = materialise(paths.union(longer).distinct(), "paths")
-        before, n = n, paths.count()
-        if n == before:
-            break
-    cycle = paths.where("src = dst").select(F.lit("cycle").alias("problem"), F.col("src").alias("revision_id"))
-    return dangling.union(crossing).union(cycle)
+    cycle = on_cycles(suspect.select(F.col("revision_id").alias("a"), F.col("superseded_revision_id").alias("v")))
+    return dangling.union(crossing).union(cycle.select(F.lit("cycle").alias("problem"), F.col("v").alias("revision_id")))
 
 
 def select_at(revisions: DataFrame, edges: DataFrame, at: str, cutoff: str) -> DataFrame:

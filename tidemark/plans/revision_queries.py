@@ -106,17 +106,28 @@ add("c04_map_edges", lambda s, d: R.map_edges(edges(s, d), canonical(s, d)), f""
     SELECT a.revision_id, b.revision_id AS superseded_revision_id, greatest(e.knowledge_time, a.k, b.k) AS knowledge_time, 1 AS n_matches
     FROM edges e JOIN ca a ON a.lineage_id = e.revision_id JOIN ca b ON b.lineage_id = e.superseded_revision_id""")
 add("c05_maximal_heads", lambda s, d: R.maximal_heads(*known(s, d)).select("observation_key", "revision_id"), f"{CL}, {CAND} SELECT observation_key, revision_id FROM heads")
-BAD = """SELECT revision_id, superseded_revision_id, knowledge_time FROM edges UNION ALL SELECT revision_id, CASE
-    WHEN revision_id % 1000 = 1 THEN revision_id + 77000000 ELSE revision_id END, knowledge_time FROM revs WHERE revision_id % 1000 IN (1, 102)"""
+BAD = """bad AS (SELECT revision_id, superseded_revision_id FROM edges UNION ALL SELECT revision_id, CASE
+    WHEN revision_id % 1000 = 1 THEN revision_id + 77000000 WHEN revision_id % 1000 = 102 THEN revision_id WHEN revision_id % 100 = 1 THEN revision_id + 3 ELSE revision_id - revision_id % 100 + 2 END
+    FROM revs WHERE revision_id % 1000 IN (1, 102, 301, 502, 601))"""
 
 
-def bad_edges(s, d):
-    more = revs(s, d).where("revision_id % 1000 in (1, 102)").select("revision_id", F.when(F.col("revision_id") % 1000 == 1, F.col("revision_id") + 77_000_000).otherwise(F.col("revision_id")).alias("superseded_revision_id"), "knowledge_time")
-    return edges(s, d).unionByName(more)
+def bad_edges(s, d, written):
+    """More edges: to nowhere, to themselves, three lines on (a cycle where there are so many), and to the second line."""
+    id_ = F.col("revision_id")
+    to = F.when(id_ % 1000 == 1, id_ + 77_000_000).when(id_ % 1000 == 102, id_).when(id_ % 100 == 1, id_ + 3).otherwise(id_ - id_ % 100 + 2)
+    more = written.where("revision_id % 1000 in (1, 102, 301, 502, 601)").select("revision_id", to.alias("superseded_revision_id"), "knowledge_time")
+    return edges(s, d, written).unionByName(more)
 
 
-add("c06_graph_problems", lambda s, d: R.graph_problems(revs(s, d), bad_edges(s, d)).distinct(), f"""WITH {REVS} SELECT DISTINCT CASE
-    WHEN revision_id % 1000 = 1 THEN 'dangling' ELSE 'cycle' END AS problem, revision_id FROM revs WHERE revision_id % 1000 IN (1, 102)""")
+def problems(s, d):
+    written, _ = graph(s, d)
+    return R.graph_problems(written, bad_edges(s, d, written)).distinct()
+
+
+add("c06_graph_problems", problems, f"""WITH RECURSIVE {REVS}, {BAD}, paths AS (
+    SELECT revision_id AS src, superseded_revision_id AS dst FROM bad UNION SELECT p.src, e.superseded_revision_id FROM paths p JOIN bad e ON e.revision_id = p.dst)
+SELECT 'cycle' AS problem, src AS revision_id FROM paths WHERE src = dst AND src IN (SELECT revision_id FROM revs) UNION
+SELECT 'dangling', revision_id FROM bad WHERE superseded_revision_id NOT IN (SELECT revision_id FROM revs)""")
 add("c07_select_at", lambda s, d: R.select_at(*graph(s, d), AT, CUT), f"""{CL}, {CAND},
     p AS (SELECT observation_key, count(*) AS n, min(revision_id) AS one FROM heads GROUP BY 1) SELECT k.observation_key, CASE
     WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE

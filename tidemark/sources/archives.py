@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.blocks import previous
+from tidemark.functions.blocks import Blocks, previous
 from tidemark.functions.scalars import ticks_to_time
 
 TRADE_SCHEMA = "agg_trade_id long, price decimal(38,18), quantity decimal(38,18), first_trade_id long, last_trade_id long, ticks long, is_buyer_maker boolean, is_best_match boolean, _bad string"
@@ -56,7 +56,7 @@ def trade_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """
     rows = _lines(spark, path, TRADE_SCHEMA)
     rows = rows.withColumn("event_time", ticks_to_time(F.col("ticks"), F.col("day")))
-    rows = previous(rows, ["file"], ["_line"], {"_id0": "agg_trade_id", "_t0": "ticks", "_last0": "last_trade_id"})
+    rows = previous(Blocks(rows, ["file"], ["_line"]), {"_id0": "agg_trade_id", "_t0": "ticks", "_last0": "last_trade_id"}).rows
     reason = _first_reason([
         (F.col("_bad").isNotNull(), "unparsable"), (F.col("agg_trade_id").isNull() | F.col("ticks").isNull() | F.col("price").isNull() | F.col("quantity").isNull() | F.col("is_buyer_maker").isNull() | F.col("is_best_match").isNull(), "missing field"),
         (F.col("price") <= 0, "price not positive"), (F.col("quantity") <= 0, "quantity not positive"), (F.col("first_trade_id") > F.col("last_trade_id"), "ids reversed"),
@@ -71,7 +71,7 @@ def bar_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = _lines(spark, path, BAR_SCHEMA)
     rows = rows.withColumns({"interval_start": ticks_to_time(F.col("open_ticks"), F.col("day")), "close_time": ticks_to_time(F.col("close_ticks"), F.col("day"))})
     tick = F.when(F.col("day") < F.lit("2025-01-01").cast("date"), 1_000).otherwise(1)
-    rows = previous(rows, ["file"], ["_line"], {"_s0": "open_ticks"})
+    rows = previous(Blocks(rows, ["file"], ["_line"]), {"_s0": "open_ticks"}).rows
     lowest, highest = F.least("open", "high", "low", "close"), F.greatest("open", "close")
     missing = [F.col(c).isNull() for c in ("open_ticks", "open", "high", "low", "close", "volume", "close_ticks", "quote_volume", "trade_count", "taker_buy_base_volume", "taker_buy_quote_volume")]
     reason = _first_reason([
