@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from tidemark.functions.session import materialise, ship
 
@@ -128,8 +128,8 @@ def carried(blocks: Blocks, start: object, summarise: Callable[[pa.Table], objec
     ship(spark)
     sort = [(c, "ascending") for c in [*by, *order]]
     names = [c.split()[0] for c in out.split(", ")]
-    plan = lambda schema: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    columns = plan(StructType([f for f in rows.schema if f.name in by]))
+    keys = [f for f in rows.schema if f.name in by] + [f for f in rows.schema if f.name == "_block"]
+    whole = StructType([*rows.schema.fields, *[StructField(c.split()[0], {"boolean": BooleanType(), "long": LongType(), "double": DoubleType()}[c.split()[1]]) for c in out.split(", ")]])
 
     def edges(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(sort)
@@ -160,10 +160,10 @@ def carried(blocks: Blocks, start: object, summarise: Callable[[pa.Table], objec
         return rows
 
     if blocks.whole:
-        return blocks.but(rows.groupBy("_block").applyInArrow(lambda t: run(t), f"{plan(rows.schema)}, {out}"))
-    summaries = materialise(rows.groupBy("_block").applyInArrow(edges, f"{columns}, _block int, _does binary"), "summaries")
-    before = materialise(summaries.groupBy(*by).applyInPandas(states, f"{columns}, _block int, _state binary"), "states")
-    return blocks.but(rows.groupBy("_block").cogroup(before.groupBy("_block")).applyInArrow(run, f"{plan(rows.schema)}, {out}"))
+        return blocks.but(rows.groupBy("_block").applyInArrow(lambda t: run(t), whole))
+    summaries = materialise(rows.groupBy("_block").applyInArrow(edges, StructType([*keys, StructField("_does", BinaryType())])), "summaries")
+    before = materialise(summaries.groupBy(*by).applyInPandas(states, StructType([*keys, StructField("_state", BinaryType())])), "states")
+    return blocks.but(rows.groupBy("_block").cogroup(before.groupBy("_block")).applyInArrow(run, whole))
 
 
 def greedy_walk(blocks: Blocks, x: str, step: Decimal | int, start: Decimal | int | None) -> Blocks:

@@ -8,13 +8,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.blocks import Blocks, Smoothing, in_blocks, previous, smooth
+from tidemark.functions.ranks import in_pieces, trailing_ranks
 from tidemark.functions.windows import full, nonzero, run_window, with_runs
 
 
+#: Bar intervals of a symbol that are worked through as one piece.
+PIECE = 4096
+
+
 def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
@@ -132,20 +138,35 @@ def moving_average(x: str, n: int) -> Column:
     return full(F.col(x), _w(), n, F.avg)
 
 
-def rank_in_time(x: str, n: int) -> Column:
-    """Rank of the value among the last ``n``, ties averaged, from 0 to 1."""
-    frame = _w().rowsBetween(-(n - 1), 0)
-    values = F.collect_list(x).over(frame)
-    less, equal = F.size(F.filter(values, lambda v: v < F.col(x))), F.size(F.filter(values, lambda v: v == F.col(x)))
-    return F.when(F.count(x).over(frame) == n, (2 * less + equal - 1) / (2.0 * (n - 1)))
+def _ranked_in_run(df: DataFrame, x: str, n: int) -> DataFrame:
+    def spans(rows):
+        runs, place = rows.column("run_id").to_numpy(), np.arange(rows.num_rows)
+        begin = np.maximum.accumulate(np.where(np.diff(runs, prepend=runs[:1] - 1) != 0, place, 0))
+        return np.maximum(begin, place - n + 1), place + 1
+
+    return trailing_ranks(df, ["symbol"], ["run_id", "interval_start"], x, spans)
+
+
+def add_rank_in_time(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
+    """Rank of the value among the last ``n`` of its run, ties averaged, from 0 to 1."""
+    value = F.when(F.col("_n") == n, (2 * F.col("_less") + F.col("_equal") - 1) / (2.0 * (n - 1)))
+    return _ranked_in_run(df, x, n).withColumn(name, value).drop("_size", "_n", "_less", "_equal")
 
 
-def quantile_in_time(x: str, n: int, buckets: int) -> Column:
+def add_quantile_in_time(df: DataFrame, x: str, n: int, buckets: int, name: str) -> DataFrame:
     """Bucket of that rank, from 0, in whole numbers."""
-    frame = _w().rowsBetween(-(n - 1), 0)
-    values = F.collect_list(x).over(frame)
-    less, equal = F.size(F.filter(values, lambda v: v < F.col(x))), F.size(F.filter(values, lambda v: v == F.col(x)))
-    return F.when(F.count(x).over(frame) == n, F.least(F.floor((2 * less + equal - 1) * buckets / F.lit(2 * (n - 1))).cast("int"), F.lit(buckets - 1)))
+    at = F.floor((2 * F.col("_less") + F.col("_equal") - 1) * buckets / F.lit(2 * (n - 1))).cast("int")
+    return _ranked_in_run(df, x, n).withColumn(name, F.when(F.col("_n") == n, F.least(at, F.lit(buckets - 1)))).drop("_size", "_n", "_less", "_equal")
+
+
+def over_bars(bars: DataFrame, compute: Callable[[DataFrame], DataFrame], n: int, minutes: int, piece_bars: int = PIECE) -> DataFrame:
+    """Bars with returns and what ``compute`` adds to them from windows of at most ``n`` bars of a run.
+
+    A window of a run spans its bars' time, so a symbol is cut into pieces of ``piece_bars`` intervals that overlap by ``n + 2``: a busy symbol is many
+    tasks. ``run_id`` numbers the runs of a piece.
+    """
+    us = minutes * 60_000_000
+    return in_pieces(bars, lambda b: compute(with_returns(b)), (n + 2) * us, piece_bars * us)
 
 
 def cross_section(df: DataFrame, x: str, at: str = "interval_end", buckets: int = 5) -> DataFrame:

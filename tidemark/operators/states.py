@@ -6,15 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import materialise, ship
-
-
-#: Rows whose windows are looked at together.
-BLOCK = 512
+from tidemark.functions.ranks import in_pieces, trailing_ranks
 
 
 def quantile_regime(df: DataFrame, x: str, cuts: Sequence[float], labels: Sequence[str], min_history: int, window_seconds: int, time: str = "interval_end") -> DataFrame:
@@ -23,39 +19,21 @@ def quantile_regime(df: DataFrame, x: str, cuts: Sequence[float], labels: Sequen
     The k-th smallest of n values with ``k = max(1, ceil(cut * n))`` lies below x exactly if at least k values do, so no
     quantile is computed. The window is left-open; a null value or a history below ``min_history`` has no state.
 
-    Time is cut into spans as long as the window, and each span goes to a task with the span before it: every window lies
-    in those two, a busy symbol is spread over its spans, and a task holds two windows of numbers, never a list per row.
+    A symbol's time is cut into pieces of two windows, each with the window before it. Within a piece the values below the own one are counted by
+    a wavelet tree, n log n whatever the window's length.
     """
-    spark = df.sparkSession
-    ship(spark)
     width = window_seconds * 1_000_000
-    t = F.unix_micros(F.col(time))
-    # a row number leads back to the whole row, so only three numbers go to Python
-    rows = materialise(df.withColumns({"_row": F.monotonically_increasing_id(), "_t": t, "_x": F.col(x).cast("double")}), "regime")
-    span = F.floor(F.col("_t") / F.lit(width)).cast("long")
-    both = rows.select("symbol", "_row", "_t", "_x", span.alias("_span"), F.lit(True).alias("_own")).unionByName(rows.select("symbol", "_row", "_t", "_x", (span + 1).alias("_span"), F.lit(False).alias("_own")))
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_t", kind="stable")
-        at, values, own = part["_t"].to_numpy(), part["_x"].to_numpy(float), part["_own"].to_numpy(bool)
-        known = np.r_[0, np.cumsum(~np.isnan(values))]
-        low, high = np.searchsorted(at, at - width, "right"), np.searchsorted(at, at, "right")  # equal times count together
-        mine = np.flatnonzero(own)
-        less = np.zeros(len(mine), np.int64)
-        for i in range(0, len(mine), BLOCK):
-            some = mine[i : i + BLOCK]
-            first, last = low[some].min(), high[some].max()
-            place = np.arange(first, last)
-            inside = (place >= low[some, None]) & (place < high[some, None])
-            less[i : i + BLOCK] = ((values[first:last] < values[some, None]) & inside).sum(axis=1)
-        return pd.DataFrame({"_row": part["_row"].to_numpy()[mine], "_n": known[high[mine]] - known[low[mine]], "_less": less})
-
-    counted = both.groupBy("symbol", "_span").applyInPandas(count, "_row long, _n long, _less long")
+
+    def spans(rows) -> tuple[np.ndarray, np.ndarray]:
+        at = rows.column(time).cast(pa.timestamp("us", rows.column(time).type.tz)).cast(pa.int64()).to_numpy()
+        return np.searchsorted(at, at - width, "right"), np.searchsorted(at, at, "right")  # equal times count together
+
+    counted = in_pieces(df, lambda rows: trailing_ranks(rows, ["symbol"], [time], x, spans), width, 2 * width, time)
     label = F.lit(labels[0])
     for cut, name in zip(cuts, labels[1:], strict=True):
         label = F.when(F.col("_less") >= F.greatest(F.lit(1), F.ceil(F.lit(cut) * F.col("_n"))), F.lit(name)).otherwise(label)
     state = F.when(F.col(x).isNotNull() & (F.col("_n") >= min_history), label)
-    return rows.join(counted, "_row").withColumn("state", state).drop("_row", "_t", "_x", "_n", "_less")
+    return counted.withColumn("state", state).drop("_size", "_n", "_less", "_equal")
 
 
 def trend_range(df: DataFrame, x: str, n: int, threshold: float, labels: tuple[str, str, str] = ("down", "range", "up"), time: str = "interval_start") -> DataFrame:

@@ -24,8 +24,7 @@ def feature(name: str, column, sql: str, before: str = "b", digits: int = 6):
     """Register one value per bar. ``column``: a Column factory, or a function from bars to bars that adds ``value``."""
 
     def query(spark, sf_dir):
-        df = base(spark, sf_dir)
-        df = column(df) if getattr(column, "adds", False) else df.withColumn("value", column())
+        df = X.over_bars(bars(spark, sf_dir), column if getattr(column, "adds", False) else lambda b: b.withColumn("value", column()), 4 * N, 60)
         return df.select("symbol", "interval_start", r(F.col("value"), digits).alias("value"))
 
     QUERIES[name] = query
@@ -135,8 +134,8 @@ feature("e22_difference", lambda: X.difference("log_return", 3), f"log_return -
 feature("e23_moving_average", lambda: X.moving_average("log_return", N), full_sql("avg", "log_return", N))
 RANK = f"(SELECT *, list(log_return) OVER {frame(N)} AS past, count(log_return) OVER {frame(N)} AS n_past FROM b)"
 LESS = "(2 * len(list_filter(past, lambda v: v < log_return)) + len(list_filter(past, lambda v: v = log_return)) - 1)"
-feature("e24_rank_in_time", lambda: X.rank_in_time("log_return", N), f"CASE WHEN n_past = {N} THEN {LESS} / (2.0 * {N - 1}) END", RANK)
-feature("e25_quantile_in_time", lambda: X.quantile_in_time("log_return", N, 3), f"CASE WHEN n_past = {N} THEN least(floor({LESS} * 3 / {2.0 * (N - 1)}), 2) END", RANK)
+feature("e24_rank_in_time", adds(lambda df: X.add_rank_in_time(df, "log_return", N, "value")), f"CASE WHEN n_past = {N} THEN {LESS} / (2.0 * {N - 1}) END", RANK)
+feature("e25_quantile_in_time", adds(lambda df: X.add_quantile_in_time(df, "log_return", N, 3, "value")), f"CASE WHEN n_past = {N} THEN least(floor({LESS} * 3 / {2.0 * (N - 1)}), 2) END", RANK)
 feature("c26_product", lambda: X.product("log_return", "quote_volume"), "log_return * quote_volume", digits=4)
 
 
