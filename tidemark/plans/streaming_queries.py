@@ -53,16 +53,6 @@ add(
 )
 
 
-def late(s, d):
-    done = run(J.bars(trades(s, d), 60, "10 minutes"))
-    again = table(s, d, "events").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("venue_trade_id"), F.col("ts").cast("timestamp").alias("event_time"))
-    return J.late_rows(again, done, 60).select("symbol", "venue_trade_id", "interval_start")
-
-
-add("i01_late_rows", late, f"""SELECT event_type AS symbol, event_id AS venue_trade_id, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS interval_start
-    FROM events WHERE time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') + INTERVAL 60 MINUTE <= {END} - INTERVAL 10 MINUTE""")
-
-
 def checkpoints(s, d):
     e = table(s, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"))
     earlier = e.where("event_time <= timestamp '2024-01-15' and event_id % 90 <> 1")
@@ -96,6 +86,36 @@ def in_batches(s, d):
     return batch_of(s, e, "trades", 6 * 3600)
 
 
+def separated(s, d):
+    """The trades in four micro-batches, some of them a batch late by up to six hours, dealt to what is on time for an hour's delay and what is not."""
+    path = f"{shared_folder(s)}/separated-{uuid.uuid4().hex}"
+    rows = in_batches(s, d)
+    J.separate_late(rows, path, 60, "1 hour")
+    return path, rows.schema
+
+
+def late(s, d):
+    path, schema = separated(s, d)
+    return J.dealt_rows(s, path, "late", schema).select("symbol", F.col("order_id").alias("venue_trade_id"), F.window("event_time", "60 minutes")["start"].alias("interval_start"))
+
+
+def bars_on_time(s, d):
+    path, schema = separated(s, d)
+    on_time = J.dealt_rows(s, path, "on_time", schema, streaming=True).withColumn("venue_trade_id", F.col("order_id"))
+    return run(J.bars(on_time, 60, "1 hour")).select("symbol", "interval_start", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume")], "trade_count")
+
+
+BATCHES = """ends AS (SELECT epoch_us(min(ts)) AS a, (epoch_us(max(ts)) - epoch_us(min(ts))) // 4 + 1 AS width FROM events),
+    parts AS (SELECT e.*, (epoch_us(ts) - a) // width AS part, (epoch_us(ts) - a + 21600000000) // width AS next_part FROM events e, ends),
+    dealt AS (SELECT *, least(part + CASE WHEN part < next_part AND event_id % 3 = 0 THEN 1 ELSE 0 END, 3) AS batch, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS interval_start FROM parts),
+    marks AS (SELECT b.batch, max(epoch_us(d.ts)) // 1000 * 1000 - 3600000000 AS mark FROM (SELECT DISTINCT batch FROM dealt) b JOIN dealt d ON d.batch < b.batch GROUP BY 1),
+    told AS (SELECT d.*, coalesce(epoch_us(interval_start + INTERVAL 60 MINUTE) <= mark, false) AS late FROM dealt d LEFT JOIN marks USING (batch))"""
+add("i01_late_rows", late, f"WITH {BATCHES} SELECT event_type AS symbol, event_id AS venue_trade_id, interval_start FROM told WHERE late")
+add("i01_bars_on_time", bars_on_time, f"""WITH {BATCHES}, b AS (SELECT event_type AS symbol, interval_start, round(arg_min(value, ts), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, ts), 6) AS close,
+    round(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1), 6) AS volume, count(*) AS trade_count FROM told WHERE NOT late GROUP BY 1, 2)
+    SELECT * FROM b WHERE epoch_us(interval_start + INTERVAL 60 MINUTE) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM told WHERE NOT late)""")
+
+
 DUE = "({0} <= date_trunc('millisecond', (SELECT max({0}) FROM {1})) - INTERVAL 6 HOUR)"
 add("i04_stream_volume_bars", lambda s, d: run(J.volume_bars(in_batches(s, d), 500.0, "6 hours")), """WITH RECURSIVE t AS (SELECT event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS q, row_number() OVER (PARTITION BY event_type
     ORDER BY ts, event_id) AS i FROM events), w AS (

@@ -9,18 +9,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from tidemark.functions.session import ship
+from tidemark.functions.session import exists, ship
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+#: The state store that jobs with keyed state (``_stateful``) need; set it before such a query starts.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Process all input that is available and return the table that the stream wrote under ``path``."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    """Process all input that is available and return the table that the stream wrote under ``path``.
+
+    Where the stream holds keyed state, the query starts with the state store ``ROCKS``.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS if "TransformWithState" in stream._jdf.queryExecution().logical().toString() else before)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def bars(trades: DataFrame, minutes: int, delay: str) -> DataFrame:
@@ -32,10 +46,33 @@ def bars(trades: DataFrame, minutes: int, delay: str) -> DataFrame:
     return grouped.select("symbol", F.col("w.start").alias("interval_start"), F.col("w.end").alias("interval_end"), "open", "high", "low", "close", "volume", "trade_count")
 
 
-def late_rows(trades: DataFrame, finalized: DataFrame, minutes: int) -> DataFrame:
-    """Trades of intervals that are already final: for ``foreachBatch``, on one micro-batch and the table written so far."""
-    start = F.window("event_time", f"{minutes} minutes")["start"]
-    return trades.withColumn("interval_start", start).join(finalized.select("symbol", "interval_start"), ["symbol", "interval_start"], "left_semi")
+def separate_late(trades: DataFrame, path: str, minutes: int, delay: str) -> None:
+    """Deal all available rows of a stream to two tables: ``path/on_time`` and, as a side output, ``path/late``.
+
+    A row is late if its interval ended at or before the watermark of its micro-batch: the largest time of the batches before, in whole
+    milliseconds, less ``delay``. ``bars`` over the rows that are on time drops none. Each micro-batch is a folder of either table, whole or absent, under its number: one that
+    is run again after a failure finds its folders and leaves them, so every row is told once. Rows of a null time are on time.
+    """
+    spark = trades.sparkSession
+    width = minutes * 60_000_000
+    end = (F.floor(F.unix_micros("event_time") / F.lit(width)) + 1) * width  # window() would drop rows without a time
+    slack = int(pd.Timedelta(delay).total_seconds() * 1_000_000)
+
+    def deal(batch: DataFrame, number: int) -> None:
+        seen = spark.read.schema("us long, batch long").parquet(f"{path}/seen").where(F.col("batch") < number).agg(F.max("us")).first()[0] if exists(spark, f"{path}/seen") else None
+        late = F.lit(False) if seen is None else F.coalesce(end <= seen // 1000 * 1000 - slack, F.lit(False))
+        parts = {"late": batch.where(late), "on_time": batch.where(~late), "seen": batch.agg(F.max(F.unix_micros("event_time")).alias("us"))}
+        for name, rows in parts.items():
+            folder = f"{path}/{name}/batch={number}"
+            if not exists(spark, f"{folder}/_SUCCESS"):
+                rows.write.mode("overwrite").parquet(folder)
+
+    trades.writeStream.foreachBatch(deal).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def dealt_rows(spark: SparkSession, path: str, name: str, schema: StructType, streaming: bool = False) -> DataFrame:
+    """One of the tables of ``separate_late``, as a table or as a stream."""
+    return (spark.readStream if streaming else spark.read).schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
 
 
 def unconfirmed(earlier: DataFrame, later: DataFrame, at: str, time: str = "event_time") -> DataFrame:
@@ -85,8 +122,81 @@ def session_clusters(spans: DataFrame, delay: str) -> DataFrame:
     return grouped.select("key", F.col("w.start").alias("cluster_start"), (F.col("w.end") + F.expr("interval 1 microsecond")).alias("cluster_end"), "n_spans")
 
 
-#: A row that waits for the watermark: time in microseconds, order, and up to three numbers and one text.
-WAITING = "array<struct<us:bigint,order_id:bigint,x:double,y:double,label:string>>"
+#: Rows that wait for the watermark: time in microseconds, order, and up to two numbers and one text each.
+WAITING = "rows array<struct<us:bigint,order_id:bigint,x:double,y:double,label:string>>"
+#: Spans of waiting rows within the delay.
+SPANS = 64
+
+
+class _InOrder(StatefulProcessor):
+    """Applies ``step`` to each key's rows in the order of time, once the watermark has passed them.
+
+    Waiting rows are a map from spans of time to their rows, so a micro-batch rewrites the spans that it adds to or that become due,
+    whatever else waits. A timer at the earliest waiting row calls for what is due.
+    """
+
+    def __init__(self, step, values: dict[str, str], names: list[str], state: str, delay: str):
+        self.step, self.values, self.names, self.record = step, values, names, state
+        self.width = max(1000, int(pd.Timedelta(delay).total_seconds() * 1_000_000) // SPANS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span bigint", WAITING)
+        self.state = handle.getValueState("state", self.record)
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _call_at(self, ms: int) -> None:
+        known = self.timer.get()
+        if known is None or ms < known[0]:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark, first, fresh = timerValues.getCurrentWatermarkInMs(), None, {}
+        for batch in rows:
+            filled = {s: batch[c].tolist() if c else [None] * len(batch) for s, c in ((s, self.values.get(s)) for s in ("x", "y", "label"))}
+            us = batch["event_time"].astype("datetime64[us]").astype("int64").tolist()
+            for row in zip(us, batch["order_id"].tolist(), filled["x"], filled["y"], filled["label"], strict=True):
+                fresh.setdefault(row[0] // self.width, []).append(row)
+                first = row[0] if first is None else min(first, row[0])
+        for span, added in fresh.items():
+            old = self.waiting.getValue((span,))
+            self.waiting.updateValue((span,), ([*map(tuple, old[0]), *added] if old is not None else added,))
+        if first is not None:
+            self._call_at(max(first // 1000, mark + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        ready, following = [], None
+        for span in sorted(k[0] for k in self.waiting.keys()):
+            if span * self.width > mark * 1000:
+                following = span * self.width if following is None else following
+                break
+            rows = sorted((tuple(r) for r in self.waiting.getValue((span,))[0]), key=lambda r: r[:2])
+            due = [r for r in rows if r[0] <= mark * 1000]
+            ready += due
+            if len(due) == len(rows):
+                self.waiting.removeKey((span,))
+            elif due:
+                self.waiting.updateValue((span,), (rows[len(due) :],))
+            if len(due) < len(rows):
+                following = rows[len(due)][0]
+                break
+        if following is not None:
+            self._call_at(max(following // 1000, mark + 1))
+        if ready:
+            frame = pd.DataFrame(ready, columns=["us", "order_id", "x", "y", "label"])
+            frame["event_time"] = pd.to_datetime(frame["us"], unit="us")
+            old = self.state.get()
+            got, new = self.step(key[0], frame.rename(columns=self.values), None if old is None else tuple(old))
+            self.state.update(tuple(new))
+            if got:
+                yield pd.DataFrame(got, columns=self.names)
+
+    def close(self) -> None:
+        pass
 
 
 def _stateful(stream: DataFrame, key: str, values: dict[str, str], out: str, state: str, step, delay: str) -> DataFrame:
@@ -95,40 +205,11 @@ def _stateful(stream: DataFrame, key: str, values: dict[str, str], out: str, sta
     Rows wait in the state until the watermark, ``delay`` behind the latest time seen, has passed them, and are then
     applied in the order of time and ``order_id``: how they are dealt over micro-batches, and in which order they arrive
     within the delay, makes no difference. Rows later than that are dropped. State is what waits, at most the delay's rows
-    of a key, and one record.
+    of a key, and one record. The query needs the state store ``ROCKS``.
     """
     ship(stream.sparkSession)
-    names = [c.split()[0] for c in out.split(", ")]
-    slots = {c: s for s, c in values.items()}  # column: slot
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        old, waiting = None, []
-        if held.exists:
-            *old, waiting = held.get
-            old, waiting = (tuple(old[:-1]) if old[-1] else None), [tuple(w) for w in waiting]
-        for rows in batches:
-            filled = {s: rows[c].tolist() if c else [None] * len(rows) for s, c in (("x", values.get("x")), ("y", values.get("y")), ("label", values.get("label")))}
-            us = rows["event_time"].astype("datetime64[us]").astype("int64").tolist()
-            waiting += zip(us, rows["order_id"].tolist(), filled["x"], filled["y"], filled["label"], strict=True)
-        mark = held.getCurrentWatermarkMs()
-        waiting.sort(key=lambda w: w[:2])
-        ready = [w for w in waiting if w[0] <= mark * 1000]
-        waiting = waiting[len(ready) :]
-        got = []
-        if ready:
-            frame = pd.DataFrame(ready, columns=["us", "order_id", "x", "y", "label"])
-            frame["event_time"] = pd.to_datetime(frame["us"], unit="us")
-            got, old = step(k[0], frame.rename(columns={s: c for c, s in slots.items()}), old)
-        blank = empty if old is None else tuple(old)
-        held.update((*blank, old is not None, waiting))
-        if waiting:
-            held.setTimeoutTimestamp(max(waiting[0][0] // 1000, mark + 1))
-        yield pd.DataFrame(got, columns=names)
-
-    fields = [f.split(" ", 1)[1] for f in state.split(", ")]
-    empty = tuple({"string": "", "boolean": False, "int": 0, "double": 0.0}.get(t, []) for t in fields)
-    timed = stream.withWatermark("event_time", delay)
-    return timed.groupBy(key).applyInPandasWithState(run, out, f"{state}, started boolean, waiting {WAITING}", "append", GroupStateTimeout.EventTimeTimeout)
+    processor = _InOrder(step, values, [c.split()[0] for c in out.split(", ")], state, delay)
+    return stream.withWatermark("event_time", delay).groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
 
 
 def volume_bars(trades: DataFrame, threshold: float, delay: str = "10 minutes") -> DataFrame:
