@@ -10,8 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.blocks import greedy_walk, in_blocks
-from tidemark.functions.windows import near_join
+from tidemark.functions.blocks import greedy_walk, in_blocks, running_sum
 
 US = 1_000_000
 
@@ -98,14 +97,22 @@ def latest(candidates: DataFrame, by: Sequence[str]) -> DataFrame:
     return top.select(*by, *[F.col("_top")[c].alias(c) for c in rest])
 
 
-def lead_lag(a: DataFrame, b: DataFrame, max_lag_s: int, bin_s: int) -> DataFrame:
-    """Histogram of ``B - A`` over pairs at most ``max_lag_s`` apart: ``bin, n``; the last bin holds the upper end."""
-    left = a.select("key", F.col("event_time").alias("a_time"))
-    right = b.select("key", F.col("event_time").alias("b_time"))
-    pairs = near_join(left, right, ["key"], "a_time", "b_time", max_lag_s * US, max_lag_s * US)
-    n_bins = -(-2 * max_lag_s // bin_s)
-    at = F.floor((F.unix_micros("b_time") - F.unix_micros("a_time") + max_lag_s * US) / F.lit(bin_s * US))
-    return pairs.groupBy(F.least(at, F.lit(n_bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+def lead_lag(a: DataFrame, b: DataFrame, max_lag_s: int, bin_s: int, partitions: int | None = None) -> DataFrame:
+    """Histogram of ``B - A`` over pairs at most ``max_lag_s`` apart: ``bin, n``; the last bin holds the upper end.
+
+    No pair is made. A bin's count is how many B stand before its end less how many stand before its begin, summed over A; so each
+    A asks once for each edge, and a running count over both sides' times answers. A busy key is counted block by block.
+    """
+    n_bins, reach = -(-2 * max_lag_s // bin_s), max_lag_s * US
+    shift = F.when(F.col("edge") == n_bins, F.lit(reach + 1)).otherwise(F.col("edge") * (bin_s * US) - reach)
+    edges = a.select("key", F.unix_micros("event_time").alias("us"), F.explode(F.sequence(F.lit(0), F.lit(n_bins))).alias("edge"))
+    asked = edges.select("key", (F.col("us") + shift).alias("us"), "edge", F.lit(0).cast("long").alias("one"))
+    both = asked.unionByName(b.select("key", F.unix_micros("event_time").alias("us"), F.lit(n_bins + 1).alias("edge"), F.lit(1).cast("long").alias("one")))
+    counted = running_sum(in_blocks(both, ["key"], ["us", "edge"], partitions), "one", "before", "long").rows  # at one time the asking stand first
+    # what is before edge k counts for the bin that ends there and against the one that begins there
+    told = counted.where(F.col("edge") <= n_bins).groupBy("edge").agg(F.sum("before").alias("n"))
+    signed = told.select((F.col("edge") - 1).alias("bin"), "n").unionByName(told.select(F.col("edge").alias("bin"), (-F.col("n")).alias("n")))
+    return signed.where((F.col("bin") >= 0) & (F.col("bin") < n_bins)).groupBy(F.col("bin").cast("long").alias("bin")).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def frequency(events: DataFrame, start: str, end: str, bucket_s: int) -> DataFrame:

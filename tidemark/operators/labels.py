@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import materialise
+from tidemark.functions.session import materialise, ship
 from tidemark.functions.windows import asof, with_runs
 
+#: Positions of a run that are looked through together for touches.
+STRETCH = 4096
+
 
 def numbered_bars(bars: DataFrame) -> DataFrame:
     """Bars with ``run_id`` and ``no``, their position in the run, written once for all that read them."""
@@ -59,6 +64,46 @@ def forward_return(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon
     return out.select("symbol", "event_key", "event_time", (F.col("exit_close") / F.col("entry_open") - 1).alias("label"), "known_at")
 
 
+def _first_touches(asked: DataFrame, path: DataFrame, by: list[str], horizon: int) -> DataFrame:
+    """``row, touch``: the first of the ``horizon`` bars from ``no`` on whose low or high reaches ``lo`` or ``hi``.
+
+    Positions of a run are cut into stretches, each with the horizon after it, so a long run is many tasks. Within
+    one, tables hold the lowest low, highest high and latest availability of 2^k bars from each on; from
+    the largest k down, an event steps over 2^k bars that hold no touch. All events step together.
+    """
+    ship(asked.sparkSession)
+    width = max(STRETCH, horizon)
+    stretch = lambda no: F.floor(no / F.lit(width))
+    events = asked.withColumn("stretch", stretch(F.col("no")))
+    bars = path.withColumn("stretch", F.explode(F.sequence(stretch(F.col("no") - (horizon - 1)), stretch(F.col("no")))))
+
+    def find(events: pa.Table, bars: pa.Table) -> pa.Table:
+        e = {c: events.column(c).to_numpy() for c in ("row", "no", "hi", "lo")}
+        order = np.argsort(bars.column("no").to_numpy(), kind="stable")
+        b = {c: bars.column(c).to_numpy(zero_copy_only=False)[order] for c in ("no", "open", "high", "low", "available")}
+        tables = [(b["low"].astype(float), b["high"].astype(float), b["available"].astype(np.int64))]
+        while 2 ** len(tables) <= horizon and 2 ** len(tables) <= len(order):
+            half, (lows, highs, times) = 2 ** (len(tables) - 1), tables[-1]
+            tables.append((np.fmin(lows[:-half], lows[half:]), np.fmax(highs[:-half], highs[half:]), np.maximum(times[:-half], times[half:])))
+        begin = np.searchsorted(b["no"], e["no"])
+        passed, known = np.zeros(len(begin), np.int64), np.full(len(begin), np.iinfo(np.int64).min)
+        for k in reversed(range(len(tables))):
+            lows, highs, times = tables[k]
+            at = np.minimum(begin + passed, len(lows) - 1)
+            free = (passed + 2**k <= horizon) & (begin + passed < len(lows)) & ~(lows[at] <= e["lo"]) & ~(highs[at] >= e["hi"])
+            passed += np.where(free, 2**k, 0)
+            known = np.where(free, np.maximum(known, times[at]), known)
+        hit = np.flatnonzero((passed < horizon) & (begin + passed < len(order)))
+        at = (begin + passed)[hit]
+        down = b["low"][at] <= e["lo"][hit]
+        price = np.where(down, np.minimum(b["open"][at], e["lo"][hit]), np.maximum(b["open"][at], e["hi"][hit]))
+        return pa.table({"row": e["row"][hit], "price": price, "side": np.where(down, -1, 1).astype(np.int32), "known": np.maximum(known[hit], b["available"][at])})
+
+    keys = [*by, "stretch"]
+    found = events.groupBy(*keys).cogroup(bars.groupBy(*keys)).applyInArrow(find, "row long, price double, side int, known long")
+    return found.select("row", F.struct("price", "side", F.timestamp_micros("known").alias("known")).alias("touch"))
+
+
 def triple_barrier(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon_bars: int, upper: float, lower: float, volatility: str | None = None) -> DataFrame:
     """First touch within the window: ``label`` (return), ``side`` (1 upper, -1 lower, 0 time), ``known_at``.
 
@@ -68,25 +113,19 @@ def triple_barrier(events: DataFrame, bars: DataFrame, bar_minutes: int, horizon
     gives a null label; one that is not positive is an error row: ``side`` and ``label`` null, ``problem`` set.
 
     Every row of ``events`` is labelled by itself, also where symbols share a key or a row is repeated. Bars are numbered
-    and written once; an event meets the bars of its window by run and position, and one sort of those rows gives the
-    first touch together with when all bars up to it were available. So the work is events times horizon, once.
+    and written once; events and bars meet by run and stretch of positions, and ``_first_touches`` finds each
+    event's touch by extremes over 2, 4, 8, ... bars: the work grows with the logarithm of the horizon.
     """
     numbered = numbered_bars(bars)
     entries = _windows(events, numbered, bar_minutes, horizon_bars)
     scale = F.col(volatility).cast("double") if volatility else F.lit(1.0)
     entries = entries.select("symbol", "event_key", "event_time", "entry_open", "entry_run", "entry_no", "exit_close", "known_at", scale.alias("vol"), F.monotonically_increasing_id().alias("row"))
     entries = materialise(entries, "label-entries")  # row numbers drawn once
-    steps = entries.where("exit_close is not null and vol > 0").select(
-        "row", "symbol", "entry_run", F.explode(F.sequence(F.col("entry_no"), F.col("entry_no") + horizon_bars - 1)).alias("bar_no"),
-        (F.col("entry_open") * (1 + upper * F.col("vol"))).alias("hi"), (F.col("entry_open") * (1 - lower * F.col("vol"))).alias("lo"),
-    )
-    path = numbered.select("symbol", F.col("run_id").alias("entry_run"), F.col("no").alias("bar_no"), "available_time", *[F.col(c).cast("double").alias(f"b_{c}") for c in ("open", "high", "low")])
-    steps = steps.join(path, ["symbol", "entry_run", "bar_no"])
-    so_far = F.max("available_time").over(Window.partitionBy("row").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0))
-    down, up = F.col("b_low") <= F.col("lo"), F.col("b_high") >= F.col("hi")
-    price = F.when(down, F.least("b_open", "lo")).otherwise(F.greatest("b_open", "hi"))
-    touch = F.struct(price.alias("price"), F.when(down, -1).otherwise(1).alias("side"), F.col("so_far").alias("known"))
-    touched = steps.withColumn("so_far", so_far).where(down | up).groupBy("row").agg(F.min_by(touch, "bar_no").alias("touch"))
+    asked = entries.where("exit_close is not null and vol > 0").select(
+        "row", "symbol", "entry_run", F.col("entry_no").cast("long").alias("no"), (F.col("entry_open") * (1 + upper * F.col("vol"))).alias("hi"), (F.col("entry_open") * (1 - lower * F.col("vol"))).alias("lo")
+    )
+    path = numbered.select("symbol", F.col("run_id").alias("entry_run"), F.col("no").cast("long").alias("no"), F.unix_micros("available_time").alias("available"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low")])
+    touched = _first_touches(asked, path, ["symbol", "entry_run"], horizon_bars)
     out = entries.join(touched, "row", "left")
     good = F.col("exit_close").isNotNull() & (F.col("vol") > 0)
     label = F.coalesce(F.col("touch.price"), F.col("exit_close")) / F.col("entry_open") - 1

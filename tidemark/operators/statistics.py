@@ -150,9 +150,9 @@ def overfitting_probability(returns: DataFrame, segments: int, x: str = "net", e
     spark = returns.sparkSession
     n = (returns.agg(F.max("time_no") + 1).first()[0]) or 1
     seg = F.least(F.floor(F.col("time_no") * segments / F.lit(n)), F.lit(segments - 1)).cast("int")
-    cut = returns.withColumn("seg", seg)
-    first = F.min("time_no").over(Window.partitionBy("seg"))
-    cut = cut.withColumn("early", (F.col("time_no") - first < embargo).cast("int"))
+    cut = returns.withColumn("seg", seg).where("seg is not null")
+    firsts = cut.groupBy("seg").agg(F.min("time_no").alias("first"))  # a row for each segment
+    cut = cut.join(F.broadcast(firsts), "seg").withColumn("early", (F.col("time_no") - F.col("first") < embargo).cast("int"))
     sums = cut.groupBy("trial", "seg", "early").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     splits = [(i, s, int(s in c), int(s - 1 in c)) for i, c in enumerate(combinations(range(segments), segments // 2)) for s in range(segments)]
     plan = spark.createDataFrame(splits, "split int, seg int, inside int, after int")
@@ -337,17 +337,22 @@ def within(rows: DataFrame, time: str, spans: DataFrame, start: str, end: str, b
 def null_percentile(pool: DataFrame, observed: DataFrame, sims: int, seed: int, key: str = "key", x: str = "label") -> DataFrame:
     """Mid-rank percentile of the observed mean of ``side * label`` among seeded draws of as many labels from the pool.
 
-    Each draw takes the labels with the smallest hashes and pairs them with the observed sides by rank; ranks come from range
-    partitions over all draws, so no draw and no study is one task. Null, with its row,
-    when the pool is smaller. ``observed``: key, label, side.
+    Each draw takes the labels with the smallest hashes and pairs them with the observed sides by rank. Before anything is sorted, a histogram
+    of the hashes' first digits tells up to which of them a draw needs labels, and only those are ranked, by range
+    partitions over all draws: no draw and no study is one task. Null, with its row, when the pool is smaller.
+    ``observed``: key, label, side.
     """
     spark = pool.sparkSession
     n = observed.count()
     draws = spark.range(sims).select(F.col("id").alias("sim"))
     labels = pool.where(F.col(x).isNotNull()).select(key, x)
-    cand = labels.crossJoin(F.broadcast(draws)).withColumn("_h", dealt(seed, key, "sim"))
-    # every draw orders the whole pool, so a draw's ranks start at its number times the pool's size
-    taken = ranked(cand, [F.col("sim"), F.col("_h"), F.col(key)], "rn").withColumn("rn", F.col("rn") - F.col("sim") * F.lit(labels.count())).where(F.col("rn") < n)
+    cand = labels.crossJoin(F.broadcast(draws)).withColumn("_h", dealt(seed, key, "sim")).withColumn("_d", F.substring("_h", 1, 3))
+    counts = cand.groupBy("sim", "_d").agg(F.count("*").alias("c"))  # 4096 rows a draw at most
+    before = F.sum("c").over(Window.partitionBy("sim").orderBy("_d")) - F.col("c")
+    needed = materialise(counts.withColumn("_b", before).where(F.col("_b") < n).groupBy("sim").agg(F.max("_d").alias("_top"), F.sum("c").alias("_n")), "needed")
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("sim").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a draw
+    near = cand.join(F.broadcast(needed.withColumn("_off", offset)), "sim").where(F.col("_d") <= F.col("_top"))
+    taken = ranked(near, [F.col("sim"), F.col("_h"), F.col(key)], "rn").withColumn("rn", F.col("rn") - F.col("_off")).where(F.col("rn") < n)
     sides = ranked(observed.select("side", key), [dealt(seed, key), F.col(key)], "rn").select("side", "rn")
     means = taken.join(sides, "rn").groupBy("sim").agg(F.avg(F.col("side") * F.col(x)).alias("m"), F.count("*").alias("n"))
     own = observed.agg(F.avg(F.col("side") * F.col(x)).alias("own"))
@@ -358,11 +363,12 @@ def null_percentile(pool: DataFrame, observed: DataFrame, sims: int, seed: int,
 def state_matrix(returns: DataFrame, top_k: int = 3) -> DataFrame:
     """Per state: count, total, mean, hit rate, the best state flagged with its share of the total and its top results' share.
 
-    ``returns``: ``state, net``.
+    ``returns``: ``state, net``. Each task keeps no more than the ``top_k`` of each state before they meet.
     """
     w = Window.partitionBy("state").orderBy(F.desc("net"))
-    topped = returns.withColumn("rn", F.row_number().over(w))
-    per = topped.groupBy("state").agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.avg("net").alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.sum(F.when(F.col("rn") <= top_k, F.col("net"))).alias("top"))
+    top = returns.select("state", "net").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).groupBy(F.col("state").alias("of")).agg(F.sum("net").alias("top"))
+    per = returns.groupBy("state").agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.avg("net").alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"))
+    per = per.join(top, F.col("state").eqNullSafe(F.col("of")), "left")
     all_states = Window.partitionBy()  # one row per state
     grand = F.sum("total").over(all_states)
     best = F.col("total") == F.max("total").over(all_states)
