@@ -15,6 +15,7 @@ from tidemark.operators import features as X
 from tidemark.operators import labels as L
 from tidemark.operators import splits as P
 from tidemark.operators import states as S
+from tidemark.operators import revised as V
 from tidemark.operators import targets as G
 from tidemark.operators.bars import resample, time_bars
 from tidemark.operators.statistics import ranked
@@ -306,6 +307,37 @@ def _volatility_change(b, n):
 
 
 VOL = f"WITH {runs_sql()}, v AS (SELECT symbol, available_time AS time, sqrt({full_sql('sum', 'log_return * log_return', 5)}) AS value FROM b)"
+
+
+def revised_bars(s, d):
+    """Hourly bars with revisions: every seventh is revised after five hours, every eleventh after two and again after three hours, every thirteenth arrives late."""
+    hour = F.floor(F.unix_micros("interval_start") / 3_600_000_000)
+    b = bars(s, d).select("symbol", "interval_start", "interval_end", "available_time", F.col("close").cast("double").alias("close"))
+    first = b.withColumns({"available_time": F.when(hour % 13 == 4, F.col("available_time") + F.expr("interval 150 minutes")).otherwise(F.col("available_time")), "revision_id": F.lit(0)})
+    more = [b.where(hour % m == k).withColumns({"available_time": F.col("interval_end") + F.expr(f"interval {h} hours"), "close": F.col("close") * x, "revision_id": F.lit(n)}) for m, k, h, x, n in ((7, 3, 5, 1.25, 1), (11, 5, 2, 0.5, 2), (11, 5, 3, 2.0, 3))]
+    return first.unionByName(more[0]).unionByName(more[1]).unionByName(more[2])
+
+
+def standardized_returns(b):
+    """A feature of a feature: the log return against its last three."""
+    return X.with_returns(b).withColumn("value", X.standardize("log_return", 3))
+
+
+REVISED = f"""WITH {bars_sql()}, h AS (SELECT symbol, interval_start, interval_end, available_time, close, epoch_us(interval_start) // 3600000000 AS hour FROM bars),
+    revs AS (SELECT symbol, interval_start, available_time + CASE WHEN hour % 13 = 4 THEN INTERVAL 150 MINUTE ELSE INTERVAL 0 MINUTE END AS tick, close, 0 AS id FROM h
+        UNION ALL SELECT symbol, interval_start, interval_end + INTERVAL 5 HOUR, close * 1.25, 1 FROM h WHERE hour % 7 = 3
+        UNION ALL SELECT symbol, interval_start, interval_end + INTERVAL 2 HOUR, close * 0.5, 2 FROM h WHERE hour % 11 = 5
+        UNION ALL SELECT symbol, interval_start, interval_end + INTERVAL 3 HOUR, close * 2.0, 3 FROM h WHERE hour % 11 = 5),
+    own AS (SELECT symbol, interval_start, min(tick) AS begun FROM revs GROUP BY 1, 2),
+    due AS (SELECT symbol, interval_start, begun AS tick FROM own UNION SELECT o.symbol, o.interval_start, r.tick FROM own o JOIN revs r
+        ON r.symbol = o.symbol AND r.interval_start BETWEEN o.interval_start - INTERVAL 3 HOUR AND o.interval_start AND r.tick > o.begun),
+    seen AS (SELECT d.symbol, d.interval_start, d.tick, date_diff('hour', r.interval_start, d.interval_start) AS ago, arg_max(r.close, (r.tick, r.id)) AS close FROM due d JOIN revs r
+        ON r.symbol = d.symbol AND r.interval_start BETWEEN d.interval_start - INTERVAL 3 HOUR AND d.interval_start AND r.tick <= d.tick GROUP BY 1, 2, 3, 4),
+    closes AS (SELECT symbol, interval_start, tick, max(close) FILTER (WHERE ago = 0) AS c0, max(close) FILTER (WHERE ago = 1) AS c1, max(close) FILTER (WHERE ago = 2) AS c2, max(close) FILTER (WHERE ago = 3) AS c3
+        FROM seen GROUP BY 1, 2, 3),
+    steps AS (SELECT *, [ln(c0 / c1), ln(c1 / c2), ln(c2 / c3)] AS x FROM closes)
+    SELECT symbol, interval_start, tick AS valid_from, CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL AND c3 IS NOT NULL THEN round((x[1] - list_avg(x)) / nullif(list_stddev_pop(x), 0), 5) END AS value FROM steps"""
+add("j07_revised_feature", lambda s, d: V.over_revisions(revised_bars(s, d), standardized_returns, 3, 60).select("symbol", "interval_start", "valid_from", r(F.col("value"), 5).alias("value")), REVISED)
 add("j01_feature_provider", lambda s, d: REG.run("feature", "volatility", bars(s, d), n=5).select("symbol", "time", r(F.col("value")).alias("value")), VOL + " SELECT symbol, time, round(value, 6) AS value FROM v")
 add("j02_state_provider", lambda s, d: REG.run("state", "trend", bars(s, d), n=5).groupBy("value").agg(F.count("*").alias("n")), TREND + " SELECT state AS value, count(*) AS n FROM st GROUP BY 1")
 add("j03_event_provider", lambda s, d: REG.run("event", "upcross", bars(s, d)), f"""WITH {runs_sql()} SELECT symbol AS key, available_time AS event_time
