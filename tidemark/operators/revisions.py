@@ -78,16 +78,19 @@ def maximal_heads(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return candidates.join(beaten.where("beaten_at is not null").select("revision_id"), "revision_id", "left_anti")
 
 
-def chased(links: DataFrame, done: Column) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def chased(links: DataFrame, done: Column, to_circles: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pointers followed to their end by doubling: ``links`` (``v, up, m``) with ``up`` the last that is reached and ``m`` the least on the way.
 
     A pointer ends at what has no link of its own, or where ``done`` holds. Every round doubles what is followed, so there are a logarithm
     of the longest chain. Returns all links, those that run in a circle and so never end (followed for more steps than there are links), and
     the links of every round, each twice as far as those of the round before.
+
+    ``to_circles``: what never ends is followed only until it points into its circle, and ``m`` of it is not to be used. That is so once a round
+    ends no pointer (then none will) and leaves as many different targets (then following permutes them).
     """
     ends = links.select(F.col("v").alias("up"), F.lit(True).alias("_goes"))
     pending = materialise(links.join(ends, "up", "left").select("v", "up", "m", (F.col("_goes").isNull() | done).alias("ended")), "links")
-    n, parts, rounds = pending.count(), [], []
+    n, parts, rounds, before = pending.count(), [], [], None
     while True:
         parts.append(pending.where("ended").select("v", "up", "m"))
         pending = pending.where("not ended")
@@ -98,6 +101,11 @@ def chased(links: DataFrame, done: Column) -> tuple[DataFrame, DataFrame, list[D
         rounds.append(known.select("v", "up", "m"))
         if len(rounds) > n.bit_length() + 1 or not pending.limit(1).count():
             return known.select("v", "up", "m"), pending.select("v", "up", "m"), rounds
+        if to_circles:
+            now = pending.agg(F.count("*"), F.count_distinct("up")).first()[:]
+            if now == before:
+                return known.select("v", "up", "m"), pending.select("v", "up", "m"), rounds
+            before = now
         ahead = known.select(F.col("v").alias("up"), F.col("up").alias("_up"), F.col("m").alias("_m"), F.col("ended").alias("_ended"))
         further = pending.join(ahead, "up").select("v", F.col("_up").alias("up"), F.least("m", "_m").alias("m"), F.col("_ended").alias("ended"))
         pending = materialise(further.withColumn("ended", F.col("ended") | done), "links")
@@ -151,8 +159,8 @@ def on_cycles(arcs: DataFrame) -> DataFrame:
     """
     arcs = materialise(arcs.distinct(), "arcs")
     into = arcs.groupBy("v").agg(F.min("a").alias("up"), F.count("*").alias("n"))
-    links, circling, rounds = chased(into.where("n = 1").select("v", "up", F.lit(0).alias("m")), F.lit(False))
-    found = circling.select(F.col("up").alias("v")).distinct()  # after so many steps only the circles themselves are pointed to
+    links, circling, rounds = chased(into.where("n = 1").select("v", "up", F.lit(0).alias("m")), F.lit(False), to_circles=True)
+    found = circling.select(F.col("up").alias("v")).distinct()
     several = materialise(into.where("n > 1").select("v"), "several")
     if not several.limit(1).count():
         return found
