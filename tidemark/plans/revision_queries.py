@@ -102,9 +102,11 @@ def canonical(s, d):
 
 
 add("c04_map_edges", lambda s, d: R.map_edges(edges(s, d), canonical(s, d)), f"""WITH {REVS},
-    ca AS (SELECT revision_id AS lineage_id, revision_id + 1000000000 AS revision_id, available_time + INTERVAL 3 DAY AS k FROM revs)
-    SELECT a.revision_id, b.revision_id AS superseded_revision_id, greatest(e.knowledge_time, a.k, b.k) AS knowledge_time, 1 AS n_matches
-    FROM edges e JOIN ca a ON a.lineage_id = e.revision_id JOIN ca b ON b.lineage_id = e.superseded_revision_id""")
+    ends AS (SELECT *, lag(revision_id) OVER w AS other_id, lag(available_time) OVER w AS other_time FROM revs
+    WINDOW w AS (PARTITION BY observation_key ORDER BY revision_id))
+    SELECT revision_id + 1000000000 AS revision_id, other_id + 1000000000 AS superseded_revision_id, greatest(knowledge_time,
+    available_time + INTERVAL 3 DAY, other_time + INTERVAL 3 DAY) AS knowledge_time, 1 AS n_matches
+    FROM ends WHERE other_id IS NOT NULL AND observation_key % 3 <> 0""")
 add("c05_maximal_heads", lambda s, d: R.maximal_heads(*known(s, d)).select("observation_key", "revision_id"), f"{CL}, {CAND} SELECT observation_key, revision_id FROM heads")
 BAD = """bad AS (SELECT revision_id, superseded_revision_id FROM edges UNION ALL SELECT revision_id, CASE
     WHEN revision_id % 1000 = 1 THEN revision_id + 77000000 WHEN revision_id % 1000 = 102 THEN revision_id WHEN revision_id % 100 = 1 THEN revision_id + 3 ELSE revision_id - revision_id % 100 + 2 END
@@ -154,8 +156,9 @@ add(
     ORDER BY t), TIMESTAMP '{E0}') AS valid_until, status, revision_id FROM ch WHERE fresh""",
 )
 add("c09_key_closure", lambda s, d: R.key_closure(revs(s, d).where("available_time >= timestamp '2000-01-01' and available_time < timestamp '2000-01-08'"), revs(s, d)).select("observation_key", "revision_id"), f"""WITH {REVS}
-    SELECT observation_key, revision_id FROM revs WHERE observation_key IN (SELECT observation_key FROM revs
-    WHERE available_time >= TIMESTAMP '2000-01-01' AND available_time < TIMESTAMP '2000-01-08')""")
+    SELECT observation_key, revision_id FROM (SELECT *, max(CASE
+    WHEN available_time >= TIMESTAMP '2000-01-01' AND available_time < TIMESTAMP '2000-01-08' THEN 1 ELSE 0 END) OVER (PARTITION BY observation_key) AS touched
+    FROM revs) WHERE touched = 1""")
 add("c10_asof_revisions", lambda s, d: R.asof_revisions(revs(s, d)).select("observation_key", "revision_id", "valid_from", "valid_until"), f"""WITH {REVS}
     SELECT observation_key, revision_id, available_time AS valid_from, lead(available_time) OVER (PARTITION BY observation_key
     ORDER BY available_time, revision_id) AS valid_until FROM revs""")
