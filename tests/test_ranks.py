@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ranks import Wavelet, in_pieces
 from tidemark.operators import features as X
 from tidemark.operators import states as S
+from tidemark.operators import targets as T
 
 BEGIN = datetime.datetime(2024, 1, 1)
 
@@ -80,3 +81,65 @@ def test_regimes_of_long_windows(spark):
         less, count = bisect.bisect_left(held, v) if v is not None else 0, len(held)
         passed = sum(less >= max(1, int(np.ceil(c * count))) for c in (0.3, 0.7))
         assert got[BEGIN + datetime.timedelta(seconds=i)] == (["low", "mid", "high"][passed] if v is not None and count >= 5 else None), i
+
+
+def runs_of(bars):
+    """The bars of each run, in order."""
+    runs = []
+    for b in sorted(bars.collect(), key=lambda b: b.interval_start):
+        if not runs or runs[-1][-1].interval_end != b.interval_start:
+            runs.append([])
+        runs[-1].append(b)
+    return runs
+
+
+def walked(runs, enters, leaves):
+    """The target after each bar, by the end of the bar: one loop along each run."""
+    out = {}
+    for run in runs:
+        held = 0.0
+        for i, b in enumerate(run):
+            held = 0.0 if leaves(run, i) else 1.0 if enters(run, i) else held
+            out[b.interval_end] = held
+    return out
+
+
+def test_latches_hold_over_pieces_and_fall_at_gaps(spark):
+    bars = minute_bars(spark, 700, 8).withColumns({"high": F.col("close") + 0.25, "low": F.col("close") - 0.25})
+    runs = runs_of(bars)
+    want = walked(runs, lambda r, i: i >= 6 and r[i].close > max(b.high for b in r[i - 4 : i]), lambda r, i: i >= 6 and r[i].close < min(b.low for b in r[i - 6 : i]))
+    for piece in (11, 40, 4096):
+        got = T.donchian_breakout(bars, 4, 6, 1, piece_bars=piece).collect()
+        assert len(got) == len(want) and {r.time: r.target for r in got} == want
+    assert 0 < sum(want.values()) < len(want)
+
+    def z(r, i):
+        c = np.array([b.close for b in r[max(0, i - 4) : i + 1]])
+        return (c[-1] - c.mean()) / c.std() if len(c) == 5 and c.std() > 0 else None
+
+    want = walked(runs, lambda r, i: z(r, i) < -1.0, lambda r, i: z(r, i) is None or z(r, i) > -0.2)
+    for piece in (11, 4096):
+        got = T.zscore_reversion(bars, 5, 1.0, 0.2, 1, piece_bars=piece).collect()
+        assert len(got) == len(want) and {r.time: r.target for r in got} == want
+    assert 0 < sum(want.values()) < len(want)
+    assert T.donchian_breakout(bars.where("symbol = 'none'"), 4, 6, 1).count() == 0
+
+
+def test_crosses_and_switches_meet_the_row_of_the_block_before(spark, monkeypatch):
+    bars = minute_bars(spark, 300, 9).withColumn("x", F.when(F.col("volume") != 5, F.col("volume") - 6))
+    rows = sorted(bars.collect(), key=lambda b: b.interval_start)
+    bars = bars.withColumn("state", F.when(F.col("x") > 1, "high").when(F.col("x") < -1, "low"))
+    pairs = list(zip(rows, rows[1:], strict=False))
+    crossed = {b.interval_start: "up" if b.x > 0 else "down" for a, b in pairs if a.x is not None and b.x is not None and (a.x <= 0 < b.x or a.x >= 0 > b.x)}
+    name = lambda x: None if x is None else "high" if x > 1 else "low" if x < -1 else None
+    switched = {b.interval_start: (name(a.x), name(b.x)) for a, b in pairs if name(a.x) and name(b.x) and name(a.x) != name(b.x)}
+    known = [name(r.x) for r in rows if name(r.x)]
+    steps = {}
+    for pair in zip(known, known[1:], strict=False):
+        steps[pair] = steps.get(pair, 0) + 1
+    for minutes in (7, 100_000):  # blocks of a few rows, some of them without any, and one block
+        monkeypatch.setattr(S, "BLOCK_US", minutes * 60_000_000)
+        assert {r.interval_start: r.direction for r in S.threshold_cross(bars, "x", 0.0).collect()} == crossed
+        assert {r.interval_start: (r.from_state, r.to_state) for r in S.state_switch(bars).collect()} == switched
+        assert {(r.from_state, r.to_state): r.n for r in S.transitions(bars).collect()} == steps
+    assert crossed and switched

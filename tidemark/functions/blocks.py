@@ -38,13 +38,15 @@ BUSY = 1_000_000
 class Blocks:
     """Rows with the number ``_block`` of their block, dealt by it, so that windows and groups within blocks need no further shuffle.
 
-    ``whole``: no key meets two blocks, so nothing has to be carried from one to another.
+    ``whole``: no key meets two blocks, so nothing has to be carried from one to another. ``ranged``: blocks are ranges of keys, so all but
+    two keys of a block lie inside it, which ``carried`` builds on.
     """
 
     rows: DataFrame
     by: Sequence[str]
     order: Sequence[str]
     whole: bool = False
+    ranged: bool = True
 
     def but(self, rows: DataFrame) -> Blocks:
         return replace(self, rows=rows)
@@ -66,16 +68,21 @@ def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions
     return Blocks(ranges.drop("_rk_o").withColumnRenamed("_rk_part", "_block").repartition("_block"), by, order)
 
 
+def time_blocks(df: DataFrame, by: Sequence[str], order: str, width_us: int) -> Blocks:
+    """Rows in blocks of time, the same for all keys: no count, sample or write comes before, and a busy key is as many tasks as it has blocks."""
+    return Blocks(df.withColumn("_block", F.floor(F.unix_micros(order) / F.lit(width_us))), by, [order], ranged=False)
+
+
 def from_before(blocks: Blocks, agg: Column, over: Callable[[Column, object], Column], name: str) -> DataFrame:
     """Each row with ``name``: what ``over(agg of a block, window of the key's blocks before)`` gives.
 
-    The aggregates are one row for each key and block. Only keys that meet several blocks have blocks before; their rows
-    are written, so that Spark knows how few they are.
+    The aggregates are one row for each key and block. Only keys that meet several blocks have blocks before; of ranges, their rows
+    are written, so that Spark knows how few they are; of blocks of time, adaptive execution learns it from the aggregation's shuffle.
     """
     parts = blocks.rows.groupBy("_block", *blocks.by).agg(agg.alias("_agg"))
     w = Window.partitionBy(*blocks.by).orderBy("_block")
     before = parts.withColumn(name, over(F.col("_agg"), w)).where(F.col(name).isNotNull()).select("_block", *[F.col(c).alias(f"_by_{c}") for c in blocks.by], name)
-    before = materialise(before, "before").withColumnRenamed("_block", "_of")
+    before = (materialise(before, "before") if blocks.ranged else before).withColumnRenamed("_block", "_of")
     same = F.col("_block") == F.col("_of")
     for c in blocks.by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
@@ -94,6 +101,16 @@ def previous(blocks: Blocks, columns: dict[str, str]) -> Blocks:
     return blocks.but(rows.withColumn("_last", last).withColumns({n: F.col("_last")[n] for n in columns}).drop("_last"))
 
 
+def latest(blocks: Blocks, value: str, name: str) -> Blocks:
+    """Adds the last ``value`` that is not null of the key's rows up to each one, across blocks."""
+    own = F.last(value, ignorenulls=True).over(blocks.window.rowsBetween(Window.unboundedPreceding, 0))
+    if blocks.whole:
+        return blocks.but(blocks.rows.withColumn(name, own))
+    known = F.when(F.col(value).isNotNull(), F.struct(*blocks.order))
+    joined = from_before(blocks, F.max_by(value, known), lambda a, w: F.last(a, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_before")
+    return blocks.but(joined.withColumn(name, F.coalesce(own, "_before")).drop("_before"))
+
+
 def running_sum(blocks: Blocks, value: str, name: str, kind: str = "decimal(38,18)") -> Blocks:
     """Adds the sum of ``value`` over the key's rows up to each one, exact for decimals."""
     own = F.sum(value).over(blocks.window.rowsBetween(Window.unboundedPreceding, 0))
@@ -124,6 +141,8 @@ def carried(blocks: Blocks, start: object, summarise: Callable[[pa.Table], objec
     the state after them; ``apply(rows, state)`` gives the columns, as sequences, from the state before. The first row's
     state is ``start``. Rows come to the functions in order, as Arrow tables. All must be pure: tasks may run twice.
     """
+    if not blocks.ranged:
+        raise ValueError("blocks of time hold more than two keys that go on in others; use in_blocks")
     spark, rows, by, order = blocks.rows.sparkSession, blocks.rows, list(blocks.by), list(blocks.order)
     ship(spark)
     sort = [(c, "ascending") for c in [*by, *order]]

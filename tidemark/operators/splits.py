@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import materialise
 from tidemark.operators.statistics import ranked, within
 
 
@@ -37,6 +38,7 @@ def walk_forward(spans: DataFrame, windows: DataFrame, embargo_s: int = 0) -> Da
 
 def fold_of(spans: DataFrame, k: int) -> DataFrame:
     """Spans with ``fold`` 0..k-1 in ``(start, key)`` order, the first folds one larger; numbered without a one-task window."""
+    spans = materialise(spans, "spans")  # read three times: for its size, the bounds of the ranges, and the rows
     n = spans.count()
     size, more = divmod(n, k)
     numbered = ranked(spans, [F.col("start"), F.col("key")], "_i")
@@ -50,7 +52,7 @@ def purged_k_fold(spans: DataFrame, k: int, embargo_s: int = 0) -> DataFrame:
 
     The k test periods are one row each and are broadcast. A fold's test period runs from its first start to its last end.
     """
-    placed = fold_of(spans, k)
+    placed = materialise(fold_of(spans, k), "folds")
     tests = placed.groupBy(F.col("fold").alias("test_fold")).agg(F.min("start").alias("test_start"), F.max("end").alias("test_end"))
     joined = placed.crossJoin(F.broadcast(tests))  # k rows
     label = F.when(F.col("fold") == F.col("test_fold"), "test").when((F.col("start") < F.col("test_end")) & (F.col("end") > F.col("test_start")), "purged")

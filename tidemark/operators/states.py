@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import previous, time_blocks
 from tidemark.functions.ranks import in_pieces, trailing_ranks
 
+#: Time of a symbol that is worked through as one block where only the row before matters.
+BLOCK_US = 32 * 86_400_000_000
+
 
 def quantile_regime(df: DataFrame, x: str, cuts: Sequence[float], labels: Sequence[str], min_history: int, window_seconds: int, time: str = "interval_end") -> DataFrame:
     """``state``: how many empirical quantiles of the trailing window, the current value included, lie below the value.
@@ -55,8 +59,8 @@ def return_shock(x: str, vol: str, k: float) -> Column:
 
 
 def _crossed(df: DataFrame, gap: Column, direction: str, time: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy(time)
-    b = df.withColumn("_gap", gap).withColumn("_before", F.lag("_gap").over(w))
+    """Rows where ``gap`` changes its sign from the symbol's row before; that may lie in the block of time before."""
+    b = previous(time_blocks(df.withColumn("_gap", gap), ["symbol"], time, BLOCK_US), {"_before": "_gap"}).rows.drop("_block")
     up, down = (F.col("_before") <= 0) & (F.col("_gap") > 0), (F.col("_before") >= 0) & (F.col("_gap") < 0)
     want = {"up": up, "down": down, "both": up | down}[direction]
     return b.where(want).withColumn("direction", F.when(F.col("_gap") > 0, "up").otherwise("down")).drop("_gap", "_before")
@@ -82,8 +86,8 @@ def breakout(df: DataFrame, x: str, n: int, multiplier: float, time: str = "inte
 
 def state_switch(df: DataFrame, state: str = "state", from_state: str | None = None, to_state: str | None = None, time: str = "interval_start") -> DataFrame:
     """Rows whose state differs from that of the row before; a null state breaks the pair."""
-    w = Window.partitionBy("symbol").orderBy(time)
-    b = df.withColumns({"from_state": F.lag(state).over(w), "to_state": F.col(state)}).where("from_state <> to_state")
+    b = previous(time_blocks(df, ["symbol"], time, BLOCK_US), {"from_state": state}).rows.drop("_block")
+    b = b.withColumn("to_state", F.col(state)).where("from_state <> to_state")
     if from_state is not None:
         b = b.where(F.col("from_state") == from_state)
     return b if to_state is None else b.where(F.col("to_state") == to_state)
@@ -100,7 +104,7 @@ def state_counts(df: DataFrame, state: str = "state", min_run: int = 3, time: st
 
 def transitions(df: DataFrame, state: str = "state", time: str = "interval_start") -> DataFrame:
     """Counts and probabilities of each step from one known state to the next."""
-    w = Window.partitionBy("symbol").orderBy(time)
-    steps = df.where(F.col(state).isNotNull()).select(F.lag(state).over(w).alias("from_state"), F.col(state).alias("to_state")).where("from_state is not null")
+    known = df.where(F.col(state).isNotNull()).select("symbol", time, F.col(state).alias("to_state"))
+    steps = previous(time_blocks(known, ["symbol"], time, BLOCK_US), {"from_state": "to_state"}).rows.where("from_state is not null")
     counted = steps.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
     return counted.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import asof, nonzero
+from tidemark.functions.blocks import latest, time_blocks
+from tidemark.functions.ranks import in_pieces
+from tidemark.functions.windows import asof, nonzero, run_window, with_runs
+from tidemark.operators.features import PIECE
 from tidemark.operators.statistics import running_max
 
 
@@ -52,29 +55,48 @@ def dual_momentum(bars: DataFrame, n: int, universe: int, time: str = "interval_
     return b.select("time", "instrument", F.when(held, 1.0).otherwise(0.0).alias("target"))
 
 
-def _latched(bars: DataFrame, enter: Column, leave: Column, time: str) -> DataFrame:
-    """1 from an entry to the next exit within the run; entry and exit never hold together."""
-    b = bars.withColumn("_mark", F.when(leave, 0.0).when(enter, 1.0))
-    w = Window.partitionBy("symbol", "run_id").orderBy("interval_start").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select(F.col(time).alias("time"), F.col("symbol").alias("instrument"), F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit(0.0)).alias("target"))
+def _latched(bars: DataFrame, marks: Callable[[DataFrame], tuple[Column, Column]], n: int, minutes: int, time: str, piece_bars: int) -> DataFrame:
+    """1 from an entry to the next exit within the run; ``marks(bars)`` says where to enter and leave, never both, from ``n`` bars before.
 
+    The marks come from pieces of a symbol's time. A run begins flat, so the target is the symbol's last mark, which goes from piece to piece.
+    """
+    us = minutes * 60_000_000
 
-def donchian_breakout(bars: DataFrame, entry: int, exit: int, time: str = "interval_end") -> DataFrame:
-    """Long after a close above the highest high of ``entry`` earlier bars, flat after one below the lowest low of ``exit``; resets at a gap."""
-    w = Window.partitionBy("symbol", "run_id").orderBy("interval_start")
-    c = F.col("close").cast("double")
-    enough = F.row_number().over(w) > max(entry, exit)
-    b = bars.withColumns({"_hi": F.max(F.col("high").cast("double")).over(w.rowsBetween(-entry, -1)), "_lo": F.min(F.col("low").cast("double")).over(w.rowsBetween(-exit, -1)), "_enough": enough})
-    return _latched(b, F.col("_enough") & (c > F.col("_hi")), F.col("_enough") & (c < F.col("_lo")), time)
+    def marked(piece: DataFrame) -> DataFrame:
+        piece = with_runs(piece)
+        enter, leave = marks(piece)
+        first = F.row_number().over(run_window()) == 1
+        return piece.withColumn("_mark", F.when(leave, 0.0).when(enter, 1.0).when(first, 0.0))
 
+    found = in_pieces(bars, marked, (n + 2) * us, piece_bars * us).select(F.col("symbol").alias("instrument"), "interval_start", F.col(time).alias("time"), "_mark")
+    return latest(time_blocks(found, ["instrument"], "interval_start", piece_bars * us), "_mark", "target").rows.select("time", "instrument", "target")
 
-def zscore_reversion(bars: DataFrame, n: int, entry_z: float, exit_z: float, time: str = "interval_end") -> DataFrame:
-    """Long under ``-entry_z``, flat above ``-exit_z`` or where the z-score is missing."""
-    w = Window.partitionBy("symbol", "run_id").orderBy("interval_start").rowsBetween(-(n - 1), 0)
-    c = F.col("close").cast("double")
-    z = F.when(F.count(c).over(w) == n, (c - F.avg(c).over(w)) / nonzero(F.stddev_pop(c).over(w)))
-    b = bars.withColumn("_z", z)
-    return _latched(b, F.col("_z") < -entry_z, F.col("_z").isNull() | (F.col("_z") > -exit_z), time)
+
+def donchian_breakout(bars: DataFrame, entry: int, exit: int, minutes: int, time: str = "interval_end", piece_bars: int = PIECE) -> DataFrame:
+    """Long after a close above the highest high of ``entry`` earlier bars, flat after one below the lowest low of ``exit``; resets at a gap.
+
+    Bars of ``minutes``; a symbol is worked through in pieces of ``piece_bars``.
+    """
+    n = max(entry, exit)
+
+    def marks(b: DataFrame) -> tuple[Column, Column]:
+        w, c = run_window(), F.col("close").cast("double")
+        enough = F.count(F.lit(1)).over(w.rowsBetween(-n, -1)) == n
+        above, below = c > F.max(F.col("high").cast("double")).over(w.rowsBetween(-entry, -1)), c < F.min(F.col("low").cast("double")).over(w.rowsBetween(-exit, -1))
+        return enough & above, enough & below
+
+    return _latched(bars, marks, n, minutes, time, piece_bars)
+
+
+def zscore_reversion(bars: DataFrame, n: int, entry_z: float, exit_z: float, minutes: int, time: str = "interval_end", piece_bars: int = PIECE) -> DataFrame:
+    """Long under ``-entry_z``, flat above ``-exit_z`` or where the z-score is missing. Bars of ``minutes``, in pieces of ``piece_bars``."""
+
+    def marks(b: DataFrame) -> tuple[Column, Column]:
+        w, c = run_window().rowsBetween(-(n - 1), 0), F.col("close").cast("double")
+        z = F.when(F.count(c).over(w) == n, (c - F.avg(c).over(w)) / nonzero(F.stddev_pop(c).over(w)))
+        return z < -entry_z, z.isNull() | (z > -exit_z)
+
+    return _latched(bars, marks, n, minutes, time, piece_bars)
 
 
 def conditioned(targets: DataFrame, states: DataFrame, allowed: Sequence[str]) -> DataFrame:

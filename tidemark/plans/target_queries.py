@@ -50,10 +50,10 @@ DON = f"""m AS (SELECT *, CASE WHEN i > 6 AND close < lo THEN 0.0 WHEN i > 6 AND
     FROM (SELECT *, row_number() OVER {RUN} AS i, max(high) OVER (PARTITION BY symbol, run_id
     ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS hi, min(low) OVER (PARTITION BY symbol, run_id
     ORDER BY interval_start ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS lo FROM b))"""
-add("e42_donchian_breakout", lambda s, d: out(G.donchian_breakout(base(s, d), 4, 6)), f"WITH {B}, {DON} {LATCH}")
+add("e42_donchian_breakout", lambda s, d: out(G.donchian_breakout(bars(s, d, M), 4, 6, M)), f"WITH {B}, {DON} {LATCH}")
 Z = f"""m AS (SELECT *, CASE WHEN z IS NULL OR z > -0.2 THEN 0.0 WHEN z < -1 THEN 1.0 END AS mark
     FROM (SELECT *, (close - {full_sql('avg', 'close', 6)}) / nullif({full_sql('stddev_pop', 'close', 6)}, 0) AS z FROM b))"""
-add("e43_zscore_reversion", lambda s, d: out(G.zscore_reversion(base(s, d), 6, 1.0, 0.2)), f"WITH {B}, {Z} {LATCH}")
+add("e43_zscore_reversion", lambda s, d: out(G.zscore_reversion(bars(s, d, M), 6, 1.0, 0.2, M)), f"WITH {B}, {Z} {LATCH}")
 
 
 def states(s, d):
@@ -118,7 +118,7 @@ add("e47_routing_cost", lambda s, d: G.routing_cost(routed(s, d), 0.001).select(
 
 def positions(s, d):
     a = G.time_series_momentum(base(s, d), 6).withColumn("strategy", F.lit("trend"))
-    b = G.zscore_reversion(base(s, d), 6, 1.0, 0.2).withColumn("strategy", F.lit("reversion"))
+    b = G.zscore_reversion(bars(s, d, M), 6, 1.0, 0.2, M).withColumn("strategy", F.lit("reversion"))
     return a.unionByName(b).withColumnRenamed("time", "at")
 
 
