@@ -55,8 +55,12 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         known, path = _paths.pop(id(df), (None, None))
         if known is not None and known() is df:
-            files, at = _hadoop(df.sparkSession, path)
-            files.delete(at, True)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
