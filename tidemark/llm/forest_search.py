@@ -8,14 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialise, ship
 
-#: Queries and vectors that meet in one group, about: the queries of a leaf are dealt over copies of its vectors, and its
-#: vectors over copies of its queries.
-QUERIES_PER_GROUP, VECTORS_PER_GROUP = 20_000, 50_000
+#: Vectors that a task holds at once, about: larger leaves are cut to slices, each of which all queries of the leaf ask.
+VECTORS_PER_SLICE = 50_000
+#: Queries whose visits are told at once, and scores that are computed at once.
+PROBED, SCORED = 64, 4_000_000
 
 
 class Forest:
@@ -114,7 +116,8 @@ def nearest(
     A leaf holds about ``leaf_scale * sqrt(n)`` of n distinct vectors, as long as the sample can tell so many leaves
     apart. A query visits ``visit_share`` of all leaves of the forest, and one more of each tree, in the order of one shared
     queue, and all vectors found there are ranked by the exact inner product in double precision, ties by the smaller id.
-    A leaf's vectors and queries meet in groups of bounded size. Vectors travel in the type of their column.
+    A leaf's vectors, in slices of bounded size, are read before its queries, which then stream by: no vector is repeated
+    for the number of queries, and a task holds one slice and a batch of queries. Vectors travel in the type of their column.
 
     The first leaf of each tree passes on its ``k + 1`` best for a query; the others only what reaches the query's
     (k + 1)-th best score within the sample, since nothing below it is among the best of all vectors.
@@ -144,9 +147,7 @@ def nearest(
 
     asked = rows.where(F.col("id") % every == 0).select("id", "h1", "h2").distinct()
     queries = distinct.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("key", "v")
-    asking = queries.count()
-    copies = max(1, math.ceil(asking * visits / (trees * 2**depth) / QUERIES_PER_GROUP))
-    slices = max(1, math.ceil(size.n / 2**depth / VECTORS_PER_GROUP))
+    slices = max(1, math.ceil(size.n / 2**depth / VECTORS_PER_SLICE))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -155,8 +156,9 @@ def nearest(
                 yield pd.concat([pd.DataFrame({"tree": t, "leaf": leaves[:, t], "key": b["key"], "v": b["v"]}) for t in range(trees)])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for start in range(0, len(batch), PROBED):
+                b = batch.iloc[start : start + PROBED]
                 floors = forest.value.floors(np.stack(b["v"].to_numpy()).astype(float), k + 1)
                 found = []
                 for key, v, floor in zip(b["key"], b["v"], floors.tolist(), strict=True):
@@ -166,28 +168,45 @@ def nearest(
                         whole.add(t)
                 yield pd.DataFrame(found, columns=["tree", "leaf", "key", "v", "floor"])
 
-    def rank(probes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(probes) and len(points):
-            points = points.sort_values("key")
-            v, keys = np.stack(points["v"].to_numpy()).astype(float), points["key"].to_numpy()
-            for start in range(0, len(probes), 256):
-                block = probes.iloc[start : start + 256]
-                q = np.stack(block["v"].to_numpy()).astype(float)
-                s = q @ v.T
-                top = min(k + 1, len(keys))
-                least = np.maximum(block["floor"].to_numpy(), np.partition(s, -top, axis=1)[:, -top]) - 1e-9
-                at, best = np.nonzero(s >= least[:, None])
-                out.append(pd.DataFrame({"q": block["key"].to_numpy()[at], "key": keys[best], "score": _exact(q[at], v[best])}))
-        return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
+    def best_of(q: np.ndarray, floor: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        top, step = min(k + 1, len(v)), max(1, SCORED // len(v))
+        for start in range(0, len(q), step):
+            own = q[start : start + step]
+            s = own @ v.T
+            least = np.maximum(floor[start : start + step], np.partition(s, -top, axis=1)[:, -top]) - 1e-9
+            at, best = np.nonzero(s >= least[:, None])
+            yield start + at, best, _exact(own[at], v[best])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, points = None, [], None  # the slice at hand: its parts as they come, and as one once a query asks
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.column_stack([b.column(c).to_numpy() for c in ("tree", "leaf", "slice")])
+            key, v = b.column("key").to_numpy(), b.column("v").flatten().to_numpy().reshape(b.num_rows, dims).astype(float)
+            asks, floor = b.column("floor").is_valid().to_numpy(zero_copy_only=False), b.column("floor").to_numpy(zero_copy_only=False)
+            ends = np.r_[np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1) | (asks[1:] != asks[:-1])) + 1, b.num_rows]
+            out, start = [], 0
+            for end in ends.tolist():
+                if group is None or (ids[start] != group).any():
+                    group, held, points = ids[start], [], None
+                if not asks[start]:
+                    held.append((key[start:end], v[start:end]))
+                elif held:
+                    points = points or tuple(map(np.concatenate, zip(*held, strict=True)))
+                    out += [(key[start + at], points[0][best], score) for at, best, score in best_of(v[start:end], floor[start:end], points[1])]
+                start = end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["q", "key", "score"])
 
     shape = f"tree int, leaf long, key long, v {kind}"
-    dealt = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = distinct.select("key", "v").mapInPandas(place, shape).withColumn("slice", dealt(slices)).withColumn("part", every_one(copies))
-    probes = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").mapInPandas(probe, f"{shape}, floor double").withColumn("part", dealt(copies)).withColumn("slice", every_one(slices))
-    group = ["tree", "leaf", "slice", "part"]
-    found = probes.groupBy(*group).cogroup(index.groupBy(*group)).applyInPandas(rank, "q long, key long, score double")
+    index = distinct.select("key", "v").mapInPandas(place, shape).withColumns({"floor": F.lit(None).cast("double"), "slice": F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")})
+    probes = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").mapInPandas(probe, f"{shape}, floor double")
+    probes = probes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    group = ["tree", "leaf", "slice"]
+    # vectors have no floor and so come first in their group
+    met = index.unionByName(probes).repartition(*group).sortWithinPartitions(*group, F.col("floor").asc_nulls_first())
+    found = met.mapInArrow(rank, "q long, key long, score double")
     # of each distinct vector the k + 1 best others: the query's own row is one of them at most
     best = found.groupBy("q", "key").agg(F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("n") <= k + 1).select("q", "key", "score")
