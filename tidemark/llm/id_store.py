@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.pretokens import ids_of
-from tidemark.llm.shared import shared_path, ship
+from tidemark.llm.shared import delete, shared_path, ship
 
 #: Ids that the rolling hash sees, and bounds of a chunk's length; a cut falls after one id in ``MEAN`` on average.
 SPAN, LEAST, MEAN, MOST = 16, 128, 512, 4096
@@ -159,7 +159,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, partition
     """Encode every whole text, append ``end_id``, and store the ids; see the module for the files.
 
     A null text is an empty one: its stream is the end id alone. Repeated rows have recipes of their own, and share
-    chunks. Rows are stored in ascending order of ``doc_id``, of any type that sorts (nulls first); ties keep any order.
+    chunks. Rows are stored in ascending order of ``doc_id``, of any type that sorts (nulls first); ties go by the Merkle root of their ids.
     An empty table gives empty files. Columns other than ``doc_id`` and ``text`` are not used.
 
     Texts are tokenised once, into a table of recipes with the chunks' bytes; its chunks are shuffled by digest,
@@ -219,10 +219,12 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, partition
 
     recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "root", "digests")
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = F.col("doc_id").asc_nulls_first()
-    ordered = recipes.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    # the root lets documents of one id, or of none, be dealt to several ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root").asc()]
+    ordered = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     placed = ordered.mapInArrow(place, f"within long, block long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ordered.schema)}")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    delete(spark, f"{path}/staged")
 
     manifest = _manifest(spark.read.schema(placed.schema).parquet(f"{path}/recipes"))
     # one row per range: at most n rows meet in the window without a key

@@ -2,60 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tidemark.functions.session import delete, discard, materialise, shared_folder, ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    On a cluster the package is installed or sent with ``--py-files``; there the extra path is simply absent.
-    """
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+__all__ = ["delete", "discard", "held_out", "materialise", "shared_path", "ship", "table", "text_key", "with_columns"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
-
-    Only a local session, where driver and executors are one process, gets a temporary folder instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: this cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[id(written)] = (weakref.ref(written), path)
-    return written
-
-
-_paths: dict[int, tuple] = {}
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
-    for df in tables:
-        known, path = _paths.pop(id(df), (None, None))
-        if known is not None and known() is df:
-            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
