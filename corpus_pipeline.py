@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, order_minhash, sentencepiece_codec, source_mixing, toxicity
-from tidemark.llm.shared import materialise, table
+from tidemark.llm.shared import discard, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,9 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again.
 
-    The result is lazy and reads the last table written; the tables before it stay until the folder is cleared.
+    A stage's table is deleted once the next one is written. The result is lazy and reads the last, which stays.
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
