@@ -34,8 +34,13 @@ def _w():
     return run_window()
 
 
+def log_ratio(x: Column, y: Column) -> Column:
+    """``ln(x / y)``, null where it is not computable: a price of zero has no logarithm on either side."""
+    return F.log(x / nonzero(y))
+
+
 def log_return() -> Column:
-    return F.log(_d("close") / F.lag(_d("close")).over(_w()))
+    return log_ratio(_d("close"), F.lag(_d("close")).over(_w()))
 
 
 def realized_volatility(n: int, r: str = "log_return") -> Column:
@@ -62,18 +67,18 @@ def vwap(n: int) -> Column:
 
 
 def parkinson_volatility(n: int) -> Column:
-    return F.sqrt(full(F.pow(F.log(_d("high") / _d("low")), 2.0) / (4 * math.log(2)), _w(), n, F.avg))
+    return F.sqrt(full(F.pow(log_ratio(_d("high"), _d("low")), 2.0) / (4 * math.log(2)), _w(), n, F.avg))
 
 
 def garman_klass_volatility(n: int) -> Column:
-    one = 0.5 * F.pow(F.log(_d("high") / _d("low")), 2.0) - (2 * math.log(2) - 1) * F.pow(F.log(_d("close") / _d("open")), 2.0)
+    one = 0.5 * F.pow(log_ratio(_d("high"), _d("low")), 2.0) - (2 * math.log(2) - 1) * F.pow(log_ratio(_d("close"), _d("open")), 2.0)
     return F.sqrt(floored(full(one, _w(), n, F.avg)))
 
 
 def yang_zhang_volatility(n: int) -> Column:
     """Over ``n`` bars and the close before them; n >= 2."""
-    overnight, inside = F.log(_d("open") / F.lag(_d("close")).over(_w())), F.log(_d("close") / _d("open"))
-    rs = F.log(_d("high") / _d("close")) * F.log(_d("high") / _d("open")) + F.log(_d("low") / _d("close")) * F.log(_d("low") / _d("open"))
+    overnight, inside = log_ratio(_d("open"), F.lag(_d("close")).over(_w())), log_ratio(_d("close"), _d("open"))
+    rs = log_ratio(_d("high"), _d("close")) * log_ratio(_d("high"), _d("open")) + log_ratio(_d("low"), _d("close")) * log_ratio(_d("low"), _d("open"))
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     return F.struct(overnight.alias("overnight"), inside.alias("inside"), rs.alias("rs")), k
 
@@ -116,8 +121,8 @@ def add_corwin_schultz(bars: DataFrame, n: int, name: str = "corwin_schultz") ->
     """Mean over ``n`` pairs of neighbouring bars of the spread estimate, each floored at 0."""
     w = _w()
     h0, l0 = F.lag(_d("high")).over(w), F.lag(_d("low")).over(w)
-    beta = F.pow(F.log(_d("high") / _d("low")), 2.0) + F.pow(F.log(h0 / l0), 2.0)
-    gamma = F.pow(F.log(F.greatest(_d("high"), h0) / F.least(_d("low"), l0)), 2.0)
+    beta = F.pow(log_ratio(_d("high"), _d("low")), 2.0) + F.pow(log_ratio(h0, l0), 2.0)
+    gamma = F.pow(log_ratio(F.greatest(_d("high"), h0), F.least(_d("low"), l0)), 2.0)
     c = 3 - 2 * math.sqrt(2)
     b = bars.withColumns({"_beta": F.when(h0.isNotNull(), beta), "_gamma": F.when(h0.isNotNull(), gamma)})
     b = b.withColumn("_alpha", (F.sqrt(2 * F.col("_beta")) - F.sqrt("_beta")) / c - F.sqrt(F.col("_gamma") / c))
