@@ -5,10 +5,12 @@ import os
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -156,6 +158,33 @@ def test_id_store_equals_the_library_on_documents(spark, docs, local):
         at += len(ids)
 
 
+def test_a_word_before_a_sign_goes_to_the_library_once():
+    library, sent = pretokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+    encoder = pretokens.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.library = SimpleNamespace(encode_batch_fast=lambda texts, **k: sent.extend(texts) or library.encode_batch_fast(texts, **k))
+    texts = ["the zanbeta, a zanbeta. zanbeta; zanbeta: zanbeta!", "one zanbeta\nzanbeta?"]
+    flat, sizes = encoder.encode_block(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert "".join(sent).count("zanbeta") == 2  # after a space and after a line feed
+
+
+def test_ids_of_odd_texts_equal_the_library():
+    """Signs, white space and characters at which a text may or may not be cut, in an Arrow slice with nulls."""
+    library = pretokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = ["the", "Don't", "'s", "'re,", "été", "été,", "1", "a1.", ".", "...", "!?", "<", "|", "<|endoftext|>", " ", " ", " ", " ", "\n", "\n\n", "\t", "\xa0", "\u2028", "…", "”,", "€", "日本", "\0", "\x7f", "İ", "ı", "ſ", "½;"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(pieces[: 8 if i % 2 else None] + [" "] * 4, 1 + i % 17)) for i in range(3_000)]
+    texts[5], texts[6], texts[-1] = None, "", None
+    taken = pretokens.can_cut(pretokens.as_texts(texts))
+    assert 300 < taken.sum() < 2_700
+    encoder = pretokens.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    for some, own in ((pa.array(["x ", None, *texts, "y"]).slice(2, len(texts)), texts), ([], []), ([None], [None])):
+        flat, sizes = encoder.encode_block(some)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in own]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+
+
 def test_id_store_takes_text_ids(spark):
     rows = spark.createDataFrame([("b", "two"), ("a", "one"), ("b", "again")], "doc_id string, text string")
     out = id_store.check_documents(id_store.write_store(rows, public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
@@ -185,6 +214,13 @@ def test_crc_join():
     assert id_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_crc_push_takes_many_lengths_at_once():
+    n = np.array([0, 1, 4, 511, 16_384, 70_001])
+    first, rest = [os.urandom(100) for _ in n], [os.urandom(k) for k in n.tolist()]
+    got = id_store.crc_push(np.array([zlib.crc32(a) for a in first], np.uint32), n) ^ np.array([zlib.crc32(b) for b in rest], np.uint32)
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in zip(first, rest, strict=True)]
+
+
 def test_sentencepiece_equals_the_library(spark, odd, docs, local):
     import sentencepiece
 

@@ -15,20 +15,22 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretokens import ids_of
+from tidemark.llm.pretokens import as_texts, bytes_of, ids_of
 from tidemark.llm.shared import delete, shared_path, ship
 
 #: Ids that the rolling hash sees, and bounds of a chunk's length; a cut falls after one id in ``MEAN`` on average.
 SPAN, LEAST, MEAN, MOST = 16, 128, 512, 4096
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
-#: Characters that are encoded together, about; documents of one leaf of a range's Merkle tree.
+#: Bytes of text that are encoded together, about; documents of one leaf of a range's Merkle tree.
 BLOCK, LEAF = 1_000_000, 1024
 
 
@@ -81,26 +83,6 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def crc_zeros(n: int) -> list[int]:
-    """The linear map that ``n`` zero bytes apply to a crc32, as 32 images of single bits."""
-    bits = _ZERO_MAPS.get(n)
-    if bits is None:
-        square, result = _one_zero_byte(), [1 << i for i in range(32)]
-        k = n
-        while k:
-            if k & 1:
-                result = [_apply(square, x) for x in result]
-            square = [_apply(square, x) for x in square]
-            k >>= 1
-        bits = _ZERO_MAPS[n] = result
-        if len(_ZERO_MAPS) > 20_000:
-            _ZERO_MAPS.clear()
-    return bits
-
-
-_ZERO_MAPS: dict[int, list[int]] = {}
-
-
 def _apply(images: list[int], x: int) -> int:
     out, i = 0, 0
     while x:
@@ -120,9 +102,31 @@ def _one_zero_byte() -> list[int]:
     return [push(1 << i) for i in range(32)]
 
 
+@cache
+def _zeros(k: int) -> np.ndarray:
+    """The linear map that ``2**k`` zero bytes apply to a crc32, as the images of the 256 values of each of its bytes."""
+    images, tables = _one_zero_byte(), np.zeros((4, 256), np.uint32)
+    for _ in range(k):
+        images = [_apply(images, x) for x in images]
+    for bit, image in enumerate(images):
+        tables[bit // 8, np.arange(256) >> bit % 8 & 1 == 1] ^= np.uint32(image)
+    return tables
+
+
+def crc_push(crcs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What ``n`` further bytes make of each crc32, but for their own crc32, which is to be added."""
+    crcs, k = crcs.astype(np.uint32), 0
+    while (left := n >> k).any():
+        own = np.flatnonzero(left & 1)
+        x = crcs[own]
+        crcs[own] = np.bitwise_xor.reduce([table[x >> np.uint32(8 * i) & np.uint32(255)] for i, table in enumerate(_zeros(k))])
+        k += 1
+    return crcs
+
+
 def crc_join(first: int, second: int, n_second: int) -> int:
     """crc32 of two byte strings, one after the other, from the crc32 of each."""
-    return _apply(crc_zeros(n_second), first) ^ second
+    return int(crc_push(np.array([first]), np.array([n_second]))[0]) ^ second
 
 
 @dataclass
@@ -144,15 +148,14 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/manifest")
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Keys and texts of a batch (null: empty) in blocks of about ``BLOCK`` characters."""
-    texts = [t or "" for t in batch.column(1).to_pylist()]
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > BLOCK or i == len(texts) - 1:
-            yield batch.column(0).slice(begin, i + 1 - begin), texts[begin : i + 1]
-            begin, size = i + 1, 0
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of a batch (null: empty) in blocks of about ``BLOCK`` bytes."""
+    texts, begin = as_texts(batch.column(1)), 0
+    bounds = bytes_of(texts)[1]
+    while begin < len(texts):
+        end = min(len(texts), int(np.searchsorted(bounds, bounds[begin] + BLOCK, "right")))
+        yield batch.column(0).slice(begin, end - begin), texts.slice(begin, end - begin)
+        begin = end
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, partitions: int | None = None) -> Store:
@@ -272,20 +275,21 @@ def check_documents(store: Store) -> DataFrame:
         rows = [(zlib.crc32(ids.tobytes()), digest(ids) == k) for k, ids in ((k, unpacked(d, m)) for k, m, d in zip(key, n, data, strict=True))]
         return pd.DataFrame(rows, columns=["crc", "sound"])
 
-    @F.pandas_udf("crc long, n long, sound boolean")
-    def combine(parts: pd.Series, root: pd.Series) -> pd.DataFrame:
-        rows = []
-        for own, top in zip(parts, root, strict=True):
-            own = sorted(own, key=lambda p: p["seq"])
-            if any(p["crc"] is None for p in own):  # a chunk is lost
-                rows.append((None, None, False))
-                continue
-            crc = n = 0
-            for p in own:
-                crc = crc_join(crc, p["crc"], 4 * p["n_ids"]) if n else p["crc"]
-                n += p["n_ids"]
-            rows.append((crc, n, all(p["sound"] for p in own) and merkle_root([bytes(p["digest"]) for p in own]) == top))
-        return pd.DataFrame(rows, columns=["crc", "n", "sound"]).astype({"crc": "Int64", "n": "Int64"})
+    @F.arrow_udf("crc long, n long, sound boolean")
+    def combine(parts: pa.Array, root: pa.Array) -> pa.Array:
+        bounds, own = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten()
+        sizes = np.diff(bounds)
+        order = np.lexsort((own.field("seq").to_numpy(), np.repeat(np.arange(len(sizes)), sizes)))
+        column = lambda name, other: pc.fill_null(own.field(name), other).to_numpy(zero_copy_only=False)[order]
+        lost, sound, n = own.field("crc").is_null().to_numpy(zero_copy_only=False)[order], column("sound", False), column("n_ids", 0).astype(np.int64)
+        total, begins = np.add.reduceat(n, bounds[:-1]), bounds[:-1]
+        after = np.repeat(total + np.cumsum(n)[begins] - n[begins], sizes) - np.cumsum(n)
+        crc = np.bitwise_xor.reduceat(crc_push(column("crc", 0), 4 * after), begins).astype(np.int64)
+        digests = own.field("digest").to_numpy(zero_copy_only=False)[order]
+        roots = [merkle_root(digests[a:b].tolist()) == top for a, b, top in zip(begins.tolist(), bounds[1:].tolist(), root.to_pylist(), strict=True)]
+        some = np.logical_or.reduceat(lost, begins)  # a chunk is lost
+        fit = np.logical_and.reduceat(sound, begins) & np.array(roots, bool) & ~some
+        return pa.StructArray.from_arrays([pa.array(crc, mask=some), pa.array(total, mask=some), pa.array(fit)], ["crc", "n", "sound"])
 
     facts = store.chunks().select("digest", "n_ids", examine("digest", "n_ids", "ids").alias("x")).select("digest", "n_ids", "x.crc", "x.sound")
     parts = store.recipes().select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("seq", "digest"))
