@@ -39,6 +39,12 @@ def log_ratio(x: Column, y: Column) -> Column:
     return F.log(x / nonzero(y))
 
 
+def float_log_ratio(x: Column, y: Column) -> Column:
+    """``ln(x / y)`` by floating-point arithmetic, as SQL over doubles has it: infinite where one price is zero, NaN where both are or signs differ."""
+    ratio = F.when(y == 0, x * math.inf).otherwise(x / nonzero(y))
+    return F.when(ratio > 0, F.log(ratio)).when(ratio == 0, -math.inf).when(ratio < 0, math.nan)
+
+
 def log_return() -> Column:
     return log_ratio(_d("close"), F.lag(_d("close")).over(_w()))
 
@@ -66,8 +72,9 @@ def vwap(n: int) -> Column:
     return full(typical * _d("volume"), _w(), n, F.sum) / nonzero(full(_d("volume"), _w(), n, F.sum))
 
 
-def parkinson_volatility(n: int) -> Column:
-    return F.sqrt(full(F.pow(log_ratio(_d("high"), _d("low")), 2.0) / (4 * math.log(2)), _w(), n, F.avg))
+def parkinson_volatility(n: int, ln: Callable[[Column, Column], Column] = log_ratio) -> Column:
+    """``ln`` tells what the logarithm of a price of zero is: null, or as ``float_log_ratio`` has it."""
+    return F.sqrt(full(F.pow(ln(_d("high"), _d("low")), 2.0) / (4 * math.log(2)), _w(), n, F.avg))
 
 
 def garman_klass_volatility(n: int) -> Column:
