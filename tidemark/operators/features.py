@@ -77,8 +77,9 @@ def parkinson_volatility(n: int, ln: Callable[[Column, Column], Column] = log_ra
     return F.sqrt(full(F.pow(ln(_d("high"), _d("low")), 2.0) / (4 * math.log(2)), _w(), n, F.avg))
 
 
-def garman_klass_volatility(n: int) -> Column:
-    one = 0.5 * F.pow(log_ratio(_d("high"), _d("low")), 2.0) - (2 * math.log(2) - 1) * F.pow(log_ratio(_d("close"), _d("open")), 2.0)
+def garman_klass_volatility(n: int, ln: Callable[[Column, Column], Column] = log_ratio) -> Column:
+    """``ln`` as in ``parkinson_volatility``."""
+    one = 0.5 * F.pow(ln(_d("high"), _d("low")), 2.0) - (2 * math.log(2) - 1) * F.pow(ln(_d("close"), _d("open")), 2.0)
     return F.sqrt(floored(full(one, _w(), n, F.avg)))
 
 
